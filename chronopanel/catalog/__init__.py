@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scans",)
+MODULES = ("scans", "calendar")
 
 
 def load():

@@ -174,16 +174,16 @@ def s12(r):
 
 
 @query("s13_cell_documents", f"""
-SELECT h, d, status, fold, {R('cagr_excess')} AS cagr_excess FROM (
-  SELECT h, d, CASE WHEN (h + d) % 4 = 0 THEN 'FAILED' ELSE 'COMPLETE' END AS status, fold, cagr_excess
-  FROM x_surf WHERE treatment = 'A') WHERE status = 'COMPLETE'""")
+SELECT h, d, treatment, status, fold, {R('cagr_excess')} AS cagr_excess FROM (
+  SELECT h, d, treatment, CASE WHEN (h + d) % 4 = 0 THEN 'FAILED' ELSE 'COMPLETE' END AS status, fold, cagr_excess
+  FROM x_surf) WHERE status = 'COMPLETE'""")
 def s13(r):
-    rows = r.surface().where("treatment = 'A'")
-    docs = rows.groupBy("h", "d").agg(F.collect_list(F.struct("fold", "cagr_excess")).alias("outer_rows")).withColumn(
+    # a document holds one cell: at most one outer row per fold year
+    docs = r.surface().groupBy("h", "d", "treatment").agg(F.collect_list(F.struct("fold", "cagr_excess")).alias("outer_rows")).withColumn(
         "status", F.when((F.col("h") + F.col("d")) % 4 == 0, "FAILED").otherwise("COMPLETE"))
     path = stores.write_json(r.spark, docs, "cells")
     cells = stores.read_cell_documents(r.spark, path)
-    return cells.select(F.col("h").cast("int").alias("h"), F.col("d").cast("int").alias("d"), "status",
+    return cells.select(F.col("h").cast("int").alias("h"), F.col("d").cast("int").alias("d"), "treatment", "status",
                         F.col("fold").cast("int").alias("fold"), rnd("cagr_excess").alias("cagr_excess"))
 
 
@@ -219,13 +219,13 @@ def s16(r):
 
 
 @query("s17_nav_points", f"""
-SELECT date, family_id, {R('strategy_value')} AS nav, {R('bench_value')} AS benchmark_nav FROM x_nav WHERE arm = 'F'""")
+SELECT date, family_id, {R('strategy_value')} AS nav, {R('bench_value')} AS benchmark_nav, arm FROM x_nav""")
 def s17(r):
-    docs = r.nav().where("arm = 'F'").groupBy("family_id").agg(F.collect_list(F.struct(
+    docs = r.nav().groupBy("family_id", "arm").agg(F.collect_list(F.struct(
         F.col("date").cast("string").alias("date"), F.col("strategy_value").alias("nav"),
         F.col("bench_value").alias("benchmark_nav"))).alias("points"))
     path = stores.write_json(r.spark, docs, "nav")
-    return stores.read_points(r.spark, path).select("date", "family_id", rnd("nav").alias("nav"),
+    return stores.read_points(r.spark, path).select("date", "family_id", "arm", rnd("nav").alias("nav"),
                                                     rnd("benchmark_nav").alias("benchmark_nav"))
 
 

@@ -92,3 +92,7 @@ def expanding_folds(sessions: DataFrame, train: int, validation: int, step: int,
 def cohorts(sessions: DataFrame, length: int = 21) -> DataFrame:
     """Fixed-length session cohorts, counted from the second session."""
     return sessions.where("idx >= 1").withColumn("cohort", F.floor((F.col("idx") - 1) / length))
+
+
+def every_nth_only(sessions: DataFrame, n: int, name: str = "assessment_date") -> DataFrame:
+    return sessions.where((F.col("idx") + 1) % n == 0).select(F.col("date").alias(name))

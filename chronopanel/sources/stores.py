@@ -124,9 +124,9 @@ def write_json(spark: SparkSession, df: DataFrame, name: str) -> str:
 
 def read_cell_documents(spark: SparkSession, path: str) -> DataFrame:
     """Completed cells, one row per outer result; nested rows are inlined, not gathered."""
-    schema = "h long, d long, status string, outer_rows array<struct<fold: long, cagr_excess: double>>"
+    schema = "h long, d long, treatment string, status string, outer_rows array<struct<fold: long, cagr_excess: double>>"
     docs = spark.read.schema(schema).json(path)
-    return docs.where("status = 'COMPLETE'").select("h", "d", "status", F.inline("outer_rows"))
+    return docs.where("status = 'COMPLETE'").select("h", "d", "treatment", "status", F.inline("outer_rows"))
 
 
 def candidate_choices(spark: SparkSession, path: str, latest_matured: str) -> DataFrame:
@@ -158,8 +158,8 @@ def latest_segments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
-    schema = "family_id string, points array<struct<date: string, nav: double, benchmark_nav: double>>"
-    return (spark.read.schema(schema).json(path).select("family_id", F.inline("points"))
+    schema = "family_id string, arm string, points array<struct<date: string, nav: double, benchmark_nav: double>>"
+    return (spark.read.schema(schema).json(path).select("family_id", "arm", F.inline("points"))
             .withColumn("date", F.to_date("date")))
 
 

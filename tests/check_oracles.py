@@ -77,6 +77,7 @@ def main():
     pattern = re.compile(sys.argv[2] if len(sys.argv) > 2 else ".")
     sf_dir = f"/root/testdata/sf{sf}"
     spark = (SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+             .config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC")
              .config("spark.driver.memory", "12g").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

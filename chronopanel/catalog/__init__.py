@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scans", "calendar")
+MODULES = ("scans", "calendar", "joins", "aggregates")
 
 
 def load():

@@ -28,9 +28,9 @@ def month_cutoffs(r):
 
 
 @query("t2_latest_matured_decision", f"""
-WITH c AS ({CUTOFFS}), at AS (SELECT cutoff, (SELECT max(idx) FROM x_sessions s WHERE s.date <= cutoff) AS idx FROM c)
+WITH c AS ({CUTOFFS}), pos AS (SELECT cutoff, (SELECT max(idx) FROM x_sessions s WHERE s.date <= cutoff) AS idx FROM c)
 SELECT cutoff, CAST(h AS INT) AS horizon, s.date AS latest_decision
-FROM at CROSS JOIN (SELECT unnest([1, 5, 20]) AS h) LEFT JOIN x_sessions s ON s.idx = at.idx - h WHERE at.idx IS NOT NULL""")
+FROM pos CROSS JOIN (SELECT unnest([1, 5, 20]) AS h) LEFT JOIN x_sessions s ON s.idx = pos.idx - h WHERE pos.idx IS NOT NULL""")
 def t2(r):
     return cal.latest_matured(month_cutoffs(r), r.sessions(), [1, 5, 20])
 
@@ -194,7 +194,7 @@ SELECT cutoff, family_id, {R('quantile_cont(top, 0.9)', 2)} AS threshold, count(
 FROM w WHERE rn <= 60 GROUP BY 1, 2""")
 def t14(r):
     cutoffs = r.sessions().select(F.trunc("date", "quarter").alias("cutoff")).distinct()
-    return sch.recalibrate(weekly_tops(r), r.sessions(), cutoffs, window=60, quantile=0.9).select(
+    return sch.recalibrate(weekly_tops(r), cutoffs, window=60, quantile=0.9).select(
         "cutoff", "family_id", rnd("threshold", 2).alias("threshold"), "window_days", "calibration_start",
         "calibration_end", "latest_terminal")
 
@@ -202,7 +202,8 @@ def t14(r):
 @query("t15_entry_policy_search", f"""
 WITH day AS (SELECT decision_date, count(*) AS n, max(score) AS top FROM x_panel GROUP BY 1),
 g AS (SELECT q, f FROM (SELECT unnest([0.2, 0.5, 0.8]) AS q) CROSS JOIN (SELECT unnest([0.02, 0.1]) AS f)),
-th AS (SELECT q, f, (SELECT quantile_cont(top, q) FROM day) AS threshold FROM g),
+th AS (SELECT q, f, CASE q WHEN 0.2 THEN (SELECT quantile_cont(top, 0.2) FROM day) WHEN 0.5 THEN (SELECT quantile_cont(top, 0.5) FROM day)
+                    ELSE (SELECT quantile_cont(top, 0.8) FROM day) END AS threshold FROM g),
 rk AS (SELECT p.*, n, row_number() OVER (PARTITION BY decision_date ORDER BY score DESC, ticker) AS rn FROM x_panel p JOIN day USING (decision_date)),
 pk AS (SELECT q, f, threshold, decision_date, avg(excess) AS v FROM th JOIN rk ON score >= threshold AND rn <= least(5, greatest(1, ceil(n * f)))
        GROUP BY 1, 2, 3, 4),
@@ -249,7 +250,7 @@ FROM l""")
 def t16(r):
     from chronopanel.operators.gates import daily_gate_summary, threshold_windows
     day = daily_gate_summary(r.panel(), threshold=0.9, top_fraction=0.05)
-    return threshold_windows(day, r.sessions(), cal.every_nth_only(r.sessions(), 10), [13, 26],
+    return threshold_windows(day, cal.every_nth_only(r.sessions(), 10), [13, 26],
                              historical_rate=0.9, min_days=10, min_shadow=5, threshold=0.9)
 
 
@@ -269,7 +270,7 @@ FROM s GROUP BY 1""")
 def t17(r):
     from chronopanel.operators.gates import daily_gate_summary, weighted_evidence
     day = daily_gate_summary(r.panel(), threshold=0.9, top_fraction=0.05)
-    return weighted_evidence(day, r.sessions(), cal.every_nth_only(r.sessions(), 10), {13: 0.5, 26: 0.3, 52: 0.2},
+    return weighted_evidence(day, cal.every_nth_only(r.sessions(), 10), {13: 0.5, 26: 0.3, 52: 0.2},
                              historical_rate=0.98, pressure=0.95, trigger=0.5, min_fraction=0.8, min_shadow=5)
 
 

@@ -84,7 +84,7 @@ SQL_ROLES: dict[str, str] = {
       JOIN x_sessions x ON x.idx = e.idx + t.hold""",
     "x_dists": """
       SELECT l_suppkey AS ticker, CAST(date_trunc('week', l_shipdate) AS DATE) AS ex_date,
-             CAST(sum(CAST(round(l_extendedprice * 0.001, 4) AS DECIMAL(18, 4))) AS DECIMAL(28, 4)) AS cash,
+             sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS cash,
              CAST(date_trunc('week', l_shipdate) AS DATE) + CAST(10 + l_suppkey % 9 AS INT) AS payable_date
       FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2, 4""",
     # outer results of a (horizon, holding) design surface
@@ -102,4 +102,46 @@ SQL_ROLES: dict[str, str] = {
              avg(l_discount) - 0.05 AS score, avg(l_tax) - 0.04 AS realized, count(*) AS n_events,
              count(DISTINCT p_size) AS n_families
       FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3, 4""",
+    # executed trades with open-to-open returns
+    "x_tr": """
+      SELECT t.*, a.open AS entry_price, b.open AS exit_price, b.open / a.open - 1 AS stock_return,
+             (b.open / a.open) / (bb.open / ba.open) - 1 AS excess
+      FROM x_trades t JOIN x_prices a ON a.ticker = t.ticker AND a.date = t.entry_date
+      JOIN x_prices b ON b.ticker = t.ticker AND b.date = t.exit_date
+      JOIN x_bench ba ON ba.date = t.entry_date JOIN x_bench bb ON bb.date = t.exit_date""",
+    # monthly activity and the family monthly panel
+    "x_act": """
+      SELECT family_id, arm, last_day(date) AS assessment_date, count(*) FILTER (positions > 0) AS active_days,
+             count(*) AS observed_days, CAST(sum(positions) AS BIGINT) AS trade_count, max(CASE WHEN positions > 0 THEN date END) AS last_entry
+      FROM x_ret GROUP BY 1, 2, 3""",
+    "x_fmp": """
+      SELECT m.family_id, m.arm, m.assessment_date, m.rel, m.rel / lag(m.rel) OVER w - 1 AS excess_1m,
+             m.rel / lag(m.rel, 3) OVER w - 1 AS trailing_3m, lead(m.rel) OVER w / m.rel - 1 AS fwd_1m,
+             lead(m.rel, 3) OVER w / m.rel - 1 AS fwd_3m, a.active_days, a.observed_days, a.trade_count,
+             CASE WHEN a.active_days = 0 AND a.trade_count = 0 THEN 'NO_OPPORTUNITY'
+                  WHEN m.rel / lag(m.rel) OVER w - 1 > 0 THEN 'ACTIVE_POSITIVE'
+                  WHEN m.rel / lag(m.rel) OVER w - 1 < 0 THEN 'ACTIVE_NEGATIVE' ELSE 'ACTIVE_NEUTRAL' END AS activity_state
+      FROM x_month m JOIN x_act a USING (family_id, arm, assessment_date)
+      WINDOW w AS (PARTITION BY m.family_id, m.arm ORDER BY m.assessment_date)""",
+    "x_clus": """
+      SELECT cluster_level, cluster_id, arm, assessment_date, avg(excess_1m) AS excess_1m, avg(trailing_3m) AS trailing_3m,
+             avg(fwd_1m) AS fwd_1m, avg(fwd_3m) AS fwd_3m, count(DISTINCT family_id) AS member_count,
+             CAST(sum(trade_count) AS BIGINT) AS trade_count, avg(active_days) AS active_days,
+             avg((activity_state = 'NO_OPPORTUNITY')::INT) AS no_opportunity, bool_and(fwd_1m IS NOT NULL) AS has_target
+      FROM (SELECT f.*, 'FAMILY' AS cluster_level, family_id AS cluster_id FROM x_fmp f
+            UNION ALL SELECT f.*, 'REGION', r_name FROM x_fmp f JOIN nation ON n_name = family_id JOIN region ON r_regionkey = n_regionkey)
+      GROUP BY 1, 2, 3, 4""",
+    "x_state": """
+      SELECT *, CASE WHEN rank <= ceil(unit_count * 0.25) THEN 'TOP' WHEN rank > unit_count - ceil(unit_count * 0.25) THEN 'BOTTOM' ELSE 'MID' END AS quartile,
+             (unit_count - rank + 1) / unit_count AS rank_pct
+      FROM (SELECT *, row_number() OVER (PARTITION BY cluster_level, arm, assessment_date ORDER BY round(excess_1m, 9) DESC, cluster_id) AS rank,
+                   count(*) OVER (PARTITION BY cluster_level, arm, assessment_date) AS unit_count,
+                   dense_rank() OVER (PARTITION BY cluster_level, arm ORDER BY assessment_date) - 1 AS date_pos
+            FROM x_clus WHERE excess_1m IS NOT NULL)""",
+    # yearly family metrics keyed by strategy family ids
+    "x_famy": """
+      SELECT printf('H%02d_D%02d_N%02d_%s', 1 + (p_size - 1) % 30, 1 + CAST(p_partkey AS INT) % (1 + (p_size - 1) % 30), 1 + CAST(p_partkey AS INT) % 6,
+                    CASE WHEN p_partkey % 2 = 0 THEN 'FIXED' ELSE 'LEARNED_EXIT' END) AS family_id,
+             CAST(year(l_shipdate) AS INT) AS yr, l_returnflag AS arm, avg(l_discount - l_tax) AS metric, count(*) AS n_trades
+      FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3""",
 }

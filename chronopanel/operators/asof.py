@@ -33,14 +33,15 @@ def keep_last(schedule: DataFrame, keys: Sequence[str], start: str, order: str)
 
 
 def asof_join(left: DataFrame, schedule: DataFrame, keys: Sequence[str], left_time: str, start: str, *,
-              strict: bool = False, how: str = "left", grain: str = "month") -> DataFrame:
+              strict: bool = False, how: str = "left", grain: str = "month", fan_out: Sequence[str] = ()) -> DataFrame:
     """Latest schedule row with ``start <= left_time`` (``<`` when strict) for the same keys.
 
-    ``schedule`` must be unique on (keys, start); use :func:`keep_last` first when it is not.
+    ``schedule`` must be unique on (keys, fan_out, start); use :func:`keep_last` first when it is not.
+    ``fan_out`` names schedule-only keys: each left row meets the latest row of every such group.
     """
     keys = list(keys)
     horizon = left.agg(F.max(left_time))
-    iv = validity_intervals(schedule, keys, start).withColumn("_end", horizon.scalar())
+    iv = validity_intervals(schedule, [*keys, *fan_out], start).withColumn("_end", horizon.scalar())
     # a strict match at time t needs the slot of _to itself; one extra slot is harmless
     last = F.least(F.coalesce(F.col("_to"), F.col("_end")), F.col("_end"))
     iv = iv.where(F.col("_from") <= F.col("_end")).withColumn(

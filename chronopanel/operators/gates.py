@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from chronopanel.functions.rounding import rnd
 from chronopanel.functions.stats import median, quantile, share
+from chronopanel.session import stage
 from chronopanel.operators.ordered import quantiles, top_rows, value_counts
 
 
@@ -61,6 +62,7 @@ def gate_flags(df: DataFrame, threshold: float, top_fraction: float) -> DataFram
 
 def daily_gate_summary(panel: DataFrame, threshold: float, top_fraction: float) -> DataFrame:
     """One row per day with the counts and sums every trailing window needs."""
+    panel = stage(panel, "gate-panel")
     f = gate_flags(panel, threshold, top_fraction)
     day = f.groupBy("decision_date").agg(
         F.max("terminal_date").alias("terminal_date"), F.count(F.lit(1)).alias("n_rows"),
@@ -71,9 +73,9 @@ def daily_gate_summary(panel: DataFrame, threshold: float, top_fraction: float)
     return day.join(quantiles(panel, ["decision_date"], "score", {"p99": 0.99}), "decision_date")
 
 
-def _lookback_rows(day: DataFrame, sessions: DataFrame, assessments: DataFrame, lookbacks, strict: bool) -> DataFrame:
+def _lookback_rows(day: DataFrame, assessments: DataFrame, lookbacks) -> DataFrame:
     from chronopanel.operators.schedules import trailing_window
-    rows = trailing_window(day, sessions, assessments, "assessment_date", [], max(lookbacks), strict_decision=strict)
+    rows = trailing_window(day, assessments, "assessment_date", [], max(lookbacks))
     return rows.withColumn("lookback", F.explode(F.array(*[F.lit(x) for x in lookbacks]))).where("_rn <= lookback")
 
 
@@ -88,8 +90,8 @@ def threshold_verdict(days: Column, shadow_count: Column, rate: Column, shadow_m
             .when(shadow_mean > 0, "TOO_RESTRICTIVE").otherwise("RARE_SIGNAL"))
 
 
-def threshold_windows(day, sessions, assessments, lookbacks, *, historical_rate, min_days, min_shadow, threshold) -> DataFrame:
-    rows = _lookback_rows(day, sessions, assessments, lookbacks, strict=False).withColumn("_pr", F.lit(threshold) / F.col("p99"))
+def threshold_windows(day, assessments, lookbacks, *, historical_rate, min_days, min_shadow, threshold) -> DataFrame:
+    rows = _lookback_rows(day, assessments, lookbacks).withColumn("_pr", F.lit(threshold) / F.col("p99"))
     shadow_n = F.nullif(F.sum("n_shadow"), F.lit(0))
     agg = rows.groupBy("assessment_date", "lookback").agg(
         F.count(F.lit(1)).alias("matured_days"), F.sum("n_rows").alias("evaluated_rows"), F.avg("crossing").alias("rate"),
@@ -102,10 +104,10 @@ def threshold_windows(day, sessions, assessments, lookbacks, *, historical_rate,
                       rnd("pressure").alias("median_pressure"), verdict.alias("verdict"))
 
 
-def weighted_evidence(day, sessions, assessments, weights: dict[int, float], *, historical_rate, pressure, trigger,
+def weighted_evidence(day, assessments, weights: dict[int, float], *, historical_rate, pressure, trigger,
                       min_fraction, min_shadow) -> DataFrame:
     """Lookback signals averaged with weights re-normalised over the available ones."""
-    rows = _lookback_rows(day, sessions, assessments, list(weights), strict=True)
+    rows = _lookback_rows(day, assessments, list(weights))
     agg = rows.groupBy("assessment_date", "lookback").agg(
         F.count(F.lit(1)).alias("days"), F.avg("crossing").alias("rate"), F.sum("n_shadow").alias("k"),
         (F.sum("s_shadow") / F.nullif(F.sum("n_shadow"), F.lit(0))).alias("sm"), median("p99").alias("p99"))
@@ -133,13 +135,13 @@ def entry_policy_search(panel: DataFrame, qs: list[float], fractions: list[float
     cut = days.agg(F.expr(f"percentile(top, array({','.join(map(str, qs))}))").alias("_t"))
     grid = F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(q).alias("quantile"), F.lit(f).alias("top_fraction"))
                      for i, q in enumerate(qs, 1) for f in fractions])
-    policies = cut.select("_t", F.inline(grid)).select("quantile", "top_fraction", F.element_at("_t", F.col("qi")).alias("threshold"))
     best = top_rows(panel, ["decision_date"], [F.desc("score"), F.asc("ticker")], max_names, "_rn").select(
         "decision_date", "score", "excess", "_rn")
-    base = days.join(best, "decision_date", "left")
+    base = (days.join(best, "decision_date", "left").withColumn("_t", cut.scalar()).select("*", F.inline(grid))
+            .withColumn("threshold", F.element_at("_t", F.col("qi"))))
     ok = (F.col("score") >= F.col("threshold")) & (
         F.col("_rn") <= F.least(F.lit(max_names), fraction_limit(F.col("universe"), F.col("top_fraction"))))
-    daily = (base.join(F.broadcast(policies), F.lit(True)).groupBy("quantile", "top_fraction", "threshold", "decision_date")
+    daily = (base.groupBy("quantile", "top_fraction", "threshold", "decision_date")
              .agg(F.avg(F.when(ok, F.col("excess"))).alias("_v")))
     monthly = daily.groupBy("quantile", "top_fraction", "threshold", F.trunc("decision_date", "month").alias("_m")).agg(
         F.avg(F.coalesce("_v", F.lit(0.0))).alias("mv"), F.count("_v").alias("active"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronopanel.operators.asof import asof_join
+
 
 def fingerprint(items) -> F.Column:
     """SHA-256 identity of a set of strings, independent of arrival order."""
@@ -18,16 +20,19 @@ def fingerprint(items) -> F.Column:
 def evidence_snapshots(panel: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """What was known at each cutoff: matured rows, folds, identity.
 
-    The panel is first reduced to (fold, terminal) partial sums; only that
-    small table meets the cutoffs.
+    The panel collapses to one row per terminal session; running state over
+    that calendar-sized table is then looked up as of each cutoff.
     """
-    partial = panel.groupBy("fold_id", "terminal_date").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("excess").alias("s"))
-    seen = cutoffs.join(partial, F.col("terminal_date") <= F.col("cutoff"))
-    return seen.groupBy("cutoff").agg(
-        F.sum("n").alias("n_rows"), F.countDistinct("fold_id").alias("n_folds"),
-        F.max("terminal_date").alias("latest_terminal"), (F.sum("s") / F.sum("n")).alias("mean_excess"),
-        fingerprint(F.collect_set("fold_id")).alias("fingerprint"))
+    day = panel.groupBy("terminal_date").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("excess").alias("s"), F.collect_set("fold_id").alias("f"))
+    w = Window.orderBy("terminal_date")
+    state = day.select(
+        "terminal_date", F.sum("n").over(w).alias("n_rows"), F.sum("s").over(w).alias("_s"),
+        F.array_distinct(F.flatten(F.collect_list("f").over(w))).alias("_folds"))
+    seen = asof_join(cutoffs, state, [], "cutoff", "terminal_date", how="inner")
+    return seen.select("cutoff", "n_rows", F.size("_folds").cast("long").alias("n_folds"),
+                       F.col("terminal_date").alias("latest_terminal"), (F.col("_s") / F.col("n_rows")).alias("mean_excess"),
+                       fingerprint(F.col("_folds")).alias("fingerprint"))
 
 
 def train_calibration_split(sessions: DataFrame, cutoffs: DataFrame, train: int, purge: int, calibration: int) -> DataFrame:
@@ -72,18 +77,24 @@ def arm_schedules(generations: DataFrame, calibrations: DataFrame) -> DataFrame:
     return a.unionByName(b.select(cols)).unionByName(c.select(cols))
 
 
-def trailing_window(days: DataFrame, sessions: DataFrame, cutoffs: DataFrame, cutoff: str, keys: list[str], window: int,
-                    *, strict_decision: bool = False) -> DataFrame:
-    """The latest ``window`` matured day rows before each cutoff; days hold one row per (keys, session)."""
-    known = (F.col("terminal_date") <= F.col(cutoff)) & (
-        F.col("decision_date") < F.col(cutoff) if strict_decision else F.col("decision_date") <= F.col(cutoff))
-    w = Window.partitionBy(cutoff, *keys).orderBy(F.desc("decision_date"))
-    return (cutoffs.join(days, known).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= window))
+def trailing_window(days: DataFrame, cutoffs: DataFrame, cutoff: str, keys: list[str], window: int) -> DataFrame:
+    """The latest ``window`` matured day rows before each cutoff; days hold one row per (keys, session).
+
+    Terminals grow with decisions, so the matured days of a cutoff are a prefix: its length comes from
+    an as-of lookup and the window from equal positions. ``_rn`` = 1 is the newest day.
+    """
+    placed = days.where("terminal_date IS NOT NULL").withColumn(
+        "_pos", F.row_number().over(Window.partitionBy(*keys).orderBy("decision_date")))
+    marks = placed.select(*keys, "terminal_date", F.col("_pos").alias("_last"))
+    heads = asof_join(cutoffs.select(cutoff).distinct(), marks, [], cutoff, "terminal_date", how="inner", fan_out=keys)
+    wanted = heads.select(cutoff, *keys, "_last", F.explode(F.sequence(
+        F.greatest(F.lit(1), F.col("_last") - (window - 1)), F.col("_last"))).alias("_pos"))
+    return wanted.join(placed, [*keys, "_pos"]).withColumn("_rn", F.col("_last") - F.col("_pos") + 1).drop("_last", "_pos")
 
 
-def recalibrate(tops: DataFrame, sessions: DataFrame, cutoffs: DataFrame, window: int, quantile: float) -> DataFrame:
+def recalibrate(tops: DataFrame, cutoffs: DataFrame, window: int, quantile: float) -> DataFrame:
     """Threshold = quantile of the last ``window`` matured daily tops, per family and cutoff."""
-    rows = trailing_window(tops, sessions, cutoffs, "cutoff", ["family_id"], window)
+    rows = trailing_window(tops, cutoffs, "cutoff", ["family_id"], window)
     return rows.groupBy("cutoff", "family_id").agg(
         F.expr(f"percentile(top, {quantile})").alias("threshold"), F.count(F.lit(1)).alias("window_days"),
         F.min("decision_date").alias("calibration_start"), F.max("decision_date").alias("calibration_end"),
@@ -109,11 +120,14 @@ def gate_observation(quality: DataFrame, date: str, clip: float) -> DataFrame:
 
 
 def visible_generations(schedule: DataFrame, times: DataFrame) -> DataFrame:
-    seen = times.join(schedule, F.col("activation_date") <= F.col("t"))
+    """Per time and family: how many generations are visible, the latest one, and their joint identity."""
+    w = Window.partitionBy("family_id").orderBy("activation_date")
     ident = F.concat_ws(":", F.col("activation_date").cast("string"), "model_id")
-    return seen.groupBy("t", "family_id").agg(
-        F.count(F.lit(1)).alias("visible"), F.max("activation_date").alias("latest"),
-        fingerprint(F.collect_list(ident)).alias("fingerprint"))
+    state = schedule.select("family_id", "activation_date", F.count(F.lit(1)).over(w).alias("visible"),
+                            F.collect_list(ident).over(w).alias("_ids"))
+    seen = asof_join(times, state, [], "t", "activation_date", how="inner", fan_out=["family_id"])
+    return seen.select("t", "family_id", "visible", F.col("activation_date").alias("latest"),
+                       fingerprint(F.col("_ids")).alias("fingerprint"))
 
 
 def next_unseen_fold(folds: DataFrame, keys: list[str], fold: str) -> DataFrame:
@@ -125,16 +139,16 @@ def next_unseen_fold(folds: DataFrame, keys: list[str], fold: str) -> DataFrame:
 
 def policies_as_of(schedule: DataFrame, times: DataFrame) -> DataFrame:
     """Initial-static, newest-visible and equal-pool model weights at each time."""
-    seen = times.join(schedule, F.col("activation_date") <= F.col("t"))
-    total = seen.groupBy("t", "family_id").agg(
-        F.min_by("model_id", "activation_date").alias("first_model"), F.max_by("model_id", "activation_date").alias("last_model"),
-        F.count(F.lit(1)).alias("n"))
-    single = total.select("t", "family_id", F.inline(F.array(
+    w = Window.partitionBy("family_id").orderBy("activation_date")
+    state = schedule.select("family_id", "activation_date", F.col("model_id").alias("last_model"),
+                            F.first("model_id").over(w).alias("first_model"), F.collect_list("model_id").over(w).alias("models"))
+    seen = asof_join(times, state, [], "t", "activation_date", how="inner", fan_out=["family_id"])
+    single = seen.select("t", "family_id", F.inline(F.array(
         F.struct(F.lit("INITIAL_STATIC").alias("policy"), F.col("first_model").alias("model_id"), F.lit(1.0).alias("weight")),
         F.struct(F.lit("NEWEST_VISIBLE").alias("policy"), F.col("last_model").alias("model_id"), F.lit(1.0).alias("weight")))))
-    pool = (seen.groupBy("t", "family_id", "model_id").agg(F.count(F.lit(1)).alias("k"))
-            .join(total.select("t", "family_id", "n"), ["t", "family_id"])
-            .select("t", "family_id", F.lit("EQUAL_POOL").alias("policy"), "model_id", (F.col("k") / F.col("n")).alias("weight")))
+    pool = (seen.select("t", "family_id", F.size("models").alias("n"), F.explode("models").alias("model_id"))
+            .groupBy("t", "family_id", "model_id").agg((F.count(F.lit(1)) / F.first("n")).alias("weight"))
+            .select("t", "family_id", F.lit("EQUAL_POOL").alias("policy"), "model_id", "weight"))
     return single.unionByName(pool)
 
 
@@ -178,22 +192,27 @@ def evidence_events(assessments: DataFrame, evidence: DataFrame) -> DataFrame:
 def visibility_snapshots(schedule: DataFrame, incumbent: str) -> DataFrame:
     """Ids visible at each quarter start, their fingerprint, and whether the incumbent is among them."""
     q = schedule.select("family_id", F.trunc("activation_date", "quarter").alias("t")).distinct()
-    s = schedule.select(F.col("family_id").alias("_f"), "activation_date", "model_id")
-    seen = q.join(s, (q["family_id"] == F.col("_f")) & (F.col("activation_date") <= F.col("t")), "left")
-    ids = F.collect_set("model_id")
-    return seen.groupBy("family_id", "t").agg(
-        F.count("model_id").alias("visible"), F.size(ids).cast("long").alias("visible_models"),
-        fingerprint(ids).alias("fingerprint"), F.array_contains(ids, incumbent).alias("incumbent_visible"))
+    w = Window.partitionBy("family_id").orderBy("activation_date")
+    state = schedule.select("family_id", "activation_date", F.count(F.lit(1)).over(w).alias("n"),
+                            F.collect_set("model_id").over(w).alias("ids"))
+    seen = asof_join(q, state, ["family_id"], "t", "activation_date")
+    ids = F.coalesce("ids", F.array().cast("array<string>"))
+    return seen.select("family_id", "t", F.coalesce("n", F.lit(0)).alias("visible"),
+                       F.size(ids).cast("long").alias("visible_models"), fingerprint(ids).alias("fingerprint"),
+                       F.array_contains(ids, incumbent).alias("incumbent_visible"))
 
 
 def recipe_assessments(folds: DataFrame, times: DataFrame) -> DataFrame:
     """Winner by robust score over the folds visible at each assessment."""
     from chronopanel.functions.rounding import rnd
     from chronopanel.functions.stats import robust_score
-    scored = (times.join(folds, F.col("available_at") <= F.col("t")).groupBy("t", "candidate_id")
+    w = Window.partitionBy("candidate_id").orderBy("available_at")
+    state = folds.select("candidate_id", "available_at", F.collect_list("metric").over(w).alias("metrics"))
+    seen = asof_join(times, state, [], "t", "available_at", how="inner", fan_out=["candidate_id"])
+    scored = (seen.select("t", "candidate_id", F.explode("metrics").alias("metric")).groupBy("t", "candidate_id")
               .agg(F.count(F.lit(1)).alias("fold_count"), rnd(robust_score("metric")).alias("robust_score")))
-    w = Window.partitionBy("t").orderBy(F.desc("robust_score"), "candidate_id")
-    return (scored.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
+    best = Window.partitionBy("t").orderBy(F.desc("robust_score"), "candidate_id")
+    return (scored.withColumn("_rn", F.row_number().over(best)).where("_rn = 1")
             .select("t", F.col("candidate_id").alias("winner"), "fold_count", "robust_score"))
 
 

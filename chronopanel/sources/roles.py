@@ -128,7 +128,7 @@ class Roles:
         ex = week("l_shipdate")
         return (self.table("lineitem").where("l_returnflag = 'R'")
                 .groupBy(F.col("l_suppkey").alias("ticker"), ex.alias("ex_date"))
-                .agg(F.sum(F.round(F.col("l_extendedprice") * 0.001, 4).cast("decimal(18,4)")).alias("cash"))
+                .agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("cash"))
                 .withColumn("payable_date", F.expr("date_add(ex_date, cast(10 + ticker % 9 as int))")))
 
     def surface(self) -> DataFrame:
@@ -151,5 +151,41 @@ class Roles:
                 .agg((F.avg("l_discount") - 0.05).alias("score"), (F.avg("l_tax") - 0.04).alias("realized"),
                      F.count(F.lit(1)).alias("n_events"), F.countDistinct("p_size").alias("n_families")))
 
+    def trade_returns(self) -> DataFrame:
+        from chronopanel.operators.trades import open_to_open
+        return open_to_open(self.trades(), self.prices(), self.bench())
+
+    def activity(self) -> DataFrame:
+        from chronopanel.plans.panels import monthly_activity
+        return monthly_activity(self.returns())
+
+    def family_panel(self) -> DataFrame:
+        from chronopanel.plans.panels import family_monthly_panel
+        return family_monthly_panel(self.monthly(), self.activity())
+
+    def membership(self) -> DataFrame:
+        region = self.table("region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+        nation = self.table("nation").join(region, "n_regionkey")
+        return nation.select(F.col("n_name").alias("family_id"), F.inline(F.array(
+            F.struct(F.lit("FAMILY").alias("cluster_level"), F.col("n_name").alias("cluster_id")),
+            F.struct(F.lit("REGION"), F.col("r_name")))))
+
+    def clusters(self) -> DataFrame:
+        from chronopanel.plans.panels import cluster_panel
+        return cluster_panel(self.family_panel(), self.membership())
+
+    def state(self) -> DataFrame:
+        from chronopanel.plans.panels import state_frame
+        return state_frame(self.clusters())
+
+    def family_years(self) -> DataFrame:
+        h, key = F.lit(1) + (F.col("p_size") - 1) % 30, F.col("p_partkey").cast("int")
+        fam = F.format_string("H%02d_D%02d_N%02d_%s", h, F.lit(1) + key % h, F.lit(1) + key % 6,
+                              F.when(key % 2 == 0, "FIXED").otherwise("LEARNED_EXIT"))
+        part = self.table("part").select("p_partkey", fam.alias("family_id"))
+        return (self.table("lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+                .groupBy("family_id", F.year("l_shipdate").alias("yr"), F.col("l_returnflag").alias("arm"))
+                .agg(F.avg(F.col("l_discount") - F.col("l_tax")).alias("metric"), F.count(F.lit(1)).alias("n_trades")))
+
     def events(self) -> DataFrame:
         return self.table("events")

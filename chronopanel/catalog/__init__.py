@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scans", "calendar", "joins", "aggregates")
+MODULES = ("scans", "calendar", "joins", "aggregates", "timeseries")
 
 
 def load():

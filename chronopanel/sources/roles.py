@@ -168,7 +168,7 @@ class Roles:
         nation = self.table("nation").join(region, "n_regionkey")
         return nation.select(F.col("n_name").alias("family_id"), F.inline(F.array(
             F.struct(F.lit("FAMILY").alias("cluster_level"), F.col("n_name").alias("cluster_id")),
-            F.struct(F.lit("REGION"), F.col("r_name")))))
+            F.struct(F.lit("REGION").alias("cluster_level"), F.col("r_name").alias("cluster_id")))))
 
     def clusters(self) -> DataFrame:
         from chronopanel.plans.panels import cluster_panel

@@ -80,7 +80,7 @@ def main():
              .config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC")
              .config("spark.driver.memory", "12g").getOrCreate())
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = connect(sf_dir)
     queries, oracles = entry.queries(), entry.oracle_sql()
     bad, none, start = [], [], time.time()
@@ -90,7 +90,7 @@ def main():
         try:
             ok, note, took = compare(spark, con, name, fn, oracles.get(name), sf_dir)
         except Exception as exc:
-            ok, note, took = False, str(exc)[:700], 0.0
+            ok, note, took = False, str(exc)[:420], 0.0
             if "-v" in sys.argv:
                 traceback.print_exc()
         if ok is None:

@@ -74,8 +74,8 @@ METRICS = f"""
  SELECT e.family_id, e.arm, e.pos AS sessions, max(h.date) AS date, {R('sqrt(sum(least(h.ret, 0) * least(h.ret, 0)) / count(h.ret))')} AS downside_deviation, {R('avg(h.ret) * 252')} AS annual_excess, {R('min(h.dd)')} AS max_drawdown,
  {R('arg_max(h.dd, h.pos)')} AS current_drawdown, arg_max(h.run, h.pos) AS drawdown_sessions, max(h.run) AS max_drawdown_sessions, {R('avg((h.dd < 0)::INT)')} AS time_under_water,
  {R('sum(-h.dd)', 5)} AS impairment_area, {R('avg((h.dd <= -0.05)::INT)')} AS impaired_5pct, {R('avg((h.dd <= -0.1)::INT)')} AS impaired_10pct,
- {R('coalesce(list_avg(list_filter(list_sort(list(h.ret) FILTER (h.ret IS NOT NULL))[1:greatest(1, ceil((e.pos - 1) * 0.05))::BIGINT], x -> x < 0)), 0)')} AS expected_shortfall,
- {R('coalesce(list_avg(list_filter(list_sort(list(h.dd))[1:greatest(1, ceil(e.pos * 0.05))::BIGINT], x -> x < 0)), 0)')} AS cdar,
+ {R('coalesce(list_avg(list_filter(list_sort(list(h.ret) FILTER (h.ret IS NOT NULL))[1:greatest(1, ceil((e.pos - 1) * 0.05))::BIGINT], lambda x: x < 0)), 0)')} AS expected_shortfall,
+ {R('coalesce(list_avg(list_filter(list_sort(list(h.dd))[1:greatest(1, ceil(e.pos * 0.05))::BIGINT], lambda x: x < 0)), 0)')} AS cdar,
  {R('coalesce(median(h.recovery), 0)')} AS median_recovery, {R('avg(h.ret) * 252 / (sqrt(sum(least(h.ret, 0) * least(h.ret, 0)) / count(h.ret)) * sqrt(252))', 4)} AS sortino
  FROM e JOIN p2 h ON h.family_id = e.family_id AND h.arm = e.arm AND h.pos <= e.pos GROUP BY 1, 2, 3"""
 W_OUT = ("downside_deviation", "annual_excess", "max_drawdown", "current_drawdown", "time_under_water", "impaired_5pct", "impaired_10pct", "expected_shortfall", "cdar", "median_recovery")

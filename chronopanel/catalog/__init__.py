@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scans", "calendar", "joins", "aggregates", "timeseries", "selectors", "grids")
+MODULES = ("trading", "scalars", "scans", "calendar", "joins", "aggregates", "timeseries", "selectors", "grids")
 
 
 def load():

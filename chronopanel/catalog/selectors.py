@@ -199,7 +199,7 @@ def k3(r):
 
 
 VENUE = """
-v AS (SELECT l_orderkey AS decision_id, l_returnflag AS route_id, CAST(min(l_extendedprice) AS DECIMAL(18, 2)) AS bid, CAST(min(l_extendedprice) * 1.002 + 0.5 AS DECIMAL(18, 2)) AS ask,
+v AS (SELECT l_orderkey AS decision_id, l_returnflag AS route_id, CAST(min(l_extendedprice) AS DECIMAL(18, 2)) AS bid, CAST(min(l_extendedprice) AS DECIMAL(18, 2)) + CAST(min(l_quantity) AS DECIMAL(18, 2)) AS ask,
   CAST(min(l_quantity) * 100 AS DECIMAL(18, 2)) AS size, CAST(2500 AS DECIMAL(18, 2)) AS notional, min(l_linenumber) AS age, min(l_discount) < 0.08 AS eligible FROM lineitem GROUP BY 1, 2),
 c AS (SELECT *, (ask - bid)::DOUBLE / ((ask + bid)::DOUBLE / 2) * 10000 + 4 + CASE route_id WHEN 'A' THEN 30 WHEN 'N' THEN 3 ELSE 0 END + greatest(0, notional - size)::DOUBLE / notional::DOUBLE * 100 AS cost,
   CASE WHEN ask < bid THEN 'QUOTE_INVALID' WHEN age < 2 THEN 'LOOKAHEAD_QUOTE' WHEN age > 6 THEN 'QUOTE_STALE' ELSE 'OK' END AS reason FROM v)"""
@@ -209,7 +209,7 @@ def venue_quotes(r):
     li = r.table("lineitem")
     dec = lambda c: c.cast("decimal(18,2)")
     return li.groupBy(F.col("l_orderkey").alias("decision_id"), F.col("l_returnflag").alias("route_id")).agg(
-        dec(F.min("l_extendedprice")).alias("bid"), dec(F.min("l_extendedprice") * 1.002 + 0.5).alias("ask"), dec(F.min("l_quantity") * 100).alias("size"),
+        dec(F.min("l_extendedprice")).alias("bid"), (dec(F.min("l_extendedprice")) + dec(F.min("l_quantity"))).alias("ask"), dec(F.min("l_quantity") * 100).alias("size"),
         dec(F.lit(2500)).alias("notional"), F.min("l_linenumber").alias("age"), (F.min("l_discount") < 0.08).alias("eligible"))
 
 

@@ -99,7 +99,7 @@ SQL_ROLES: dict[str, str] = {
     "x_sets": """
       SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS decision_date, l_suppkey AS ticker, l_linestatus AS arm,
              CASE WHEN p_size <= 15 THEN 'SHORT' WHEN p_size <= 30 THEN 'MID' ELSE 'LONG' END AS h_bucket,
-             avg(l_discount) - 0.05 AS score, avg(l_tax) - 0.04 AS realized, count(*) AS n_events,
+             round(avg(l_discount) - 0.05, 9) AS score, round(avg(l_tax) - 0.04, 9) AS realized, count(*) AS n_events,
              count(DISTINCT p_size) AS n_families
       FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3, 4""",
     # executed trades with open-to-open returns

@@ -148,7 +148,7 @@ class Roles:
         return (self.table("lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
                 .groupBy(F.trunc("l_shipdate", "month").alias("decision_date"), F.col("l_suppkey").alias("ticker"),
                          F.col("l_linestatus").alias("arm"), bucket.alias("h_bucket"))
-                .agg((F.avg("l_discount") - 0.05).alias("score"), (F.avg("l_tax") - 0.04).alias("realized"),
+                .agg(F.round(F.avg("l_discount") - 0.05, 9).alias("score"), F.round(F.avg("l_tax") - 0.04, 9).alias("realized"),
                      F.count(F.lit(1)).alias("n_events"), F.countDistinct("p_size").alias("n_families")))
 
     def trade_returns(self) -> DataFrame:

@@ -144,7 +144,7 @@ SELECT fold_id, count(*) AS observations, {R('coalesce(corr(rx, ry), 0)')} AS sp
  {R('1 - sum((prediction - excess) * (prediction - excess)) / (var_pop(excess) * count(*))')} AS r2, {R('avg(excess)')} AS mean_outcome
 FROM k GROUP BY 1 HAVING count(*) >= 30""")
 def a11(r):
-    p = r.panel().select(F.trunc("decision_date", "quarter").alias("fold_id"), (F.col("score") * 0.1).alias("prediction"), "excess")
+    p = r.staged_panel().select(F.trunc("decision_date", "quarter").alias("fold_id"), (F.col("score") * 0.1).alias("prediction"), "excess")
     m = ev.fold_predictive_metrics(p, ["fold_id"], "prediction", "excess", 30)
     return m.select("fold_id", "observations", *[rnd(c).alias(c) for c in ("spearman", "mae", "r2", "mean_outcome")])
 
@@ -153,7 +153,7 @@ def a11(r):
 WITH k AS (SELECT decision_date, {AVG_RANK.format(p='decision_date', x='score')} AS rx, {AVG_RANK.format(p='decision_date', x='excess')} AS ry FROM x_panel)
 SELECT decision_date, CASE WHEN count(*) >= 3 THEN {R('corr(rx, ry)')} END AS rank_ic, count(*) AS n_rows FROM k GROUP BY 1""")
 def a12(r):
-    return od.rank_ic(r.panel(), ["decision_date"], "score", "excess").withColumn("rank_ic", rnd("rank_ic"))
+    return od.rank_ic(r.staged_panel(), ["decision_date"], "score", "excess").withColumn("rank_ic", rnd("rank_ic"))
 
 
 @query("a12_rank_ic_overall", f"""
@@ -169,7 +169,7 @@ WITH k AS (SELECT *, quantile_cont(score, 0.75) OVER (PARTITION BY decision_date
 SELECT decision_date, count(*) AS n_rows, {R('avg(excess) FILTER (score >= cut) - avg(excess) FILTER (score < cut)')} AS spread
 FROM k GROUP BY 1 HAVING count(*) >= 4 AND avg(excess) FILTER (score < cut) IS NOT NULL""")
 def a13(r):
-    return ev.top_spread(r.panel(), ["decision_date"], "score", "excess").withColumn("spread", rnd("spread"))
+    return ev.top_spread(r.staged_panel(), ["decision_date"], "score", "excess").withColumn("spread", rnd("spread"))
 
 
 A14 = """
@@ -208,7 +208,7 @@ WITH k AS (SELECT CAST(date_trunc('year', decision_date) AS DATE) AS period, exc
 SELECT period, count(*) AS n_rows, {', '.join(f"count(*) FILTER (pct >= {p}) AS {n}_rows, {R(f'avg(excess) FILTER (pct >= {p})')} AS {n}_mean, {R(f'avg((excess > 0)::INT) FILTER (pct >= {p})')} AS {n}_hit" for p, n in ((0.99, 'top_1pct'), (0.95, 'top_5pct'), (0.9, 'top_10pct')))},
  {R('avg(excess) FILTER (pct >= 0.9) - avg(excess) FILTER (pct <= 0.1)')} AS decile_spread FROM k GROUP BY 1""")
 def a16(r):
-    p = od.rank_columns(r.panel(), ["decision_date"], "score", pct="pct").withColumn("period", F.trunc("decision_date", "year"))
+    p = od.rank_columns(r.staged_panel(), ["decision_date"], "score", pct="pct").withColumn("period", F.trunc("decision_date", "year"))
     return ev.alpha_table(p, ["period"])
 
 
@@ -369,8 +369,7 @@ WITH l AS (SELECT excess AS y, 'score' AS feature, score AS x FROM x_panel UNION
 k AS (SELECT feature, {AVG_RANK.format(p='feature', x='x')} AS rx, {AVG_RANK.format(p='feature', x='y')} AS ry FROM l)
 SELECT feature, {R('corr(rx, ry)')} AS spearman, count(*) AS n_rows FROM k GROUP BY 1""")
 def a28(r):
-    from chronopanel.session import stage
-    return ev.feature_associations(stage(r.panel(), "panel"), ["score", "bench_return", "ticker"], "excess").withColumn("spearman", rnd("spearman"))
+    return ev.feature_associations(r.staged_panel(), ["score", "bench_return", "ticker"], "excess").withColumn("spearman", rnd("spearman"))
 
 
 BINS = """e AS (SELECT quantile_cont(score, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS q FROM x_panel),
@@ -381,8 +380,7 @@ b AS (SELECT score, excess, greatest(1, (score > q[1])::INT + (score > q[2])::IN
 WITH {BINS} SELECT CAST(bin AS BIGINT) AS bin, count(*) AS n_rows, {R('min(score)')} AS feature_min, {R('max(score)')} AS feature_max, {R('avg(excess)')} AS mean_target,
  {R('avg((excess > 0)::INT)')} AS positive_rate, {R('median(excess)')} AS median_target FROM b GROUP BY 1""")
 def a29(r):
-    from chronopanel.session import stage
-    b = ev.quintile_bins(stage(r.panel(), "panel"), "score", "excess")
+    b = ev.quintile_bins(r.staged_panel(), "score", "excess")
     return b.withColumns({c: rnd(c) for c in ("feature_min", "feature_max", "mean_target", "positive_rate", "median_target")})
 
 
@@ -390,8 +388,7 @@ def a29(r):
 WITH {BINS}, m AS (SELECT bin, avg(excess) AS mt FROM b GROUP BY 1), k AS (SELECT *, rank() OVER (ORDER BY mt) AS r FROM m)
 SELECT count(*) AS bins, {R('regr_slope(mt, bin)')} AS slope, {R('corr(bin, r)')} AS spearman FROM k""")
 def a29_mono(r):
-    from chronopanel.session import stage
-    return ev.bin_monotonicity(ev.quintile_bins(stage(r.panel(), "panel"), "score", "excess"))
+    return ev.bin_monotonicity(ev.quintile_bins(r.staged_panel(), "score", "excess"))
 
 
 @query("a30_yearly_returns", f"""

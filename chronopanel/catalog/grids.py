@@ -32,7 +32,7 @@ def k7(r):
 
 
 @query("k8_connected_plateaus", f"""
-WITH RECURSIVE {LOCAL}, st AS (SELECT *, h * 1000000 + d AS id FROM loc WHERE median_active > 0),
+WITH RECURSIVE {LOCAL}, st AS (SELECT *, h * 1000000 + d AS id FROM loc WHERE median_active > 0.0045),
 reach AS (SELECT id AS src, h, d, id FROM st UNION SELECT r.src, s.h, s.d, s.id FROM reach r JOIN st s ON abs(r.h - s.h) <= 1 AND abs(r.d - s.d) <= 1),
 comp AS (SELECT id, min(src) AS component FROM reach GROUP BY 1),
 pl AS (SELECT component, count(*) AS cells, min(h) AS h_min, max(h) AS h_max, min(d) AS d_min, max(d) AS d_max, {R('min(median_active)')} AS worst_cell, {R('median(median_active)')} AS median_cell, {R('median(q25_active)')} AS median_q25,
@@ -40,16 +40,16 @@ pl AS (SELECT component, count(*) AS cells, min(h) AS h_min, max(h) AS h_max, mi
 SELECT CAST(component AS BIGINT) AS component, cells, h_min, h_max, d_min, d_max, worst_cell, median_cell, median_q25, min_positive, total_trades,
  row_number() OVER (ORDER BY worst_cell DESC, median_q25 DESC, min_positive DESC, cells DESC, median_cell DESC, component) AS plateau_rank FROM pl""")
 def k8(r):
-    # the plateau criterion here is a positive median, which leaves several components
-    return sf.plateaus(stage(local_cells(r).withColumn("stable", F.col("median_active") > 0), "cells"))
+    # the plateau criterion here is a median above 45 bps, which leaves several components
+    return sf.plateaus(stage(local_cells(r).withColumn("stable", F.col("median_active") > 0.0045), "cells"))
 
 
 @query("k8_islands_four_neighbour", f"""
-WITH RECURSIVE {CELLS}, st AS (SELECT *, h * 1000000 + d AS id FROM cells WHERE median_active > 0),
+WITH RECURSIVE {CELLS}, st AS (SELECT *, h * 1000000 + d AS id FROM cells WHERE median_active > 0.0045),
 reach AS (SELECT id AS src, h, d, id FROM st UNION SELECT r.src, s.h, s.d, s.id FROM reach r JOIN st s ON abs(r.h - s.h) + abs(r.d - s.d) = 1)
 SELECT h, d, CAST(min(src) AS BIGINT) AS component FROM reach GROUP BY 1, 2""")
 def k8_four(r):
-    cells = stage(sf.cell_aggregate(hd_folds(r), ["h", "d"]).where("median_active > 0"), "cells")
+    cells = stage(sf.cell_aggregate(hd_folds(r), ["h", "d"]).where("median_active > 0.0045"), "cells")
     return sf.connected_components(cells, [(0, 1), (1, 0), (0, -1), (-1, 0)])
 
 

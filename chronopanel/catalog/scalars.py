@@ -76,7 +76,7 @@ def p9(r):
     return s.select("family_id", "arm", rnd(dm.annualized(F.col("a"), F.col("b"), F.col("days"))).alias("cagr"))
 
 
-@query("p10_expense_multiplier", f"SELECT trade_id, {R('CASE WHEN trade_id % 2 = 0 THEN 1.0 ELSE 0.998 ** (date_diff(''day'', entry_date, exit_date) / 365.2425) END', 9).replace(chr(39) * 2, chr(39))} AS multiplier FROM x_trades")
+@query("p10_expense_multiplier", f"SELECT trade_id, {R("CASE WHEN trade_id % 2 = 0 THEN 1.0 ELSE 0.998 ** (date_diff('day', entry_date, exit_date) / 365.2425) END", 9)} AS multiplier FROM x_trades")
 def p10(r):
     t = r.trades()
     return t.select("trade_id", rnd(dm.expense_multiplier(F.datediff("exit_date", "entry_date"), 0.002, F.col("trade_id") % 2 == 0), 9).alias("multiplier"))
@@ -203,8 +203,8 @@ def p25(r):
 
 
 @query("p26_stability_class", f"""
-WITH m AS (SELECT family_id, arm, {R('avg(excess_1m) FILTER (assessment_date < DATE ''1997-01-01'')').replace(chr(39) * 2, chr(39))} AS b, {R('avg(excess_1m) FILTER (assessment_date BETWEEN DATE ''1997-01-01'' AND DATE ''1999-12-31'')').replace(chr(39) * 2, chr(39))} AS k,
-  {R('avg(excess_1m) FILTER (assessment_date > DATE ''1999-12-31'')').replace(chr(39) * 2, chr(39))} AS f FROM x_fmp GROUP BY 1, 2)
+WITH m AS (SELECT family_id, arm, {R("avg(excess_1m) FILTER (assessment_date < DATE '1997-01-01')")} AS b, {R("avg(excess_1m) FILTER (assessment_date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31')")} AS k,
+  {R("avg(excess_1m) FILTER (assessment_date > DATE '1999-12-31')")} AS f FROM x_fmp GROUP BY 1, 2)
 SELECT family_id, arm, CASE WHEN k <= 0 THEN 'UNCLASSIFIED' WHEN b > 0 AND f > 0 AND least(b / k, f / k) >= 0.5 THEN 'STABLE' WHEN b > 0 AND f > 0 AND least(b / k, f / k) >= 0.25 THEN 'DECAY' ELSE 'COLLAPSE' END AS status FROM m""")
 def p26(r):
     d, lo, hi = F.col("assessment_date"), F.to_date(F.lit("1997-01-01")), F.to_date(F.lit("1999-12-31"))

@@ -32,7 +32,7 @@ WITH {PICKS}, m AS (SELECT CAST(date_trunc('month', decision_date) AS DATE) AS m
 c AS (SELECT CAST(date_trunc('month', decision_date) AS DATE) AS month, score, excess FROM x_panel), i AS (SELECT month, {AVG_RANK.format(p='month', x='score')} AS rx, {AVG_RANK.format(p='month', x='excess')} AS ry FROM c)
 SELECT m.*, rank_ic FROM m LEFT JOIN (SELECT month, CASE WHEN count(*) >= 3 THEN {R('corr(rx, ry)')} END AS rank_ic FROM i GROUP BY 1) USING (month)""")
 def e0(r):
-    m = pe.gated_trades_by_month(r.signals(), None, r.prices(), r.bench(), r.sessions(), r.panel(), threshold=0.85, top_fraction=0.05, max_names=6, hold=5)
+    m = pe.gated_trades_by_month(r.signals(), None, r.prices(), r.bench(), r.sessions(), r.staged_panel(), threshold=0.85, top_fraction=0.05, max_names=6, hold=5)
     return m.select("month", "trades", "open_trades", *[rnd(c).alias(c) for c in ("mean_return", "mean_excess", "mean_net_return", "rank_ic")])
 
 

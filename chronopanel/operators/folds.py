@@ -52,3 +52,153 @@ def ewma(df: DataFrame, keys: Sequence[str], order: str, value: str, span: int)
 
     schema = ", ".join([*(f"{k} {types[k]}" for k in keys), f"{order} {types[order]}", "ewma double"])
     return keyed_fold(df.select(*keys, order, value), keys, [order], step, schema)
+
+
+# ---- step functions (shared with the streaming twins) ---------------------
+
+def hysteresis_step(confirmations: int = 2) -> Step:
+    """Incumbent / challenger selection on evidence expansions.
+
+    Row: evidence_date, fingerprint, winner, scores (candidate -> robust score).
+    A challenger needs ``confirmations`` consecutive expansions and a strictly better score.
+    """
+
+    def step(state, row):
+        scores = dict(row["scores"])
+        winner, seen = row["winner"], (row["evidence_date"], row["fingerprint"])
+        if state is None:
+            return ({"inc": winner, "ch": None, "n": 0, "date": seen[0], "fp": seen[1]},
+                    _decision(row, None, winner, None, 0, "INITIAL_CHOICE"))
+        inc = state["inc"]
+        if seen[0] < state["date"]:
+            raise ValueError("evidence date moved backwards")
+        if seen[0] == state["date"]:
+            if seen[1] != state["fp"]:
+                raise ValueError("evidence changed on an already used date")
+            return state, _decision(row, inc, inc, state["ch"], state["n"], "DUPLICATE_EVIDENCE_IGNORED")
+        if seen[1] == state["fp"]:
+            return state, _decision(row, inc, inc, state["ch"], state["n"], "NO_NEW_EVIDENCE")
+        base = {"inc": inc, "ch": None, "n": 0, "date": seen[0], "fp": seen[1]}
+        if winner == inc:
+            return base, _decision(row, inc, inc, None, 0, "INCUMBENT_RECONFIRMED")
+        if scores[winner] - scores[inc] <= 0:
+            return base, _decision(row, inc, inc, winner, 0, "NO_STRICT_IMPROVEMENT")
+        n = state["n"] + 1 if state["ch"] == winner else 1
+        if n >= confirmations:
+            return {**base, "inc": winner}, _decision(row, inc, winner, winner, n, "SWITCH_CONFIRMED")
+        return {**base, "ch": winner, "n": n}, _decision(row, inc, inc, winner, n, "CONFIRMATION_PENDING")
+
+    return step
+
+
+def _decision(row, before, after, challenger, n, reason):
+    return {"assessment_date": row["assessment_date"], "incumbent_before": before, "incumbent_after": after,
+            "challenger": challenger, "confirmations": n, "reason": reason}
+
+
+def changepoint_step(decay: float = 0.9, hazard: float = 0.02, scale: float = 0.001) -> Step:
+    """EWMA change detector: probability, expected run length, forgetting multiplier."""
+
+    def step(state, row):
+        p, mean = (0.0, 0.0) if state is None else (state["p"], state["mean"])
+        x = row["value"]
+        surprise = max(0.0, min(1.0, (mean - x) / max(scale, 1e-9)))
+        p = min(1.0, hazard + (1 - hazard) * (p * decay + surprise * (1 - decay)))
+        mean = decay * mean + (1 - decay) * x
+        return {"p": p, "mean": mean}, {"as_of": row["as_of"], "probability": p, "run_length": 1.0 / max(1e-9, hazard + p * 0.1),
+                                        "forgetting": max(0.25, 1.0 - p)}
+
+    return step
+
+
+def activity_step(a: float = 1.0, b: float = 1.0) -> Step:
+    """Opportunity-time posterior: entries add to a, opportunities to b; the streak resets on an entry."""
+
+    def step(state, row):
+        s = state or {"a": a, "b": b, "streak": 0}
+        if row["eligible"]:
+            s = {"a": s["a"] + int(row["traded"]), "b": s["b"] + 1.0, "streak": 0 if row["traded"] else s["streak"] + 1}
+        p = (s["b"] / (s["b"] + s["streak"])) ** s["a"]
+        return s, {"as_of": row["as_of"], "a": s["a"], "b": s["b"], "streak": s["streak"], "p_zero": p}
+
+    return step
+
+
+def alpha_step(discount: float = 0.97, forgetting: Step | None = None) -> Step:
+    """Discounted alpha with a running mean and its lower bound; optionally forgets faster after a change."""
+
+    def step(state, row):
+        s = state or {"d": 0.0, "m": None, "n": 0, "cp": None, "f": 1.0}
+        x, n = row["value"], s["n"]
+        d = s["d"] * discount * s["f"] + x * (1 - discount * s["f"])
+        m0 = x if s["m"] is None else s["m"]
+        m = (n * m0 + x) / (n + 1)
+        var = (n * (m0 - m) ** 2 + (x - m) ** 2) / max(1, n)
+        cp, f = s["cp"], 1.0
+        if forgetting is not None:
+            cp, out = forgetting(cp, {"value": x, "as_of": row["as_of"]})
+            f = out["forgetting"]
+        return ({"d": d, "m": m, "n": n + 1, "cp": cp, "f": f},
+                {"as_of": row["as_of"], "discounted": d, "mean": m, "n": n + 1, "lcb": m - 1.96 * (var / (n + 1)) ** 0.5,
+                 "uncertainty": 1.0 / max(1.0, n + 1) ** 0.5})
+
+    return step
+
+
+def lifecycle_step(margin: float = 0.0) -> Step:
+    """SHADOW -> CANDIDATE -> CHAMPION -> PROBATION -> SUSPENDED on kill flags and candidacy."""
+
+    def step(state, row):
+        old = "SHADOW" if state is None else state["s"]
+        kill = row["statistical_kill"]
+        if row["structural_kill"]:
+            new = "SUSPENDED"
+        elif kill and old == "PROBATION":
+            new = "SUSPENDED"
+        elif kill and old == "CHAMPION":
+            new = "PROBATION"
+        elif not row["candidate"]:
+            new = "PROBATION" if old == "CHAMPION" else old
+        elif old in ("SUSPENDED", "SHADOW"):
+            new = "CANDIDATE"
+        elif old == "CANDIDATE" and row["lcb"] is not None and row["lcb"] == row["lcb"] and row["lcb"] > margin:
+            new = "CHAMPION"
+        else:
+            new = old
+        stay = 0 if state is None or new != old else state["k"] + 1
+        return {"s": new, "k": stay}, {"as_of": row["as_of"], "state": new, "sessions_in_state": stay}
+
+    return step
+
+
+def lambda_step(limit: float, full: float, minimum: int) -> Step:
+    """Blend weight moved toward clip(max(0, rolling z) / full, 0, 1) by at most ``limit`` per assessment."""
+
+    def step(state, row):
+        lam = 0.0 if state is None else state["lam"]
+        if row["observations"] < minimum:
+            return {"lam": lam}, {"as_of": row["as_of"], "lam": lam, "updated": False}
+        target = min(1.0, max(0.0, row["rolling"]) / full)
+        new = min(1.0, max(0.0, lam + max(-limit, min(limit, target - lam))))
+        return {"lam": new}, {"as_of": row["as_of"], "lam": new, "updated": abs(new - lam) > 1e-15}
+
+    return step
+
+
+def champion_spells(log: DataFrame, keys: Sequence[str], order: str, champion: str, fallback: str) -> DataFrame:
+    """Switches, fallback rows and spell lengths of a decision log; pure windows."""
+    from pyspark.sql import Window
+    w = Window.partitionBy(*keys).orderBy(order)
+    prev = F.lag(champion).over(w)
+    x = log.withColumn("_sw", F.coalesce((prev != F.col(champion)).cast("int"), F.lit(0))).withColumn("_spell", F.sum("_sw").over(w))
+    spell = x.groupBy(*keys, "_spell").agg(F.count(F.lit(1)).alias("len"), F.sum((F.col(champion) == fallback).cast("int")).alias("fb"))
+    return spell.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("switches"), F.sum("fb").alias("fallback_rows"), F.avg("len").alias("mean_duration"),
+                                    F.max("len").alias("longest"))
+
+
+def paired_edge(pairs: DataFrame, keys: Sequence[str], a: str, b: str, cost: float) -> DataFrame:
+    """Mean challenger edge after switch cost with its 95% lower bound."""
+    d = F.col(a) - F.col(b) - cost
+    g = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("observations"), F.avg(d).alias("mean_edge"), F.stddev_samp(d).alias("_sd"))
+    se = F.coalesce("_sd", F.lit(0.0)) / F.sqrt(F.col("observations").cast("double"))
+    return g.withColumn("standard_error", se).withColumn("lcb", F.col("mean_edge") - 1.96 * F.col("standard_error")).drop("_sd")

@@ -14,3 +14,142 @@ def forward_targets(panel: DataFrame, keys: Sequence[str], months: Sequence[int]
     for m in months:
         panel = panel.withColumn(f"future_{m}m", F.lead("rel", m).over(w) / F.col("rel") - 1).withColumn(f"available_{m}m", F.lead(date, m).over(w))
     return panel
+
+
+def _gram_terms(x: DataFrame, features: Sequence[str], target: str):
+    """Products of the extended vector [value or 0, is-present, 1] and the target, so that z-scored normal
+    equations (missing -> 0 after scaling) follow from plain sums."""
+    ext = [F.coalesce(F.col(f), F.lit(0.0)) for f in features] + [F.col(f).isNotNull().cast("double") for f in features] + [F.lit(1.0)]
+    names, cols = [], []
+    for i, a in enumerate(ext):
+        for j in range(i, len(ext)):
+            names.append(f"g_{i}_{j}")
+            cols.append(a * ext[j])
+        names.append(f"y_{i}")
+        cols.append(a * F.col(target))
+    for i, f in enumerate(features):
+        names.append(f"q_{i}")
+        cols.append(F.coalesce(F.col(f) * F.col(f), F.lit(0.0)))
+    return names, cols
+
+
+def walk_forward_ridge(panel: DataFrame, features: Sequence[str], target: str, available: str, *, date: str = "assessment_date",
+                       min_months: int = 24, ridge: float = 1e-4) -> DataFrame:
+    """Walk-forward ridge by prefix sums of normal-equation terms.
+
+    Training rows for date t have ``available <= t`` (hence an earlier assessment). Terms are summed per
+    availability month, prefix-summed over months, and one tiny (p+1) system is solved per date inside a
+    task; scoring is a dot product in the JVM. Cost is one pass, whatever the number of dates.
+    """
+    import numpy as np
+    import pandas as pd
+
+    p, m = len(features), 2 * len(features) + 1
+    train = panel.where(F.col(target).isNotNull() & F.col(available).isNotNull())
+    names, cols = _gram_terms(train, features, target)
+    terms = train.select(F.col(available).alias(date), *[c.alias(n) for n, c in zip(names, cols)]).groupBy(date).agg(*[F.sum(n).alias(n) for n in names])
+    dates = panel.select(date).distinct()
+    w = Window.orderBy(date)
+    pre = dates.join(terms, date, "full").select(date, (F.row_number().over(w) - 1).alias("_i"), *[F.sum(F.coalesce(n, F.lit(0.0))).over(w).alias(n) for n in names])
+    pre = pre.where(F.col("_i") >= min_months)
+
+    def solve(batches):
+        for b in batches:
+            out = []
+            for row in b.to_dict("records"):
+                g = np.zeros((m, m))
+                for i in range(m):
+                    for j in range(i, m):
+                        g[i, j] = g[j, i] = row[f"g_{i}_{j}"]
+                y = np.array([row[f"y_{i}"] for i in range(m)])
+                n = g[p:2 * p, m - 1]
+                mean = np.divide(g[:p, m - 1], n, out=np.zeros(p), where=n > 0)
+                var = np.divide(np.array([row[f"q_{i}"] for i in range(p)]), n, out=np.zeros(p), where=n > 0) - mean ** 2
+                sd = np.sqrt(np.maximum(var, 0.0))
+                sd[~np.isfinite(sd) | (sd < 1e-12)] = 1.0
+                a = np.zeros((p + 1, m))
+                a[0, m - 1] = 1.0
+                for i in range(p):
+                    a[i + 1, i], a[i + 1, p + i] = 1 / sd[i], -mean[i] / sd[i]
+                if g[m - 1, m - 1] < 1:
+                    continue
+                beta = np.linalg.solve(a @ g @ a.T + np.eye(p + 1) * ridge, a @ y)
+                out.append({date: row[date], "beta": beta.tolist(), "mean": mean.tolist(), "sd": sd.tolist(), "train_rows": int(g[m - 1, m - 1])})
+            yield pd.DataFrame(out, columns=[date, "beta", "mean", "sd", "train_rows"])
+
+    dtype = dict(panel.dtypes)[date]
+    coef = pre.drop("_i").mapInPandas(solve, f"{date} {dtype}, beta array<double>, mean array<double>, sd array<double>, train_rows long")
+    scored = panel.join(coef, date)
+    z = F.get("beta", F.lit(0))
+    for i, f in enumerate(features):
+        z = z + F.get("beta", F.lit(i + 1)) * F.coalesce((F.col(f) - F.get("mean", F.lit(i))) / F.get("sd", F.lit(i)), F.lit(0.0))
+    return scored.withColumn("predicted", z).drop("beta", "mean", "sd")
+
+
+def walk_forward_pipeline(panel: DataFrame, features: Sequence[str], target: str, available: str, folds: Sequence, estimator, *,
+                          date: str = "assessment_date") -> DataFrame:
+    """Imputer + scaler + estimator per test period; training rows are known before the period starts.
+
+    ``folds``: (start, end) date pairs, few by design; each fit is a distributed job and only its fitted
+    coefficients reach the driver. Emits predictions with a leak flag that must stay false.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+
+    out = None
+    filled = [f"_f_{f}" for f in features]
+    for start, end in folds:
+        known = panel.where((F.col(available) < F.to_date(F.lit(start))) & F.col(target).isNotNull())
+        test = panel.where((F.col(date) >= F.to_date(F.lit(start))) & (F.col(date) <= F.to_date(F.lit(end))) & F.col(target).isNotNull())
+        stages = [Imputer(inputCols=list(features), outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="_raw"),
+                  StandardScaler(inputCol="_raw", outputCol="features", withMean=True), estimator]
+        model = Pipeline(stages=stages).fit(known)
+        last = known.agg(F.max(available))
+        part = model.transform(test).withColumn("fold_start", F.to_date(F.lit(start))).withColumn("_last", last.scalar()).withColumn(
+            "leak", F.col("_last") >= F.col("fold_start")).drop("_last", "_raw", "features", *filled)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def pairwise_expected_wins(pairs: DataFrame, sets: DataFrame, keys: Sequence[str], boundary: str, date: str = "decision_date") -> DataFrame:
+    """Pairwise choice model (logistic, no intercept) on score differences, fitted before ``boundary``;
+    expected wins per candidate = sum of its win probabilities over its pairs."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    cut = F.to_date(F.lit(boundary))
+    x = VectorAssembler(inputCols=["score_diff"], outputCol="features").transform(pairs.where("realized_diff <> 0").withColumn("label", (F.col("realized_diff") > 0).cast("double")))
+    model = LogisticRegression(fitIntercept=False, regParam=0.01).fit(x.where(F.col(date) < cut))
+    p = vector_to_array("probability")[1]
+    scored = model.transform(x.where(F.col(date) >= cut)).withColumn("p", p)
+    wins = scored.select(*keys, F.inline(F.array(F.struct(F.col("bucket_a").alias("h_bucket"), F.col("p").alias("w")), F.struct(F.col("bucket_b").alias("h_bucket"), (1 - F.col("p")).alias("w")))))
+    return wins.groupBy(*keys, "h_bucket").agg(F.sum("w").alias("expected_wins"), F.count(F.lit(1)).alias("pairs"))
+
+
+def rank_ensemble(df: DataFrame, keys: Sequence[str], scores: Sequence[str]) -> DataFrame:
+    """Mean percentile rank of several scores inside a set; sets missing any score drop out (common sample)."""
+    from chronopanel.operators.ordered import rank_columns
+    common = df.groupBy(*keys).agg(F.bool_and(sum((F.col(s).isNull()).cast("int") for s in scores) == 0).alias("_ok")).where("_ok").select(*keys)
+    x = df.join(common, list(keys), "left_semi")
+    for s in scores:
+        x = rank_columns(x, keys, s, pct=f"pct_{s}")
+    return x.withColumn("ensemble", sum(F.col(f"pct_{s}") for s in scores) / len(scores))
+
+
+def linear_scores(panel: DataFrame, weights: dict[int, dict[str, float]], intercept: dict[int, float]) -> DataFrame:
+    """Batch scores of a frozen linear model for many horizons, as one projection plus an explode."""
+    rows = F.array(*[F.struct(F.lit(h).alias("horizon"), (F.lit(intercept[h]) + sum(F.coalesce(F.col(f), F.lit(0.0)) * w for f, w in ws.items())).alias("model_score"))
+                     for h, ws in weights.items()])
+    return panel.select("*", F.inline(rows))
+
+
+def select_recipe(fold_metrics: DataFrame, min_folds: int) -> DataFrame:
+    """Rank candidates by median, mean, positive share of fold Spearman, then MAE, then id."""
+    from chronopanel.functions.rounding import rnd
+    from chronopanel.functions.stats import median, share
+    g = fold_metrics.groupBy("candidate_id").agg(
+        rnd(median("spearman")).alias("median_spearman"), rnd(F.avg("spearman")).alias("mean_spearman"), rnd(share(F.col("spearman") > 0)).alias("positive_fraction"),
+        rnd(F.avg("mae")).alias("mean_mae"), F.count(F.lit(1)).alias("fold_count")).where(F.col("fold_count") >= min_folds)
+    w = Window.orderBy(F.desc("median_spearman"), F.desc("mean_spearman"), F.desc("positive_fraction"), "mean_mae", "candidate_id")
+    return g.withColumn("rank", F.row_number().over(w).cast("long"))

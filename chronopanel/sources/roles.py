@@ -58,6 +58,11 @@ class Roles:
                                      "stock_return", "bench_return", "excess")
         return self.signals().join(out, ["decision_date", "ticker"])
 
+    def staged_panel(self) -> DataFrame:
+        """The panel as a written table, for operators that branch over it several times."""
+        from chronopanel.session import stage
+        return stage(self.panel(), "panel")
+
     def order_signals(self) -> DataFrame:
         orders = self.table("orders").select(F.to_date("o_orderdate").alias("decision_date"), "o_custkey",
                                              F.col("o_orderpriority").alias("model_id"), "o_totalprice")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("trading", "scalars", "scans", "calendar", "joins", "aggregates", "timeseries", "selectors", "grids", "inference", "modelling")
+MODULES = ("trading", "scalars", "scans", "calendar", "joins", "aggregates", "timeseries", "selectors", "grids", "inference", "modelling", "streams")
 
 
 def load():

@@ -205,7 +205,7 @@ def a15(r):
 
 @query("a16_alpha_table", f"""
 WITH k AS (SELECT CAST(date_trunc('year', decision_date) AS DATE) AS period, excess, ({AVG_RANK.format(p='decision_date', x='score')}) / count(*) OVER (PARTITION BY decision_date) AS pct FROM x_panel)
-SELECT period, count(*) AS n_rows, {', '.join(f"count(*) FILTER (pct >= {p}) AS {n}_rows, {R(f'avg(excess) FILTER (pct >= {p})')} AS {n}_mean, {R(f'avg((excess > 0)::INT) FILTER (pct >= {p})')} AS {n}_hit" for p, n in ((0.99, 'top_1pct'), (0.95, 'top_5pct'), (0.9, 'top_10pct')))},
+SELECT period, count(*) AS n_rows, {', '.join(f"count(*) FILTER (pct >= {p}) AS {n}_rows, {R(f'avg(excess) FILTER (pct >= {p})')} AS {n}_mean, {R(f'avg((excess > 0)::INT) FILTER (pct >= {p})')} AS {n}_hit" for p, n in ((0.995, 'top_0_5pct'), (0.99, 'top_1pct'), (0.95, 'top_5pct'), (0.9, 'top_10pct')))},
  {R('avg(excess) FILTER (pct >= 0.9) - avg(excess) FILTER (pct <= 0.1)')} AS decile_spread FROM k GROUP BY 1""")
 def a16(r):
     p = od.rank_columns(r.staged_panel(), ["decision_date"], "score", pct="pct").withColumn("period", F.trunc("decision_date", "year"))

@@ -75,7 +75,7 @@ def m4(r):
 
 @query("m5_rank_ensemble", f"""
 WITH s AS (SELECT decision_date, ticker, arm, h_bucket, score AS a, n_events::DOUBLE AS b FROM x_sets),
-k AS (SELECT *, ({AVG_RANK.format(p='decision_date, arm', x='a')}) / count(*) OVER (PARTITION BY decision_date, arm) AS pa, ({AVG_RANK.format(p='decision_date, arm', x='b')}) / count(*) OVER (PARTITION BY decision_date, arm) AS pb FROM s)
+k AS (SELECT *, coalesce(({AVG_RANK.format(p='decision_date, arm', x='a')} - 1) / nullif(count(*) OVER (PARTITION BY decision_date, arm) - 1, 0), 1) AS pa, coalesce(({AVG_RANK.format(p='decision_date, arm', x='b')} - 1) / nullif(count(*) OVER (PARTITION BY decision_date, arm) - 1, 0), 1) AS pb FROM s)
 SELECT decision_date, ticker, arm, h_bucket, {R('(pa + pb) / 2')} AS ensemble FROM k""")
 def m5(r):
     s = stage(r.sets().select("decision_date", "ticker", "arm", "h_bucket", F.col("score").alias("a"), F.col("n_events").cast("double").alias("b")), "sets")

@@ -226,7 +226,7 @@ def p27(r):
 
 @query("p28_event_diagnosis", f"""
 WITH m AS (SELECT family_id, arm, yr, {R('rr - lag(rr) OVER w')} AS dr, {R('dd - lag(dd) OVER w')} AS dk FROM (SELECT family_id, arm, year(assessment_date)::INT AS yr, avg(excess_1m) AS rr, min(excess_1m) AS dd FROM x_fmp GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY family_id, arm ORDER BY yr))
-SELECT *, CASE WHEN dr > 0 AND dk >= 0 THEN 'IMPROVED' WHEN dr < 0 AND dk <= 0 THEN 'DETERIORATED' WHEN dr > 0 AND dk < 0 THEN 'RETURN_FOR_RISK' WHEN dr < 0 AND dk > 0 THEN 'RISK_FOR_RETURN' ELSE 'UNCHANGED' END AS diagnosis FROM m""")
+SELECT *, CASE WHEN dr > 0 AND dk >= 0 THEN 'RETURN_AND_RISK_HELPFUL' WHEN dr > 0 THEN 'RETURN_HELPFUL_RISK_WORSE' WHEN dk >= 0 THEN 'RETURN_WORSE_RISK_HELPFUL' ELSE 'RETURN_AND_RISK_HARMFUL' END AS diagnosis FROM m""")
 def p28(r):
     from pyspark.sql import Window
     w = Window.partitionBy("family_id", "arm").orderBy("yr")
@@ -284,9 +284,9 @@ def p33(r):
 
 @query("p34_pareto_diagnosis", f"""
 WITH a AS (SELECT h, d, treatment, {R('avg(cagr_excess)')} AS r, {R('min(cagr_excess)')} AS k FROM x_surf GROUP BY 1, 2, 3)
-SELECT a.h, a.d, CASE WHEN abs(b.r - a.r) <= 0.001 AND abs(b.k - a.k) <= 0.001 THEN 'MATCH' WHEN (abs(b.r - a.r) <= 0.001 OR b.r > a.r) AND (abs(b.k - a.k) <= 0.001 OR b.k > a.k) THEN 'IMPROVES'
- WHEN (abs(b.r - a.r) <= 0.001 OR b.r < a.r) AND (abs(b.k - a.k) <= 0.001 OR b.k < a.k) THEN 'WORSENS' ELSE 'TRADEOFF' END AS verdict FROM a JOIN a b ON a.h = b.h AND a.d = b.d AND a.treatment = 'A' AND b.treatment = 'R'""")
+SELECT a.h, a.d, CASE WHEN abs(b.r - a.r) <= 1e-9 AND abs(b.k - a.k) <= 1e-9 THEN 'MATCH' WHEN b.r > a.r AND b.k > a.k THEN 'IMPROVES' WHEN b.r < a.r AND b.k < a.k THEN 'WORSENS' ELSE 'TRADEOFF' END AS verdict
+FROM a JOIN a b ON a.h = b.h AND a.d = b.d AND a.treatment = 'A' AND b.treatment = 'R'""")
 def p34(r):
     g = r.surface().groupBy("h", "d", "treatment").agg(rnd(F.avg("cagr_excess")).alias("r"), rnd(F.min("cagr_excess")).alias("k"))
     w = g.groupBy("h", "d").pivot("treatment", ["A", "R"]).agg(F.max("r").alias("r"), F.max("k").alias("k")).na.drop()
-    return w.select("h", "d", dm.pareto(F.col("A_r"), F.col("R_r"), F.col("A_k"), F.col("R_k"), 0.001).alias("verdict"))
+    return w.select("h", "d", dm.pareto(F.col("A_r"), F.col("R_r"), F.col("A_k"), F.col("R_k")).alias("verdict"))

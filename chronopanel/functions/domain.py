@@ -57,17 +57,16 @@ def stability_class(known: Column, back: Column, forward: Column, back_active: C
             .when(both & (worst >= 0.5), "STABLE").when(both & (worst >= 0.25), "DECAY").otherwise("COLLAPSE"))
 
 
-def pareto(ra: Column, rb: Column, ka: Column, kb: Column, tol: float) -> Column:
-    """B against A on return (higher is better) and risk (higher is better, drawdowns are negative)."""
-    same_r, same_k = F.abs(rb - ra) <= tol, F.abs(kb - ka) <= tol
-    ge_r, ge_k = same_r | (rb > ra), same_k | (kb > ka)
-    le_r, le_k = same_r | (rb < ra), same_k | (kb < ka)
-    return F.when(same_r & same_k, "MATCH").when(ge_r & ge_k, "IMPROVES").when(le_r & le_k, "WORSENS").otherwise("TRADEOFF")
+def pareto(ra: Column, rb: Column, ka: Column, kb: Column, tol: float = 1e-9) -> Column:
+    """B against A on return and risk (both higher is better): equal on both, better on both, worse on both, or mixed."""
+    same = (F.abs(rb - ra) <= tol) & (F.abs(kb - ka) <= tol)
+    return F.when(same, "MATCH").when((rb > ra) & (kb > ka), "IMPROVES").when((rb < ra) & (kb < ka), "WORSENS").otherwise("TRADEOFF")
 
 
 def event_diagnosis(dr: Column, dk: Column) -> Column:
-    return (F.when((dr > 0) & (dk >= 0), "IMPROVED").when((dr < 0) & (dk <= 0), "DETERIORATED")
-            .when((dr > 0) & (dk < 0), "RETURN_FOR_RISK").when((dr < 0) & (dk > 0), "RISK_FOR_RETURN").otherwise("UNCHANGED"))
+    """Four classes from the signs of the return and risk deltas (risk: zero counts as helpful)."""
+    return (F.when((dr > 0) & (dk >= 0), "RETURN_AND_RISK_HELPFUL").when(dr > 0, "RETURN_HELPFUL_RISK_WORSE")
+            .when(dk >= 0, "RETURN_WORSE_RISK_HELPFUL").otherwise("RETURN_AND_RISK_HARMFUL"))
 
 
 def bucket_combination(columns: dict[str, Column]) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 
 def _slot(value: Column, grain: str) -> Column:
-    return F.trunc(value.cast("date"), grain)
+    return F.date_trunc(grain, value).cast("date")
 
 
 def validity_intervals(schedule: DataFrame, keys: Sequence[str], start: str) -> DataFrame:
@@ -33,15 +33,16 @@ def keep_last(schedule: DataFrame, keys: Sequence[str], start: str, order: str)
 
 
 def asof_join(left: DataFrame, schedule: DataFrame, keys: Sequence[str], left_time: str, start: str, *,
-              strict: bool = False, how: str = "left", grain: str = "month", fan_out: Sequence[str] = ()) -> DataFrame:
+              strict: bool = False, how: str = "left", grain: str = "month", fan_out: Sequence[str] = (), until: Column | None = None) -> DataFrame:
     """Latest schedule row with ``start <= left_time`` (``<`` when strict) for the same keys.
 
     ``schedule`` must be unique on (keys, fan_out, start); use :func:`keep_last` first when it is not.
     ``fan_out`` names schedule-only keys: each left row meets the latest row of every such group.
+    ``until`` bounds the open last interval; a stream must give it, a batch takes its own latest time.
     """
     keys = list(keys)
-    horizon = left.agg(F.max(left_time))
-    iv = validity_intervals(schedule, [*keys, *fan_out], start).withColumn("_end", horizon.scalar())
+    end = left.agg(F.max(left_time)).scalar() if until is None else until
+    iv = validity_intervals(schedule, [*keys, *fan_out], start).withColumn("_end", end)
     # a strict match at time t needs the slot of _to itself; one extra slot is harmless
     last = F.least(F.coalesce(F.col("_to"), F.col("_end")), F.col("_end"))
     iv = iv.where(F.col("_from") <= F.col("_end")).withColumn(

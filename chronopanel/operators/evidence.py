@@ -64,7 +64,7 @@ def alpha_table(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Realised excess of the top score percentiles and the decile spread; ``df`` carries ``pct`` within its day."""
     top = lambda p: F.when(F.col("pct") >= p, F.col("excess"))
     aggs = [F.count(F.lit(1)).alias("n_rows")]
-    for p, name in ((0.99, "top_1pct"), (0.95, "top_5pct"), (0.9, "top_10pct")):
+    for p, name in ((0.995, "top_0_5pct"), (0.99, "top_1pct"), (0.95, "top_5pct"), (0.9, "top_10pct")):
         aggs += [F.count(top(p)).alias(f"{name}_rows"), rnd(F.avg(top(p))).alias(f"{name}_mean"), rnd(share(top(p) > 0)).alias(f"{name}_hit")]
     aggs.append(rnd(F.avg(top(0.9)) - F.avg(F.when(F.col("pct") <= 0.1, F.col("excess")))).alias("decile_spread"))
     return df.groupBy(*by).agg(*aggs)

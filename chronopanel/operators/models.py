@@ -128,12 +128,16 @@ def pairwise_expected_wins(pairs: DataFrame, sets: DataFrame, keys: Sequence[str
 
 
 def rank_ensemble(df: DataFrame, keys: Sequence[str], scores: Sequence[str]) -> DataFrame:
-    """Mean percentile rank of several scores inside a set; sets missing any score drop out (common sample)."""
-    from chronopanel.operators.ordered import rank_columns
+    """Mean rank percentile ((average rank - 1) / (n - 1), 1 for a single candidate) of several scores inside a set.
+
+    Sets missing any score drop out, so every score is judged on the common sample.
+    """
+    from chronopanel.operators.ordered import average_rank, value_counts
     common = df.groupBy(*keys).agg(F.bool_and(sum((F.col(s).isNull()).cast("int") for s in scores) == 0).alias("_ok")).where("_ok").select(*keys)
     x = df.join(common, list(keys), "left_semi")
     for s in scores:
-        x = rank_columns(x, keys, s, pct=f"pct_{s}")
+        pct = F.when(F.col("size") > 1, (average_rank() - 1) / F.nullif(F.col("size") - 1, F.lit(0))).otherwise(1.0)
+        x = x.join(value_counts(x, keys, s).select(*keys, s, pct.alias(f"pct_{s}")), [*keys, s])
     return x.withColumn("ensemble", sum(F.col(f"pct_{s}") for s in scores) / len(scores))
 
 

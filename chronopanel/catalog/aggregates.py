@@ -180,6 +180,7 @@ act AS (SELECT s.decision_date, count(*) AS universe, min(score) AS score_min, m
 
 
 def activation(r):
+    r.share("signals")
     th = r.signals().select("decision_date").distinct().withColumn("threshold", 0.85 + 0.01 * (F.year("decision_date") % 5))
     return ev.daily_activation(r.signals(), th, 0.05)
 
@@ -297,6 +298,7 @@ pos AS (SELECT e.trade_id, e.ticker, e.date, e.entry_date, e.arm, CASE WHEN e.da
 
 
 def positions(r):
+    r.share("prices", "trades")
     from chronopanel.operators.joins import position_sessions
     t = r.trades()
     return position_sessions(t, r.prices(), r.sessions()).join(t.select("trade_id", "arm"), "trade_id")
@@ -411,6 +413,7 @@ STATE_COLS = ["rank", "rank_pct", "quartile", "unit_count"]
 
 
 def state_pairs(r, lag):
+    r.share("state")
     s = r.state().drop("date_pos").select("cluster_level", "arm", "cluster_id", "assessment_date", *STATE_COLS)
     return lag_pairs(s, ["cluster_level", "arm"], ["cluster_id"], "assessment_date", lag, STATE_COLS)
 

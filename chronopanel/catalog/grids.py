@@ -156,6 +156,7 @@ def d11(r):
 WITH v AS (SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS decision_date, l_suppkey AS ticker, max(l_extendedprice * (1 - l_tax)) / 100000.0 AS s2 FROM lineitem GROUP BY 1, 2), j AS (SELECT score, s2 FROM x_signals JOIN v USING (decision_date, ticker)), q AS (SELECT quantile_cont(score, [0.5, 0.75, 0.9, 0.95]) AS q FROM x_signals)
 SELECT count(*) AS n_rows, {R('max(abs(score - s2))')} AS max_abs_delta, {', '.join(f"count(*) FILTER ((score >= q[{i}]) <> (s2 >= q[{i}])) AS mismatch_{n}" for i, n in ((1, 50), (2, 75), (3, 90), (4, 95)))} FROM j, q""")
 def d12(r):
+    r.share("signals")
     v = r.table("lineitem").groupBy(F.date_trunc("week", "l_shipdate").cast("date").alias("decision_date"), F.col("l_suppkey").alias("ticker")).agg(
         (F.max(F.col("l_extendedprice") * (1 - F.col("l_tax"))) / 100000.0).alias("s2"))
     return au.score_parity(r.signals(), v, ["decision_date", "ticker"], "score", "s2", {50: 0.5, 75: 0.75, 90: 0.9, 95: 0.95})
@@ -175,6 +176,7 @@ WITH k AS (SELECT *, row_number() OVER (PARTITION BY decision_date ORDER BY scor
 j AS (SELECT p.*, e.date AS entry_date, b.volume, b.open FROM p JOIN x_sessions d ON d.date = p.decision_date LEFT JOIN x_sessions e ON e.idx = d.idx + 1 LEFT JOIN x_prices b ON b.date = e.date AND b.ticker = p.ticker)
 SELECT CAST(year(decision_date) AS INT) AS yr, count(*) AS candidates, count(open) AS executable, count(*) FILTER (open IS NULL) AS missing_next_open, {R('avg(volume)')} AS mean_volume FROM j GROUP BY 1""")
 def d14(r):
+    r.share("prices", "signals")
     return au.execution_quality(r.signals(), r.prices(), r.sessions(), threshold=0.8, max_names=5)
 
 

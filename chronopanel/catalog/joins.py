@@ -200,6 +200,7 @@ v AS (SELECT e.trade_id, e.ticker, e.date, e.date = e.entry_date AS is_entry, e.
       FROM e JOIN p c ON c.ticker = e.ticker AND c.idx = e.idx LEFT JOIN p b ON b.ticker = e.ticker AND b.idx = e.idx - 1)
 SELECT trade_id, ticker, date, is_entry, is_exit, {R('term / base - 1')} AS interval_return FROM v WHERE base IS NOT NULL""")
 def j16(r):
+    r.share("prices", "trades")
     return jn.position_sessions(r.trades(), r.prices(), r.sessions()).select(
         "trade_id", "ticker", "date", "is_entry", "is_exit", rnd("interval_return").alias("interval_return"))
 
@@ -227,6 +228,7 @@ def second_model(r):
 @query("j18_intersection_blend", f"""
 WITH {RANKED} SELECT decision_date, ticker, {R('least(pl, pq)')} AS score FROM l JOIN q USING (decision_date, ticker) WHERE pl >= 0.5 AND pq >= 0.5""")
 def j18(r):
+    r.share("signals")
     a, b = jn.daily_percentile(r.signals(), "pl"), jn.daily_percentile(second_model(r), "pq")
     return jn.intersection_blend(a, b, "pl", "pq", 0.5).select("decision_date", "ticker", rnd("score").alias("score"))
 
@@ -234,6 +236,7 @@ def j18(r):
 @query("j19_percentile_blend", f"""
 WITH {RANKED} SELECT decision_date, ticker, {R('0.5 * pl + 0.5 * pq')} AS score FROM l JOIN q USING (decision_date, ticker)""")
 def j19(r):
+    r.share("signals")
     a, b = jn.daily_percentile(r.signals(), "pl"), jn.daily_percentile(second_model(r), "pq")
     return (a.select("decision_date", "ticker", "pl").join(b.select("decision_date", "ticker", "pq"), ["decision_date", "ticker"])
             .select("decision_date", "ticker", rnd(0.5 * F.col("pl") + 0.5 * F.col("pq")).alias("score")))
@@ -299,6 +302,7 @@ k AS (SELECT decision_date, count(*) FILTER (a.rn <= 5 AND b.rn <= 5) AS k_both,
       avg(a.score) AS ma, avg(b.score) AS mb FROM a JOIN b USING (decision_date, ticker) GROUP BY 1)
 SELECT decision_date, {R('k_both / k_any')} AS top_jaccard, {R('ma')} AS old_mean, {R('mb')} AS new_mean FROM k""")
 def j24(r):
+    r.share("signals")
     return jn.score_overlap(r.signals(), second_model(r), top=5).select(
         "decision_date", rnd("jaccard").alias("top_jaccard"), rnd("old_mean").alias("old_mean"), rnd("new_mean").alias("new_mean"))
 

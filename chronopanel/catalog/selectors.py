@@ -187,6 +187,7 @@ def k1(r):
 WITH k AS (SELECT *, row_number() OVER (PARTITION BY decision_date ORDER BY score DESC, ticker) <= greatest(1, ceil(count(*) OVER (PARTITION BY decision_date) * 0.05)) AS relative, score >= 0.85 AS accepted FROM x_signals)
 SELECT decision_date, ticker, relative, accepted, relative AND accepted AS accepted_relative, relative AND NOT accepted AS shadow_rejected FROM k""")
 def k2(r):
+    r.share("signals")
     return gates.gate_flags(r.signals(), 0.85, 0.05).select("decision_date", "ticker", "relative", "accepted", "accepted_relative", "shadow_rejected")
 
 

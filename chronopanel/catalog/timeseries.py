@@ -53,6 +53,7 @@ def w3(r):
 @query("w3_first_rank_descending", """
 SELECT decision_date, ticker, row_number() OVER (PARTITION BY decision_date ORDER BY score DESC, ticker) AS daily_rank, count(*) OVER (PARTITION BY decision_date) AS universe FROM x_signals""")
 def w3_first(r):
+    r.share("signals")
     from chronopanel.operators.gates import relative_ranks
     return relative_ranks(r.signals()).select("decision_date", "ticker", F.col("daily_rank").cast("long").alias("daily_rank"), "universe")
 
@@ -140,6 +141,7 @@ m AS (SELECT *, row_number() OVER (PARTITION BY date_trunc('month', date) ORDER
 SELECT date AS assessment_date, CASE WHEN n >= 20 THEN {R('trend')} END AS benchmark_trend, CASE WHEN nv >= 10 THEN {R('vol')} END AS market_volatility, {R('breadth')} AS market_breadth,
  {R('dispersion')} AS cross_sectional_dispersion, {R('liquidity')} AS liquidity_state FROM m WHERE rn = 1""")
 def w11(r):
+    r.share("prices")
     from chronopanel.plans.market import monthly_market_state
     s = monthly_market_state(r.prices(), r.bench())
     return s.select("assessment_date", *[rnd(c).alias(c) for c in ("benchmark_trend", "market_volatility", "market_breadth", "cross_sectional_dispersion", "liquidity_state")])
@@ -181,6 +183,7 @@ WITH m AS (SELECT *, quartile = 'TOP' AS t, row_number() OVER (PARTITION BY clus
 g AS (SELECT cluster_level, arm, cluster_id, count(*) AS length FROM (SELECT *, pos - row_number() OVER (PARTITION BY cluster_level, arm, cluster_id ORDER BY assessment_date) AS grp FROM m WHERE t) GROUP BY cluster_level, arm, cluster_id, grp)
 SELECT cluster_level, arm, count(*) AS runs, {R('median(length)')} AS median_months, {R('quantile_cont(length, 0.75)')} AS p75_months, {R('quantile_cont(length, 0.9)')} AS p90_months, max(length) AS max_months FROM g GROUP BY 1, 2""")
 def w15(r):
+    r.share("state")
     from chronopanel.operators.evidence import top_durations
     return top_durations(r.state())
 
@@ -234,6 +237,7 @@ def w20(r):
 @query("w21_daily_percentile", f"""
 SELECT decision_date, ticker, {R('1 - (rank() OVER (PARTITION BY decision_date ORDER BY score DESC) + (count(*) OVER (PARTITION BY decision_date, score) - 1) / 2.0) / count(*) OVER (PARTITION BY decision_date)')} AS percentile FROM x_signals""")
 def w21(r):
+    r.share("signals")
     from chronopanel.operators.joins import daily_percentile
     return daily_percentile(r.signals(), "percentile").select("decision_date", "ticker", rnd("percentile").alias("percentile"))
 
@@ -286,6 +290,7 @@ def w25(r):
 WITH p AS (SELECT decision_date, quantile_cont(score, 0.99) AS p99, row_number() OVER (ORDER BY decision_date) AS pos FROM x_signals GROUP BY 1)
 SELECT a.decision_date AS assessment_date, count(b.pos) AS decision_days, {R('median(b.p99)')} AS median_p99 FROM p a JOIN p b ON b.pos < a.pos AND b.pos >= a.pos - 26 GROUP BY 1""")
 def w26(r):
+    r.share("signals")
     p = od.quantiles(r.signals(), ["decision_date"], "score", {"p99": 0.99})
     p = p.withColumn("pos", F.row_number().over(Window.orderBy("decision_date")))
     ahead = p.select(F.explode(F.sequence(F.col("pos") + 1, F.col("pos") + 26)).alias("pos"), F.col("p99").alias("v"))

@@ -23,6 +23,7 @@ nt AS (SELECT p.decision_date, p.ticker, p.score, p.rn, e.date AS entry_date, x.
 
 
 def gated(r):
+    r.share("prices", "signals")
     return tr.next_open_trades(r.signals(), r.prices(), r.bench(), r.sessions(), threshold=0.85, top_fraction=0.05, max_names=6, hold=5)
 
 
@@ -32,6 +33,7 @@ WITH {PICKS}, m AS (SELECT CAST(date_trunc('month', decision_date) AS DATE) AS m
 c AS (SELECT CAST(date_trunc('month', decision_date) AS DATE) AS month, score, excess FROM x_panel), i AS (SELECT month, {AVG_RANK.format(p='month', x='score')} AS rx, {AVG_RANK.format(p='month', x='excess')} AS ry FROM c)
 SELECT m.*, rank_ic FROM m LEFT JOIN (SELECT month, CASE WHEN count(*) >= 3 THEN {R('corr(rx, ry)')} END AS rank_ic FROM i GROUP BY 1) USING (month)""")
 def e0(r):
+    r.share("prices", "signals")
     m = pe.gated_trades_by_month(r.signals(), None, r.prices(), r.bench(), r.sessions(), r.staged_panel(), threshold=0.85, top_fraction=0.05, max_names=6, hold=5)
     return m.select("month", "trades", "open_trades", *[rnd(c).alias(c) for c in ("mean_return", "mean_excess", "mean_net_return", "rank_ic")])
 
@@ -56,6 +58,7 @@ g AS (SELECT trade_id, ticker, ei, xi, min(CASE WHEN ex <= -0.1 THEN idx END) AS
 l AS (SELECT *, 'RELATIVE_STOP_10' AS rule, h1 AS hit FROM g UNION ALL SELECT *, 'TRAILING_15', h2 FROM g UNION ALL SELECT *, 'TAKE_PROFIT_12', h3 FROM g)
 SELECT trade_id, ticker, rule, coalesce(hit, xi - 1) - ei + 1 AS held_sessions, hit IS NOT NULL AS early FROM l""")
 def r2(r):
+    r.share("prices", "trades")
     rules = {"RELATIVE_STOP_10": ("RELATIVE_STOP", -0.1), "TRAILING_15": ("TRAILING", 0.15), "TAKE_PROFIT_12": ("TAKE_PROFIT", 0.12)}
     return tr.path_exits(r.trades(), r.prices(), r.bench(), r.sessions(), rules).select("trade_id", "ticker", "rule", "held_sessions", "early")
 
@@ -73,6 +76,7 @@ z AS (SELECT *, 'HARD_10' AS spec, CASE WHEN held_n >= 2 THEN ep * 0.9 END AS lv
 f AS (SELECT *, row_number() OVER (PARTITION BY trade_id, spec ORDER BY idx) AS rn FROM z WHERE open <= lv OR low <= lv)
 SELECT trade_id, ticker, spec, idx - ei AS held_sessions, CASE WHEN open <= lv THEN 'STOP_GAP' ELSE 'STOP_TOUCH' END AS reason, {R('CASE WHEN open <= lv THEN open ELSE lv END')} AS price FROM f WHERE rn = 1""")
 def r3(r):
+    r.share("prices", "trades")
     return tr.stop_overlay(r.trades(), r.prices(), r.sessions(), SPECS).select("trade_id", "ticker", "spec", "held_sessions", "reason", rnd("price").alias("price"))
 
 
@@ -125,6 +129,7 @@ WITH q AS (SELECT CAST(date_trunc('quarter', decision_date) AS DATE) AS fold_id,
 SELECT fold_id, count(DISTINCT decision_date) AS prediction_days, count(DISTINCT CASE WHEN score >= 1.02 THEN decision_date END) AS days_above, {R('count(DISTINCT CASE WHEN score >= 1.02 THEN decision_date END) / count(DISTINCT decision_date)')} AS activation_fraction,
  count(DISTINCT CASE WHEN score >= 1.02 THEN ticker END) AS tickers_above, coalesce(any_value(entries), 0) AS entries, CASE WHEN coalesce(any_value(entries), 0) > 0 THEN 'ACTIVE_FOLD' WHEN count(*) FILTER (score >= 1.02) = 0 THEN 'NO_SCORE_ABOVE_THRESHOLD' ELSE 'OTHER' END AS reason FROM q LEFT JOIN e USING (fold_id) GROUP BY 1""")
 def r8(r):
+    r.share("signals")
     from chronopanel.plans.performance import activation_funnel
     entries = r.trades().where("hold > 10").groupBy(F.trunc("entry_date", "quarter").alias("fold_id")).agg(F.count(F.lit(1)).alias("entries"))
     return activation_funnel(r.signals().withColumn("fold_id", F.trunc("decision_date", "quarter")), entries, 1.02)
@@ -171,6 +176,7 @@ WITH {T19}, b AS (SELECT r.family_id, r.arm, r.date, r.sessions, r.max_drawdown,
 t AS (SELECT b.family_id, b.arm, b.date, count(t.trade_id) AS n, sum(t.excess) AS s, sum(greatest(t.excess, 0)) AS p, max(t.excess) AS m FROM b LEFT JOIN x_tr t ON t.arm = b.arm AND t.exit_date <= b.date GROUP BY 1, 2, 3)
 SELECT b.*EXCLUDE (x13, x52), {R('x13')} AS excess_13, {R('x52')} AS excess_52, n AS matured_trades, {R('coalesce(greatest(m, 0) / nullif(p, 0), 0)')} AS top_trade_contribution, {R('coalesce((s - m) / greatest(1, n - 1), 0)')} AS leave_best_out, {R('least(1, sqrt(n / 30.0))')} AS sample_weight FROM b JOIN t USING (family_id, arm, date)""")
 def t19(r):
+    r.share("prices", "returns")
     sched = r.schedule().groupBy("activation_date").agg(F.min("model_id").alias("model_id"))
     ev = pe.family_evidence(stage(r.nav(), "nav"), sched, r.trade_returns()).where("pos > 1")
     return ev.select("family_id", "arm", "date", F.col("pos").alias("sessions"), "model_id", "activation_date", "matured_trades",

@@ -20,6 +20,15 @@ class Roles:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._shared: dict[str, DataFrame] = {}
+
+    def share(self, *names: str) -> "Roles":
+        """Write a role that several branches read to the shared folder once; later calls return the table."""
+        from chronopanel.session import stage
+        for name in names:
+            if name not in self._shared:
+                self._shared[name] = stage(getattr(self, name)(), name)
+        return self
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -32,25 +41,31 @@ class Roles:
 
     def prices(self) -> DataFrame:
         """Weekly bars (date, ticker, open, close, high, low, volume)."""
+        if "prices" in self._shared:
+            return self._shared["prices"]
         return (self.daily().groupBy(week("day").alias("date"), "ticker")
                 .agg(F.min_by("lo", "day").alias("open"), F.max_by("hi", "day").alias("close"),
                      F.max("hi").alias("high"), F.min("lo").alias("low"), F.sum("vol").alias("volume")))
 
     def sessions(self) -> DataFrame:
         """The trading calendar (date, idx); one row per session, so the ordering window is calendar-sized."""
-        dates = self.table("lineitem").select(week("l_shipdate").alias("date")).distinct()
+        source = self._shared.get("prices")
+        dates = (self.table("lineitem").select(week("l_shipdate").alias("date")) if source is None else source.select("date")).distinct()
         return dates.select("date", (F.row_number().over(Window.orderBy("date")) - 1).cast("long").alias("idx"))
 
     def bench(self) -> DataFrame:
         return self.prices().groupBy("date").agg(F.avg("open").alias("open"), F.avg("close").alias("close"))
 
     def signals(self) -> DataFrame:
+        if "signals" in self._shared:
+            return self._shared["signals"]
         return (self.table("lineitem")
                 .groupBy(week("l_shipdate").alias("decision_date"), F.col("l_suppkey").alias("ticker"))
                 .agg((F.max(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / F.lit(100000.0)).alias("score")))
 
     def outcomes(self, horizon: int = 4) -> DataFrame:
         from chronopanel.operators.outcomes import realized_outcomes
+        self.share("prices")
         return realized_outcomes(self.prices(), self.bench(), self.sessions(), horizon, cost=0.002)
 
     def panel(self) -> DataFrame:
@@ -83,6 +98,8 @@ class Roles:
                 .drop("_month"))
 
     def returns(self) -> DataFrame:
+        if "returns" in self._shared:
+            return self._shared["returns"]
         supplier = self.table("supplier").select("s_suppkey", "s_nationkey")
         nation = self.table("nation").select("n_nationkey", F.col("n_name").alias("family_id"))
         return (self.table("lineitem")
@@ -118,6 +135,8 @@ class Roles:
             F.when(key % 2 == 0, "FIXED").otherwise("LEARNED_EXIT")).alias("family_id")).distinct()
 
     def trades(self) -> DataFrame:
+        if "trades" in self._shared:
+            return self._shared["trades"]
         first = (self.table("lineitem").groupBy(F.col("l_orderkey").alias("trade_id"))
                  .agg(F.min("l_suppkey").alias("ticker"), week(F.min("l_shipdate")).alias("entry_date"),
                       F.min("l_linestatus").alias("arm"))
@@ -158,6 +177,7 @@ class Roles:
 
     def trade_returns(self) -> DataFrame:
         from chronopanel.operators.trades import open_to_open
+        self.share("prices")
         return open_to_open(self.trades(), self.prices(), self.bench())
 
     def activity(self) -> DataFrame:
@@ -166,6 +186,7 @@ class Roles:
 
     def family_panel(self) -> DataFrame:
         from chronopanel.plans.panels import family_monthly_panel
+        self.share("returns")
         return family_monthly_panel(self.monthly(), self.activity())
 
     def membership(self) -> DataFrame:
@@ -180,6 +201,8 @@ class Roles:
         return cluster_panel(self.family_panel(), self.membership())
 
     def state(self) -> DataFrame:
+        if "state" in self._shared:
+            return self._shared["state"]
         from chronopanel.plans.panels import state_frame
         return state_frame(self.clusters())
 

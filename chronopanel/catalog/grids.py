@@ -182,7 +182,7 @@ def d14(r):
 
 @query("d15_slice_digest", """
 WITH rowh AS (SELECT CAST(o_orderdate AS DATE) AS day, sha256(o_orderkey || '|' || o_custkey || '|' || o_orderstatus || '|' || o_orderpriority) AS h FROM orders WHERE CAST(o_orderdate AS DATE) <= DATE '2000-12-31'),
-sub AS (SELECT day, substr(h, 1, 2) AS pre, sha256(string_agg(h, '' ORDER BY h)) AS s FROM rowh GROUP BY 1, 2), d AS (SELECT day, sha256(string_agg(pre || s, '' ORDER BY pre)) AS digest FROM sub GROUP BY 1)
+sub AS (SELECT day, substr(h, 1, 4) AS pre, sha256(string_agg(h, '' ORDER BY h)) AS s FROM rowh GROUP BY 1, 2), d AS (SELECT day, sha256(string_agg(pre || s, '' ORDER BY pre)) AS digest FROM sub GROUP BY 1)
 SELECT count(*) AS days, sha256(string_agg(strftime(day, '%Y-%m-%d') || digest, '' ORDER BY day)) AS root FROM d""")
 def d15(r):
     o = r.table("orders")

@@ -252,12 +252,12 @@ def p29(r):
 
 
 @query("p30_path_identity", """
-SELECT arm, year(entry_date)::INT AS yr, sha256(string_agg(x, ',' ORDER BY x)) AS path_id FROM (SELECT arm, entry_date, entry_date || ':' || ticker || ':' || exit_date || ':' || trade_id AS x FROM x_trades) GROUP BY 1, 2""")
+WITH t AS (SELECT arm, year(entry_date)::INT AS yr, entry_date AS d, sha256(ticker || '|' || exit_date || '|' || trade_id) AS h FROM x_trades), sub AS (SELECT arm, yr, d, substr(h, 1, 4) AS pre, sha256(string_agg(h, '' ORDER BY h)) AS s FROM t GROUP BY 1, 2, 3, 4),
+dd AS (SELECT arm, yr, d, sha256(string_agg(pre || s, '' ORDER BY pre)) AS digest FROM sub GROUP BY 1, 2, 3) SELECT arm, yr, sha256(string_agg(strftime(d, '%Y-%m-%d') || digest, '' ORDER BY d)) AS path_id FROM dd GROUP BY 1, 2""")
 def p30(r):
-    """Identity of a trade list; a policy's list per year is folded through fixed-size digests by the month of entry at scale."""
-    key = F.concat_ws(":", F.col("entry_date").cast("string"), F.col("ticker").cast("string"), F.col("exit_date").cast("string"), F.col("trade_id").cast("string"))
-    t = r.trades().select("arm", F.year("entry_date").alias("yr"), key.alias("x"))
-    return t.groupBy("arm", "yr").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("x")), ","), 256).alias("path_id"))
+    from chronopanel.operators.audits import list_identity
+    cols = [F.col(c).cast("string") for c in ("ticker", "exit_date", "trade_id")]
+    return list_identity(r.trades().withColumn("yr", F.year("entry_date")), ["arm", "yr"], "entry_date", cols)
 
 
 @query("p31_robust_score", f"SELECT family_id, arm, {R('median(excess_1m) + 0.5 * avg(excess_1m) - 0.5 * stddev_pop(excess_1m) - 0.02 * avg((excess_1m <= 0)::INT)')} AS robust_score FROM x_fmp GROUP BY 1, 2")

@@ -129,7 +129,7 @@ FROM (SELECT date, avg(r) AS r FROM x_ret GROUP BY 1) n JOIN reg USING (date) JO
 def a46(r):
     from chronopanel.session import stage
     day = stage(r.returns().groupBy("date").agg(F.avg("r").alias("r")).join(regimes(r), "date"), "regime-days")
-    return sel.context_matrix(day)
+    return sel.context_matrix(day, ["UP", "FLAT", "DOWN"])
 
 
 @query("a47_readiness_gates", f"""

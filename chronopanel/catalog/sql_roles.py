@@ -62,7 +62,7 @@ SQL_ROLES: dict[str, str] = {
     "x_nav": """
       SELECT n.date, n.family_id, n.arm, n.positions, n.r, b.bench_value,
              exp(sum(ln(1 + n.r)) OVER (PARTITION BY n.family_id, n.arm ORDER BY n.date)) AS strategy_value,
-             exp(sum(ln(1 + n.r)) OVER (PARTITION BY n.family_id, n.arm ORDER BY n.date)) / b.bench_value AS rel
+             round(exp(sum(ln(1 + n.r)) OVER (PARTITION BY n.family_id, n.arm ORDER BY n.date)) / b.bench_value, 10) AS rel
       FROM x_ret n JOIN (SELECT date, br, exp(sum(ln(1 + br)) OVER (ORDER BY date)) AS bench_value FROM x_bret) b
         ON n.date = b.date""",
     "x_month": """

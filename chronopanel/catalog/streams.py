@@ -79,7 +79,7 @@ c AS (SELECT user_id, event_id, rn, least(1, 0.02 + 0.98 * greatest(0, least(1,
  UNION ALL SELECT user_id, event_id, rn, least(1, 0.02 + 0.98 * (p0 * 0.9 + greatest(0, least(1, (m0 - value) / 50)) * 0.1)), 0.9 * m0 + 0.1 * value FROM (SELECT s.*, c.p AS p0, c.m AS m0 FROM c JOIN s ON s.user_id = c.user_id AND s.rn = c.rn + 1))
 SELECT user_id, event_id AS as_of, {R('p')} AS probability FROM c""")
 def z7(r):
-    rows = events(r).select("user_id", "ts", F.col("event_id").alias("as_of"), "value")
+    rows = events(r, maxFilesPerTrigger=1).select("user_id", "ts", F.col("event_id").alias("as_of"), "value")
     out = st.keyed_fold_stream(rows, "user_id", ["ts", "as_of"], changepoint_step(scale=50.0), "user_id long, as_of long, probability double, run_length double, forgetting double", ["p", "mean"], "p double, mean double")
     return drain(out, "fold").select("user_id", "as_of", rnd("probability").alias("probability"))
 

@@ -122,17 +122,26 @@ def slice_digest(df: DataFrame, day: Column, end: str, columns: Sequence[Column]
     """Order-independent SHA-256 of a date-bounded slice.
 
     Row hashes are folded by (day, hash prefix), then by day, then at the root;
-    the prefix level splits a hot day into 256 groups, and only fixed-size
+    the prefix level splits a hot day into 65,536 groups, and only fixed-size
     digests travel upward. Equal rows both count, so multiplicity matters.
     """
     row = F.sha2(F.concat_ws("|", *columns), 256)
-    h = df.where(day <= F.to_date(F.lit(end))).select(day.alias("day"), row.alias("h")).withColumn("pre", F.substring("h", 1, 2))
+    h = df.where(day <= F.to_date(F.lit(end))).select(day.alias("day"), row.alias("h")).withColumn("pre", F.substring("h", 1, 4))
     fold = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ""), 256)
     sub = h.groupBy("day", "pre").agg(fold("h").alias("s"))
     days = sub.groupBy("day").agg(fold(F.concat("pre", "s")).alias("digest"))
     return days.agg(F.count(F.lit(1)).alias("days"), fold(F.concat(F.col("day").cast("string"), "digest")).alias("root"))
 
 
+def list_identity(df: DataFrame, by: Sequence[str], day: str, columns: Sequence[Column]) -> DataFrame:
+    """Identity of a row list per group: sorted row hashes fold by (day, hash prefix), then day, then group."""
+    h = df.select(*by, F.col(day).alias("_d"), F.sha2(F.concat_ws("|", *columns), 256).alias("h")).withColumn("pre", F.substring("h", 1, 4))
+    fold = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ""), 256)
+    sub = h.groupBy(*by, "_d", "pre").agg(fold("h").alias("s"))
+    days = sub.groupBy(*by, "_d").agg(fold(F.concat("pre", "s")).alias("digest"))
+    return days.groupBy(*by).agg(fold(F.concat(F.col("_d").cast("string"), "digest")).alias("path_id"))
+
+
 def fold_filter_audit(folds: DataFrame, boundary: str, by: Sequence[str]) -> DataFrame:
     """Folds whose calibration ends after their start, folds across the boundary, and the ones kept."""
     b = F.to_date(F.lit(boundary))

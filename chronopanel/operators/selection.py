@@ -55,13 +55,12 @@ def below_median_share(df: DataFrame, by: Sequence[str], value: str) -> DataFram
     return g.select(*by, rnd(F.size(F.filter("_l", lambda x: x < F.col("_m"))) / F.size("_l")).alias("pbo"))
 
 
-def context_matrix(days: DataFrame) -> DataFrame:
+def context_matrix(days: DataFrame, regimes: Sequence[str]) -> DataFrame:
     """Dominant regime before each test year against per-regime returns inside it (days: date, r, br, regime)."""
     counts = days.groupBy(F.year("date").alias("yr"), "regime").agg(F.count(F.lit(1)).alias("n"))
     years = counts.select("yr").distinct()
-    regimes = counts.select("regime").distinct()
     w = Window.partitionBy("regime").orderBy("yr").rowsBetween(Window.unboundedPreceding, -1)
-    grid = years.withColumn("_k", F.lit(1)).join(regimes.withColumn("_k", F.lit(1)), "_k").drop("_k")  # years x three regimes
+    grid = years.withColumn("regime", F.explode(F.array(*[F.lit(x) for x in regimes])))
     seen = grid.join(counts, ["yr", "regime"], "left").withColumn("past", F.sum(F.coalesce("n", F.lit(0))).over(w)).where("past > 0")
     best = seen.withColumn("_rn", F.row_number().over(Window.partitionBy("yr").orderBy(F.desc("past"), "regime"))).where("_rn = 1")
     test = days.groupBy(F.year("date").alias("yr"), "regime").agg(

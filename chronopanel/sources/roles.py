@@ -119,7 +119,7 @@ class Roles:
         w = Window.partitionBy("family_id", "arm").orderBy("date")
         return (self.returns().withColumn("strategy_value", F.exp(F.sum(F.log1p("r")).over(w)))
                 .join(self.bench_nav(), "date")
-                .withColumn("rel", F.col("strategy_value") / F.col("bench_value")))
+                .withColumn("rel", F.round(F.col("strategy_value") / F.col("bench_value"), 10)))
 
     def monthly(self) -> DataFrame:
         """Last observation per (family, arm, month)."""

@@ -141,7 +141,8 @@ def candidate_choices(spark: SparkSession, path: str, latest_matured: str) -> Da
 
 def write_segments(spark: SparkSession, df: DataFrame, keys: Sequence[str]) -> str:
     path = scratch_path(spark, "segments")
-    df.repartition(*keys).write.partitionBy(*keys).parquet(path)
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(8))          # a hot segment is written by several tasks
+    df.withColumn("_salt", salt).repartition(*keys, "_salt").drop("_salt").write.partitionBy(*keys).parquet(path)
     return path
 
 

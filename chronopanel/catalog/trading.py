@@ -204,3 +204,36 @@ def t22(r):
     done = r.trades().select("ticker", F.col("entry_date").alias("decision_date"))
     p = pe.opportunity_panel(sig, arms, out, done, "2001-01-01")
     return p.select("decision_date", "ticker", "family_id", "arm", rnd("score_percentile").alias("score_percentile"), rnd("distance", 2).alias("distance"), rnd("excess").alias("excess"), "has_target", "trade_executed")
+
+
+@query("r9_incumbent_rule", f"""
+WITH RECURSIVE d AS (SELECT cluster_level, arm, assessment_date, max(CASE WHEN rank = 1 THEN cluster_id END) AS winner, list(cluster_id) FILTER (quartile = 'TOP') AS tops FROM x_state GROUP BY 1, 2, 3),
+o AS (SELECT *, row_number() OVER (PARTITION BY cluster_level, arm ORDER BY assessment_date) AS rn FROM d),
+f AS (SELECT cluster_level, arm, assessment_date, rn, winner AS inc FROM o WHERE rn = 1 UNION ALL SELECT o.cluster_level, o.arm, o.assessment_date, o.rn, CASE WHEN list_contains(o.tops, f.inc) THEN f.inc ELSE o.winner END FROM f JOIN o ON o.cluster_level = f.cluster_level AND o.arm = f.arm AND o.rn = f.rn + 1)
+SELECT f.cluster_level, f.arm, f.assessment_date, f.inc AS incumbent, {R('s.fwd_1m')} AS fwd_1m FROM f JOIN x_state s ON s.cluster_level = f.cluster_level AND s.arm = f.arm AND s.assessment_date = f.assessment_date AND s.cluster_id = f.inc""")
+def r9_incumbent(r):
+    from chronopanel.operators import folds as fo
+    r.share("state")
+    keys = ["cluster_level", "arm", "assessment_date"]
+    # the TOP set of a month is a quarter of the cluster registry
+    day = r.state().groupBy(*keys).agg(F.max(F.when(F.col("rank") == 1, F.col("cluster_id"))).alias("winner"),
+                                       F.collect_list(F.when(F.col("quartile") == "TOP", F.col("cluster_id"))).alias("top"))
+    held = fo.keyed_fold(day, ["cluster_level", "arm"], ["assessment_date"], fo.incumbent_step(), "cluster_level string, arm string, assessment_date date, incumbent string")
+    return held.join(r.state().select(*keys, F.col("cluster_id").alias("incumbent"), rnd("fwd_1m").alias("fwd_1m")), [*keys, "incumbent"])
+
+
+@query("w25_buffered_picks", """
+WITH RECURSIVE m AS (SELECT ticker, date, lag(close, 5) OVER w / lag(close, 52) OVER w - 1 AS mom, avg(close * volume) OVER (PARTITION BY ticker ORDER BY date ROWS 12 PRECEDING) AS adv, count(*) OVER (PARTITION BY ticker ORDER BY date ROWS 12 PRECEDING) AS n FROM x_prices WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+u AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY round(adv, 6) DESC, ticker) AS liq FROM m WHERE n >= 13 AND mom IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY round(mom, 9) DESC, ticker) AS rank FROM u WHERE liq <= 30),
+d AS (SELECT date, list(ticker ORDER BY rank) AS ranked, row_number() OVER (ORDER BY date) AS rn FROM k WHERE rank <= 10 GROUP BY date),
+f AS (SELECT date, rn, ranked[1:5] AS held, 0::BIGINT AS kept FROM d WHERE rn = 1
+ UNION ALL SELECT date, rn, list_concat(keep, list_filter(ranked, lambda x: NOT list_contains(keep, x)))[1:5], len(keep) FROM (SELECT d.date, d.rn, d.ranked, list_filter(f.held, lambda x: list_contains(d.ranked, x)) AS keep FROM f JOIN d ON d.rn = f.rn + 1))
+SELECT date, array_to_string(list_sort(held), ',') AS held, kept FROM f""")
+def w25_buffered(r):
+    from chronopanel.operators import folds as fo
+    from chronopanel.plans.market import momentum_universe
+    ranked = momentum_universe(r.prices(), skip=5, lookback=52, adv=13, universe=30, keep=10, top=5)
+    # ten ranked names per session, one portfolio: the fold walks the calendar
+    day = ranked.groupBy("date").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "ticker"))), lambda x: x["ticker"]).alias("ranked"))
+    out = fo.keyed_fold(day.withColumn("portfolio", F.lit(1)), ["portfolio"], ["date"], fo.buffered_picks_step(5), "portfolio int, date date, held string, kept long")
+    return out.drop("portfolio")

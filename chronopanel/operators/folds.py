@@ -202,3 +202,26 @@ def paired_edge(pairs: DataFrame, keys: Sequence[str], a: str, b: str, cost: flo
     g = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("observations"), F.avg(d).alias("mean_edge"), F.stddev_samp(d).alias("_sd"))
     se = F.coalesce("_sd", F.lit(0.0)) / F.sqrt(F.col("observations").cast("double"))
     return g.withColumn("standard_error", se).withColumn("lcb", F.col("mean_edge") - 1.96 * F.col("standard_error")).drop("_sd")
+
+
+def incumbent_step() -> Step:
+    """Keep the incumbent while it stays in the TOP set, else take the current winner."""
+
+    def step(state, row):
+        top = set(row["top"])
+        inc = row["winner"] if state is None or state["inc"] not in top else state["inc"]
+        return {"inc": inc}, {"assessment_date": row["assessment_date"], "incumbent": inc}
+
+    return step
+
+
+def buffered_picks_step(size: int) -> Step:
+    """Hold a name while it stays in the ranked list (already cut at the buffer rank); fill up from the best ranked."""
+
+    def step(state, row):
+        ranked = list(row["ranked"])
+        kept = [] if state is None else [x for x in state["held"] if x in ranked]
+        held = (kept + [x for x in ranked if x not in kept])[:size]
+        return {"held": held}, {"date": row["date"], "held": ",".join(str(x) for x in sorted(held)), "kept": len(kept)}
+
+    return step

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,15 +28,18 @@ def build_session(app: str = "chronopanel", master: str | None = None, **conf) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir`` when the cluster names one.
+    """Folder every executor can reach: ``spark.checkpoint.dir`` as the cluster names it.
 
-    Only a session without that setting (local tests) falls back to a fresh
-    temporary folder.
+    On a cluster a missing setting is an error, since executors do not see each other's disks. Only a local session,
+    which is a single machine, gets a fresh folder of its own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
         configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured is None:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir names no shared folder, which a session on {master} needs")
         configured = tempfile.mkdtemp(prefix="chronopanel-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")

@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Letters A-Z become lower case; what is no digit, letter or non-ASCII byte becomes a space.
+FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """Lower-cased words of digits, letters and non-ASCII characters."""
+    return text.translate(FOLD).split()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -21,16 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronopanel.llm.common import column, map_batches, texts
+from chronopanel.llm.common import column, map_batches, texts, words_of
 from chronopanel.session import stage
 
 WINDOW, BLOCK, SLICE_CHARS = 10, 3, 1 << 23
-#: Letters A-Z become lower case; what is no digit, letter or non-ASCII byte becomes a space.
-FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-
-
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(FOLD).split()
 
 
 class ShiftTables:

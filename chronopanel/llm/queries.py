@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronopanel.llm import decontam, simhash
+from chronopanel.llm import decontam, packing, secrets, simhash, toxicity
 from chronopanel.llm.common import table
 
 
@@ -10,9 +10,22 @@ def op1_simhash_near_duplicates(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_variable_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op6_secret_ledger_scan(spark, sf_dir):
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark, sf_dir):
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_duplicates, op7_benchmark_decontamination)}
-ORACLES = {"op7_benchmark_decontamination": decontam.ORACLE}
+def op8_toxicity_factorization_machine(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_simhash_near_duplicates, op4_variable_best_fit_packing, op6_secret_ledger_scan, op7_benchmark_decontamination, op8_toxicity_factorization_machine)}
+ORACLES = {"op6_secret_ledger_scan": secrets.ORACLE, "op7_benchmark_decontamination": decontam.ORACLE}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from chronopanel.llm import decontam, packing, secrets, simhash, toxicity
+from pyspark.sql import functions as F
+
+from chronopanel.llm import ann, decontam, packing, secrets, simhash, tokenfile, toxicity
 from chronopanel.llm.common import table
 
 
@@ -26,6 +28,15 @@ def op8_toxicity_factorization_machine(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_token_id_files(spark, sf_dir):
+    return tokenfile.token_file(table(spark, sf_dir, "documents"))
+
+
+def op10_inverted_multi_index(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_near_duplicates, op4_variable_best_fit_packing, op6_secret_ledger_scan, op7_benchmark_decontamination, op8_toxicity_factorization_machine)}
+    op1_simhash_near_duplicates, op4_variable_best_fit_packing, op6_secret_ledger_scan, op7_benchmark_decontamination, op8_toxicity_factorization_machine,
+    op9_token_id_files, op10_inverted_multi_index)}
 ORACLES = {"op6_secret_ledger_scan": secrets.ORACLE, "op7_benchmark_decontamination": decontam.ORACLE}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronopanel.llm import ann, decontam, packing, secrets, simhash, tokenfile, toxicity
+from chronopanel.llm import ann, decontam, packing, pii, secrets, simhash, tokenfile, toxicity
 from chronopanel.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op4_variable_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_personal_data_span_field(spark, sf_dir):
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_ledger_scan(spark, sf_dir):
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,6 @@ def op10_inverted_multi_index(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_near_duplicates, op4_variable_best_fit_packing, op6_secret_ledger_scan, op7_benchmark_decontamination, op8_toxicity_factorization_machine,
+    op1_simhash_near_duplicates, op4_variable_best_fit_packing, op5_personal_data_span_field, op6_secret_ledger_scan, op7_benchmark_decontamination, op8_toxicity_factorization_machine,
     op9_token_id_files, op10_inverted_multi_index)}
 ORACLES = {"op6_secret_ledger_scan": secrets.ORACLE, "op7_benchmark_decontamination": decontam.ORACLE}

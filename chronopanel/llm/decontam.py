@@ -16,12 +16,13 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronopanel.llm.common import column, map_batches, texts, words_of
+from chronopanel.llm.common import column, filter_batches, map_batches, texts, words_of
 from chronopanel.session import stage
 
 WINDOW, BLOCK, SLICE_CHARS = 10, 3, 1 << 23
@@ -96,24 +97,43 @@ def _scan(frame: DataFrame, tables: ShiftTables, id_col: str, text_col: str, fir
     return map_batches(frame, build, f"{id_col} long, n_words long, hits array<int>, items array<long>" + ("" if last else f", {text_col} string"))
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                   item_text_col: str = "text", window: int = WINDOW, slice_chars: int = SLICE_CHARS) -> DataFrame:
+def benchmark_slices(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slice_chars: int = SLICE_CHARS) -> Iterator[tuple[bool, ShiftTables]]:
+    """(last, tables) of each slice of the benchmark, of about ``slice_chars`` characters."""
+    size = benchmark.agg(F.coalesce(F.sum(F.length(item_text_col) + 16), F.lit(0))).first()[0]
+    slices = max(1, math.ceil(size / slice_chars))
+    part = F.pmod(F.xxhash64(F.col(item_col), F.col(item_text_col)), F.lit(slices))
+    for k in range(slices):
+        rows = benchmark.where(part == k).select(F.col(item_col).cast("long"), item_text_col).collect()
+        yield k + 1 == slices, ShiftTables([(r[0], (r[1] or "").encode()) for r in rows], window)
+
+
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per document: id, n_words, hits (positions of words inside an occurrence), items (ids of items that occur).
 
     No shuffle: documents are scanned where they lie, once for each slice of the benchmark.
     """
-    size = benchmark.agg(F.coalesce(F.sum(F.length(item_text_col) + 16), F.lit(0))).first()[0]
-    slices = max(1, math.ceil(size / slice_chars))
-    part = F.pmod(F.xxhash64(F.col(item_col), F.col(item_text_col)), F.lit(slices))
     frame = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
-    for k in range(slices):
-        rows = benchmark.where(part == k).select(F.col(item_col).cast("long"), item_text_col).collect()     # about slice_chars characters
-        frame = _scan(frame, ShiftTables([(r[0], (r[1] or "").encode()) for r in rows], window), id_col, text_col, k == 0, k + 1 == slices)
-        if k + 1 < slices:
+    for k, (last, tables) in enumerate(benchmark_slices(benchmark, **options)):
+        frame = _scan(frame, tables, id_col, text_col, k == 0, last)
+        if not last:
             frame = stage(frame, "benchmark-slice")
     return frame
 
 
+def reject_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows without any occurrence of a benchmark window, with their columns."""
+    for last, tables in benchmark_slices(benchmark, **options):
+        def build(tables=tables):
+            def clean(text: bytes) -> bool:
+                tables.search(words_of(text), hit := set(), set())
+                return not hit
+            return lambda batch: [clean(t) for t in texts(batch, text_col)]
+        docs = filter_batches(docs, build)
+        if not last:
+            docs = stage(docs, "benchmark-slice")
+    return docs
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """Digest per document: n_words, n_hit, n_items, items_sha256, contaminated."""
     hits = benchmark_hits(docs, benchmark, id_col, **options)

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronopanel.llm.common import column, map_batches, texts
@@ -46,15 +47,15 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > total, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, fp)`` with the fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, fp)`` with the fingerprint as a signed 64-bit integer, and the 64-bit integer columns in ``keep``."""
     def build():
         def step(batch):
             return {id_col: column(batch, id_col).cast(pa.int64()),
-                    "fp": pa.array(np.array([fingerprint(t) for t in texts(batch, text_col)], np.uint64).view(np.int64))}
+                    "fp": pa.array(np.array([fingerprint(t) for t in texts(batch, text_col)], np.uint64).view(np.int64)), **{c: column(batch, c) for c in keep}}
         return step
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), build, f"{id_col} long, fp long")
+    return map_batches(docs.select(F.col(id_col).cast("long").alias(id_col), text_col, *keep), build, f"{id_col} long, fp long" + "".join(f", {c} long" for c in keep))
 
 
 def positional_lists(min_shared: int = 8 - MAX_BITS) -> list[tuple[int, int]]:
@@ -85,15 +86,33 @@ def near_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return a.join(b, meets & (tally == least) & (F.bit_count(differ) <= max_bits)).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """One row per document: id, ``fingerprint`` (16 hex digits), ``component_id`` (smallest id reachable), ``n_links`` of its fingerprint."""
-    prints = stage(fingerprints(docs, id_col, text_col), "simhash")
+def _groups(prints: DataFrame, id_col: str, max_bits: int) -> DataFrame:
+    """``(fp, root, component_id, n_links)`` of every distinct fingerprint."""
     distinct = prints.groupBy("fp").agg(F.min(id_col).alias("least_id"))
     links = stage(near_links(distinct.select("fp"), max_bits), "simhash-links")
     roots = star_components(links)
-    least = (distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id"))
+    least = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id")
     groups = least.groupBy("root").agg(F.min("least_id").alias("component_id"))
     degree = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
-    of_print = least.join(groups, "root").select("fp", "component_id").join(degree, "fp", "left")
-    return prints.join(of_print, "fp", "left").select(
-        id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return least.join(groups, "root").select("fp", "root", "component_id").join(degree, "fp", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+    """One row per document: id, ``fingerprint`` (16 hex digits), ``component_id`` (smallest id reachable), ``n_links`` of its fingerprint."""
+    prints = stage(fingerprints(docs, id_col, text_col), "simhash")
+    return prints.join(_groups(prints, id_col, max_bits), "fp", "left").select(
+        id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group the smallest id stays (null ids last), one row of it.
+
+    Where rows share that id but not their text, the smallest hash of the text decides.
+    """
+    key = [F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("_id"), F.xxhash64(F.col(text_col)).alias("_text")]
+    named = docs.select("*", *key)
+    prints = stage(fingerprints(named, "_id", text_col, ("_text",)), "simhash")
+    groups = _groups(prints, "_id", max_bits)
+    best = prints.join(groups.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct("_id", "_text")).alias("k")).select("k.*").distinct()
+    once = F.row_number().over(W.partitionBy("_id", "_text").orderBy(*(F.xxhash64(c) for c in docs.columns)))
+    return named.join(best, ["_id", "_text"], "left_semi").withColumn("_row", once).where("_row = 1").select(*docs.columns)

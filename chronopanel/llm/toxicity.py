@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronopanel.llm.common import column, doc_crc, map_batches, texts, words_of
+from chronopanel.llm.common import column, doc_crc, filter_batches, map_batches, texts, words_of
 
 BUCKETS, PREFIX, MAX_ROWS, MAX_TERMS, RANK, MAX_SEEN, LEAST_CHI = 1 << 20, 5, 20_000, 4_096, 8, 300_000, 15.0
 
@@ -151,3 +151,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out_of: int = 5, id_col: s
     model = train(docs, labels, fold != 0, id_col, **options)
     scored = score(docs, model, id_col)
     return scored.select(id_col, (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame, held_out_of: int = 5, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **options) -> DataFrame:
+    """The rows that score under ``threshold``, with their columns."""
+    model = train(docs, labels, doc_crc(id_col) % held_out_of != 0, id_col, text_col, **options)
+    return filter_batches(docs, lambda: lambda batch: model.score(texts(batch, text_col)) < threshold)

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Letters A-Z become lower case; what is no digit, letter or non-ASCII byte becomes a space.
@@ -35,7 +36,7 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 
 def map_batches(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], dict[str, Iterable]]], schema: str) -> DataFrame:
     """Map every Arrow batch of ``df`` to columns by name; ``build`` runs once in each task."""
-    names = [part.split()[0] for part in schema.split(",")]
+    names = DataType.fromDDL(schema).names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = build()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronopanel.llm import ann, decontam, maxent, packing, pii, secrets, simhash, tokenfile, toxicity
+from chronopanel.llm import ann, decontam, licenses, maxent, packing, pii, secrets, simhash, tokenfile, toxicity
 from chronopanel.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_simhash_near_duplicates(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_license_conditional_compression(spark, sf_dir):
+    return licenses.license_notices(table(spark, sf_dir, "documents"))
+
+
 def op3_maxent_language_scores(spark, sf_dir):
     return maxent.language_scores(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,6 @@ def op10_inverted_multi_index(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_near_duplicates, op3_maxent_language_scores, op4_variable_best_fit_packing, op5_personal_data_span_field, op6_secret_ledger_scan, op7_benchmark_decontamination, op8_toxicity_factorization_machine,
+    op1_simhash_near_duplicates, op2_license_conditional_compression, op3_maxent_language_scores, op4_variable_best_fit_packing, op5_personal_data_span_field, op6_secret_ledger_scan, op7_benchmark_decontamination, op8_toxicity_factorization_machine,
     op9_token_id_files, op10_inverted_multi_index)}
 ORACLES = {"op6_secret_ledger_scan": secrets.ORACLE, "op7_benchmark_decontamination": decontam.ORACLE}

@@ -48,6 +48,12 @@ def map_batches(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], di
     return df.mapInArrow(run, schema)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names made from ``names`` that ``df`` does not use."""
+    used = {c.lower() for c in df.columns}
+    return [next(x for x in ("_" * k + n for k in range(1, len(used) + 2)) if x.lower() not in used) for n in names]
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronopanel.llm.common import column, map_batches, texts
+from chronopanel.llm.common import column, free_names, map_batches, texts
 from chronopanel.llm.components import star_components
 from chronopanel.session import stage
 
@@ -109,10 +109,10 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Where rows share that id but not their text, the smallest hash of the text decides.
     """
-    key = [F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("_id"), F.xxhash64(F.col(text_col)).alias("_text")]
-    named = docs.select("*", *key)
-    prints = stage(fingerprints(named, "_id", text_col, ("_text",)), "simhash")
-    groups = _groups(prints, "_id", max_bits)
-    best = prints.join(groups.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct("_id", "_text")).alias("k")).select("k.*").distinct()
-    once = F.row_number().over(W.partitionBy("_id", "_text").orderBy(*(F.xxhash64(c) for c in docs.columns)))
-    return named.join(best, ["_id", "_text"], "left_semi").withColumn("_row", once).where("_row = 1").select(*docs.columns)
+    own = free_names(docs, "id", "text", "row")
+    named = docs.select("*", F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias(own[0]), F.xxhash64(F.col(text_col)).alias(own[1]))
+    prints = stage(fingerprints(named, own[0], text_col, (own[1],)), "simhash")
+    groups = _groups(prints, own[0], max_bits)
+    best = prints.join(groups.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(*own[:2])).alias("k")).select("k.*").distinct()
+    once = F.row_number().over(W.partitionBy(*own[:2]).orderBy(*(F.xxhash64(c) for c in docs.columns)))
+    return named.join(best, own[:2], "left_semi").withColumn(own[2], once).where(F.col(own[2]) == 1).select(*docs.columns)

@@ -82,7 +82,8 @@ def near_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     # bytes pushed out on the left leave as many zero bytes on the right, which are not shared ones
     tally = shared_bytes(F.call_function("shiftleft", differ, F.col("a.above"))) - F.col("a.above") / 8
-    meets = (F.col("a.mask") == F.col("b.mask")) & (F.col("a.bytes") == F.col("b.bytes")) & (F.col("a.fp") < F.col("b.fp"))
+    # ``above`` follows from the mask; both sides carry it so that one exchange serves both
+    meets = (F.col("a.mask") == F.col("b.mask")) & (F.col("a.above") == F.col("b.above")) & (F.col("a.bytes") == F.col("b.bytes")) & (F.col("a.fp") < F.col("b.fp"))
     return a.join(b, meets & (tally == least) & (F.bit_count(differ) <= max_bits)).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 

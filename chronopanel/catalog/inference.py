@@ -14,7 +14,6 @@ from chronopanel.operators.asof import asof_join
 from chronopanel.session import stage
 
 SERIES = "s AS (SELECT family_id, arm, assessment_date AS as_of, excess_1m AS value, row_number() OVER (PARTITION BY family_id, arm ORDER BY assessment_date) AS rn FROM x_fmp WHERE excess_1m IS NOT NULL)"
-KEY = "family_id string, arm string"
 
 
 def excess_series(r):
@@ -58,8 +57,7 @@ st AS (SELECT h, rn, assessment_date, NULL::VARCHAR AS before, winner AS inc, NU
     WHEN (CASE WHEN st.ch = ch.winner THEN st.n + 1 ELSE 1 END) >= 2 THEN 'SWITCH_CONFIRMED' ELSE 'CONFIRMATION_PENDING' END AS reason FROM st JOIN ch ON ch.h = st.h AND ch.rn = st.rn + 1))
 SELECT h, assessment_date, before AS incumbent_before, inc AS incumbent_after, shown AS challenger, CAST(shown_n AS BIGINT) AS confirmations, reason FROM st""")
 def f1(r):
-    schema = "h int, assessment_date date, incumbent_before string, incumbent_after string, challenger string, confirmations long, reason string"
-    return fo.keyed_fold(recipe_choices(r), ["h"], ["assessment_date"], fo.hysteresis_step(2), schema)
+    return fo.recipe_hysteresis(recipe_choices(r), ["h"], confirmations=2)
 
 
 B_FOLDS = "pf AS (SELECT h, (row_number() OVER (PARTITION BY h ORDER BY fold) - 1) AS pos, max(m) FILTER (treatment = 'N') AS a, max(m) FILTER (treatment = 'R') AS b FROM (SELECT h, treatment, fold, avg(cagr_excess) AS m FROM x_surf GROUP BY 1, 2, 3) GROUP BY h, fold)"
@@ -102,7 +100,7 @@ CP_REC = f"""c AS (SELECT family_id, arm, as_of, rn, {CP.replace('p0', '0.0').re
 
 @query("f3_change_detector", f"WITH RECURSIVE {SERIES}, {CP_REC} SELECT family_id, arm, as_of, {R('p')} AS probability, {R('1 / (0.02 + p * 0.1)')} AS run_length, {R('greatest(0.25, 1 - p)')} AS forgetting FROM c")
 def f3(r):
-    out = fo.keyed_fold(excess_series(r), ["family_id", "arm"], ["as_of"], fo.changepoint_step(scale=0.02), f"{KEY}, as_of date, probability double, run_length double, forgetting double")
+    out = fo.change_detector(excess_series(r), ["family_id", "arm"], "as_of", "value", 0.02).drop("value")
     return out.withColumns({c: rnd(c) for c in ("probability", "run_length", "forgetting")})
 
 
@@ -111,8 +109,8 @@ WITH d AS (SELECT family_id, arm, date AS as_of, positions > 0 AS traded, row_nu
 e AS (SELECT *, rn - coalesce(max(CASE WHEN traded THEN rn END) OVER (PARTITION BY family_id, arm ORDER BY as_of), 0) AS streak FROM d)
 SELECT family_id, arm, as_of, {R('1.0 + k')} AS a, {R('1.0 + rn')} AS b, CAST(streak AS BIGINT) AS streak, {R('((1.0 + rn) / (1.0 + rn + streak)) ** (1.0 + k)')} AS p_zero FROM e""")
 def f4(r):
-    rows = r.returns().select("family_id", "arm", F.col("date").alias("as_of"), F.lit(True).alias("eligible"), (F.col("positions") > 0).alias("traded"))
-    out = fo.keyed_fold(rows, ["family_id", "arm"], ["as_of"], fo.activity_step(), f"{KEY}, as_of date, a double, b double, streak long, p_zero double")
+    rows = r.returns().select("family_id", "arm", F.col("date").alias("as_of"), "positions")
+    out = fo.activity_posterior(rows, ["family_id", "arm"], "as_of", F.lit(True), F.col("positions") > 0).drop("positions")
     return out.withColumns({c: rnd(c) for c in ("a", "b", "p_zero")})
 
 
@@ -124,8 +122,8 @@ WITH RECURSIVE {SERIES}, a AS (SELECT family_id, arm, as_of, rn, value * 0.03 AS
  UNION ALL {ALPHA} FROM (SELECT s.*, a.d AS d0, a.m AS m0, a.n AS n0, 0.97 AS dc FROM a JOIN s ON s.family_id = a.family_id AND s.arm = a.arm AND s.rn = a.rn + 1))
 SELECT family_id, arm, as_of, {R('d')} AS discounted, {R('m')} AS mean, CAST(n AS BIGINT) AS n, {R('m - 1.96 * sqrt(var / n)')} AS lcb FROM a""")
 def f5(r):
-    out = fo.keyed_fold(excess_series(r), ["family_id", "arm"], ["as_of"], fo.alpha_step(0.97), f"{KEY}, as_of date, discounted double, mean double, n long, lcb double, uncertainty double")
-    return out.drop("uncertainty").withColumns({c: rnd(c) for c in ("discounted", "mean", "lcb")})
+    out = fo.discounted_alpha(excess_series(r), ["family_id", "arm"], "as_of", "value").drop("value")
+    return out.withColumns({c: rnd(c) for c in ("discounted", "mean", "lcb")})
 
 
 @query("f5b_health_update", f"""
@@ -136,7 +134,7 @@ def f5b(r):
     # already seen outcomes (same family, arm and date) are skipped before the fold
     rows = excess_series(r)
     rows = rows.unionByName(rows).dropDuplicates(["family_id", "arm", "as_of"])
-    out = fo.keyed_fold(rows, ["family_id", "arm"], ["as_of"], fo.alpha_step(0.97, fo.changepoint_step(scale=0.02)), f"{KEY}, as_of date, discounted double, mean double, n long, lcb double, uncertainty double")
+    out = fo.forgetful_alpha(rows, ["family_id", "arm"], "as_of", "value", 0.02)
     return out.select("family_id", "arm", "as_of", rnd("discounted").alias("discounted"), "n", rnd("uncertainty").alias("uncertainty"))
 
 
@@ -153,7 +151,7 @@ def f6(r):
     w = Window.partitionBy("family_id", "arm").orderBy("assessment_date")
     rows = r.family_panel().select("family_id", "arm", F.col("assessment_date").alias("as_of"), (F.col("rel") <= 0.8).alias("structural_kill"), F.coalesce(F.col("trailing_3m") < -0.06, F.lit(False)).alias("statistical_kill"),
                                    (F.col("active_days") >= 2).alias("candidate"), F.round(F.avg("excess_1m").over(w), 9).alias("lcb"))
-    return fo.keyed_fold(rows, ["family_id", "arm"], ["as_of"], fo.lifecycle_step(), f"{KEY}, as_of date, state string, sessions_in_state long")
+    return fo.lifecycle(rows, ["family_id", "arm"], "as_of", F.col("structural_kill"), F.col("statistical_kill"), F.col("candidate"), F.col("lcb"))
 
 
 @query("f7_blend_weight_steps", f"""
@@ -164,7 +162,7 @@ SELECT family_id, arm, as_of, {R('lam')} AS lam, updated FROM l""")
 def f7(r):
     w = Window.partitionBy("family_id", "arm").orderBy("as_of").rowsBetween(-5, 0)
     rows = excess_series(r).withColumns({"rolling": F.avg("value").over(w) / 0.01, "observations": F.count(F.lit(1)).over(w)})
-    out = fo.keyed_fold(rows, ["family_id", "arm"], ["as_of"], fo.lambda_step(0.1, 2.0, 3), f"{KEY}, as_of date, lam double, updated boolean")
+    out = fo.blend_weight(rows, ["family_id", "arm"], "as_of", F.col("rolling") / 2.0, F.col("observations") >= 3, 0.1)
     return out.withColumn("lam", rnd("lam"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chronopanel.catalog.registry import R, query
 from chronopanel.functions.rounding import rnd
-from chronopanel.operators.folds import changepoint_step
+from chronopanel.operators.folds import DECAY, HAZARD
 from chronopanel.session import scratch_path
 from chronopanel.streaming import outcomes as st
 from chronopanel.streaming.runtime import drain, read_events
@@ -79,8 +79,14 @@ c AS (SELECT user_id, event_id, rn, least(1, 0.02 + 0.98 * greatest(0, least(1,
  UNION ALL SELECT user_id, event_id, rn, least(1, 0.02 + 0.98 * (p0 * 0.9 + greatest(0, least(1, (m0 - value) / 50)) * 0.1)), 0.9 * m0 + 0.1 * value FROM (SELECT s.*, c.p AS p0, c.m AS m0 FROM c JOIN s ON s.user_id = c.user_id AND s.rn = c.rn + 1))
 SELECT user_id, event_id AS as_of, {R('p')} AS probability FROM c""")
 def z7(r):
+    def change_step(state, row):
+        """One row of the decayed sums behind ``folds.change_detector``."""
+        mean, p = (state["mean"], state["p"]) if state else (0.0, 0.0)
+        p = HAZARD + (1 - HAZARD) * (DECAY * p + (1 - DECAY) * min(1.0, max(0.0, (mean - row["value"]) / 50.0)))
+        return {"p": p, "mean": DECAY * mean + (1 - DECAY) * row["value"]}, {"as_of": row["as_of"], "probability": p}
+
     rows = events(r, maxFilesPerTrigger=1).select("user_id", "ts", F.col("event_id").alias("as_of"), "value")
-    out = st.keyed_fold_stream(rows, "user_id", ["ts", "as_of"], changepoint_step(scale=50.0), "user_id long, as_of long, probability double, run_length double, forgetting double", ["p", "mean"], "p double, mean double")
+    out = st.keyed_fold_stream(rows, "user_id", ["ts", "as_of"], change_step, "user_id long, as_of long, probability double", ["p", "mean"], "p double, mean double")
     return drain(out, "fold").select("user_id", "as_of", rnd("probability").alias("probability"))
 
 

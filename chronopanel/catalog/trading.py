@@ -218,7 +218,7 @@ def r9_incumbent(r):
     # the TOP set of a month is a quarter of the cluster registry
     day = r.state().groupBy(*keys).agg(F.max(F.when(F.col("rank") == 1, F.col("cluster_id"))).alias("winner"),
                                        F.collect_list(F.when(F.col("quartile") == "TOP", F.col("cluster_id"))).alias("top"))
-    held = fo.keyed_fold(day, ["cluster_level", "arm"], ["assessment_date"], fo.incumbent_step(), "cluster_level string, arm string, assessment_date date, incumbent string")
+    held = fo.kept_incumbent(day, ["cluster_level", "arm"], "assessment_date")
     return held.join(r.state().select(*keys, F.col("cluster_id").alias("incumbent"), rnd("fwd_1m").alias("fwd_1m")), [*keys, "incumbent"])
 
 
@@ -233,7 +233,6 @@ def w25_buffered(r):
     from chronopanel.operators import folds as fo
     from chronopanel.plans.market import momentum_universe
     ranked = momentum_universe(r.prices(), skip=5, lookback=52, adv=13, universe=30, keep=10, top=5)
-    # ten ranked names per session, one portfolio: the fold walks the calendar
+    # ten ranked names per session and universe: the state walks the calendar
     day = ranked.groupBy("date").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "ticker"))), lambda x: x["ticker"]).alias("ranked"))
-    out = fo.keyed_fold(day.withColumn("portfolio", F.lit(1)), ["portfolio"], ["date"], fo.buffered_picks_step(5), "portfolio int, date date, held string, kept long")
-    return out.drop("portfolio")
+    return fo.buffered_picks(day.withColumn("universe", F.lit("ALL")), ["universe"], "date", 5).drop("universe")

@@ -1,9 +1,8 @@
-"""Keyed sequential folds: state carried over ordered rows, parallel across keys.
+"""State carried along a calendar: closed forms as windows, the rest as an aggregate over a calendar-length array.
 
-Rows are hash-partitioned by key and sorted inside partitions; a Python
-iterator then walks them batch by batch, carrying one small state at a time.
-No group is ever collected: memory is one Arrow batch, whatever the group size.
-The same step functions drive the streaming twins.
+Series here are at calendar grain (one row per key and assessment, month or session), so a key's array is as long as
+the calendar whatever the raw data holds. ``keyed_fold`` is the documented Python fallback for raw rows without an
+expression: it streams sorted rows and gathers no group.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Step = Callable[[dict | None, dict], tuple[dict, dict]]
@@ -30,7 +29,7 @@ def keyed_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: S
         for batch in batches:
             out = []
             for row in batch.to_dict("records"):
-                key = tuple(row[k] for k in keys)
+                key = tuple(None if pd.isna(row[k]) else row[k] for k in keys)      # a NULL number arrives as NaN
                 if key != current:
                     current, state = key, None
                 state, emitted = step(state, row)
@@ -41,153 +40,167 @@ def keyed_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: S
     return ordered.mapInPandas(walk, schema)
 
 
+def carried(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], state: str, start: Column, step: Callable[[Column, Column], Column]) -> DataFrame:
+    """Keys, ``order`` and the state after every row. ``step(state, row)`` gives the next state; ``state`` is its DDL type."""
+    rows = F.array_sort(F.collect_list(F.struct(order, *values)), lambda a, b: F.when(a[order] < b[order], -1).when(a[order] > b[order], 1).otherwise(0))
+    walked = df.groupBy(*keys).agg(rows.alias("_rows")).select(
+        *keys, "_rows", F.aggregate("_rows", F.array(start.cast(state)), lambda seen, row: F.array_append(seen, step(F.element_at(seen, -1), row).cast(state))).alias("_seen"))
+    after = F.arrays_zip(F.col(f"_rows.{order}").alias(order), F.slice("_seen", 2, F.size("_rows")).alias("_s"))
+    return walked.select(*keys, F.inline(after)).select(*keys, order, "_s.*")
+
+
+def decayed_sum(df: DataFrame, keys: Sequence[str], order: str, value: Column, ratio: float, name: str) -> DataFrame:
+    """Adds s(t) = value(t) + ratio * s(t - 1) as one running sum of values scaled by ratio ** -t.
+
+    The scale stays a double as long as t * -ln(ratio) < 700: 22,000 sessions at ratio 0.97, 5,500 at 0.88.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    scaled = df.withColumn("_t", F.row_number().over(w)).withColumn("_x", value * F.pow(F.lit(ratio), -F.col("_t")))
+    return scaled.withColumn(name, F.pow(F.lit(ratio), "_t") * F.sum("_x").over(w)).drop("_t", "_x")
+
+
 def ewma(df: DataFrame, keys: Sequence[str], order: str, value: str, span: int) -> DataFrame:
     """Recursive mean with alpha = 2 / (span + 1), seeded by the first value."""
     alpha = 2.0 / (span + 1)
-    types = dict(df.dtypes)
-
-    def step(state, row):
-        prev = row[value] if state is None else state["m"] + alpha * (row[value] - state["m"])
-        return {"m": prev}, {order: row[order], "ewma": prev}
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) == 1
+    x = df.select(*keys, order, F.when(first, F.col(value)).otherwise(F.col(value) * alpha).alias("_v"))
+    return decayed_sum(x, keys, order, F.col("_v"), 1 - alpha, "ewma").drop("_v")
 
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), f"{order} {types[order]}", "ewma double"])
-    return keyed_fold(df.select(*keys, order, value), keys, [order], step, schema)
 
+#: Fixed values of the detector, the bound and the posterior.
+DECAY, HAZARD, LEAST_MEMORY, Z95 = 0.9, 0.02, 0.25, 1.96
 
-# ---- step functions (shared with the streaming twins) ---------------------
 
-def hysteresis_step(confirmations: int = 2) -> Step:
-    """Incumbent / challenger selection on evidence expansions.
+def change_detector(df: DataFrame, keys: Sequence[str], order: str, value: str, scale: float) -> DataFrame:
+    """Change probability, expected run length and forgetting multiplier per row.
 
-    Row: evidence_date, fingerprint, winner, scores (candidate -> robust score).
-    A challenger needs ``confirmations`` consecutive expansions and a strictly better score.
+    The mean before a row is a decayed sum of earlier values. The probability is hazard + (1 - hazard) * (decayed
+    probability + share of surprise), which never passes 1, so it is a decayed sum too.
     """
+    w = Window.partitionBy(*keys).orderBy(order)
+    mean = decayed_sum(df, keys, order, F.col(value) * (1 - DECAY), DECAY, "_mean")
+    surprise = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.coalesce(F.lag("_mean").over(w), F.lit(0.0)) - F.col(value)) / scale))
+    x = mean.withColumn("_push", HAZARD + (1 - HAZARD) * (1 - DECAY) * surprise)
+    p = F.col("probability")
+    return decayed_sum(x, keys, order, F.col("_push"), (1 - HAZARD) * DECAY, "probability").drop("_mean", "_push").withColumns(
+        {"run_length": 1 / (HAZARD + 0.1 * p), "forgetting": F.greatest(F.lit(LEAST_MEMORY), 1 - p)})
+
+
+def activity_posterior(df: DataFrame, keys: Sequence[str], order: str, eligible: Column, traded: Column) -> DataFrame:
+    """Counts of entries and opportunities so far, opportunities since the last entry, and the chance of none."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    hit = eligible & traded
+    x = df.withColumn("_seen", F.count_if(eligible).over(w)).withColumn("a", 1.0 + F.count_if(hit).over(w)).withColumn("b", 1.0 + F.col("_seen"))
+    x = x.withColumn("streak", F.col("_seen") - F.coalesce(F.max(F.when(hit, F.col("_seen"))).over(w), F.lit(0)))
+    return x.drop("_seen").withColumn("p_zero", F.pow(F.col("b") / (F.col("b") + F.col("streak")), F.col("a")))
+
+
+def discounted_alpha(df: DataFrame, keys: Sequence[str], order: str, value: str, discount: float = 0.97) -> DataFrame:
+    """Discounted mean, plain running mean, count and the lower bound from the mean's last move."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    x = decayed_sum(df, keys, order, F.col(value) * (1 - discount), discount, "discounted")
+    x = x.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("mean", F.avg(value).over(w))
+    before = F.coalesce(F.lag("mean").over(Window.partitionBy(*keys).orderBy(order)), F.col(value))
+    move = (F.col("n") - 1) * (F.col("_before") - F.col("mean")) ** 2 + (F.col(value) - F.col("mean")) ** 2
+    return x.withColumn("_before", before).withColumn("lcb", F.col("mean") - Z95 * F.sqrt(move / F.greatest(F.lit(1), F.col("n") - 1) / F.col("n"))).drop("_before")
+
+
+def forgetful_alpha(df: DataFrame, keys: Sequence[str], order: str, value: str, scale: float, discount: float = 0.97) -> DataFrame:
+    """Discounted mean whose memory shortens after a change: each row uses the forgetting known before it."""
+    seen = change_detector(df, keys, order, value, scale)
+    memory = discount * F.coalesce(F.lag("forgetting").over(Window.partitionBy(*keys).orderBy(order)), F.lit(1.0))
+    rows = seen.withColumn("_memory", memory)
+    step = lambda s, x: F.struct((s["discounted"] * x["_memory"] + x[value] * (1 - x["_memory"])).alias("discounted"), (s["n"] + 1).alias("n"))
+    out = carried(rows, keys, order, [value, "_memory"], "struct<discounted:double,n:long>", F.struct(F.lit(0.0).alias("discounted"), F.lit(0).alias("n")), step)
+    return out.withColumn("uncertainty", 1 / F.sqrt("n"))
+
+
+#: Fixed states. (state, event) -> state; an event is (statistical kill?, candidate?, bound above the margin?), a pair that is not listed keeps its state.
+LIFECYCLE = {
+    ("SHADOW", "candidate"): "CANDIDATE", ("SHADOW", "strong"): "CANDIDATE", ("SUSPENDED", "candidate"): "CANDIDATE", ("SUSPENDED", "strong"): "CANDIDATE",
+    ("SHADOW", "kill candidate"): "CANDIDATE", ("SHADOW", "kill strong"): "CANDIDATE", ("SUSPENDED", "kill candidate"): "CANDIDATE", ("SUSPENDED", "kill strong"): "CANDIDATE",
+    ("CANDIDATE", "strong"): "CHAMPION", ("CANDIDATE", "kill strong"): "CHAMPION", ("CHAMPION", "none"): "PROBATION",
+    **{("CHAMPION", f"kill {e}"): "PROBATION" for e in ("none", "candidate", "strong")}, **{("PROBATION", f"kill {e}"): "SUSPENDED" for e in ("none", "candidate", "strong")},
+    **{(s, "structural"): "SUSPENDED" for s in ("SHADOW", "CANDIDATE", "CHAMPION", "PROBATION", "SUSPENDED")},
+}
+
+
+def lifecycle(df: DataFrame, keys: Sequence[str], order: str, structural: Column, statistical: Column, candidate: Column, bound: Column, margin: float = 0.0) -> DataFrame:
+    """State and rows in it, by the declared table of transitions; a key starts in SHADOW."""
+    kind = F.when(candidate & (bound > margin), "strong").when(candidate, "candidate").otherwise("none")
+    event = F.when(structural, F.lit("structural")).when(statistical, F.concat(F.lit("kill "), kind)).otherwise(kind)
+    table = F.create_map(*(F.lit(x) for (s, e), to in LIFECYCLE.items() for x in (f"{s}|{e}", to)))
+    step = lambda s, x: F.struct(F.coalesce(F.element_at(table, F.concat_ws("|", s["state"], x["_event"])), s["state"]).alias("state"))
+    out = carried(df.withColumn("_event", event), keys, order, ["_event"], "struct<state:string>", F.struct(F.lit("SHADOW").alias("state")), step)
+    w = Window.partitionBy(*keys).orderBy(order)
+    spell = out.withColumn("_new", F.coalesce((F.lag("state").over(w) != F.col("state")).cast("int"), F.lit(0))).withColumn("_spell", F.sum("_new").over(w))
+    return spell.withColumn("sessions_in_state", (F.row_number().over(Window.partitionBy(*keys, "_spell").orderBy(order)) - 1).cast("long")).drop("_new", "_spell")
+
+
+def blend_weight(df: DataFrame, keys: Sequence[str], order: str, target: Column, ready: Column, limit: float) -> DataFrame:
+    """Weight that follows ``target`` (clipped to 0..1) by at most ``limit`` a row once ``ready``."""
+    rows = df.select(*keys, order, F.when(ready, F.least(F.lit(1.0), F.greatest(F.lit(0.0), target))).alias("_goal"))
+    move = lambda s, x: F.when(x["_goal"].isNull(), 0.0).otherwise(F.least(F.lit(limit), F.greatest(F.lit(-limit), x["_goal"] - s["lam"])))
+    step = lambda s, x: F.struct((s["lam"] + move(s, x)).alias("lam"), (F.abs(move(s, x)) > 1e-15).alias("updated"))
+    return carried(rows, keys, order, ["_goal"], "struct<lam:double,updated:boolean>", F.struct(F.lit(0.0).alias("lam"), F.lit(False).alias("updated")), step)
 
-    def step(state, row):
-        scores = dict(row["scores"])
-        winner, seen = row["winner"], (row["evidence_date"], row["fingerprint"])
-        if state is None:
-            return ({"inc": winner, "ch": None, "n": 0, "date": seen[0], "fp": seen[1]},
-                    _decision(row, None, winner, None, 0, "INITIAL_CHOICE"))
-        inc = state["inc"]
-        if seen[0] < state["date"]:
-            raise ValueError("evidence date moved backwards")
-        if seen[0] == state["date"]:
-            if seen[1] != state["fp"]:
-                raise ValueError("evidence changed on an already used date")
-            return state, _decision(row, inc, inc, state["ch"], state["n"], "DUPLICATE_EVIDENCE_IGNORED")
-        if seen[1] == state["fp"]:
-            return state, _decision(row, inc, inc, state["ch"], state["n"], "NO_NEW_EVIDENCE")
-        base = {"inc": inc, "ch": None, "n": 0, "date": seen[0], "fp": seen[1]}
-        if winner == inc:
-            return base, _decision(row, inc, inc, None, 0, "INCUMBENT_RECONFIRMED")
-        if scores[winner] - scores[inc] <= 0:
-            return base, _decision(row, inc, inc, winner, 0, "NO_STRICT_IMPROVEMENT")
-        n = state["n"] + 1 if state["ch"] == winner else 1
-        if n >= confirmations:
-            return {**base, "inc": winner}, _decision(row, inc, winner, winner, n, "SWITCH_CONFIRMED")
-        return {**base, "ch": winner, "n": n}, _decision(row, inc, inc, winner, n, "CONFIRMATION_PENDING")
-
-    return step
-
-
-def _decision(row, before, after, challenger, n, reason):
-    return {"assessment_date": row["assessment_date"], "incumbent_before": before, "incumbent_after": after,
-            "challenger": challenger, "confirmations": n, "reason": reason}
-
-
-def changepoint_step(decay: float = 0.9, hazard: float = 0.02, scale: float = 0.001) -> Step:
-    """EWMA change detector: probability, expected run length, forgetting multiplier."""
-
-    def step(state, row):
-        p, mean = (0.0, 0.0) if state is None else (state["p"], state["mean"])
-        x = row["value"]
-        surprise = max(0.0, min(1.0, (mean - x) / max(scale, 1e-9)))
-        p = min(1.0, hazard + (1 - hazard) * (p * decay + surprise * (1 - decay)))
-        mean = decay * mean + (1 - decay) * x
-        return {"p": p, "mean": mean}, {"as_of": row["as_of"], "probability": p, "run_length": 1.0 / max(1e-9, hazard + p * 0.1),
-                                        "forgetting": max(0.25, 1.0 - p)}
-
-    return step
-
-
-def activity_step(a: float = 1.0, b: float = 1.0) -> Step:
-    """Opportunity-time posterior: entries add to a, opportunities to b; the streak resets on an entry."""
-
-    def step(state, row):
-        s = state or {"a": a, "b": b, "streak": 0}
-        if row["eligible"]:
-            s = {"a": s["a"] + int(row["traded"]), "b": s["b"] + 1.0, "streak": 0 if row["traded"] else s["streak"] + 1}
-        p = (s["b"] / (s["b"] + s["streak"])) ** s["a"]
-        return s, {"as_of": row["as_of"], "a": s["a"], "b": s["b"], "streak": s["streak"], "p_zero": p}
-
-    return step
-
-
-def alpha_step(discount: float = 0.97, forgetting: Step | None = None) -> Step:
-    """Discounted alpha with a running mean and its lower bound; optionally forgets faster after a change."""
-
-    def step(state, row):
-        s = state or {"d": 0.0, "m": None, "n": 0, "cp": None, "f": 1.0}
-        x, n = row["value"], s["n"]
-        d = s["d"] * discount * s["f"] + x * (1 - discount * s["f"])
-        m0 = x if s["m"] is None else s["m"]
-        m = (n * m0 + x) / (n + 1)
-        var = (n * (m0 - m) ** 2 + (x - m) ** 2) / max(1, n)
-        cp, f = s["cp"], 1.0
-        if forgetting is not None:
-            cp, out = forgetting(cp, {"value": x, "as_of": row["as_of"]})
-            f = out["forgetting"]
-        return ({"d": d, "m": m, "n": n + 1, "cp": cp, "f": f},
-                {"as_of": row["as_of"], "discounted": d, "mean": m, "n": n + 1, "lcb": m - 1.96 * (var / (n + 1)) ** 0.5,
-                 "uncertainty": 1.0 / max(1.0, n + 1) ** 0.5})
-
-    return step
-
-
-def lifecycle_step(margin: float = 0.0) -> Step:
-    """SHADOW -> CANDIDATE -> CHAMPION -> PROBATION -> SUSPENDED on kill flags and candidacy."""
-
-    def step(state, row):
-        old = "SHADOW" if state is None else state["s"]
-        kill = row["statistical_kill"]
-        if row["structural_kill"]:
-            new = "SUSPENDED"
-        elif kill and old == "PROBATION":
-            new = "SUSPENDED"
-        elif kill and old == "CHAMPION":
-            new = "PROBATION"
-        elif not row["candidate"]:
-            new = "PROBATION" if old == "CHAMPION" else old
-        elif old in ("SUSPENDED", "SHADOW"):
-            new = "CANDIDATE"
-        elif old == "CANDIDATE" and row["lcb"] is not None and row["lcb"] == row["lcb"] and row["lcb"] > margin:
-            new = "CHAMPION"
-        else:
-            new = old
-        stay = 0 if state is None or new != old else state["k"] + 1
-        return {"s": new, "k": stay}, {"as_of": row["as_of"], "state": new, "sessions_in_state": stay}
-
-    return step
-
-
-def lambda_step(limit: float, full: float, minimum: int) -> Step:
-    """Blend weight moved toward clip(max(0, rolling z) / full, 0, 1) by at most ``limit`` per assessment."""
-
-    def step(state, row):
-        lam = 0.0 if state is None else state["lam"]
-        if row["observations"] < minimum:
-            return {"lam": lam}, {"as_of": row["as_of"], "lam": lam, "updated": False}
-        target = min(1.0, max(0.0, row["rolling"]) / full)
-        new = min(1.0, max(0.0, lam + max(-limit, min(limit, target - lam))))
-        return {"lam": new}, {"as_of": row["as_of"], "lam": new, "updated": abs(new - lam) > 1e-15}
-
-    return step
+
+def recipe_hysteresis(df: DataFrame, keys: Sequence[str], order: str = "assessment_date", confirmations: int = 2) -> DataFrame:
+    """Incumbent and challenger per assessment; only expansions of the evidence can confirm a challenger.
+
+    Rows: assessment_date, evidence_date, fingerprint, winner, scores (map of candidate to robust score). An expansion
+    is the first row of a fingerprint; later rows of it repeat the decision. Dates that go back, or a new fingerprint
+    on a date already used, fail the query.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    x = df.withColumn("_new", F.coalesce(F.lag("fingerprint").over(w) != F.col("fingerprint"), F.lit(True)).cast("int")).withColumn("_era", F.sum("_new").over(w))
+    x = x.withColumn("_used", F.first("evidence_date").over(Window.partitionBy(*keys, "_era").orderBy(order)))
+    last = F.max("evidence_date").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    moved = F.when((F.col("evidence_date") < F.col("_last")), F.raise_error(F.lit("evidence date moved backwards"))).when(
+        (F.col("_new") == 1) & (F.col("evidence_date") == F.col("_last")), F.raise_error(F.lit("evidence changed on an already used date")))
+    x = x.withColumn("_last", last).withColumn("_era", F.coalesce(moved.cast("long"), F.col("_era")))
+    score = lambda r, c: F.element_at(r["scores"], c)
+
+    def step(s, r):
+        streak = F.when(s["waiting"] == r["winner"], s["streak"] + 1).otherwise(F.lit(1))
+        wins = score(r, r["winner"]) > score(r, s["incumbent_after"])
+        reason = (F.when(s["incumbent_after"].isNull(), "INITIAL_CHOICE").when(r["winner"] == s["incumbent_after"], "INCUMBENT_RECONFIRMED").when(~wins, "NO_STRICT_IMPROVEMENT")
+                  .when(streak >= confirmations, "SWITCH_CONFIRMED").otherwise("CONFIRMATION_PENDING"))
+        quiet = reason.isin("INITIAL_CHOICE", "INCUMBENT_RECONFIRMED")
+        counted = reason.isin("SWITCH_CONFIRMED", "CONFIRMATION_PENDING")
+        return F.struct(s["incumbent_after"].alias("incumbent_before"), F.when(reason.isin("INITIAL_CHOICE", "SWITCH_CONFIRMED"), r["winner"]).otherwise(s["incumbent_after"]).alias("incumbent_after"),
+                        F.when(~quiet, r["winner"]).alias("challenger"), F.when(counted, streak).otherwise(F.lit(0)).alias("confirmations"),
+                        F.when(reason == "CONFIRMATION_PENDING", r["winner"]).alias("waiting"), F.when(reason == "CONFIRMATION_PENDING", streak).otherwise(F.lit(0)).alias("streak"), reason.alias("reason"))
+
+    kind = "struct<incumbent_before:string,incumbent_after:string,challenger:string,confirmations:long,waiting:string,streak:long,reason:string>"
+    none = F.struct(*(F.lit(None).alias(c) for c in ("incumbent_before", "incumbent_after", "challenger")), F.lit(0).alias("confirmations"), F.lit(None).alias("waiting"), F.lit(0).alias("streak"), F.lit(None).alias("reason"))
+    decided = carried(x.where("_new = 1"), keys, "_era", ["winner", "scores"], kind, none, step)
+    again = F.when(F.col("evidence_date") == F.col("_used"), "DUPLICATE_EVIDENCE_IGNORED").otherwise("NO_NEW_EVIDENCE")
+    fresh = F.col("_new") == 1
+    return x.join(decided, [*keys, "_era"]).select(
+        *keys, order, F.when(fresh, F.col("incumbent_before")).otherwise(F.col("incumbent_after")).alias("incumbent_before"), "incumbent_after",
+        F.when(fresh, F.col("challenger")).otherwise(F.col("waiting")).alias("challenger"), F.when(fresh, F.col("confirmations")).otherwise(F.col("streak")).alias("confirmations"),
+        F.when(fresh, F.col("reason")).otherwise(again).alias("reason"))
+
+
+def kept_incumbent(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """The incumbent while it is in the ``top`` set, else the ``winner`` of the row."""
+    step = lambda s, x: F.struct(F.when(F.array_contains(x["top"], s["incumbent"]), s["incumbent"]).otherwise(x["winner"]).alias("incumbent"))
+    return carried(df, keys, order, ["winner", "top"], "struct<incumbent:string>", F.struct(F.lit(None).alias("incumbent")), step)
+
+
+def buffered_picks(df: DataFrame, keys: Sequence[str], order: str, size: int) -> DataFrame:
+    """Names held while they stay in ``ranked`` (already cut at the buffer rank), filled up from the best ranked."""
+    def step(s, x):
+        kept = F.filter(s["names"], lambda n: F.array_contains(x["ranked"], n))
+        return F.struct(F.slice(F.concat(kept, F.array_except(x["ranked"], kept)), 1, size).alias("names"), F.size(kept).alias("kept"))
+
+    out = carried(df, keys, order, ["ranked"], f"struct<names:{dict(df.dtypes)['ranked']},kept:long>", F.struct(F.array().alias("names"), F.lit(0).alias("kept")), step)
+    return out.select(*keys, order, F.array_join(F.array_sort("names"), ",").alias("held"), "kept")
 
 
 def champion_spells(log: DataFrame, keys: Sequence[str], order: str, champion: str, fallback: str) -> DataFrame:
     """Switches, fallback rows and spell lengths of a decision log; pure windows."""
-    from pyspark.sql import Window
     w = Window.partitionBy(*keys).orderBy(order)
     prev = F.lag(champion).over(w)
     x = log.withColumn("_sw", F.coalesce((prev != F.col(champion)).cast("int"), F.lit(0))).withColumn("_spell", F.sum("_sw").over(w))
@@ -202,26 +215,3 @@ def paired_edge(pairs: DataFrame, keys: Sequence[str], a: str, b: str, cost: flo
     g = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("observations"), F.avg(d).alias("mean_edge"), F.stddev_samp(d).alias("_sd"))
     se = F.coalesce("_sd", F.lit(0.0)) / F.sqrt(F.col("observations").cast("double"))
     return g.withColumn("standard_error", se).withColumn("lcb", F.col("mean_edge") - 1.96 * F.col("standard_error")).drop("_sd")
-
-
-def incumbent_step() -> Step:
-    """Keep the incumbent while it stays in the TOP set, else take the current winner."""
-
-    def step(state, row):
-        top = set(row["top"])
-        inc = row["winner"] if state is None or state["inc"] not in top else state["inc"]
-        return {"inc": inc}, {"assessment_date": row["assessment_date"], "incumbent": inc}
-
-    return step
-
-
-def buffered_picks_step(size: int) -> Step:
-    """Hold a name while it stays in the ranked list (already cut at the buffer rank); fill up from the best ranked."""
-
-    def step(state, row):
-        ranked = list(row["ranked"])
-        kept = [] if state is None else [x for x in state["held"] if x in ranked]
-        held = (kept + [x for x in ranked if x not in kept])[:size]
-        return {"held": held}, {"date": row["date"], "held": ",".join(str(x) for x in sorted(held)), "kept": len(kept)}
-
-    return step

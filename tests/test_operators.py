@@ -211,13 +211,20 @@ def test_keyed_fold_keeps_order_and_never_mixes_keys(spark):
 
 
 def test_hysteresis_rejects_changed_evidence(spark):
-    step = fo.hysteresis_step()
-    row = {"assessment_date": DAY, "evidence_date": DAY, "fingerprint": 1, "winner": "A", "scores": {"A": 1.0}}
-    state, _ = step(None, row)
-    with pytest.raises(ValueError):
-        step(state, {**row, "fingerprint": 2})
-    with pytest.raises(ValueError):
-        step(state, {**row, "evidence_date": DAY - dt.timedelta(days=1)})
+    rows = [("k", day(3), day(2), 1, "A", {"A": 1.0, "B": 0.0})]
+    run = lambda more: fo.recipe_hysteresis(spark.createDataFrame(rows + more, "k string, assessment_date date, evidence_date date, fingerprint long, winner string, scores map<string,double>"), ["k"]).orderBy("assessment_date").collect()
+    for bad in (("k", day(4), day(2), 2, "A", {"A": 1.0}), ("k", day(4), day(1), 1, "A", {"A": 1.0})):
+        with pytest.raises(Exception, match="evidence"):
+            run([bad])
+
+
+def test_hysteresis_confirms_on_two_expansions(spark):
+    better = {"A": 1.0, "B": 2.0}
+    rows = [("k", day(d), day(e), f, w, better) for d, e, f, w in ((2, 1, 1, "A"), (3, 1, 1, "A"), (4, 2, 1, "A"), (5, 3, 2, "B"), (6, 3, 2, "B"), (7, 4, 3, "B"), (8, 5, 4, "A"), (9, 6, 5, "B"))]
+    got = fo.recipe_hysteresis(spark.createDataFrame(rows, "k string, assessment_date date, evidence_date date, fingerprint long, winner string, scores map<string,double>"), ["k"]).orderBy("assessment_date").collect()
+    assert [(r["incumbent_after"], r["challenger"], r["confirmations"], r["reason"]) for r in got] == [
+        ("A", None, 0, "INITIAL_CHOICE"), ("A", None, 0, "DUPLICATE_EVIDENCE_IGNORED"), ("A", None, 0, "NO_NEW_EVIDENCE"), ("A", "B", 1, "CONFIRMATION_PENDING"),
+        ("A", "B", 1, "DUPLICATE_EVIDENCE_IGNORED"), ("B", "B", 2, "SWITCH_CONFIRMED"), ("B", "A", 0, "NO_STRICT_IMPROVEMENT"), ("B", None, 0, "INCUMBENT_RECONFIRMED")]
 
 
 def test_family_store_replaces_only_published_families(spark):

@@ -304,22 +304,37 @@ def positions(r):
     return position_sessions(t, r.prices(), r.sessions()).join(t.select("trade_id", "arm"), "trade_id")
 
 
-@query("a23_loss_attribution", f"""
-WITH {POS}, l AS (SELECT 'ticker' AS dimension, ticker::VARCHAR AS key, * FROM pos UNION ALL SELECT 'generation', year(entry_date)::VARCHAR, * FROM pos UNION ALL SELECT 'arm', arm, * FROM pos)
-SELECT dimension, key, {R('sum(v)', 4)} AS net, {R('sum(-least(v, 0))', 4)} AS losses, count(DISTINCT date) AS sessions, count(DISTINCT trade_id) AS trades,
- {R('sum(-least(v, 0)) / (SELECT sum(-least(v, 0)) FROM pos)')} AS share FROM l GROUP BY 1, 2""")
+EPISODE = POS + """,
+nv AS (SELECT arm, date, round(avg(rel), 10) AS rel FROM x_nav GROUP BY 1, 2), pk AS (SELECT *, max(rel) OVER (PARTITION BY arm ORDER BY date) AS pk FROM nv),
+dd AS (SELECT *, rel / pk - 1 AS dd, max(CASE WHEN rel = pk THEN date END) OVER (PARTITION BY arm ORDER BY date) AS pk_at FROM pk),
+ep AS (SELECT arm, arg_min(pk_at, (dd, date)) AS peak_date, arg_min(date, (dd, date)) AS trough_date FROM dd GROUP BY 1),
+ins AS (SELECT pos.*, t.hold, s.s_nationkey AS sector FROM pos JOIN ep ON ep.arm = pos.arm AND pos.date BETWEEN peak_date AND trough_date JOIN x_trades t USING (trade_id) LEFT JOIN supplier s ON s.s_suppkey = pos.ticker),
+w AS (SELECT arm, sum(-least(v, 0)) AS w FROM ins GROUP BY 1),
+l AS (SELECT 'ticker' AS dimension, ticker::VARCHAR AS key, * FROM ins UNION ALL SELECT 'sector', coalesce(sector::VARCHAR, 'UNKNOWN'), * FROM ins UNION ALL SELECT 'generation', year(entry_date)::VARCHAR, * FROM ins UNION ALL SELECT 'recipe', hold::VARCHAR, * FROM ins
+ UNION ALL SELECT 'trade', trade_id::VARCHAR, * FROM ins),
+sh AS (SELECT arm, dimension, key, sum(v) AS net, sum(-least(v, 0)) AS losses, count(DISTINCT date) AS sessions, count(DISTINCT trade_id) AS trades, coalesce(sum(-least(v, 0)) / nullif(any_value(w), 0), 0) AS share FROM l JOIN w USING (arm) GROUP BY 1, 2, 3)"""
+
+
+def episode_losses(r):
+    """Loss shares of each arm inside the deepest drawdown of its curve, by five dimensions."""
+    from chronopanel.operators.wealth import max_drawdown_episode
+    curve = r.nav().groupBy("arm", "date").agg(F.round(F.avg("rel"), 10).alias("rel"))
+    episode = max_drawdown_episode(curve, ["arm"]).select("arm", "peak_date", "trough_date").distinct()
+    sector = r.table("supplier").select(F.col("s_suppkey").alias("ticker"), F.col("s_nationkey").alias("sector"))
+    inside = positions(r).join(episode, "arm").where(F.col("date").between(F.col("peak_date"), F.col("trough_date"))).join(r.trades().select("trade_id", "hold"), "trade_id").join(sector, "ticker", "left")
+    return ev.attribution(inside, ["arm"], {"ticker": F.col("ticker"), "sector": F.col("sector"), "generation": F.year("entry_date"), "recipe": F.col("hold"), "trade": F.col("trade_id")}, "interval_return", "date", "trade_id")
+
+
+@query("a23_loss_attribution", f"WITH {EPISODE} SELECT arm, dimension, key, {R('net', 4)} AS net, {R('losses', 4)} AS losses, sessions, trades, {R('share')} AS share FROM sh")
 def a23(r):
-    a = ev.attribution(positions(r), {"ticker": F.col("ticker"), "generation": F.year("entry_date"), "arm": F.col("arm")}, "interval_return", "date", "trade_id")
-    return a.select("dimension", "key", rnd("net", 4).alias("net"), rnd("losses", 4).alias("losses"), "sessions", "trades", rnd("share").alias("share"))
+    return episode_losses(r).select("arm", "dimension", "key", rnd("net", 4).alias("net"), rnd("losses", 4).alias("losses"), "sessions", "trades", rnd("share").alias("share"))
 
 
 @query("a23_dominant_cause", f"""
-WITH {POS}, t AS (SELECT sum(-least(v, 0)) AS w FROM pos), a AS (SELECT ticker::VARCHAR AS k, sum(-least(v, 0)) / any_value(w) AS s FROM pos, t GROUP BY 1),
-g AS (SELECT year(entry_date) AS k, sum(-least(v, 0)) / any_value(w) AS s FROM pos, t GROUP BY 1)
-SELECT CASE WHEN (SELECT max(s) FROM a) >= 0.5 THEN 'A_SINGLE_TICKER_OUTLIER' WHEN (SELECT max(s) FROM g) >= 0.6 THEN 'B_GENERATION_CLUSTER' ELSE 'C_MULTI_NAME_OR_MARKET_CLUSTER' END AS cause,
- (SELECT k FROM a ORDER BY s DESC, k DESC LIMIT 1) AS top_ticker, {R('(SELECT max(s) FROM a)')} AS top_ticker_share, {R('(SELECT max(s) FROM g)')} AS top_generation_share""")
+WITH {EPISODE}, t AS (SELECT arm, max(share) FILTER (dimension = 'ticker') AS t, max(share) FILTER (dimension = 'generation') AS g, arg_max(key, (share, key)) FILTER (dimension = 'ticker') AS top_ticker, arg_max(key, (share, key)) FILTER (dimension = 'generation') AS top_generation FROM sh GROUP BY 1)
+SELECT arm, CASE WHEN t >= 0.5 THEN 'A_SINGLE_TICKER_OUTLIER' WHEN g >= 0.6 THEN 'B_GENERATION_CLUSTER' ELSE 'C_MULTI_NAME_OR_MARKET_CLUSTER' END AS cause, top_ticker, {R('t')} AS top_ticker_share, top_generation, {R('g')} AS top_generation_share FROM t""")
 def a23_cause(r):
-    return ev.dominant_cause(ev.attribution(positions(r), {"ticker": F.col("ticker"), "generation": F.year("entry_date")}, "interval_return", "date", "trade_id"))
+    return ev.dominant_cause(episode_losses(r), ["arm"])
 
 
 PLATEAU = """CASE WHEN regexp_matches(family_id, '^H\\d{2}_D\\d{2}_N\\d{2}_(FIXED|LEARNED_EXIT)$') THEN

@@ -73,7 +73,7 @@ def mdraw(n, *parts):
 
 
 ROB = "median({0}) + 0.5 * avg({0}) - 0.5 * stddev_pop({0}) - 0.02 * avg(({0} <= 0)::INT)"
-B6 = f"""{B_FOLDS}, sz AS (SELECT h, count(*) AS n FROM pf GROUP BY 1), dr AS (SELECT h, rep, {mdraw('n', "'11'", 'rep', 'i')} AS pos FROM sz, (SELECT unnest(range(1, 301)) AS rep), LATERAL (SELECT unnest(range(1, n + 1)) AS i)),
+B6 = f"""{B_FOLDS}, sz AS (SELECT h, count(*) AS n FROM pf GROUP BY 1), dr AS (SELECT h, rep, {mdraw('n', "'11'", 'rep', 'i')} AS pos FROM sz, (SELECT unnest(range(1, 5001)) AS rep), LATERAL (SELECT unnest(range(1, n + 1)) AS i)),
 rp AS (SELECT h, rep, ({ROB.format('b')}) - ({ROB.format('a')}) AS s FROM dr JOIN pf USING (h, pos) GROUP BY 1, 2),
 bs AS (SELECT h, {R('avg(s)')} AS boot_mean, {R('quantile_cont(s, 0.05)')} AS q05, {R('quantile_cont(s, 0.95)')} AS q95, {R('avg((s > 0)::INT)')} AS positive_fraction FROM rp GROUP BY 1),
 ob AS (SELECT h, count(*) AS folds, {R('(' + ROB.format('b') + ') - (' + ROB.format('a') + ')')} AS robust_delta FROM pf GROUP BY 1)"""
@@ -82,7 +82,7 @@ ob AS (SELECT h, count(*) AS folds, {R('(' + ROB.format('b') + ') - (' + ROB.for
 def paired_bootstrap(r):
     s = stage(paired_folds(r), "paired-folds")
     delta = robust_score("b") - robust_score("a")
-    boot = rs.summarize(rs.iid_samples(s, ["h"], ["a", "b"], reps=300, seed=11), ["h"], delta)
+    boot = rs.summarize(rs.iid_samples(s, ["h"], ["a", "b"], reps=5000, seed=11), ["h"], delta)
     return s.groupBy("h").agg(F.count(F.lit(1)).alias("folds"), rnd(delta).alias("robust_delta")).join(boot, "h").withColumns(
         {c: rnd(c) for c in ("boot_mean", "q05", "q95", "positive_fraction")})
 
@@ -200,54 +200,59 @@ ROUND = {c: rnd(c) for c in ("boot_mean", "q05", "q95", "positive_fraction")}
 
 
 @query("b1_block_bootstrap_mean", f"""
-WITH {MONTHLY}, {BLOCK.format(b=mdraw('n', "'17'", 'rep', 'i'), reps=300, block=5)}, rp AS (SELECT k, rep, avg(v) AS s FROM pk JOIN sr USING (k, pos) GROUP BY 1, 2) SELECT k, {SUMMARY} FROM rp GROUP BY 1""")
+WITH {MONTHLY}, {BLOCK.format(b=mdraw('n', "'17'", 'rep', 'i'), reps=1000, block=5)}, rp AS (SELECT k, rep, avg(v) AS s FROM pk JOIN sr USING (k, pos) GROUP BY 1, 2) SELECT k, {SUMMARY} FROM rp GROUP BY 1""")
 def b1(r):
-    return rs.summarize(rs.block_samples(monthly_series(r), ["k"], ["v"], block=5, reps=300, seed=17), ["k"], F.avg("v")).withColumns(ROUND)
+    return rs.summarize(rs.block_samples(monthly_series(r), ["k"], ["v"], block=5, reps=1000, seed=17), ["k"], F.avg("v")).withColumns(ROUND)
 
 
 @query("b2_partition_block_bootstrap", f"""
-WITH {MONTHLY}, {BLOCK.format(b='3 * ' + mdraw('ceil(n / 3.0)::BIGINT', "'23'", 'rep', 'i'), reps=300, block=3)}, rp AS (SELECT k, rep, avg(v) AS s FROM pk JOIN sr USING (k, pos) GROUP BY 1, 2),
+WITH {MONTHLY}, {BLOCK.format(b='3 * ' + mdraw('ceil(n / 3.0)::BIGINT', "'23'", 'rep', 'i'), reps=1000, block=3)}, rp AS (SELECT k, rep, avg(v) AS s FROM pk JOIN sr USING (k, pos) GROUP BY 1, 2),
 ob AS (SELECT k, count(*) AS n, {R('avg(v)')} AS mean, {R('median(v)')} AS median FROM sr GROUP BY 1) SELECT k, n, mean, median, {SUMMARY} FROM rp JOIN ob USING (k) GROUP BY 1, 2, 3, 4""")
 def b2(r):
     s = monthly_series(r)
-    boot = rs.summarize(rs.block_samples(s, ["k"], ["v"], block=3, reps=300, seed=23, fixed=True), ["k"], F.avg("v")).withColumns(ROUND)
+    boot = rs.summarize(rs.block_samples(s, ["k"], ["v"], block=3, reps=1000, seed=23, fixed=True), ["k"], F.avg("v")).withColumns(ROUND)
     return s.groupBy("k").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("v")).alias("mean"), rnd(median("v")).alias("median")).join(boot, "k")
 
 
 @query("b3_cagr_contrast_bootstrap", f"""
 WITH sr AS (SELECT 'ALL' AS k, row_number() OVER (ORDER BY date) - 1 AS pos, avg(r) FILTER (arm = 'F') AS a, avg(r) FILTER (arm = 'O') AS b FROM x_ret GROUP BY date),
-{BLOCK.format(b=mdraw('n', "'31'", 'rep', 'i'), reps=200, block=21)}, rp AS (SELECT k, rep, exp(avg(ln(1 + a)) * 52) - exp(avg(ln(1 + b)) * 52) AS s FROM pk JOIN sr USING (k, pos) GROUP BY 1, 2) SELECT k, {SUMMARY} FROM rp GROUP BY 1""")
+sz AS (SELECT k, count(*) AS n FROM sr GROUP BY 1), dr AS (SELECT k, n, rep, i, {mdraw('(n - 20)', "'31'", 'rep', 'i')} AS st FROM sz, (SELECT unnest(range(1, 2001)) AS rep), LATERAL (SELECT unnest(range(1, ceil(n / 21.0)::BIGINT + 1)) AS i)),
+pk AS (SELECT k, rep, st + j AS pos FROM dr, LATERAL (SELECT unnest(range(0, least(21, n - 21 * (i - 1))::BIGINT)) AS j)),
+rp AS (SELECT k, rep, exp(avg(ln(1 + a)) * 52) - exp(avg(ln(1 + b)) * 52) AS s FROM pk JOIN sr USING (k, pos) GROUP BY 1, 2)
+SELECT k, {R('avg(s)')} AS boot_mean, {R('quantile_cont(s, 0.025)')} AS q025, {R('quantile_cont(s, 0.975)')} AS q975, {R('avg((s > 0)::INT)')} AS positive_fraction FROM rp GROUP BY 1""")
 def b3(r):
+    """Contrast of two arms' CAGR excess; both subtract the same benchmark path, which therefore cancels."""
     w = r.returns().groupBy("date").pivot("arm", ["F", "O"]).agg(F.avg("r")).select(F.lit("ALL").alias("k"), "date", F.col("F").alias("a"), F.col("O").alias("b"))
     s = stage(rs.index_series(w, ["k"], "date", ["a", "b"]), "series")
     cagr = lambda c: F.exp(F.avg(F.log1p(c)) * 52)
-    return rs.summarize(rs.block_samples(s, ["k"], ["a", "b"], block=21, reps=200, seed=31), ["k"], cagr("a") - cagr("b")).withColumns(ROUND)
+    out = rs.summarize(rs.block_samples(s, ["k"], ["a", "b"], block=21, reps=2000, seed=31, whole=True), ["k"], cagr("a") - cagr("b"), {"q025": 0.025, "q975": 0.975})
+    return out.withColumns({c: rnd(c) for c in ("boot_mean", "q025", "q975", "positive_fraction")})
 
 
 @query("b4_cluster_bootstrap", f"""
 WITH cl AS (SELECT 'ticker' AS k, ticker::VARCHAR AS u, avg(excess) AS v FROM x_tr GROUP BY 1, 2 UNION ALL SELECT 'quarter', strftime(date_trunc('quarter', entry_date)::DATE, '%Y-%m-%d'), avg(excess) FROM x_tr GROUP BY 1, 2),
 sr AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY u) - 1 AS pos, v FROM cl), sz AS (SELECT k, count(*) AS n FROM sr GROUP BY 1),
-dr AS (SELECT k, rep, {mdraw('n', "'41'", 'rep', 'i')} AS pos FROM sz, (SELECT unnest(range(1, 301)) AS rep), LATERAL (SELECT unnest(range(1, n + 1)) AS i)), rp AS (SELECT k, rep, avg(v) AS s FROM dr JOIN sr USING (k, pos) GROUP BY 1, 2)
+dr AS (SELECT k, rep, {mdraw('n', "'41'", 'rep', 'i')} AS pos FROM sz, (SELECT unnest(range(1, 1001)) AS rep), LATERAL (SELECT unnest(range(1, n + 1)) AS i)), rp AS (SELECT k, rep, avg(v) AS s FROM dr JOIN sr USING (k, pos) GROUP BY 1, 2)
 SELECT k, n AS clusters, {SUMMARY} FROM rp JOIN sz USING (k) GROUP BY 1, 2""")
 def b4(r):
     t = r.trade_returns()
     unit = F.array(F.struct(F.lit("ticker").alias("k"), F.col("ticker").cast("string").alias("u")), F.struct(F.lit("quarter").alias("k"), F.trunc("entry_date", "quarter").cast("string").alias("u")))
     means = t.select("excess", F.inline(unit)).groupBy("k", "u").agg(F.avg("excess").alias("v"))
     s = stage(rs.index_series(means, ["k"], "u", ["v"]), "clusters")
-    boot = rs.summarize(rs.iid_samples(s, ["k"], ["v"], reps=300, seed=41), ["k"], F.avg("v")).withColumns(ROUND)
+    boot = rs.summarize(rs.iid_samples(s, ["k"], ["v"], reps=1000, seed=41), ["k"], F.avg("v")).withColumns(ROUND)
     return s.groupBy("k").agg(F.count(F.lit(1)).alias("clusters")).join(boot, "k")
 
 
 @query("b5_median_bootstrap_gate", f"""
 WITH pl AS (SELECT h, d, {R("median(cagr_excess) FILTER (treatment = 'R') - median(cagr_excess) FILTER (treatment = 'A')")} AS v FROM x_surf GROUP BY 1, 2),
 sr AS (SELECT h AS k, row_number() OVER (PARTITION BY h ORDER BY d) - 1 AS pos, v FROM pl WHERE v IS NOT NULL), sz AS (SELECT k, count(*) AS n, {R('avg((v > 0)::INT)')} AS direction FROM sr GROUP BY 1),
-dr AS (SELECT k, rep, {mdraw('n', "'53'", 'rep', 'i')} AS pos FROM sz, (SELECT unnest(range(1, 301)) AS rep), LATERAL (SELECT unnest(range(1, n + 1)) AS i)), rp AS (SELECT k, rep, median(v) AS s FROM dr JOIN sr USING (k, pos) GROUP BY 1, 2),
+dr AS (SELECT k, rep, {mdraw('n', "'53'", 'rep', 'i')} AS pos FROM sz, (SELECT unnest(range(1, 5001)) AS rep), LATERAL (SELECT unnest(range(1, n + 1)) AS i)), rp AS (SELECT k, rep, median(v) AS s FROM dr JOIN sr USING (k, pos) GROUP BY 1, 2),
 bs AS (SELECT k, {SUMMARY} FROM rp GROUP BY 1) SELECT bs.*, n AS plateaus, direction, direction >= 0.6 AND q05 > 0 AS gate_pass FROM bs JOIN sz USING (k)""")
 def b5(r):
     m = lambda t: F.expr(f"percentile(CASE WHEN treatment = '{t}' THEN cagr_excess END, 0.5)")
     p = r.surface().groupBy(F.col("h").alias("k"), "d").agg(rnd(m("R") - m("A")).alias("v")).where("v IS NOT NULL")
     s = stage(rs.index_series(p, ["k"], "d", ["v"]), "plateau-medians")
-    boot = rs.summarize(rs.iid_samples(s, ["k"], ["v"], reps=300, seed=53), ["k"], median("v")).withColumns(ROUND)
+    boot = rs.summarize(rs.iid_samples(s, ["k"], ["v"], reps=5000, seed=53), ["k"], median("v")).withColumns(ROUND)
     base = s.groupBy("k").agg(F.count(F.lit(1)).alias("plateaus"), rnd(F.avg((F.col("v") > 0).cast("int"))).alias("direction"))
     return boot.join(base, "k").withColumn("gate_pass", (F.col("direction") >= 0.6) & (F.col("q05") > 0))
 

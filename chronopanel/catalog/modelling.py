@@ -42,7 +42,7 @@ def m2(r):
     ics = od.rank_ic(both, ["assessment_date"], "base", "fwd_1m", name="ic_base").drop("n_rows").join(
         od.rank_ic(both, ["assessment_date"], "added", "fwd_1m", name="ic_added").drop("n_rows"), "assessment_date").withColumn("v", F.col("ic_added") - F.col("ic_base"))
     s = stage(rs.index_series(ics.where("v IS NOT NULL").withColumn("k", F.lit("1B")), ["k"], "assessment_date", ["v"]), "gate-series")
-    boot = rs.summarize(rs.block_samples(s, ["k"], ["v"], block=3, reps=300, seed=17), ["k"], F.avg("v"))
+    boot = rs.summarize(rs.block_samples(s, ["k"], ["v"], block=3, reps=1000, seed=17), ["k"], F.avg("v"))
     base = s.groupBy("k").agg(F.count(F.lit(1)).alias("months"), F.avg("v").alias("mean_delta_ic"), median("v").alias("median_delta_ic"))
     return base.join(boot, "k").withColumn("gate_pass", (F.col("median_delta_ic") > 0) & (F.col("q05") > 0)).withColumns(
         {c: rnd(c) for c in ("mean_delta_ic", "median_delta_ic", "boot_mean", "q05", "q95", "positive_fraction")})
@@ -70,7 +70,9 @@ def m3_gbt(r):
 @query("m4_pairwise_choice")
 def m4(r):
     sets = stage(r.sets(), "sets")
-    return mo.pairwise_expected_wins(bucket_pairs(sets, KEYS), sets, KEYS, "1999-01-01").withColumn("expected_wins", rnd("expected_wins", 4))
+    # the outcome of a month's set is known a month later
+    pairs = bucket_pairs(sets, KEYS).withColumn("matured_date", F.add_months("decision_date", 1))
+    return mo.pairwise_expected_wins(pairs, sets, KEYS, "1999-01-01").withColumn("expected_wins", rnd("expected_wins", 4))
 
 
 @query("m5_rank_ensemble", f"""

@@ -110,24 +110,27 @@ def compounded_by(df: DataFrame, keys: Sequence[str], returns: Sequence[str]) ->
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("sessions"), *[rnd(F.product(1 + F.col(r)) - 1).alias(r) for r in returns])
 
 
-def attribution(df: DataFrame, dimensions: dict[str, Column], value: str, session: str, trade: str) -> DataFrame:
-    """Negative and net contribution by several dimensions in one unpivot, with the share of all losses."""
+def attribution(df: DataFrame, keys: Sequence[str], dimensions: dict[str, Column], value: str, session: str, trade: str) -> DataFrame:
+    """Negative and net contribution by several dimensions in one unpivot, with the share of all losses of the key (an arm).
+
+    ``df`` holds the positions inside the key's drawdown episode only. A missing dimension value counts as UNKNOWN.
+    """
     loss = -F.least(F.col(value), F.lit(0.0))
-    whole = df.agg(F.sum(loss))
-    dims = F.array(*[F.struct(F.lit(n).alias("dimension"), c.cast("string").alias("key")) for n, c in dimensions.items()])
-    long = df.select(F.col(value).alias("_v"), loss.alias("_l"), F.col(session).alias("_s"), F.col(trade).alias("_t"), F.inline(dims))
-    g = long.groupBy("dimension", "key").agg(F.sum("_v").alias("net"), F.sum("_l").alias("losses"), F.countDistinct("_s").alias("sessions"),
-                                             F.countDistinct("_t").alias("trades"))
-    return g.withColumn("_w", whole.scalar()).withColumn("share", F.coalesce(F.col("losses") / F.nullif("_w", F.lit(0.0)), F.lit(0.0))).drop("_w")
+    whole = df.groupBy(*keys).agg(F.sum(loss).alias("_w"))
+    dims = F.array(*[F.struct(F.lit(n).alias("dimension"), F.coalesce(c.cast("string"), F.lit("UNKNOWN")).alias("key")) for n, c in dimensions.items()])
+    long = df.select(*keys, F.col(value).alias("_v"), loss.alias("_l"), F.col(session).alias("_s"), F.col(trade).alias("_t"), F.inline(dims))
+    g = long.groupBy(*keys, "dimension", "key").agg(F.sum("_v").alias("net"), F.sum("_l").alias("losses"), F.countDistinct("_s").alias("sessions"),
+                                                    F.countDistinct("_t").alias("trades"))
+    return g.join(whole, list(keys)).withColumn("share", F.coalesce(F.col("losses") / F.nullif("_w", F.lit(0.0)), F.lit(0.0))).drop("_w")
 
 
-def dominant_cause(shares: DataFrame) -> DataFrame:
-    """Class of the largest loss source."""
+def dominant_cause(shares: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Class of the largest loss source of each key; labels and cuts are fixed values."""
     top = lambda d: F.max(F.when(F.col("dimension") == d, F.col("share")))
     key = lambda d: F.max_by("key", F.when(F.col("dimension") == d, F.struct("share", "key")))
-    s = shares.agg(top("ticker").alias("t"), top("generation").alias("g"), key("ticker").alias("top_ticker"))
+    s = shares.groupBy(*keys).agg(top("ticker").alias("t"), top("generation").alias("g"), key("ticker").alias("top_ticker"), key("generation").alias("top_generation"))
     cause = F.when(F.col("t") >= 0.5, "A_SINGLE_TICKER_OUTLIER").when(F.col("g") >= 0.6, "B_GENERATION_CLUSTER").otherwise("C_MULTI_NAME_OR_MARKET_CLUSTER")
-    return s.select(cause.alias("cause"), "top_ticker", rnd("t").alias("top_ticker_share"), rnd("g").alias("top_generation_share"))
+    return s.select(*keys, cause.alias("cause"), "top_ticker", rnd("t").alias("top_ticker_share"), "top_generation", rnd("g").alias("top_generation_share"))
 
 
 def feature_associations(df: DataFrame, features: Sequence[str], target: str, min_rows: int = 3) -> DataFrame:

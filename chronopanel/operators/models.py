@@ -111,20 +111,26 @@ def walk_forward_pipeline(panel: DataFrame, features: Sequence[str], target: str
     return out
 
 
-def pairwise_expected_wins(pairs: DataFrame, sets: DataFrame, keys: Sequence[str], boundary: str, date: str = "decision_date") -> DataFrame:
-    """Pairwise choice model (logistic, no intercept) on score differences, fitted before ``boundary``;
-    expected wins per candidate = sum of its win probabilities over its pairs."""
+def pairwise_expected_wins(pairs: DataFrame, sets: DataFrame, keys: Sequence[str], boundary: str, date: str = "decision_date", matured: str = "matured_date") -> DataFrame:
+    """Pairwise choice model (logistic, no intercept) on score differences; expected wins per candidate of the sets from ``boundary`` on.
+
+    Fitted on pairs whose outcome matured before ``boundary`` and is no tie; every later pair is scored whatever its
+    outcome. A candidate without pairs has no wins. Unit penalty on the standardised weight.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     cut = F.to_date(F.lit(boundary))
-    x = VectorAssembler(inputCols=["score_diff"], outputCol="features").transform(pairs.where("realized_diff <> 0").withColumn("label", (F.col("realized_diff") > 0).cast("double")))
-    model = LogisticRegression(fitIntercept=False, regParam=0.01).fit(x.where(F.col(date) < cut))
-    p = vector_to_array("probability")[1]
-    scored = model.transform(x.where(F.col(date) >= cut)).withColumn("p", p)
+    x = VectorAssembler(inputCols=["score_diff"], outputCol="features").transform(
+        pairs.withColumn("label", F.when(F.col("realized_diff") != 0, (F.col("realized_diff") > 0).cast("double"))))
+    known = x.where(F.col("label").isNotNull() & (F.col(matured) < cut))
+    model = LogisticRegression(fitIntercept=False, regParam=1.0 / max(1, known.count())).fit(known)
+    scored = model.transform(x.where(F.col(date) >= cut)).withColumn("p", vector_to_array("probability")[1])
     wins = scored.select(*keys, F.inline(F.array(F.struct(F.col("bucket_a").alias("h_bucket"), F.col("p").alias("w")), F.struct(F.col("bucket_b").alias("h_bucket"), (1 - F.col("p")).alias("w")))))
-    return wins.groupBy(*keys, "h_bucket").agg(F.sum("w").alias("expected_wins"), F.count(F.lit(1)).alias("pairs"))
+    won = wins.groupBy(*keys, "h_bucket").agg(F.sum("w").alias("expected_wins"), F.count(F.lit(1)).alias("pairs"))
+    every = sets.where(F.col(date) >= cut).select(*keys, "h_bucket").distinct()
+    return every.join(won, [*keys, "h_bucket"], "left").na.fill({"expected_wins": 0.0, "pairs": 0})
 
 
 def rank_ensemble(df: DataFrame, keys: Sequence[str], scores: Sequence[str]) -> DataFrame:

@@ -26,14 +26,16 @@ def index_series(df: DataFrame, keys: Sequence[str], order: str, values: Sequenc
 
 
 def block_samples(series: DataFrame, keys: Sequence[str], values: Sequence[str], *, block: int, reps: int, seed: int,
-                  fixed: bool = False) -> DataFrame:
-    """Resampled rows (keys, rep, values): random-start blocks cut at the end of the series, or fixed partition blocks.
+                  fixed: bool = False, whole: bool = False) -> DataFrame:
+    """Resampled rows (keys, rep, values): random-start blocks cut at the end of the series, fixed partition blocks, or whole blocks.
 
-    Draws continue until n values are collected; the last block is trimmed.
+    Draws continue until n values are collected; the last block is trimmed. Whole blocks start only where all of a block
+    fits, so n / block draws are enough; the other two may meet short blocks and draw up to n.
     """
-    size = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.ceil(F.col("n") / block) if fixed else F.col("n")
-    d = (size.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    size = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= (block if whole else 1))
+    blocks = F.ceil(F.col("n") / block) if fixed else F.col("n") - block + 1 if whole else F.col("n")
+    draws = F.ceil(F.col("n") / block) if whole else F.col("n")
+    d = (size.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), draws)))
          .withColumn("_b", draw(blocks, F.lit(seed), F.col("rep"), F.col("i"))))
     start = F.col("_b") * block if fixed else F.col("_b")
     d = d.withColumn("_start", start).withColumn("_len", F.least(F.lit(block), F.col("n") - F.col("_start")))
@@ -50,8 +52,8 @@ def iid_samples(series: DataFrame, keys: Sequence[str], values: Sequence[str], *
     return d.select(*keys, "rep", "pos").join(series, [*keys, "pos"]).select(*keys, "rep", *values)
 
 
-def summarize(samples: DataFrame, keys: Sequence[str], statistic: Column) -> DataFrame:
-    """Replicate statistics reduced to mean, q05, q95 and the positive fraction (one row per replicate, so exact)."""
+def summarize(samples: DataFrame, keys: Sequence[str], statistic: Column, band: dict[str, float] | None = None) -> DataFrame:
+    """Replicate statistics reduced to mean, the band's quantiles (5% and 95%) and the positive fraction (one row per replicate, so exact)."""
     r = samples.groupBy(*keys, "rep").agg(statistic.alias("s"))
-    return r.groupBy(*keys).agg(F.avg("s").alias("boot_mean"), F.expr("percentile(s, 0.05)").alias("q05"), F.expr("percentile(s, 0.95)").alias("q95"),
+    return r.groupBy(*keys).agg(F.avg("s").alias("boot_mean"), *(F.expr(f"percentile(s, {q})").alias(name) for name, q in (band or {"q05": 0.05, "q95": 0.95}).items()),
                                 F.avg((F.col("s") > 0).cast("int")).alias("positive_fraction"))

@@ -104,19 +104,20 @@ def local_stability(cells: DataFrame, design: DataFrame) -> DataFrame:
         & (F.col("robust_neighbour_fraction") >= 0.5) & (F.col("median_neighbour") > 0))
 
 
-def connected_components(cells: DataFrame, offsets=OFFSETS, max_rounds: int = 60) -> DataFrame:
+def connected_components(cells: DataFrame, offsets=OFFSETS) -> DataFrame:
     """Component label (smallest cell key) per cell by min-label propagation with pointer jumping.
 
     Every round is two equi-joins on cell keys; each round's result is
-    checkpointed reliably, and the loop ends when no label changes.
+    checkpointed reliably, and the loop ends only when no label changes. Labels
+    are (h, d) pairs, so no two cells share one; the component reads h * 10^6 + d
+    as text or number only at the end.
     """
-    key = F.col("h") * 1_000_000 + F.col("d")
-    nodes = cells.select("h", "d", key.cast("long").alias("id")).distinct()
+    nodes = cells.select("h", "d", F.struct("h", "d").alias("id")).distinct()
     edges = neighbour_keys(nodes, ["id"], offsets).join(
         nodes.select(F.col("h").alias("nh"), F.col("d").alias("nd"), F.col("id").alias("nid")), ["nh", "nd"]).select("id", "nid")
     edges = cut_lineage(edges)
     labels = cut_lineage(nodes.select("id", F.col("id").alias("label")))
-    for _ in range(max_rounds):
+    while True:
         near = edges.join(labels.select(F.col("id").alias("nid"), "label"), "nid").groupBy("id").agg(F.min("label").alias("_near"))
         hop = labels.join(near, "id", "left").select("id", F.col("label").alias("_old"), F.least("label", "_near").alias("label"))
         jump = hop.select(F.col("id").alias("label"), F.col("label").alias("_up"))
@@ -124,7 +125,8 @@ def connected_components(cells: DataFrame, offsets=OFFSETS, max_rounds: int = 60
         labels = step.select("id", "label")
         if step.where("label <> _old").isEmpty():
             break
-    return nodes.join(labels, "id").select("h", "d", F.col("label").alias("component"))
+    named = F.col("label.h").cast("decimal(20,0)") * 1_000_000 + F.col("label.d")
+    return nodes.join(labels, "id").select("h", "d", F.when(F.col("label.d") < 1_000_000, named).otherwise(F.raise_error(F.lit("cell beyond the plateau id format"))).cast("long").alias("component"))
 
 
 def plateaus(cells: DataFrame) -> DataFrame:

@@ -196,13 +196,15 @@ def monthly_series(r):
     return stage(rs.index_series(m, ["k"], "assessment_date", ["v"]), "series")
 
 
-ROUND = {c: rnd(c) for c in ("boot_mean", "q05", "q95", "positive_fraction")}
+def rounded(boot):
+    return boot.withColumns({c: rnd(c) for c in ("boot_mean", "q05", "q95", "positive_fraction")})
+
 
 
 @query("b1_block_bootstrap_mean", f"""
 WITH {MONTHLY}, {BLOCK.format(b=mdraw('n', "'17'", 'rep', 'i'), reps=1000, block=5)}, rp AS (SELECT k, rep, avg(v) AS s FROM pk JOIN sr USING (k, pos) GROUP BY 1, 2) SELECT k, {SUMMARY} FROM rp GROUP BY 1""")
 def b1(r):
-    return rs.summarize(rs.block_samples(monthly_series(r), ["k"], ["v"], block=5, reps=1000, seed=17), ["k"], F.avg("v")).withColumns(ROUND)
+    return rounded(rs.summarize(rs.block_samples(monthly_series(r), ["k"], ["v"], block=5, reps=1000, seed=17), ["k"], F.avg("v")))
 
 
 @query("b2_partition_block_bootstrap", f"""
@@ -210,7 +212,7 @@ WITH {MONTHLY}, {BLOCK.format(b='3 * ' + mdraw('ceil(n / 3.0)::BIGINT', "'23'",
 ob AS (SELECT k, count(*) AS n, {R('avg(v)')} AS mean, {R('median(v)')} AS median FROM sr GROUP BY 1) SELECT k, n, mean, median, {SUMMARY} FROM rp JOIN ob USING (k) GROUP BY 1, 2, 3, 4""")
 def b2(r):
     s = monthly_series(r)
-    boot = rs.summarize(rs.block_samples(s, ["k"], ["v"], block=3, reps=1000, seed=23, fixed=True), ["k"], F.avg("v")).withColumns(ROUND)
+    boot = rounded(rs.summarize(rs.block_samples(s, ["k"], ["v"], block=3, reps=1000, seed=23, fixed=True), ["k"], F.avg("v")))
     return s.groupBy("k").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("v")).alias("mean"), rnd(median("v")).alias("median")).join(boot, "k")
 
 
@@ -239,7 +241,7 @@ def b4(r):
     unit = F.array(F.struct(F.lit("ticker").alias("k"), F.col("ticker").cast("string").alias("u")), F.struct(F.lit("quarter").alias("k"), F.trunc("entry_date", "quarter").cast("string").alias("u")))
     means = t.select("excess", F.inline(unit)).groupBy("k", "u").agg(F.avg("excess").alias("v"))
     s = stage(rs.index_series(means, ["k"], "u", ["v"]), "clusters")
-    boot = rs.summarize(rs.iid_samples(s, ["k"], ["v"], reps=1000, seed=41), ["k"], F.avg("v")).withColumns(ROUND)
+    boot = rounded(rs.summarize(rs.iid_samples(s, ["k"], ["v"], reps=1000, seed=41), ["k"], F.avg("v")))
     return s.groupBy("k").agg(F.count(F.lit(1)).alias("clusters")).join(boot, "k")
 
 
@@ -252,7 +254,7 @@ def b5(r):
     m = lambda t: F.expr(f"percentile(CASE WHEN treatment = '{t}' THEN cagr_excess END, 0.5)")
     p = r.surface().groupBy(F.col("h").alias("k"), "d").agg(rnd(m("R") - m("A")).alias("v")).where("v IS NOT NULL")
     s = stage(rs.index_series(p, ["k"], "d", ["v"]), "plateau-medians")
-    boot = rs.summarize(rs.iid_samples(s, ["k"], ["v"], reps=5000, seed=53), ["k"], median("v")).withColumns(ROUND)
+    boot = rounded(rs.summarize(rs.iid_samples(s, ["k"], ["v"], reps=5000, seed=53), ["k"], median("v")))
     base = s.groupBy("k").agg(F.count(F.lit(1)).alias("plateaus"), rnd(F.avg((F.col("v") > 0).cast("int"))).alias("direction"))
     return boot.join(base, "k").withColumn("gate_pass", (F.col("direction") >= 0.6) & (F.col("q05") > 0))
 

@@ -20,9 +20,10 @@ def _slot(value: Column, grain: str) -> Column:
 
 
 def validity_intervals(schedule: DataFrame, keys: Sequence[str], start: str) -> DataFrame:
-    """Half-open [_from, _to) validity of each schedule row; the last one stays open (NULL)."""
+    """Half-open [_from, _to) validity of each schedule row; the last one stays open (NULL). Two rows of one start fail the query."""
     w = Window.partitionBy(*keys).orderBy(start)
-    return schedule.withColumn("_from", F.col(start)).withColumn("_to", F.lead(start).over(w))
+    once = F.when(F.col("_to") == F.col(start), F.raise_error(F.lit(f"schedule is not unique on {', '.join([*keys, start])}"))).otherwise(F.col("_to"))
+    return schedule.withColumn("_from", F.col(start)).withColumn("_to", F.lead(start).over(w)).withColumn("_to", once)
 
 
 def keep_last(schedule: DataFrame, keys: Sequence[str], start: str, order: str) -> DataFrame:

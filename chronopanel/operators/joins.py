@@ -12,10 +12,13 @@ from chronopanel.operators.ordered import rank_columns, top_rows
 
 
 def authoritative_signals(signals: DataFrame, schedule: DataFrame) -> DataFrame:
-    """Keep only scores of the model that is active on their decision date."""
+    """Keep only scores of the model that is active on their decision date; a family's ticker may have one such score a day."""
     active = schedule.select("family_id", "activation_date", F.col("model_id").alias("_active"), "threshold")
     out = asof_join(signals, active, ["family_id"], "decision_date", "activation_date", how="inner")
-    return out.where(F.col("model_id") == F.col("_active")).drop("_active")
+    kept = out.where(F.col("model_id") == F.col("_active")).drop("_active")
+    again = F.count(F.lit(1)).over(Window.partitionBy("family_id", "decision_date", "ticker"))
+    name = F.when(F.col("_again") > 1, F.raise_error(F.lit("two authoritative scores for one family, date and ticker")).cast("string")).otherwise(F.col("family_id"))
+    return kept.withColumn("_again", again).withColumn("family_id", name).drop("_again")
 
 
 def causal_schedule_expansion(signals: DataFrame, arms: DataFrame) -> DataFrame:

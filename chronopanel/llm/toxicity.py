@@ -21,8 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronopanel.llm.common import column, doc_crc, filter_batches, map_batches, texts, words_of
+from chronopanel.session import stage
 
-BUCKETS, PREFIX, MAX_ROWS, MAX_TERMS, RANK, MAX_SEEN, LEAST_CHI = 1 << 20, 5, 20_000, 4_096, 8, 300_000, 15.0
+BUCKETS, PREFIX, MAX_ROWS, MAX_TERMS, RANK, MAX_SEEN, LEAST_CHI, LEAST_ROWS = 1 << 20, 5, 20_000, 4_096, 8, 300_000, 15.0, 5
 
 
 def word_terms(word: bytes) -> tuple[int, int]:
@@ -37,26 +38,14 @@ def terms(text: bytes) -> set[int]:
 class FactorizationMachine:
     """Second-order machine on presence features, fitted by AdaGrad steps over shuffled mini-batches."""
 
-    def __init__(self, rank: int = RANK, max_terms: int = MAX_TERMS, epochs: int = 12, rate: float = 0.1, decay: float = 1e-4, seed: int = 7):
-        self.rank, self.max_terms, self.epochs, self.rate, self.decay, self.seed = rank, max_terms, epochs, rate, decay, seed
+    def __init__(self, rank: int = RANK, epochs: int = 12, rate: float = 0.1, decay: float = 1e-4, seed: int = 7):
+        self.rank, self.epochs, self.rate, self.decay, self.seed = rank, epochs, rate, decay, seed
         self.place: dict[int, int] = {}
         self.seen: dict[bytes, tuple[int, ...]] = {}
         self.bias, self.w, self.v = 0.0, np.zeros(1), np.zeros((1, rank))
 
-    @staticmethod
-    def _select(rows: list[np.ndarray], y: np.ndarray, most: int, least_rows: int = 5) -> np.ndarray:
-        """Terms of the largest chi-square with the label (``LEAST_CHI`` at least), ties to the smaller hash."""
-        flat, of = np.concatenate(rows) if rows else np.zeros(0, np.int64), np.repeat(y, [len(r) for r in rows])
-        names, inverse, n = np.unique(flat, return_inverse=True, return_counts=True)
-        pos = np.bincount(inverse, of, len(names))
-        total, share = len(y), y.mean()
-        expected = n * share
-        chi = (pos - expected) ** 2 / (expected * (1 - share) * np.maximum(1 - n / total, 1e-9) + 1e-9)
-        chi[n < least_rows] = -1
-        order = np.lexsort((names, -chi))[:most]
-        return names[order[chi[order] > LEAST_CHI]]
-
-    def fit(self, rows: list[np.ndarray], labels) -> FactorizationMachine:
+    def fit(self, rows: list[np.ndarray], labels, chosen) -> FactorizationMachine:
+        """Fits on the terms in ``chosen``; ``rows`` holds the terms of each text."""
         y = np.asarray(labels, float)
         share = y.mean() if len(y) else 0.0
         if not 0 < share < 1:
@@ -64,7 +53,6 @@ class FactorizationMachine:
             return self
         self.constant = None
         rng = np.random.default_rng(self.seed)
-        chosen = self._select(rows, y, self.max_terms)
         self.place = {int(t): k for k, t in enumerate(chosen)}
         kept = [np.array(sorted(self.place[t] for t in map(int, r) if t in self.place), np.int64) for r in rows]
         self.bias, self.w, self.v = float(np.log(share / (1 - share))), np.zeros(len(chosen)), rng.normal(0, 0.01, (len(chosen), self.rank))
@@ -115,8 +103,12 @@ class FactorizationMachine:
 
 
 def train(docs: DataFrame, labels: DataFrame, may_train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          max_rows: int = MAX_ROWS) -> FactorizationMachine:
-    """Machine fitted on at most ``max_rows`` labelled documents for which ``may_train`` (a column of the id) holds."""
+          max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> FactorizationMachine:
+    """Machine fitted on at most ``max_rows`` labelled documents for which ``may_train`` (a column of the id) holds.
+
+    Spark counts the terms of those documents by label and picks the ``max_terms`` of the largest chi-square (``LEAST_CHI``
+    and ``LEAST_ROWS`` documents at least; ties to the smaller hash); only these come to the driver.
+    """
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & may_train).groupBy(id_col).agg((F.avg(label_col) >= 0.5).cast("int").alias("y"))
     drawn = marked.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)            # the bound that allows the broadcast
 
@@ -125,14 +117,25 @@ def train(docs: DataFrame, labels: DataFrame, may_train: Column, id_col: str = "
             return {"id": column(batch, "id"), "y": column(batch, "y"), "ids": pa.array([sorted(terms(t)) for t in texts(batch)], pa.list_(pa.int32()))}
         return step
 
-    rows = map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn.select(F.col(id_col).alias("id"), "y")), "id"),
-                       build, "id long, y int, ids array<int>").toArrow()
-    first = {}
-    for k, doc in enumerate(rows.column("id").to_pylist()):                       # a repeated document trains once
-        first.setdefault(doc, k)
-    order = [first[d] for d in sorted(first)]
-    lists, y = rows.column("ids"), rows.column("y").to_numpy()
-    return FactorizationMachine().fit([lists[k].values.to_numpy() for k in order], y[order])
+    found = map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn.select(F.col(id_col).alias("id"), "y")), "id"), build, "id long, y int, ids array<int>")
+    rows = stage(found.groupBy("id").agg(F.min(F.struct("y", "ids")).alias("r")).select("id", "r.*"), "toxicity-sample")     # a repeated document trains once
+    total, share = rows.agg(F.count("*"), F.coalesce(F.avg("y"), F.lit(0.0))).first()
+    if not 0 < share < 1:
+        return FactorizationMachine().fit([], [share], [])
+    counts = rows.select("y", F.explode("ids").alias("t")).groupBy("t").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
+    expected = F.col("n") * share
+    chi = (F.col("pos") - expected) ** 2 / (expected * (1 - share) * F.greatest(1 - F.col("n") / total, F.lit(1e-9)) + 1e-9)
+    best = counts.withColumn("chi", chi).where((F.col("n") >= LEAST_ROWS) & (F.col("chi") >= LEAST_CHI)).orderBy(F.desc("chi"), "t").limit(max_terms)
+    chosen = np.sort(np.array([r["t"] for r in best.collect()], np.int64))
+
+    def keep():
+        def step(batch):
+            return {"id": column(batch, "id"), "y": column(batch, "y"), "ids": pa.array([x[np.isin(x, chosen)] for x in (np.array(r, np.int64) for r in column(batch, "ids").to_pylist())], pa.list_(pa.int32()))}
+        return step
+
+    sample = map_batches(rows, keep, "id long, y int, ids array<int>").orderBy("id").toArrow()
+    lists = sample.column("ids")
+    return FactorizationMachine().fit([lists[k].values.to_numpy() for k in range(len(lists))], sample.column("y").to_numpy(), chosen)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

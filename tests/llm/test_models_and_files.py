@@ -80,8 +80,8 @@ def test_pairs_count_for_more_than_their_parts():
         texts.append(" ".join(["fool"] * int(a) + ["locals"] * int(b) + [f"w{k}" for k in rng.integers(0, 40, 8)]).encode())
         y.append(int(a == b))
     model = toxicity.FactorizationMachine(epochs=40, rate=0.2)
-    model._select = lambda rows, labels, most: np.unique(np.concatenate(rows))
-    model.fit([np.array(sorted(toxicity.terms(t))) for t in texts[:1200]], y[:1200])
+    rows = [np.array(sorted(toxicity.terms(t))) for t in texts[:1200]]
+    model.fit(rows, y[:1200], np.unique(np.concatenate(rows)))
     assert ((model.score(texts[1200:]) >= 0.5) == np.array(y[1200:], bool)).mean() > 0.9
 
 
@@ -169,6 +169,17 @@ def test_walk_goes_down_in_summed_products():
     assert len(set(pairs)) == 63 and (np.diff([a[i] + b[j] for i, j in pairs]) <= 1e-12).all()
 
 
+def test_query_blocks_are_bounded():
+    rng = np.random.default_rng(4)
+    counts = {c: int(n) for c, n in enumerate(rng.integers(0, 3 * ann.QUERIES, 40))} | {5: 0, 6: 3, 7: 2}
+    first, spread = ann.query_blocks(counts, 64)
+    load = Counter()
+    for c, n in counts.items():
+        for k in range(spread[c]):
+            load[first[c] + k] += n / spread[c]
+    assert max(load.values()) <= ann.QUERIES / 2 and sum(load.values()) == sum(counts.values())
+
+
 def test_multi_index_recall_on_the_table(spark, sf_dir):
     rows = QUERIES["op10_inverted_multi_index"](spark, sf_dir).collect()
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").toPandas()

@@ -59,15 +59,28 @@ def m3(r):
     return out.select("fold_start", "assessment_date", "family_id", "arm", rnd("predicted").alias("predicted"), "leak")
 
 
-@query("m3_walk_forward_boosting")
-def m3_gbt(r):
-    from pyspark.ml.regression import GBTRegressor
-    gbt = GBTRegressor(featuresCol="features", labelCol="fwd_1m", predictionCol="predicted", maxIter=5, maxDepth=3, seed=17)
-    out = mo.walk_forward_pipeline(model_panel(r), FEATURES, "fwd_1m", "available_at", FOLD_DATES[-1:], gbt)
-    return out.groupBy("fold_start").agg(F.count(F.lit(1)).alias("n_rows"), F.bool_or("leak").alias("leak"))
+FOLD_ROWS = "WITH p AS (SELECT *, lead(assessment_date) OVER (PARTITION BY family_id, arm ORDER BY assessment_date) AS available_at FROM x_fmp), q AS (SELECT * FROM p WHERE excess_1m IS NOT NULL AND fwd_1m IS NOT NULL), f(s, e) AS (VALUES " + ", ".join(
+    f"(DATE '{a}', DATE '{b}')" for a, b in FOLD_DATES) + ")"
 
 
-@query("m4_pairwise_choice")
+@query("m3_walk_forward_boosting", f"""
+{FOLD_ROWS} SELECT s AS fold_start, count(*) FILTER (assessment_date BETWEEN s AND e) AS n_rows, count(*) FILTER (available_at < s) AS train_rows, max(available_at) FILTER (available_at < s) AS last_train, false AS leak FROM q, f GROUP BY 1, e
+HAVING count(*) FILTER (assessment_date BETWEEN s AND e) > 0""")
+def m3_gbt(r):
+    from pyspark.ml.regression import GBTRegressor
+    gbt = GBTRegressor(featuresCol="features", labelCol="fwd_1m", predictionCol="predicted", maxIter=10, maxDepth=3, seed=17)
+    out = mo.walk_forward_pipeline(model_panel(r), FEATURES, "fwd_1m", "available_at", FOLD_DATES, gbt)
+    return out.groupBy("fold_start").agg(F.count("predicted").alias("n_rows"), F.max("train_rows").alias("train_rows"), F.max("last_train").alias("last_train"), F.bool_or("leak").alias("leak"))
+
+
+@query("m4_pairwise_choice", """
+WITH RECURSIVE pr AS (SELECT a.decision_date, a.ticker, a.arm, a.h_bucket AS ba, b.h_bucket AS bb, a.score - b.score AS x, a.realized - b.realized AS y FROM x_sets a JOIN x_sets b ON a.decision_date = b.decision_date AND a.ticker = b.ticker AND a.arm = b.arm
+  AND CASE a.h_bucket WHEN 'SHORT' THEN 1 WHEN 'MID' THEN 2 ELSE 3 END < CASE b.h_bucket WHEN 'SHORT' THEN 1 WHEN 'MID' THEN 2 ELSE 3 END),
+k AS (SELECT x, (y > 0)::INT AS y FROM pr WHERE y <> 0 AND decision_date + INTERVAL 1 MONTH < DATE '1999-01-01'), sc AS (SELECT stddev_samp(x) AS sd, count(*) AS n FROM k), z AS (SELECT x / sd AS z, y, n FROM k, sc),
+st AS (SELECT 0 AS i, 0.0::DOUBLE AS b UNION ALL SELECT i + 1, b - (sum((1 / (1 + exp(-b * z)) - y) * z) + b) / (sum(z * z * (1 / (1 + exp(-b * z))) * (1 - 1 / (1 + exp(-b * z)))) + 1) FROM st, z WHERE i < 30 GROUP BY i, b),
+m AS (SELECT arg_max(b, i) / any_value(sd) AS w FROM st, sc), p AS (SELECT pr.*, 1 / (1 + exp(-w * x)) AS p FROM pr, m WHERE decision_date >= DATE '1999-01-01'),
+win AS (SELECT decision_date, ticker, arm, ba AS h_bucket, p AS v FROM p UNION ALL SELECT decision_date, ticker, arm, bb, 1 - p FROM p)
+SELECT s.decision_date, s.ticker, s.arm, s.h_bucket, """ + R("coalesce(sum(v), 0)", 4) + """ AS expected_wins, count(v) AS pairs FROM (SELECT DISTINCT decision_date, ticker, arm, h_bucket FROM x_sets WHERE decision_date >= DATE '1999-01-01') s LEFT JOIN win USING (decision_date, ticker, arm, h_bucket) GROUP BY 1, 2, 3, 4""")
 def m4(r):
     sets = stage(r.sets(), "sets")
     # the outcome of a month's set is known a month later

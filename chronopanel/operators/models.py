@@ -104,9 +104,9 @@ def walk_forward_pipeline(panel: DataFrame, features: Sequence[str], target: str
         stages = [Imputer(inputCols=list(features), outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="_raw"),
                   StandardScaler(inputCol="_raw", outputCol="features", withMean=True), estimator]
         model = Pipeline(stages=stages).fit(known)
-        last = known.agg(F.max(available))
-        part = model.transform(test).withColumn("fold_start", F.to_date(F.lit(start))).withColumn("_last", last.scalar()).withColumn(
-            "leak", F.col("_last") >= F.col("fold_start")).drop("_last", "_raw", "features", *filled)
+        seen = known.agg(F.max(available).alias("last_train"), F.count(F.lit(1)).alias("train_rows")).withColumn("fold_start", F.to_date(F.lit(start)))
+        part = model.transform(test).withColumn("fold_start", F.to_date(F.lit(start))).join(seen, "fold_start").withColumn(
+            "leak", F.col("last_train") >= F.col("fold_start")).drop("_raw", "features", *filled)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -125,7 +125,7 @@ def pairwise_expected_wins(pairs: DataFrame, sets: DataFrame, keys: Sequence[str
     x = VectorAssembler(inputCols=["score_diff"], outputCol="features").transform(
         pairs.withColumn("label", F.when(F.col("realized_diff") != 0, (F.col("realized_diff") > 0).cast("double"))))
     known = x.where(F.col("label").isNotNull() & (F.col(matured) < cut))
-    model = LogisticRegression(fitIntercept=False, regParam=1.0 / max(1, known.count())).fit(known)
+    model = LogisticRegression(fitIntercept=False, regParam=1.0 / max(1, known.count()), tol=1e-12, maxIter=200).fit(known)
     scored = model.transform(x.where(F.col(date) >= cut)).withColumn("p", vector_to_array("probability")[1])
     wins = scored.select(*keys, F.inline(F.array(F.struct(F.col("bucket_a").alias("h_bucket"), F.col("p").alias("w")), F.struct(F.col("bucket_b").alias("h_bucket"), (1 - F.col("p")).alias("w")))))
     won = wins.groupBy(*keys, "h_bucket").agg(F.sum("w").alias("expected_wins"), F.count(F.lit(1)).alias("pairs"))

@@ -9,7 +9,7 @@ from chronopanel.functions.rounding import rnd
 from chronopanel.operators.folds import DECAY, HAZARD
 from chronopanel.session import scratch_path
 from chronopanel.streaming import outcomes as st
-from chronopanel.streaming.runtime import drain, read_events
+from chronopanel.streaming.runtime import drain, drain_parts, read_events
 
 
 def events(r, **options):
@@ -51,25 +51,25 @@ def z3(r):
 
 @query("z4_tumbling_activity", f"""
 WITH w AS (SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n_events, sum(value) AS total FROM events GROUP BY 1, 2)
-SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, event_type, n_events, {R('total', 3)} AS total FROM w WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, event_type, n_events, {R('total', 3)} AS total FROM w""")
 def z4(r):
-    out = drain(st.tumbling_activity(events(r), "1 day", "1 hour"), "tumbling")
+    out = drain_parts(r.events(), [F.lit(True)], lambda e: st.tumbling_activity(e, "1 day", "1 hour"), "tumbling", flush=True)
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.col("window_end").cast("timestamp_ntz").alias("window_end"), "event_type", "n_events", rnd("total", 3).alias("total"))
 
 
 @query("z5_session_windows", """
 WITH g AS (SELECT user_id, ts, (lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOUR)::INT AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g),
-x AS (SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n_events FROM s GROUP BY user_id, k) SELECT * FROM x WHERE session_end <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+x AS (SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n_events FROM s GROUP BY user_id, k) SELECT * FROM x""")
 def z5(r):
-    out = drain(st.sessions(events(r), "6 hours", "1 hour"), "sessions")
+    out = drain_parts(r.events(), [F.lit(True)], lambda e: st.sessions(e, "6 hours", "1 hour"), "sessions", flush=True)
     return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n_events")
 
 
 @query("z6_sliding_statistics", f"""
 WITH x AS (SELECT event_type, value, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 6 HOUR AS window_start FROM events, (SELECT unnest([0, 1, 2, 3]) AS k))
-SELECT window_start, event_type, count(*) AS n_events, {R('avg(value)', 4)} AS mean_value, {R('max(value)', 4)} AS max_value FROM x WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2""")
+SELECT window_start, event_type, count(*) AS n_events, {R('avg(value)', 4)} AS mean_value, {R('max(value)', 4)} AS max_value FROM x GROUP BY 1, 2""")
 def z6(r):
-    out = drain(st.sliding_statistics(events(r), "1 day", "6 hours", "1 hour"), "sliding")
+    out = drain_parts(r.events(), [F.lit(True)], lambda e: st.sliding_statistics(e, "1 day", "6 hours", "1 hour"), "sliding", flush=True)
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n_events", rnd("mean_value", 4).alias("mean_value"), rnd("max_value", 4).alias("max_value"))
 
 
@@ -85,26 +85,41 @@ def z7(r):
         p = HAZARD + (1 - HAZARD) * (DECAY * p + (1 - DECAY) * min(1.0, max(0.0, (mean - row["value"]) / 50.0)))
         return {"p": p, "mean": DECAY * mean + (1 - DECAY) * row["value"]}, {"as_of": row["as_of"], "probability": p}
 
-    rows = events(r, maxFilesPerTrigger=1).select("user_id", "ts", F.col("event_id").alias("as_of"), "value")
-    out = st.keyed_fold_stream(rows, "user_id", ["ts", "as_of"], change_step, "user_id long, as_of long, probability double", ["p", "mean"], "p double, mean double")
-    return drain(out, "fold").select("user_id", "as_of", rnd("probability").alias("probability"))
+    build = lambda e: st.keyed_fold_stream(e.select("user_id", "ts", F.col("event_id").alias("as_of"), "value"), "user_id", ["ts", "as_of"], change_step,
+                                           "user_id long, as_of long, probability double", ["p", "mean"], "p double, mean double")
+    out = drain_parts(r.events(), thirds(r), build, "fold")
+    return out.select("user_id", "as_of", rnd("probability").alias("probability"))
+
+
+def thirds(r):
+    """The events in three deliveries, by time."""
+    lo, hi = r.events().agg(F.min("ts"), F.max("ts")).first()
+    a, b = (lo + (hi - lo) * k / 3 for k in (1, 2))
+    return [F.col("ts") < F.lit(a), (F.col("ts") >= F.lit(a)) & (F.col("ts") < F.lit(b)), F.col("ts") >= F.lit(b)]
 
 
 @query("z8_late_row_audit", """
-SELECT event_type, count(*) AS n_rows, count(*) FILTER (is_late) AS late_rows FROM (SELECT event_type, ts < (SELECT max(ts) FROM events) - INTERVAL 20 DAY AS is_late FROM events) GROUP BY 1""")
+WITH n AS (SELECT event_id % 3 AS k, max(ts) AS newest FROM events GROUP BY 1), e AS (SELECT event_type, ts < (SELECT max(newest) FROM n WHERE n.k < event_id % 3) - INTERVAL 20 DAY AS late FROM events)
+SELECT event_type, count(*) AS n_rows, count(*) FILTER (coalesce(late, false)) AS late_rows FROM e GROUP BY 1""")
 def z8(r):
-    """Rows older than the evidence already accepted (here: 20 days behind the newest) go to a side table."""
-    from pyspark.sql import Window
-    spark, path = r.spark, scratch_path(r.spark, "late-audit")
+    """Rows more than 20 days behind the evidence accepted in earlier micro-batches go to a side table, the rest to the accepted one.
+
+    Three deliveries; each micro-batch writes under its epoch, so a repeated one replaces itself.
+    """
+    spark, (source, path, ckpt) = r.spark, (scratch_path(r.spark, x) for x in ("late-source", "late-audit", "late-checkpoint"))
 
-    def audit(batch, _epoch):
-        newest = batch.agg(F.max("ts"))
-        (batch.withColumn("_n", newest.scalar()).withColumn("is_late", F.col("ts") < F.col("_n") - F.expr("INTERVAL 20 DAYS"))
-         .groupBy("event_type").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("is_late").alias("late_rows")).write.mode("append").parquet(path))
+    def audit(batch, epoch):
+        kept = spark.read.schema("newest timestamp, epoch long").parquet(f"{path}/newest").where(F.col("epoch") < epoch).agg(F.max("newest")).first()[0] if epoch else None
+        late = F.coalesce(F.col("ts") < F.lit(kept).cast("timestamp") - F.expr("INTERVAL 20 DAYS"), F.lit(False))
+        batch.where(late).write.mode("overwrite").parquet(f"{path}/late/epoch={epoch}")
+        batch.where(~late).write.mode("overwrite").parquet(f"{path}/accepted/epoch={epoch}")
+        batch.agg(F.max("ts").alias("newest"), F.lit(epoch).cast("long").alias("epoch")).write.mode("append").parquet(f"{path}/newest")
 
-    q = (events(r).writeStream.foreachBatch(audit).option("checkpointLocation", scratch_path(spark, "late-checkpoint")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(path).groupBy("event_type").agg(F.sum("n_rows").alias("n_rows"), F.sum("late_rows").alias("late_rows"))
+    for k in range(3):
+        r.events().where(F.col("event_id") % 3 == k).write.mode("append").parquet(source)
+        (read_events(spark, source, "*.parquet").writeStream.foreachBatch(audit).option("checkpointLocation", ckpt).trigger(availableNow=True).start()).awaitTermination()
+    both = spark.read.parquet(f"{path}/accepted").select("event_type", F.lit(0).alias("late")).unionByName(spark.read.parquet(f"{path}/late").select("event_type", F.lit(1).alias("late")))
+    return both.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("late").alias("late_rows"))
 
 
 @query("z9_stream_static_asof", """
@@ -119,13 +134,8 @@ def z9(r):
 
 @query("z10_resume_equals_continuous", f"""
 WITH w AS (SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n_events, sum(value) AS total FROM events GROUP BY 1, 2)
-SELECT window_start, event_type, n_events, {R('total', 3)} AS total FROM w WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+SELECT window_start, event_type, n_events, {R('total', 3)} AS total FROM w""")
 def z10(r):
-    """The stream is stopped after the first half of January and resumed from its checkpoint on the rest."""
-    spark = r.spark
-    source, sink, ckpt = scratch_path(spark, "source"), scratch_path(spark, "resumed"), scratch_path(spark, "resumed-checkpoint")
-    early = F.dayofmonth("ts") <= 15
-    for part in (early, ~early):
-        r.events().where(part).coalesce(1).write.mode("append").parquet(source)
-        out = drain(st.tumbling_activity(read_events(spark, source, "*.parquet"), "1 day", "1 hour"), "resumed", checkpoint=ckpt, path=sink)
+    """The stream is stopped after each third of the time span and resumed from its checkpoint on the rest."""
+    out = drain_parts(r.events(), thirds(r), lambda e: st.tumbling_activity(e, "1 day", "1 hour"), "resumed", flush=True)
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n_events", rnd("total", 3).alias("total"))

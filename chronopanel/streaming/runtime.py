@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronopanel.session import scratch_path
@@ -31,3 +33,19 @@ def drain(stream: DataFrame, name: str, *, checkpoint: str | None = None, path:
              .option("checkpointLocation", checkpoint or scratch_path(spark, f"{name}-checkpoint")).trigger(availableNow=True).start())
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
+
+
+def drain_parts(rows: DataFrame, parts: list[Column], build: Callable[[DataFrame], DataFrame], name: str, *, flush: bool = False) -> DataFrame:
+    """Deliver ``rows`` part by part to a folder and drain the query of ``build`` after each, resuming one checkpoint.
+
+    Every part is at least one micro-batch of its own, so state and watermark are carried between them. ``flush`` ends
+    bounded input: a marker row far in the future moves the watermark past every open window; its own window stays open and
+    is never written.
+    """
+    spark = rows.sparkSession
+    source, sink, checkpoint = (scratch_path(spark, f"{name}-{x}") for x in ("source", "sink", "checkpoint"))
+    marker = rows.agg(F.max("ts").alias("ts")).select(*((F.col("ts") + F.expr("INTERVAL 1000 DAYS") if c == "ts" else F.lit(None)).cast(t).alias(c) for c, t in rows.dtypes))
+    for part in [*(rows.where(p) for p in parts), *([marker] if flush else [])]:
+        part.write.mode("append").parquet(source)
+        out = drain(build(read_events(spark, source, "*.parquet")), name, checkpoint=checkpoint, path=sink)
+    return out

@@ -6,8 +6,10 @@ products (least distance) with a heap, and stops once the cells visited hold the
 fitted on the sample: the smallest one that finds ``TARGET`` of the sample's true neighbours. Vectors of the cells visited
 are reranked by their exact products on the original vectors.
 
-A block is a slice of cells (by first centroid) and a salt that keeps it under ``BLOCK`` vectors, so a cell of any size is spread; query
-blocks hold ``QUERIES`` queries at most. A block returns its best ``k`` per query, and a window keeps the best of those.
+A block is a slice of cells (by first centroid) and a salt that keeps it near ``BLOCK / 2`` vectors, so a cell of any size is
+spread. Queries are dealt to blocks of near ``QUERIES / 2`` by their own first centroid, so that those of a block visit much the same
+slices; a vector block meets only the query blocks that visit its slice, and a query goes only to the slices that it
+visits. A block returns its best ``k`` per query, and a window keeps the best of those.
 
 Defined cases: vectors that are null, empty, zero, of a length other than the most common one, or that hold null or non-finite
 components take no part; of rows with one id the one with the smallest vector counts; null ids take no part; ties go to
@@ -119,6 +121,18 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.where(good).select(F.col(id_col).cast("long").alias("id"), v.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
 
 
+def query_blocks(counts: dict[int, int], parts: int) -> tuple[list[int], list[int]]:
+    """First block and number of blocks for the queries of each first centroid: small neighbours share a block, a large one is split."""
+    first, spread, at, held = [0] * parts, [1] * parts, 0, 0
+    for c in range(parts):
+        n = counts.get(c, 0)
+        if held and held + n > QUERIES / 2:
+            at, held = at + 1, 0
+        first[c], spread[c] = at, max(1, math.ceil(n / (QUERIES / 2)))
+        at, held = at + spread[c] - 1, held + n if spread[c] == 1 else QUERIES
+    return first, spread
+
+
 def _matrix(lists: pa.ListArray, dim: int) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
@@ -167,24 +181,28 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         sizes[row["c1"], row["c2"]] = row["count"]
     slice_of = np.arange(len(sizes)) * SLICES // len(sizes)
     salts = [max(1, math.ceil(int(sizes[slice_of == s].sum()) / (block / 2))) for s in range(SLICES)]
-    asked = math.ceil(placed.where(is_query).count() / (QUERIES / 2)) or 1
+    first, spread = query_blocks({r["c1"]: r["count"] for r in placed.where(is_query).groupBy("c1").count().collect()}, len(sizes))
 
-    names = F.array(*(F.lit(int(s)) for s in slice_of))
-    depth = F.array(*(F.lit(s) for s in salts))
-    shard = F.element_at(names, F.col("c1") + 1)
-    salted = (placed.withColumn("slice", shard).withColumn("salt", F.pmod(F.xxhash64("id"), F.element_at(depth, F.col("slice") + 1)).cast("int"))
-              .withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(asked - 1)))))
-    blocks = F.array(*(F.struct(F.lit(s).alias("slice"), F.lit(t).alias("salt")) for s in range(SLICES) for t in range(salts[s])))
+    pick = lambda values, at: F.element_at(F.array(*(F.lit(int(x)) for x in values)), at + 1)
+    salted = placed.withColumn("slice", pick(slice_of, F.col("c1"))).withColumn("salt", F.pmod(F.xxhash64("id"), pick(salts, F.col("slice"))).cast("int"))
 
     def route():
         def step(batch):
-            cells = [np.packbits(index.probes(x, sizes, k + 1)).tobytes() for x in _matrix(column(batch, "v"), dim)]
-            return {"id": column(batch, "id"), "v": column(batch, "v"), "cells": pa.array(cells, pa.binary())}
+            cells, slices = [], []
+            for x in _matrix(column(batch, "v"), dim):
+                probes = index.probes(x, sizes, k + 1)
+                cells.append(np.packbits(probes).tobytes())
+                slices.append(np.unique(slice_of[probes.any(axis=1)]).tolist())
+            return {"id": column(batch, "id"), "v": column(batch, "v"), "asked": column(batch, "asked"), "cells": pa.array(cells, pa.binary()), "slices": pa.array(slices, pa.list_(pa.int32()))}
         return step
 
-    routed = map_batches(placed.where(is_query).select("id", "v").repartition("id"), route, "id long, v array<double>, cells binary")
-    queries = (routed.select("id", "v", "cells", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(asked)).cast("int").alias("asked"), F.explode(blocks).alias("b"))
-               .select("id", "v", "cells", "asked", "b.slice", "b.salt"))
+    block_of = pick(first, F.col("c1")) + F.pmod(F.xxhash64("id", F.lit(1)), pick(spread, F.col("c1"))).cast("int")
+    spots = placed.where(is_query).select("id", "v", block_of.alias("asked")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    routed = stage(map_batches(spots, route, "id long, v array<double>, asked int, cells binary, slices array<int>"), "routes")
+    queries = (routed.withColumn("slice", F.explode("slices")).withColumn("salt", F.explode(F.sequence(F.lit(0), pick(salts, F.col("slice")) - 1)))
+               .select("id", "v", "asked", "cells", "slice", "salt"))
+    meets = routed.select((F.col("asked") + 0).alias("asked"), F.explode("slices").alias("slice")).distinct()      # a column of its own for the cogroup
+    salted = salted.join(meets, "slice")
 
     def rerank(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})

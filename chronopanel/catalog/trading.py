@@ -167,20 +167,35 @@ def r11(r):
 
 
 T19 = f"""{PATH}, e AS (SELECT family_id, arm, max(pos) AS pos FROM p2 GROUP BY 1, 2, date_trunc('month', date) HAVING max(pos) > 1), risk AS ({METRICS}),
-tl AS (SELECT family_id, arm, date, rel / lag(rel, 13) OVER w - 1 AS x13, rel / lag(rel, 52) OVER w - 1 AS x52 FROM x_nav WINDOW w AS (PARTITION BY family_id, arm ORDER BY date)),
-sg AS (SELECT activation_date, min(model_id) AS model_id FROM x_sched GROUP BY 1)"""
+st AS (SELECT *, rel / lag(rel) OVER w - 1 AS x FROM x_nav WINDOW w AS (PARTITION BY family_id, arm ORDER BY date)),
+tl AS (SELECT family_id, arm, date, rel / lag(rel, 4) OVER w - 1 AS x1, rel / lag(rel, 13) OVER w - 1 AS x3, rel / lag(rel, 26) OVER w - 1 AS x6, rel / lag(rel, 52) OVER w - 1 AS x12,
+  avg(x) OVER (PARTITION BY family_id, arm ORDER BY date ROWS 3 PRECEDING) - avg(x) OVER (PARTITION BY family_id, arm ORDER BY date ROWS UNBOUNDED PRECEDING) AS rec FROM st WINDOW w AS (PARTITION BY family_id, arm ORDER BY date)),
+es AS (SELECT family_id, arm, date, x, row_number() OVER (PARTITION BY family_id, arm ORDER BY date) AS rn FROM st WHERE x IS NOT NULL),
+ew AS (SELECT family_id, arm, date, rn, x AS v FROM es WHERE rn = 1 UNION ALL SELECT es.family_id, es.arm, es.date, es.rn, es.x / 7 + ew.v * 6 / 7 FROM ew JOIN es ON es.family_id = ew.family_id AND es.arm = ew.arm AND es.rn = ew.rn + 1),
+me AS (SELECT family_id, arm, date, (rel > lag(rel) OVER (PARTITION BY family_id, arm ORDER BY date))::INT AS up FROM (SELECT *, row_number() OVER (PARTITION BY family_id, arm, date_trunc('month', date) ORDER BY date DESC) AS k FROM x_nav) WHERE k = 1),
+mp AS (SELECT family_id, arm, date, avg(up) OVER (PARTITION BY family_id, arm ORDER BY date ROWS UNBOUNDED PRECEDING) AS ppf FROM me),
+tf AS (SELECT t.*, n_name AS family_id FROM x_tr t JOIN supplier ON s_suppkey = ticker JOIN nation ON n_nationkey = s_nationkey),
+sg AS (SELECT n_name AS family_id, min(decision_date) AS activation_date, min(model_id) AS model_id FROM x_ord JOIN supplier ON s_suppkey = ticker JOIN nation ON n_nationkey = s_nationkey GROUP BY n_name, date_trunc('month', decision_date))"""
 
 
 @query("t19_family_evidence", f"""
-WITH {T19}, b AS (SELECT r.family_id, r.arm, r.date, r.sessions, r.max_drawdown, r.cdar, r.expected_shortfall, x13, x52, sg.model_id, sg.activation_date FROM risk r JOIN tl USING (family_id, arm, date) ASOF JOIN sg ON r.date >= sg.activation_date),
-t AS (SELECT b.family_id, b.arm, b.date, count(t.trade_id) AS n, sum(t.excess) AS s, sum(greatest(t.excess, 0)) AS p, max(t.excess) AS m FROM b LEFT JOIN x_tr t ON t.arm = b.arm AND t.exit_date <= b.date GROUP BY 1, 2, 3)
-SELECT b.*EXCLUDE (x13, x52), {R('x13')} AS excess_13, {R('x52')} AS excess_52, n AS matured_trades, {R('coalesce(greatest(m, 0) / nullif(p, 0), 0)')} AS top_trade_contribution, {R('coalesce((s - m) / greatest(1, n - 1), 0)')} AS leave_best_out, {R('least(1, sqrt(n / 30.0))')} AS sample_weight FROM b JOIN t USING (family_id, arm, date)""")
+WITH RECURSIVE {T19}, b AS (SELECT r.family_id, r.arm, r.date, r.sessions, r.max_drawdown, r.cdar, r.expected_shortfall, x1, x3, x6, x12, rec, v, ppf, sg.model_id, sg.activation_date FROM risk r JOIN tl USING (family_id, arm, date) JOIN mp USING (family_id, arm, date)
+  LEFT JOIN ew USING (family_id, arm, date) ASOF JOIN sg ON r.family_id = sg.family_id AND r.date >= sg.activation_date),
+tt AS (SELECT b.family_id, b.arm, b.date, t.ticker, count(*) AS n, sum(t.excess) AS s, sum(greatest(t.excess, 0)) AS p, max(t.excess) AS m FROM b JOIN tf t ON t.family_id = b.family_id AND t.arm = b.arm AND t.exit_date <= b.date GROUP BY 1, 2, 3, 4),
+t AS (SELECT family_id, arm, date, sum(n) AS n, sum(s) AS s, sum(p) AS p, max(m) AS m, max(p) AS tp, count(*) FILTER (s > 0) AS w, max(abs(s)) / nullif(sum(abs(s)), 0) AS c FROM tt GROUP BY 1, 2, 3)
+SELECT b.* EXCLUDE (x1, x3, x6, x12, rec, v, ppf), {R('x1')} AS excess_1m, {R('x3')} AS excess_3m, {R('x6')} AS excess_6m, {R('x12')} AS excess_12m, {R('v')} AS ewma_excess, {R('rec')} AS recent_minus_long_run_excess, {R('ppf')} AS positive_period_fraction,
+ CAST(coalesce(n, 0) AS BIGINT) AS matured_trades, {R('coalesce(greatest(m, 0) / nullif(p, 0), 0)')} AS top_trade_contribution, {R('coalesce(greatest(tp, 0) / nullif(p, 0), 0)')} AS top_ticker_contribution, CAST(coalesce(w, 0) AS BIGINT) AS independent_winners, {R('coalesce(c, 0)')} AS ticker_concentration,
+ {R('coalesce((s - m) / greatest(1, n - 1), 0)')} AS leave_best_out, {R('least(1, sqrt(coalesce(n, 0) / 30.0))')} AS sample_weight FROM b LEFT JOIN t USING (family_id, arm, date)""")
 def t19(r):
     r.share("prices", "returns")
-    sched = r.schedule().groupBy("activation_date").agg(F.min("model_id").alias("model_id"))
-    ev = pe.family_evidence(stage(r.nav(), "nav"), sched, r.trade_returns()).where("pos > 1")
-    return ev.select("family_id", "arm", "date", F.col("pos").alias("sessions"), "model_id", "activation_date", "matured_trades",
-                     *[rnd(c).alias(c) for c in ("max_drawdown", "cdar", "expected_shortfall", "excess_13", "excess_52", "top_trade_contribution", "leave_best_out", "sample_weight")])
+    # trades and signals belong to the family of their ticker's nation
+    family = r.table("supplier").join(r.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("ticker"), F.col("n_name").alias("family_id"))
+    sched = (r.order_signals().drop("family_id").join(family, "ticker").groupBy("family_id", F.trunc("decision_date", "month").alias("_m"))
+             .agg(F.min("decision_date").alias("activation_date"), F.min("model_id").alias("model_id")).drop("_m"))
+    ev = pe.family_evidence(stage(r.nav(), "nav"), sched, r.trade_returns().join(family, "ticker")).where("pos > 1")
+    return ev.select("family_id", "arm", "date", F.col("pos").alias("sessions"), "model_id", "activation_date", "matured_trades", "independent_winners",
+                     *[rnd(c).alias(c) for c in ("max_drawdown", "cdar", "expected_shortfall", "excess_1m", "excess_3m", "excess_6m", "excess_12m", "ewma_excess", "recent_minus_long_run_excess", "positive_period_fraction",
+                                                 "top_trade_contribution", "top_ticker_contribution", "ticker_concentration", "leave_best_out", "sample_weight")])
 
 
 @query("t21_family_monthly_panel", f"""

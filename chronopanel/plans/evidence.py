@@ -12,26 +12,38 @@ from chronopanel.operators.trades import next_open_trades
 from chronopanel.operators.wealth import wealth_metrics
 
 
-def family_evidence(nav: DataFrame, schedule: DataFrame, trades: DataFrame) -> DataFrame:
-    """Month-end evidence per curve: prefix wealth metrics, trailing excess, active generation, matured trades.
+def family_evidence(nav: DataFrame, schedule: DataFrame, trades: DataFrame, periods: dict[str, int] | None = None, recent: int = 4, span: int = 13) -> DataFrame:
+    """Month-end evidence per curve of a family: wealth metrics, trailing and decayed excess, the family's active generation, its matured trades.
 
-    Trades reduce to (family, exit session) partial sums before any prefix is taken.
+    ``periods`` names trailing windows in sessions. Trades reduce to (family, arm, ticker, exit session) sums before any
+    prefix is taken; a month end then meets one prefix per ticker of its family.
     """
+    from chronopanel.operators.folds import ewma
     keys = ["family_id", "arm"]
-    risk = wealth_metrics(nav, keys, "month")
     w = Window.partitionBy(*keys).orderBy("date")
-    tail = nav.select(*keys, "date", (F.col("rel") / F.lag("rel", 13).over(w) - 1).alias("excess_13"), (F.col("rel") / F.lag("rel", 52).over(w) - 1).alias("excess_52"))
-    base = risk.join(tail, [*keys, "date"])
-    active = asof_join(base, schedule, [], "date", "activation_date", how="inner")
-    day = trades.groupBy("arm", F.col("exit_date")).agg(
+    past = w.rowsBetween(Window.unboundedPreceding, 0)
+    path = nav.select(*keys, "date", "rel", (F.col("rel") / F.lag("rel").over(w) - 1).alias("_x"))
+    tail = path.select(*keys, "date", *[(F.col("rel") / F.lag("rel", n).over(w) - 1).alias(f"excess_{p}") for p, n in (periods or {"1m": 4, "3m": 13, "6m": 26, "12m": 52}).items()],
+                       (F.avg("_x").over(w.rowsBetween(1 - recent, 0)) - F.avg("_x").over(past)).alias("recent_minus_long_run_excess"))
+    decayed = ewma(path.where("_x IS NOT NULL"), keys, "date", "_x", span).withColumnRenamed("ewma", "ewma_excess")
+    last = Window.partitionBy(*keys, F.trunc("date", "month")).orderBy(F.desc("date"))
+    ends = path.withColumn("_k", F.row_number().over(last)).where("_k = 1").withColumn("_up", (F.col("rel") > F.lag("rel").over(w)).cast("int"))
+    months = ends.select(*keys, "date", F.avg("_up").over(past).alias("positive_period_fraction"))
+    base = wealth_metrics(nav, keys, "month").join(tail, [*keys, "date"]).join(months, [*keys, "date"]).join(decayed, [*keys, "date"], "left")
+    active = asof_join(base, schedule, ["family_id"], "date", "activation_date", how="inner")
+    day = trades.groupBy(*keys, "ticker", "exit_date").agg(
         F.count(F.lit(1)).alias("n"), F.sum("excess").alias("s"), F.sum(F.greatest("excess", F.lit(0.0))).alias("p"), F.max("excess").alias("m"))
-    wt = Window.partitionBy("arm").orderBy("exit_date")
-    state = day.select("arm", "exit_date", F.sum("n").over(wt).alias("matured_trades"), F.sum("s").over(wt).alias("_s"), F.sum("p").over(wt).alias("_p"), F.max("m").over(wt).alias("_m"))
-    out = asof_join(active, state, ["arm"], "date", "exit_date")
-    return (out.withColumn("matured_trades", F.coalesce("matured_trades", F.lit(0)))
-            .withColumn("top_trade_contribution", F.coalesce(F.greatest("_m", F.lit(0.0)) / F.nullif("_p", F.lit(0.0)), F.lit(0.0)))
+    wt = Window.partitionBy(*keys, "ticker").orderBy("exit_date")
+    state = day.select(*keys, "ticker", "exit_date", *[f(c).over(wt).alias(c) for c, f in (("n", F.sum), ("s", F.sum), ("p", F.sum), ("m", F.max))])
+    seen = asof_join(base.select(*keys, "date"), state, keys, "date", "exit_date", how="inner", fan_out=["ticker"])
+    matured = seen.groupBy(*keys, "date").agg(
+        F.sum("n").alias("matured_trades"), F.sum("s").alias("_s"), F.sum("p").alias("_p"), F.max("m").alias("_m"), F.max("p").alias("_tp"), F.count_if(F.col("s") > 0).alias("independent_winners"),
+        (F.max(F.abs("s")) / F.nullif(F.sum(F.abs("s")), F.lit(0.0))).alias("ticker_concentration"))
+    out = active.join(matured, [*keys, "date"], "left").na.fill({"matured_trades": 0, "independent_winners": 0, "ticker_concentration": 0.0})
+    share = lambda c: F.coalesce(F.greatest(c, F.lit(0.0)) / F.nullif("_p", F.lit(0.0)), F.lit(0.0))
+    return (out.withColumn("top_trade_contribution", share("_m")).withColumn("top_ticker_contribution", share("_tp"))
             .withColumn("leave_best_out", F.coalesce((F.col("_s") - F.col("_m")) / F.greatest(F.lit(1), F.col("matured_trades") - 1), F.lit(0.0)))
-            .withColumn("sample_weight", F.least(F.lit(1.0), F.sqrt(F.col("matured_trades") / 30.0))).drop("_s", "_p", "_m"))
+            .withColumn("sample_weight", F.least(F.lit(1.0), F.sqrt(F.col("matured_trades") / 30.0))).drop("_s", "_p", "_m", "_tp"))
 
 
 def opportunity_panel(signals: DataFrame, arms: DataFrame, outcomes: DataFrame, executed: DataFrame, holdout: str) -> DataFrame:

@@ -34,15 +34,15 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()]
 
 
-def map_batches(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], dict[str, Iterable]]], schema: str) -> DataFrame:
-    """Map every Arrow batch of ``df`` to columns by name; ``build`` runs once in each task."""
+def map_batches(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], dict[str, Iterable]]], schema: str, rows: int = 1 << 30) -> DataFrame:
+    """Map every Arrow batch of ``df``, in slices of ``rows`` rows, to columns by name; ``build`` runs once in each task."""
     names = DataType.fromDDL(schema).names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = build()
         for batch in batches:
-            if batch.num_rows:
-                out = step(batch)
+            for start in range(0, batch.num_rows, rows):
+                out = step(batch.slice(start, rows))
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (out[n] for n in names)], names=names)
 
     return df.mapInArrow(run, schema)

@@ -15,65 +15,142 @@ text and each kept; an empty table gives an empty file set and result; extra col
 
 from __future__ import annotations
 
+import functools
 import re
+import struct
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, pre_tokenizers
 
 from chronopanel.llm.common import column, map_batches
 from chronopanel.session import scratch_path
 
-VOCABULARY, END_ID, MAX_PARTS, LONG_PART = "byte_bpe_50k.json", 2, 400_000, 64
+VOCABULARY, END_ID, MAX_PARTS, SLICE_ROWS = "byte_bpe_50k.json", 2, 300_000, 1_500
 NO_CUT = re.compile(r" (?=\s|\Z)")
+MARKS = ",.;:!?|*$%&#)"
+#: Byte-level vocabularies write visible Latin-1 bytes as themselves and the others, in order, from U+0100 on.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+SPACE = chr(BYTE_CHARS[32])
 #: Writer settings: bounded row groups and pages, dictionary pages with delta packing where a dictionary does not pay.
 LAYOUT = {"parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.dictionary.page.size": str(256 << 10),
           "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#local_start": "false", "parquet.writer.version": "PARQUET_2_0", "compression": "zstd"}
 
 
 class PartEncoder:
-    """Token ids of whole texts through the ``tokenizers`` library, remembering the parts between cuts."""
+    """Token ids of whole texts through the ``tokenizers`` library, remembering the parts between cuts.
+
+    Parts are kept in two generations of ``MAX_PARTS`` each: what the older one holds moves up when it is met again,
+    and the older one is dropped when the younger is full.
+    """
 
     def __init__(self, vocabulary: str = VOCABULARY):
-        from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.direct = self.tokenizer.normalizer is None and isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def parts(self, text: str) -> list[str]:
-        """Pieces that join to ``text`` and encode alone as they do in place; a text that spells a special token stays whole."""
-        if any(s in text for s in self.special):
-            return [text]
+    @staticmethod
+    def parts(text: str) -> list[str]:
+        """Pieces that join to ``text``, which must spell no special token, and encode alone as they do in place."""
         pieces = text.split(" ")
-        if not NO_CUT.search(text):
-            return [pieces[0], *[" " + p for p in pieces[1:]]]
-        out = pieces[:1]
-        for piece in pieces[1:]:
-            if piece and not piece[0].isspace():
-                out.append(" " + piece)
+        if NO_CUT.search(text):
+            joined, pieces = pieces, pieces[:1]
+            for piece in joined[1:]:
+                if piece and not piece[0].isspace():
+                    pieces.append(" " + piece)
+                else:
+                    pieces[-1] += " " + piece
+        else:
+            pieces[1:] = [" " + p for p in pieces[1:]]
+        return [x for p in pieces for x in PartEncoder.marks_apart(p)]
+
+    def encode(self, texts: list[str], end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids): the number of ids of each text with its end id, and all ids one after another.
+
+        Parts are found and numbered by Arrow, so Python handles each distinct part of a slice once. Texts that spell a special
+        token, or hold a space that is no cut, are cut one by one.
+        """
+        plain = [not (any(s in t for s in self.special) or NO_CUT.search(t)) for t in texts]
+        split = pc.split_pattern(pa.array([t if ok else "" for t, ok in zip(texts, plain, strict=True)], pa.large_string()), " ")
+        numbered = split.flatten().dictionary_encode()
+        numbers, names, at = numbered.indices.to_numpy(), numbered.dictionary.to_pylist(), split.offsets.to_numpy()
+        # one entry for each distinct part with its space, then the first part of each text (which has none) and the end
+        odd = [k for k, ok in enumerate(plain) if not ok]
+        first = [t.split(" ", 1)[0] if ok else "" for t, ok in zip(texts, plain, strict=True)]
+        special = {k: any(s in texts[k] for s in self.special) for k in odd}
+        whole = {k: [] if special[k] else self.parts(texts[k]) for k in odd}
+        every = [" " + n for n in names] + first
+        tails = [""] * len(every)
+        for k, p in enumerate(every):
+            if p and not p[-1].isalnum():               # as in marks_apart
+                bare = p.rstrip(MARKS)
+                if bare and len(bare) < len(p) and bare[-1].isalnum():
+                    every[k], tails[k] = bare, p[len(bare):]
+        coded = list(map(self.known.get, every))
+        missing = [k for k, c in enumerate(coded) if c is None]
+        self._learn({every[k] for k in missing} | {p for p in {*tails, *(p for pieces in whole.values() for p in pieces)} if p not in self.known})
+        known = self.known
+        for k in missing:
+            coded[k] = known[every[k]]
+        coded = [c + known[t] if t else c for c, t in zip(coded, tails, strict=True)]
+        for k in odd:                                   # the odd texts come whole, in the place of their first part
+            coded[len(names) + k] = self._plain([texts[k]])[0] if special[k] else b"".join([known[p] for p in whole[k]])
+        coded.append(struct.pack("<I", end_id))
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        pool, starts = np.frombuffer(b"".join(coded), "<u4"), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        numbers = numbers.astype(np.int64)
+        numbers[at[:-1]] = len(names) + np.arange(len(texts))
+        order = np.insert(numbers, at[1:], len(coded) - 1)
+        n = sizes[order]
+        shift = starts[order] - (np.cumsum(n) - n)
+        ids = pool[np.repeat(shift, n) + np.arange(n.sum())]
+        if len(known) > MAX_PARTS:
+            self.older, self.known = known, {}
+        return np.add.reduceat(n, at[:-1] + np.arange(len(texts))), ids
+
+    @staticmethod
+    def marks_apart(part: str) -> tuple[str, ...]:
+        """A part and its last marks: after a letter or digit they are a token group of their own."""
+        if part and not part[-1].isalnum():
+            bare = part.rstrip(MARKS)
+            if bare and len(bare) < len(part) and bare[-1].isalnum():
+                return bare, part[len(bare):]
+        return (part,)
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(c.ids)}I", *c.ids) for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: set[str]) -> None:
+        """Takes new parts over from the older generation or encodes them; a word of letters goes straight to the merge model."""
+        known = self.known
+        again = self.older.keys() & new
+        known.update((p, self.older[p]) for p in again)
+        rest, others, merge = new - again, [], self.tokenizer.model.tokenize
+        for p in rest:
+            if self.direct and (p[1:] if p[:1] == " " else p).isalpha():
+                chars = p.replace(" ", SPACE) if p.isascii() else p.encode().decode("latin-1").translate(BYTE_CHARS)
+                ids = [t.id for t in merge(chars)]
+                known[p] = struct.pack(f"<{len(ids)}I", *ids)
             else:
-                out[-1] += " " + piece
-        return out
-
-    def encode(self, texts: list[str], end_id: int = END_ID) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text with the end id."""
-        if len(self.known) > MAX_PARTS:
-            self.known.clear()
-        known, end, split = self.known, np.array([end_id], "<u4").tobytes(), [self.parts(t) for t in texts]
-        new = list({p for pieces in split for p in pieces if p not in known})
-        for start in range(0, len(new), 20_000):
-            part = new[start:start + 20_000]
-            for text, coded in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[text] = np.array(coded.ids, "<u4").tobytes()
-        out = [b"".join([known[p] for p in pieces]) + end for pieces in split]
-        for text in new:
-            if len(text) > LONG_PART:                 # long parts hardly come again
-                del known[text]
-        return out
+                others.append(p)
+        for start in range(0, len(others), 4096):
+            part = others[start:start + 4096]
+            known.update(zip(part, self._plain(part), strict=True))
+
+
+@functools.cache
+def encoder(vocabulary: str) -> PartEncoder:
+    """One encoder for a worker process, so that tasks go on with what earlier ones have met."""
+    return PartEncoder(vocabulary)
 
 
 def write_tokens(docs: DataFrame, path: str, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end_id: int = END_ID) -> None:
@@ -84,18 +161,18 @@ def write_tokens(docs: DataFrame, path: str, partitions: int | None = None, id_c
     ordered = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text", F.spark_partition_id().alias("chunk"))
 
     def build():
-        coder, done = PartEncoder(vocabulary), [0]
+        coder, done = encoder(vocabulary), [0]
 
         def step(batch):
-            coded = coder.encode(column(batch, "text").to_pylist(), end_id)
-            sizes = np.array([len(x) // 4 for x in coded], np.int64)
-            starts = done[0] + np.concatenate([[0], np.cumsum(sizes)])
+            sizes, ids = coder.encode(column(batch, "text").to_pylist(), end_id)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            starts = done[0] + ends
             done[0] = int(starts[-1])
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+            ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view("<i4")))
             return {"doc_id": column(batch, "doc_id"), "chunk": column(batch, "chunk"), "local_start": starts[:-1], "n_tokens": sizes, "ids": ids}
         return step
 
-    map_batches(ordered, build, "doc_id long, chunk int, local_start long, n_tokens long, ids array<int>").write.options(**LAYOUT).parquet(path)
+    map_batches(ordered, build, "doc_id long, chunk int, local_start long, n_tokens long, ids array<int>", rows=SLICE_ROWS).write.options(**LAYOUT).parquet(path)
 
 
 def token_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -116,8 +193,8 @@ def read_tokens(spark: SparkSession, path: str, first: int | None = None, last:
 
 def _list_bytes(lists: pa.ListArray) -> list[bytes]:
     """Little-endian bytes of every list of an int32 list column."""
-    values, at = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)), lists.offsets.to_numpy()
-    raw = memoryview(values).cast("B")
+    at = lists.offsets.to_numpy()
+    raw = memoryview(np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False))).cast("B")
     return [raw[4 * a:4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 

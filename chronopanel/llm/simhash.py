@@ -8,6 +8,10 @@ exactly if it meets in a list. Where two fingerprints meet, the tally of shared
 position tells whether this is the first list they share, so a pair is counted once; pairs under the minimum never
 meet. The exact bit distance then verifies each pair inside the join, before any row leaves it.
 
+The pipeline's stage (``one_of_each_group``) has another contract: five-word shingles and a similarity of 0.8 or more, at
+which fingerprints differ by 7 to 10 bits. It lists documents by the shingles of a prefix of their sets, where
+every such pair meets, and verifies each pair on the whole sets.
+
 Defined cases: a null or word-free text has fingerprint zero; texts under four words give one shingle; repeated rows and
 repeated ids keep one output row each; a null id never names a group (a group of null ids only has a null id); an empty
 table gives an empty result; extra columns are ignored.
@@ -29,6 +33,8 @@ from chronopanel.llm.components import star_components
 from chronopanel.session import stage
 
 MAX_BITS, SHINGLE, SEED, CHUNK = 4, 4, 42, 1 << 15
+#: Of the pipeline's stage: shingle width; the bounds of the sample that tells which shingles are frequent.
+STAGE_SHINGLE, MAX_SAMPLE, MAX_COMMON = 5, 20_000, 200_000
 
 
 def fingerprint(text: bytes, width: int = SHINGLE) -> int:
@@ -105,15 +111,103 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+# ---- the pipeline's stage: groups by shingle similarity -----------------------------------------------------------
+
+def shingle_set(text: bytes, width: int = STAGE_SHINGLE) -> np.ndarray:
+    """Sorted distinct XXH64 values of the word shingles, as signed integers; a shorter text is one shingle, a word-free one has none."""
+    words = text.lower().split()
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    if len(words) < width:
+        hashes = [digest(join(words), SEED)] if words else []
+    else:
+        hashes = (digest(join(x), SEED) for x in zip(*(islice(words, k, None) for k in range(width)), strict=False))
+    return np.unique(np.fromiter(hashes, np.uint64).view(np.int64))
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first n - ceil(0.8 n) + 1 shingles of a set, those in ``common`` (sorted) last.
+
+    Two sets at similarity 0.8 or more share at least 0.8 of the larger one, so under any one order of all shingles
+    their prefixes meet; ``common`` only keeps frequent shingles out of the lists and never decides what is found.
+    """
+    if len(common) and len(hashes):
+        often = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
+        hashes = np.concatenate([hashes[~often], hashes[often]])
+    n = len(hashes)
+    return hashes[:n - -(-4 * n // 5) + 1 if n else 0]
+
+
+def frequent_shingles(docs: DataFrame, text_col: str) -> np.ndarray:
+    """Shingles held by several of at most ``MAX_SAMPLE`` documents, ``MAX_COMMON`` at most."""
+    def build():
+        def step(batch):
+            return {"s": pa.array([shingle_set(t) for t in texts(batch, text_col)], pa.list_(pa.int64()))}
+        return step
+
+    drawn = docs.select(text_col).where(F.pmod(F.xxhash64(text_col), F.lit(16)) == 0).distinct().limit(MAX_SAMPLE)
+    counts = map_batches(drawn, build, "s array<long>").select(F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("n"))
+    return np.sort(np.array([r.s for r in counts.where("n >= 4").orderBy(F.desc("n"), "s").limit(MAX_COMMON).collect()], np.int64))
+
+
+def similar_sizes(a: Column, b: Column) -> Column:
+    return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, named: DataFrame, by: list[str], text_col: str) -> DataFrame:
+    """The pairs ``(a, b)`` of set keys whose sets have a similarity of 0.8 or more, counted on whole sets."""
+    def build():
+        def step(batch):
+            return {"key": column(batch, "key"), "s": pa.array([shingle_set(t) for t in texts(batch, text_col)], pa.list_(pa.int64()))}
+        return step
+
+    needed = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key").select("key", F.col("least.*"))
+    held = stage(map_batches(named.select(*by, text_col).join(needed, by).select("key", text_col), build, "key long, s array<long>").dropDuplicates(["key"]), "shingle-sets")
+    both = pairs.join(held.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
+    return both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
+
+
+def similar_links(sets: DataFrame, named: DataFrame, by: list[str], text_col: str) -> DataFrame:
+    """Links ``(a, b)`` whose components are those of all pairs of sets at similarity 0.8 or more.
+
+    Each list of a shingle first links its members to its smallest one, so a dense group becomes one component by links in
+    proportion to its members. Then all pairs of a list that are not in one component yet are compared. A pair in
+    one component needs no link of its own.
+    """
+    lists = sets.where("n > 0").select("key", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    w = W.partitionBy("shingle")
+    shared = stage(lists.select("*", F.count("*").over(w).alias("many"), F.min(F.struct("key", "n")).over(w).alias("head")).where("many > 1").drop("many"), "shingle-lists")
+    stars = shared.where((F.col("head.key") != F.col("key")) & similar_sizes(F.col("head.n"), F.col("n"))).select(F.col("head.key").alias("a"), F.col("key").alias("b")).distinct()
+    first = stage(verified(stage(stars, "shingle-stars"), sets, named, by, text_col), "shingle-links")
+    marked = stage(shared.join(star_components(first), F.col("key") == F.col("node"), "left").select("shingle", "pos", "key", "n", F.coalesce("root", "key").alias("root")), "shingle-marked")
+    x, y = marked.alias("x"), marked.alias("y")
+    # at the first shingle that two sets share, no more can be shared than what follows it in both
+    most = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    meets = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & similar_sizes(F.col("x.n"), F.col("y.n")) & (9 * most >= 4 * (F.col("x.n") + F.col("y.n")))
+    rest = stage(x.join(y, meets).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct(), "shingle-pairs")
+    return stage(first.union(verified(rest, sets, named, by, text_col)), "shingle-all-links")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the smallest id stays (null ids last), one row of it.
 
-    Where rows share that id but not their text, the smallest hash of the text decides.
+    Groups are the components of all pairs of documents whose sets of five-word shingles have a similarity (Jaccard) of
+    0.8 or more; word-free texts are one group. Where rows share that id but not their text, the smallest hash of the text decides.
     """
-    own = free_names(docs, "id", "text", "row")
+    own = free_names(docs, "id", "hash", "row")
     named = docs.select("*", F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias(own[0]), F.xxhash64(F.col(text_col)).alias(own[1]))
-    prints = stage(fingerprints(named, own[0], text_col, (own[1],)), "simhash")
-    groups = _groups(prints, own[0], max_bits)
-    best = prints.join(groups.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(*own[:2])).alias("k")).select("k.*").distinct()
+    common = frequent_shingles(docs, text_col)
+
+    def build():
+        def step(batch):
+            found = [shingle_set(t) for t in texts(batch, text_col)]
+            return {"i": column(batch, own[0]), "h": column(batch, own[1]), "key": pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes(), SEED) for s in found], np.uint64).view(np.int64)),
+                    "n": pa.array([len(s) for s in found], pa.int64()), "prefix": pa.array([prefix(s, common) for s in found], pa.list_(pa.int64()))}
+        return step
+
+    prints = stage(map_batches(named.select(*own[:2], text_col), build, "i long, h long, key long, n long, prefix array<long>"), "shingle-prints")
+    names = F.struct(F.col("i").alias(own[0]), F.col("h").alias(own[1]))
+    sets = stage(prints.groupBy("key").agg(F.min(names).alias("least"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")), "shingle-keys")
+    roots = star_components(similar_links(sets, named, own[:2], text_col))
+    best = sets.select("key", "least").join(roots, F.col("key") == F.col("node"), "left").groupBy(F.coalesce("root", "key")).agg(F.min("least").alias("k")).select("k.*").distinct()
     once = F.row_number().over(W.partitionBy(*own[:2]).orderBy(*(F.xxhash64(c) for c in docs.columns)))
     return named.join(best, own[:2], "left_semi").withColumn(own[2], once).where(F.col(own[2]) == 1).select(*docs.columns)

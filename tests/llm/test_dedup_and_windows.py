@@ -90,6 +90,38 @@ def test_one_of_each_group(edge_docs):
     assert [i for i, _ in got] == sorted({c for _, _, c in groups})
 
 
+def test_stage_groups_equal_brute_force_similarity(spark):
+    """Every pair at Jaccard 0.8 or more of five-word shingles is in one group, also far beyond four bits; no other pair links."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(25):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([3, 5, 9, 60, 200]))]
+        for edits in (0, 1, 1, 2, 4, 6, 9):
+            own = list(base)
+            for _ in range(edits):
+                own[rng.randrange(len(own))] = f"v{rng.randrange(5000)}"
+            texts.append(" ".join(["the same passage stands at the head of every text here"] * (len(base) > 100) + own))
+    dense = [f"d{k}" for k in range(300)]
+    texts += [" ".join([*dense[:k], f"x{k}", *dense[k:]]) for k in range(40)]
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) or {tuple(t.split())} for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    far = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                far += (plain_print(texts[a]) ^ plain_print(texts[b])).bit_count() > 4
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    want = sorted({root(k) for k in range(len(texts))})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert far > 20 and sorted(r.doc_id for r in simhash.one_of_each_group(docs).collect()) == want
+
+
 def plain_hits(text, items, window=10):
     words = words_of((text or "").encode())
     hit, found = set(), set()

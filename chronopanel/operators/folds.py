@@ -7,6 +7,7 @@ expression: it streams sorted rows and gathers no group.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -49,14 +50,27 @@ def carried(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str
     return walked.select(*keys, F.inline(after)).select(*keys, order, "_s.*")
 
 
+#: Rows of a block of a decayed sum; a strong decay has shorter ones, so that ratio ** -t stays under e ** 300.
+BLOCK = 1_000
+
+
 def decayed_sum(df: DataFrame, keys: Sequence[str], order: str, value: Column, ratio: float, name: str) -> DataFrame:
-    """Adds s(t) = value(t) + ratio * s(t - 1) as one running sum of values scaled by ratio ** -t.
+    """Adds s(t) = value(t) + ratio * s(t - 1), for series of any length.
 
-    The scale stays a double as long as t * -ln(ratio) < 700: 22,000 sessions at ratio 0.97, 5,500 at 0.88.
+    Inside a block of rows it is one running sum of values scaled by ratio ** -t; what the finished blocks before a row
+    have left (one number each) is folded and decays on.
     """
+    if ratio <= 0:
+        return df.withColumn(name, value)
+    size = BLOCK if ratio >= 1 else max(1, min(BLOCK, int(300 / -math.log(ratio))))
     w = Window.partitionBy(*keys).orderBy(order)
-    scaled = df.withColumn("_t", F.row_number().over(w)).withColumn("_x", value * F.pow(F.lit(ratio), -F.col("_t")))
-    return scaled.withColumn(name, F.pow(F.lit(ratio), "_t") * F.sum("_x").over(w)).drop("_t", "_x")
+    t = F.row_number().over(w) - 1
+    scaled = df.withColumn("_t", t).withColumn("_k", F.col("_t") % size + 1).withColumn("_b", F.floor(F.col("_t") / size)).withColumn("_x", value * F.pow(F.lit(ratio), -F.col("_k")))
+    inside = scaled.withColumn("_s", F.pow(F.lit(ratio), "_k") * F.sum("_x").over(Window.partitionBy(*keys, "_b").orderBy("_t")))
+    ends = F.collect_list(F.when(F.col("_k") == size, F.struct(F.col("_s").cast("double").alias("s")))).over(Window.partitionBy(*keys).orderBy("_t").rowsBetween(Window.unboundedPreceding, -1))
+    plus = lambda x, carry, decay: F.when(carry.isNull(), x).otherwise(F.coalesce(x, F.lit(0.0)) + decay * carry)      # nothing but NULL so far stays NULL
+    left = F.aggregate("_ends", F.lit(None).cast("double"), lambda carry, e: plus(e["s"], carry, F.lit(ratio ** size)))
+    return inside.withColumn("_ends", ends).withColumn(name, plus(F.col("_s"), left, F.pow(F.lit(ratio), "_k"))).drop("_t", "_k", "_b", "_x", "_s", "_ends")
 
 
 def ewma(df: DataFrame, keys: Sequence[str], order: str, value: str, span: int) -> DataFrame:

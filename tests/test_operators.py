@@ -210,6 +210,24 @@ def test_keyed_fold_keeps_order_and_never_mixes_keys(spark):
         assert np.allclose(g.sort_values("t")["ewma"], want)
 
 
+def test_decayed_folds_of_long_series(spark):
+    """10,000 rows a key, past the reach of a double's ratio ** -t, against plain recursions."""
+    rng = np.random.default_rng(3)
+    rows = [(k, t, float(v)) for k in ("a", None) for t, v in enumerate(rng.normal(0, 1, 10_000))]
+    df = spark.createDataFrame(rows, "k string, t int, v double")
+    got, seen = fo.ewma(df, ["k"], "t", "v", span=13).toPandas(), fo.change_detector(df, ["k"], "t", "v", 0.5).toPandas()
+    for k in ("a", None):
+        v = np.array([x for key, _, x in rows if key == k])
+        pick = lambda frame: frame[frame["k"].isna() if k is None else frame["k"] == k].sort_values("t")
+        assert np.allclose(pick(got)["ewma"], pd.Series(v).ewm(span=13, adjust=False).mean())
+        mean, p, want = 0.0, 0.0, []
+        for x in v:
+            p = fo.HAZARD + (1 - fo.HAZARD) * (fo.DECAY * p + (1 - fo.DECAY) * min(1.0, max(0.0, (mean - x) / 0.5)))
+            mean = fo.DECAY * mean + (1 - fo.DECAY) * x
+            want.append(p)
+        assert np.allclose(pick(seen)["probability"], want)
+
+
 def test_hysteresis_rejects_changed_evidence(spark):
     rows = [("k", day(3), day(2), 1, "A", {"A": 1.0, "B": 0.0})]
     run = lambda more: fo.recipe_hysteresis(spark.createDataFrame(rows + more, "k string, assessment_date date, evidence_date date, fingerprint long, winner string, scores map<string,double>"), ["k"]).orderBy("assessment_date").collect()

@@ -21,7 +21,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from itertools import pairwise
+from bisect import bisect_left
+from collections.abc import Callable
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -95,19 +97,18 @@ SEPARATORS = " -.()/+:@_"
 HOST = re.compile(r"[\w-]+(?:(?:\.|[\[({]\s?dot\s?[\])}])[\w-]+)+", re.I)
 
 
-def islands(text: str, most_words: int = 12) -> list[tuple[int, int]]:
-    """Runs of neighbouring words on one line that hold digits or signs, cut after ``most_words`` words."""
+def islands(text: str) -> list[tuple[int, int]]:
+    """Whole runs of neighbouring words on one line that hold digits or signs."""
     if not SIGN.search(text):
         return []
     out: list[list[int]] = []
     for m in WORDS.finditer(text):
         if SIGN.search(m[0]):
-            if out and m.start() - out[-1][1] == 1 and text[m.start() - 1] == " " and out[-1][2] < most_words:
+            if out and m.start() - out[-1][1] == 1 and text[m.start() - 1] == " ":
                 out[-1][1] = m.end()
-                out[-1][2] += 1
             else:
-                out.append([m.start(), m.end(), 1])
-    return [(a, b) for a, b, _ in out]
+                out.append([m.start(), m.end()])
+    return [(a, b) for a, b in out]
 
 
 def possible(span: str, digits: str) -> list[int]:
@@ -160,25 +161,30 @@ def features(text: str, start: int, end: int, span: str, digits: str, kind: int)
 CONTEXT_WEIGHT, SIZE = 0.2, 56
 
 
+def candidates(text: str, tokens: list[tuple[int, int]], i: int):
+    """(token after the last, kind, start, end, span, digits) of the candidates that begin at token ``i``."""
+    start = tokens[i][0]
+    head = text[start]
+    if not (head.isalnum() or head in "+("):
+        return
+    spaced = worded = False
+    for j in range(i, min(len(tokens), i + MAX_TOKENS)):
+        stop = tokens[j][1]
+        spaced, worded = spaced or j > i and tokens[j][0] > tokens[j - 1][1], worded or text[stop - 1].isalpha() or text[stop - 1] == "@"
+        if stop - start > MAX_CHARS or spaced and worded:       # words and spaces together are of no kind
+            break
+        if not (text[stop - 1].isalnum()):
+            continue
+        span = text[start:stop]
+        digits = digits_of(span)
+        for kind in possible(span, digits):
+            yield j + 1, kind, start, stop, span, digits
+
+
 def lattice(text: str, begin: int, end: int) -> tuple[int, list[tuple[int, int, int, int, int, np.ndarray]]]:
     """Token count and candidates (from token, to token, kind, start, end, features) of an island."""
     tokens = [(m.start(), m.end()) for m in TOKENS.finditer(text, begin, end)]
-    out = []
-    for i, (start, _) in enumerate(tokens):
-        head = text[start]
-        if not (head.isalnum() or head in "+("):
-            continue
-        for j in range(i, min(len(tokens), i + MAX_TOKENS)):
-            stop = tokens[j][1]
-            if stop - start > MAX_CHARS:
-                break
-            if not (text[stop - 1].isalnum()):
-                continue
-            span = text[start:stop]
-            digits = digits_of(span)
-            for kind in possible(span, digits):
-                out.append((i, j + 1, kind, start, stop, features(text, start, stop, span, digits, kind)))
-    return len(tokens), out
+    return len(tokens), [(i, j, kind, start, stop, features(text, start, stop, span, digits, kind)) for i in range(len(tokens)) for j, kind, start, stop, span, digits in candidates(text, tokens, i)]
 
 
 class SpanField:
@@ -214,6 +220,40 @@ class SpanField:
                 out.append(k)
         return out[::-1]
 
+    def decode(self, text: str, begin: int, end: int, fixed: set[tuple[int, int, int]], free: Callable[[int, int], bool]) -> list[tuple[int, int, int]]:
+        """(kind, start, end) of the best segmentation of an island of any length, among candidates that are ``fixed`` or lie on ``free`` text.
+
+        The same as ``best`` on the whole lattice. A candidate is scored where it begins and forgotten, so what is kept is a
+        few numbers for each token.
+        """
+        tokens = [(m.start(), m.end()) for m in TOKENS.finditer(text, begin, end)]
+        n = len(tokens)
+        top, back = [[-np.inf] * STATES for _ in range(n + 1)], {}
+        top[0][STATES - 1] = 0.0
+        for t in range(n + 1):
+            if t:
+                for s, value in enumerate(top[t - 1]):
+                    if value >= top[t][s]:
+                        top[t][s] = value
+                        back.pop((t, s), None)
+            if t == n:
+                break
+            for j, kind, start, stop, span, digits in candidates(text, tokens, t):
+                held = (kind, start, stop) in fixed
+                if held or free(start, stop):
+                    s = int(np.argmax(self.between[:, kind] + top[t]))
+                    value = top[t][s] + self.between[s, kind] + (self.w[kind] @ features(text, start, stop, span, digits, kind) + (1e6 if held else 0.0))
+                    if value > top[j][kind]:
+                        top[j][kind], back[j, kind] = value, (t, s, (kind, start, stop))
+        t, s, out = n, int(np.argmax(top[n])), []
+        while t > 0:
+            if (t, s) in back:
+                t, s, found = back[t, s]
+                out.append(found)
+            else:
+                t -= 1
+        return out[::-1]
+
     def gradient(self, n: int, cands, truth: list[int]):
         """Log-likelihood of the true segmentation and its gradient, by forward and backward sums over segments."""
         scores, ends, starts = self._scores(cands), _by_end(cands), {}
@@ -350,15 +390,16 @@ def all_spans(text: str, field: SpanField | None) -> tuple[list, list]:
         return base, base
     added = []
     taken = sorted((a, b) for _, a, b in base)
+    starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+    fixed = {(KINDS.index(k), a, b) for k, a, b in base}
+
+    def free(start: int, stop: int) -> bool:
+        """No base span reaches into the stretch."""
+        before = bisect_left(starts, stop)
+        return not before or ends[before - 1] <= start
+
     for begin, end in islands(text):
-        n, cands = lattice(text, begin, end)
-        if not cands:
-            continue
-        near = [(a, b) for a, b in taken if a < end and b > begin]
-        fixed = {(KINDS.index(k), a, b) for k, a, b in base if a >= begin and b <= end}
-        own = [c for c in cands if (c[2], c[3], c[4]) in fixed or not any(c[3] < b and c[4] > a for a, b in near)]
-        if len(own) > len([c for c in own if (c[2], c[3], c[4]) in fixed]):
-            added += [(KINDS[own[k][2]], own[k][3], own[k][4]) for k in field.best(n, own, fixed) if (own[k][2], own[k][3], own[k][4]) not in fixed]
+        added += [(KINDS[k], a, b) for k, a, b in field.decode(text, begin, end, fixed, free) if (k, a, b) not in fixed]
     return base, sorted([*base, *added], key=lambda s: (KINDS.index(s[0]), s[1], s[2])) if added else base
 
 

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 
 import numpy as np
 
@@ -85,6 +86,22 @@ def test_field_adds_what_patterns_miss_and_leaves_the_rest():
         assert set(base) <= set(every) and base == plain_personal(text)
 
 
+def test_long_number_rows_are_decoded_whole():
+    """A phone number is in the lattice wherever it stands in a row of numbers, and decoding without the lattice gives its best segmentation."""
+    field = pii.SpanField().fit(pii.training_rows(sample_texts(1, 250)))
+    for before in range(40):
+        text = " ".join([*(str(k % 10) for k in range(before)), "(212) 555 0199", "13"])
+        (begin, end), = pii.islands(text)
+        n, cands = pii.lattice(text, begin, end)
+        at = text.index("(212)")
+        assert (3, at, at + 14) in {(c[2], c[3], c[4]) for c in cands}
+        assert field.decode(text, begin, end, set(), lambda a, b: True) == [(cands[k][2], cands[k][3], cands[k][4]) for k in field.best(n, cands)]
+    rows = "7;" * 20 + " " + "x7 " * 5
+    for before in (0, 9, 10, 11, 12, 30):
+        text = "x7 " * before + "(212) 555-0199 " + rows
+        assert ("phone", 3 * before, 3 * before + 14) in pii.all_spans(text, field)[1]
+
+
 def test_personal_data_rows(spark, edge_docs, no_docs):
     docs = edge_docs.unionByName(spark.createDataFrame([(20 + k, t, *[None] * 11) for k, t in enumerate(sample_texts(3, 40))], edge_docs.schema))
     rows = pii.personal_data(docs).collect()
@@ -149,3 +166,27 @@ def test_license_savings_rank_the_own_template_first():
     for name, text in licenses.TEMPLATES.items():
         assert matcher.savings(text)[0][1].split("-")[0] == name.split("-")[0]
         assert matcher.judge(text + ".")[0].split("-")[0] == name.split("-")[0]
+
+
+def found_in(text):
+    matcher = licenses.Matcher()
+    return [w[0] for a, b in licenses.blocks(text, matcher.reach) for _, _, w in matcher.notices(text[a:b])]
+
+
+def test_wrapped_license_notices():
+    """Every template, hard-wrapped at 72 columns with comment marks, after code and before it."""
+    for name, text in licenses.TEMPLATES.items():
+        for first, mark, last in (("", "", ""), ("", "# ", ""), ("/*\n", " * ", "\n */"), ("", "// ", "")):
+            body = first + "\n".join(mark + x for x in textwrap.wrap(text, 72 - len(mark))) + last
+            assert found_in(f"import os\n{body}\nx = 1\n") == [name], (name, mark)
+            assert found_in(f"a b c\n\n{body}\n\nx = 1\n") == [name], (name, mark)
+
+
+def test_every_notice_of_a_block_is_found():
+    """Short notices inside license-like prose and two notices on one line."""
+    prose = ("the terms and conditions of each license are described with the software and any person who may use or distribute copies of this work must include the copyright notice "
+             "and permission of the author under which the program is provided without warranty and the free software foundation has published a version of the general public terms ")
+    for name in ("MIT", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "Apache-2.0", "GPL-3.0-work"):
+        assert found_in(prose + licenses.TEMPLATES[name] + ". " + prose) == [name]
+    for one, two in itertools.permutations(("MIT", "Apache-2.0", "CC-BY-NC-4.0", "Unlicense"), 2):
+        assert found_in(f"{licenses.TEMPLATES[one]} or {licenses.TEMPLATES[two]}") == [one, two]

@@ -153,15 +153,21 @@ def similar_sizes(a: Column, b: Column) -> Column:
     return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, named: DataFrame, by: list[str], text_col: str) -> DataFrame:
-    """The pairs ``(a, b)`` of set keys whose sets have a similarity of 0.8 or more, counted on whole sets."""
+def whole_sets(keys: DataFrame, sets: DataFrame, named: DataFrame, by: list[str], text_col: str) -> DataFrame:
+    """``(key, s)`` with the shingle set of every key, from one row of its text."""
     def build():
         def step(batch):
             return {"key": column(batch, "key"), "s": pa.array([shingle_set(t) for t in texts(batch, text_col)], pa.list_(pa.int64()))}
         return step
 
-    needed = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key").select("key", F.col("least.*"))
-    held = stage(map_batches(named.select(*by, text_col).join(needed, by).select("key", text_col), build, "key long, s array<long>").dropDuplicates(["key"]), "shingle-sets")
+    needed = sets.join(keys, "key").select("key", F.col("least.*"))
+    first = F.row_number().over(W.partitionBy(*by).orderBy("key"))
+    one = named.select(*by, F.col(text_col).alias("text")).join(needed, by).select("key", "text", first.alias("nth")).where("nth = 1")
+    return stage(map_batches(one.select("key", F.col("text").alias(text_col)), build, "key long, s array<long>"), "shingle-sets")
+
+
+def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` of set keys whose sets have a similarity of 0.8 or more, counted on whole sets."""
     both = pairs.join(held.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
     return both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
 
@@ -176,15 +182,16 @@ def similar_links(sets: DataFrame, named: DataFrame, by: list[str], text_col: st
     lists = sets.where("n > 0").select("key", "n", F.posexplode("prefix").alias("pos", "shingle"))
     w = W.partitionBy("shingle")
     shared = stage(lists.select("*", F.count("*").over(w).alias("many"), F.min(F.struct("key", "n")).over(w).alias("head")).where("many > 1").drop("many"), "shingle-lists")
+    held = whole_sets(shared.select("key").distinct(), sets, named, by, text_col)
     stars = shared.where((F.col("head.key") != F.col("key")) & similar_sizes(F.col("head.n"), F.col("n"))).select(F.col("head.key").alias("a"), F.col("key").alias("b")).distinct()
-    first = stage(verified(stage(stars, "shingle-stars"), sets, named, by, text_col), "shingle-links")
+    first = stage(verified(stars, held), "shingle-links")
     marked = stage(shared.join(star_components(first), F.col("key") == F.col("node"), "left").select("shingle", "pos", "key", "n", F.coalesce("root", "key").alias("root")), "shingle-marked")
     x, y = marked.alias("x"), marked.alias("y")
     # at the first shingle that two sets share, no more can be shared than what follows it in both
     most = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     meets = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & similar_sizes(F.col("x.n"), F.col("y.n")) & (9 * most >= 4 * (F.col("x.n") + F.col("y.n")))
-    rest = stage(x.join(y, meets).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct(), "shingle-pairs")
-    return stage(first.union(verified(rest, sets, named, by, text_col)), "shingle-all-links")
+    rest = x.join(y, meets).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    return stage(first.union(verified(rest, held)), "shingle-all-links")
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronopanel.llm import ann, decontam, licenses, maxent, packing, pii, secrets, simhash, tokenfile, toxicity
+from chronopanel.llm import ann, decontam, divergence, html_regions, lexical, licenses, maxent, packing, pii, secrets, simhash, tokenfile, toxicity
 from chronopanel.llm.common import table
 
 
@@ -48,7 +48,20 @@ def op10_inverted_multi_index(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op11_block_max_maxscore(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_html_main_text(spark, sf_dir):
+    return html_regions.main_texts(table(spark, sf_dir, "pages"))
+
+
+def op13_source_divergence_audit(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_near_duplicates, op2_license_conditional_compression, op3_maxent_language_scores, op4_variable_best_fit_packing, op5_personal_data_span_field, op6_secret_ledger_scan, op7_benchmark_decontamination, op8_toxicity_factorization_machine,
-    op9_token_id_files, op10_inverted_multi_index)}
-ORACLES = {"op6_secret_ledger_scan": secrets.ORACLE, "op7_benchmark_decontamination": decontam.ORACLE}
+    op9_token_id_files, op10_inverted_multi_index, op11_block_max_maxscore, op12_html_main_text, op13_source_divergence_audit)}
+ORACLES = {"op6_secret_ledger_scan": secrets.ORACLE, "op7_benchmark_decontamination": decontam.ORACLE, "op11_block_max_maxscore": lexical.ORACLE,
+           "op13_source_divergence_audit": divergence.ORACLE}

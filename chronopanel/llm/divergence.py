@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 from chronopanel.llm.common import column
 from chronopanel.session import stage
 
-LEAST_DOCS, TERMS, SLICE_BYTES, DEEP, TILE, HELD, SLOTS = 3, 200, 1 << 22, 64, 512, 64, 16
+LEAST_DOCS, TERMS, SLICE_BYTES, DEEP, TILE, HELD, SLOTS = 3, 200, 1 << 23, 64, 512, 64, 16
 SCALE = 1_000_000_000
 #: Lower-case letters and non-ASCII bytes stay, A-Z become lower case, the rest is zero.
 LETTERS = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 0 for c in range(256)], np.uint8)
+#: Masks of the first 0 to 8 bytes of a key.
+HEADS = np.array([((1 << 64) - 1) ^ ((1 << 64 - 8 * n) - 1) for n in range(9)], np.uint64)
 
 
 def pointers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -52,16 +54,17 @@ def pointers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     start = inside.copy()
     start[1:] &= ~inside[:-1] | edge[1:]
     end = inside[:-1] & (~inside[1:] | edge[1:])
-    starts, ends = np.flatnonzero(start), np.flatnonzero(end)
-    return folded, starts, ends + 1 - starts, np.searchsorted(offsets, starts, "right") - 1
+    kind = np.int32 if len(folded) < 1 << 31 else np.int64
+    starts = np.flatnonzero(start).astype(kind)
+    return folded, starts, np.flatnonzero(end).astype(kind) + kind(1) - starts, (np.searchsorted(offsets, starts, "right") - 1).astype(np.int32)
 
 
 def _keys(folded: np.ndarray, starts: np.ndarray, lengths: np.ndarray, depth: int) -> np.ndarray:
     """Bytes ``depth`` to ``depth + 8`` of every word as one number that sorts like them."""
-    left = np.clip(lengths - depth, 0, 8)
     windows = np.ndarray((len(folded) - 7,), ">u8", folded.data, strides=(1,))
     keys = windows[np.minimum(starts + depth, len(windows) - 1)].astype(np.uint64)
-    return np.where(left > 0, keys >> (64 - 8 * np.maximum(left, 1)).astype(np.uint64) << (64 - 8 * np.maximum(left, 1)).astype(np.uint64), np.uint64(0))
+    keys &= HEADS[np.clip(lengths - depth, 0, 8)]
+    return keys
 
 
 def sort_words(folded: np.ndarray, starts: np.ndarray, lengths: np.ndarray, deep: int = DEEP) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +76,7 @@ def sort_words(folded: np.ndarray, starts: np.ndarray, lengths: np.ndarray, deep
     new[1:] = keys[1:] != keys[:-1]
     depth = 8
     while True:
-        run = np.cumsum(new) - 1
+        run = np.cumsum(new, dtype=np.int32) - 1
         longer = np.zeros(run[-1] + 1 if len(run) else 0, bool)
         longer[run[lengths[order] > depth]] = True
         longer &= np.bincount(run, minlength=len(longer)) > 1
@@ -97,7 +100,7 @@ def sort_words(folded: np.ndarray, starts: np.ndarray, lengths: np.ndarray, deep
 
 def _strings(folded: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum(lengths)])
-    data = folded[np.repeat(starts - offsets[:-1], lengths) + np.arange(offsets[-1])]
+    data = folded[np.repeat((starts - offsets[:-1]).astype(starts.dtype), lengths) + np.arange(offsets[-1], dtype=starts.dtype)]
     return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())).cast(pa.string())
 
 
@@ -110,7 +113,8 @@ def count_runs(texts: pa.Array, groups: np.ndarray) -> tuple[np.ndarray, pa.Arra
     by_group = np.argsort(groups[doc], kind="stable")
     starts, lengths, doc = starts[by_group], lengths[by_group], doc[by_group]
     order, new = sort_words(folded, starts, lengths)
-    doc, group = doc[order], groups[doc[order]]
+    doc = doc[order]
+    group = groups[doc]
     new[1:] |= group[1:] != group[:-1]
     first = np.flatnonzero(new)
     other = new.copy()
@@ -135,7 +139,7 @@ def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
             for part in _slices(batch):
                 pairs = pa.StructArray.from_arrays([column(part, "lang"), column(part, "source")], ["lang", "source"]).to_pylist()
                 number: dict = {}
-                codes = np.array([number.setdefault((p["lang"], p["source"]), len(number)) for p in pairs], np.int64)
+                codes = np.array([number.setdefault((p["lang"], p["source"]), len(number)) for p in pairs], np.int32)
                 group, term, count, df = count_runs(column(part, "text"), codes)
                 names = list(number)
                 yield pa.RecordBatch.from_arrays([pa.array([n[0] for n in names], pa.string()).take(pa.array(group)), pa.array([n[1] for n in names], pa.string()).take(pa.array(group)),
@@ -211,7 +215,8 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
                  .where(F.col("df") >= least_docs).drop("df"), "kept-terms")
     read = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     occurring = docs.select(read(lang_col).alias("lang"), read(source_col).alias("source")).distinct()
-    each = kept.select("lang", "term", "total", F.explode("held").alias("h")).select("lang", "term", "total", "h.source", "h.count")
+    numbered = kept.withColumn("tid", F.monotonically_increasing_id())          # only joins rows of one reading of the table
+    each = numbered.select("lang", "term", "tid", "total", F.explode("held").alias("h")).select("lang", "term", "tid", "total", "h.source", "h.count")
     of_lang = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("lang_n"))
     of_group = each.groupBy("lang", "source").agg(F.sum("count").alias("n"))
     groups = (occurring.join(of_lang, "lang", "left").join(of_group, ["lang", "source"], "left").fillna(0, ["v", "lang_n", "n"])
@@ -219,7 +224,7 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
               .withColumn("p0", F.when(F.col("v") > 0, share(F.lit(0), F.col("n"), F.col("v"))).otherwise(1)))
     groups = stage(groups, "groups")
     valued = stage(each.join(groups, ["lang", "source"]).withColumn("p", share(F.col("count"), F.col("n"), F.col("v")))
-                   .withColumn("q", share(F.col("total"), F.col("lang_n"), F.col("v"))).select("lang", "source", "sid", "term", "count", "p", "p0", "q"), "term-values")
+                   .withColumn("q", share(F.col("total"), F.col("lang_n"), F.col("v"))).select("lang", "source", "sid", "term", "tid", "p", "p0", "q"), "term-values")
 
     over = valued.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), gap(F.col("p"), F.col("q")).alias("value"))
     place = F.row_number().over(W.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
@@ -233,7 +238,7 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     mine = met.groupBy("lang", F.col("sid").alias("a"), F.col("other").alias("b")).agg(F.sum(F.col("k") * (gap(F.col("p"), F.col("other_p0")) - base)).alias("part"))
     back = gap(F.col("other_p0"), F.col("p0"))
     theirs = met.groupBy("lang", F.col("other").alias("a"), F.col("sid").alias("b")).agg(F.sum(F.col("k") * (gap(F.col("other_p0"), F.col("p")) - back)).alias("part"))
-    lists = valued.groupBy("lang", "term").agg(F.array_sort(F.collect_list(F.struct("sid", "p", "p0"))).alias("held")).where(F.size("held") > 1).select("lang", "held")
+    lists = valued.groupBy("tid").agg(F.any_value("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("sid", "p", "p0"))).alias("held")).where(F.size("held") > 1).select("lang", "held")
     one, two = groups.select("lang", "v", F.col("sid").alias("a"), "source", F.col("p0").alias("pa")), groups.select("lang", F.col("sid").alias("b"), F.col("source").alias("item"), F.col("p0").alias("pb"))
     pairs = one.join(two, "lang").where("a <> b")                          # the rows asked for: every other source of the language
     parts = mine.union(theirs).union(shared_gaps(lists).where("a <> b")).groupBy("lang", "a", "b").agg(F.sum("part").alias("part"))

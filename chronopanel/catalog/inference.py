@@ -46,15 +46,15 @@ SC = "CASE {0} WHEN 'A' THEN ch.sa WHEN 'N' THEN ch.sn ELSE ch.sr END"
 
 @query("f1_recipe_hysteresis", f"""
 WITH RECURSIVE {CHOICES},
-st AS (SELECT h, rn, assessment_date, NULL::VARCHAR AS before, winner AS inc, NULL::VARCHAR AS ch, NULL::VARCHAR AS shown, 0 AS n, 0 AS shown_n, evidence_date AS ed, fingerprint AS fp, 'INITIAL_CHOICE' AS reason FROM ch WHERE rn = 1
- UNION ALL SELECT h, rn, assessment_date, inc0, CASE WHEN reason = 'SWITCH_CONFIRMED' THEN winner ELSE inc0 END, CASE WHEN reason IN ('DUPLICATE_EVIDENCE_IGNORED', 'NO_NEW_EVIDENCE') THEN ch0 WHEN reason = 'CONFIRMATION_PENDING' THEN winner END,
-  CASE WHEN reason IN ('DUPLICATE_EVIDENCE_IGNORED', 'NO_NEW_EVIDENCE') THEN ch0 WHEN reason = 'INCUMBENT_RECONFIRMED' THEN NULL ELSE winner END,
-  CASE WHEN reason IN ('DUPLICATE_EVIDENCE_IGNORED', 'NO_NEW_EVIDENCE') THEN n0 WHEN reason = 'CONFIRMATION_PENDING' THEN n1 ELSE 0 END,
-  CASE WHEN reason IN ('DUPLICATE_EVIDENCE_IGNORED', 'NO_NEW_EVIDENCE') THEN n0 WHEN reason IN ('CONFIRMATION_PENDING', 'SWITCH_CONFIRMED') THEN n1 ELSE 0 END,
-  CASE WHEN reason IN ('DUPLICATE_EVIDENCE_IGNORED', 'NO_NEW_EVIDENCE') THEN ed0 ELSE ed1 END, CASE WHEN reason IN ('DUPLICATE_EVIDENCE_IGNORED', 'NO_NEW_EVIDENCE') THEN fp0 ELSE fp1 END, reason
+st AS (SELECT h, rn, assessment_date, NULL::VARCHAR AS before, winner AS inc, NULL::VARCHAR AS ch, NULL::VARCHAR AS shown, 0 AS n, 0 AS shown_n, evidence_date AS ed, fingerprint AS fp, 'INITIAL_CAUSAL_RECIPE' AS reason FROM ch WHERE rn = 1
+ UNION ALL SELECT h, rn, assessment_date, inc0, CASE WHEN reason = 'HYSTERESIS_SWITCH_CONFIRMED' THEN winner ELSE inc0 END, CASE WHEN reason IN ('DUPLICATE_MATURED_EVIDENCE_IGNORED', 'NO_NEW_RECIPE_EVIDENCE') THEN ch0 WHEN reason = 'CHALLENGER_CONFIRMATION_PENDING' THEN winner END,
+  CASE WHEN reason IN ('DUPLICATE_MATURED_EVIDENCE_IGNORED', 'NO_NEW_RECIPE_EVIDENCE') THEN ch0 WHEN reason = 'INCUMBENT_RECONFIRMED' THEN NULL ELSE winner END,
+  CASE WHEN reason IN ('DUPLICATE_MATURED_EVIDENCE_IGNORED', 'NO_NEW_RECIPE_EVIDENCE') THEN n0 WHEN reason = 'CHALLENGER_CONFIRMATION_PENDING' THEN n1 ELSE 0 END,
+  CASE WHEN reason IN ('DUPLICATE_MATURED_EVIDENCE_IGNORED', 'NO_NEW_RECIPE_EVIDENCE') THEN n0 WHEN reason IN ('CHALLENGER_CONFIRMATION_PENDING', 'HYSTERESIS_SWITCH_CONFIRMED') THEN n1 ELSE 0 END,
+  CASE WHEN reason IN ('DUPLICATE_MATURED_EVIDENCE_IGNORED', 'NO_NEW_RECIPE_EVIDENCE') THEN ed0 ELSE ed1 END, CASE WHEN reason IN ('DUPLICATE_MATURED_EVIDENCE_IGNORED', 'NO_NEW_RECIPE_EVIDENCE') THEN fp0 ELSE fp1 END, reason
  FROM (SELECT ch.h, ch.rn, ch.assessment_date, st.inc AS inc0, st.ch AS ch0, st.n AS n0, st.ed AS ed0, st.fp AS fp0, ch.evidence_date AS ed1, ch.fingerprint AS fp1, ch.winner, CASE WHEN st.ch = ch.winner THEN st.n + 1 ELSE 1 END AS n1,
-   CASE WHEN ch.evidence_date = st.ed THEN 'DUPLICATE_EVIDENCE_IGNORED' WHEN ch.fingerprint = st.fp THEN 'NO_NEW_EVIDENCE' WHEN ch.winner = st.inc THEN 'INCUMBENT_RECONFIRMED' WHEN {SC.format('ch.winner')} - {SC.format('st.inc')} <= 0 THEN 'NO_STRICT_IMPROVEMENT'
-    WHEN (CASE WHEN st.ch = ch.winner THEN st.n + 1 ELSE 1 END) >= 2 THEN 'SWITCH_CONFIRMED' ELSE 'CONFIRMATION_PENDING' END AS reason FROM st JOIN ch ON ch.h = st.h AND ch.rn = st.rn + 1))
+   CASE WHEN ch.evidence_date = st.ed THEN 'DUPLICATE_MATURED_EVIDENCE_IGNORED' WHEN ch.fingerprint = st.fp THEN 'NO_NEW_RECIPE_EVIDENCE' WHEN ch.winner = st.inc THEN 'INCUMBENT_RECONFIRMED' WHEN {SC.format('ch.winner')} - {SC.format('st.inc')} <= 0 THEN 'NO_STRICT_ROBUST_SCORE_IMPROVEMENT'
+    WHEN (CASE WHEN st.ch = ch.winner THEN st.n + 1 ELSE 1 END) >= 2 THEN 'HYSTERESIS_SWITCH_CONFIRMED' ELSE 'CHALLENGER_CONFIRMATION_PENDING' END AS reason FROM st JOIN ch ON ch.h = st.h AND ch.rn = st.rn + 1))
 SELECT h, assessment_date, before AS incumbent_before, inc AS incumbent_after, shown AS challenger, CAST(shown_n AS BIGINT) AS confirmations, reason FROM st""")
 def f1(r):
     return fo.recipe_hysteresis(recipe_choices(r), ["h"], confirmations=2)

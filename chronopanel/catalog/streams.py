@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from chronopanel.catalog.registry import R, query
 from chronopanel.functions.rounding import rnd
-from chronopanel.operators.folds import DECAY, HAZARD
 from chronopanel.session import scratch_path
 from chronopanel.streaming import outcomes as st
+from chronopanel.streaming import stateful as sf
+from chronopanel.streaming import steps
 from chronopanel.streaming.runtime import drain, drain_parts, read_events
 
 
@@ -31,6 +32,32 @@ def z2(r):
     return got.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_events"), F.countDistinct("event_id").alias("n_ids"))
 
 
+@query("z2_stream_conflicts", """
+SELECT event_type, verdict, count(*) AS n_rows FROM (
+ SELECT event_type, 'ACCEPTED' AS verdict FROM events UNION ALL
+ SELECT event_type, CASE WHEN event_type = 'error' THEN 'CONFLICT' ELSE 'DUPLICATE' END FROM events UNION ALL
+ SELECT event_type, 'DUPLICATE' FROM events WHERE event_type = 'error') GROUP BY 1, 2""")
+def z2_stream(r):
+    """Three deliveries of all events: the second changes the values of errors, the third repeats the errors of the first."""
+    def deliver(e):
+        return sf.audit_deliveries(e, ["event_id"], "event_id", ["ts", "user_id", "event_type", "value", "props"])
+
+    e, error = r.events(), F.col("event_type") == "error"
+    changed = e.withColumn("value", F.when(error, F.col("value") + 1).otherwise(F.col("value")))
+    out = delivered(r, [e, changed, e.where(error)], deliver, "conflicts")
+    return out.groupBy("event_type", "verdict").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def delivered(r, deliveries, build, name):
+    """Each delivery is drained on its own, resuming one checkpoint with typed state."""
+    spark, (source, path, ckpt) = r.spark, (scratch_path(r.spark, f"{name}-{x}") for x in ("source", "sink", "checkpoint"))
+    with sf.rocksdb(spark):
+        for rows in deliveries:
+            rows.write.mode("append").parquet(source)
+            out = drain(build(read_events(spark, source, "*.parquet")), name, checkpoint=ckpt, path=path)
+    return out
+
+
 @query("z2_delivery_conflicts", "SELECT event_id, 2::BIGINT AS deliveries FROM events WHERE event_type = 'error'")
 def z2_conflicts(r):
     """A re-delivery that changed the value of error events is reported, identical ones are not."""
@@ -73,24 +100,89 @@ def z6(r):
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n_events", rnd("mean_value", 4).alias("mean_value"), rnd("max_value", 4).alias("max_value"))
 
 
+def folded(r, columns, row_schema, state_schema, output, step, name):
+    """A fold per user over the events in three deliveries; the last rows leave when the marker moves the watermark."""
+    build = lambda e: sf.ordered_fold(e.select("user_id", "ts", F.unix_micros("ts").alias("at"), F.col("event_id").alias("as_of"), *columns), ["user_id"], "ts", "1 hour",
+                                      f"at long, as_of long, {row_schema}", state_schema, f"user_id long, as_of long, {output}", step)
+    with sf.rocksdb(r.spark):
+        return drain_parts(r.events(), thirds(r), build, name, flush=True)
+
+
+Z7_ROWS = "s AS (SELECT user_id, event_id, event_type, value, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)"
+
+
 @query("z7_stateful_fold", f"""
-WITH RECURSIVE s AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+WITH RECURSIVE {Z7_ROWS},
 c AS (SELECT user_id, event_id, rn, least(1, 0.02 + 0.98 * greatest(0, least(1, -value / 50)) * 0.1) AS p, 0.1 * value AS m FROM s WHERE rn = 1
  UNION ALL SELECT user_id, event_id, rn, least(1, 0.02 + 0.98 * (p0 * 0.9 + greatest(0, least(1, (m0 - value) / 50)) * 0.1)), 0.9 * m0 + 0.1 * value FROM (SELECT s.*, c.p AS p0, c.m AS m0 FROM c JOIN s ON s.user_id = c.user_id AND s.rn = c.rn + 1))
 SELECT user_id, event_id AS as_of, {R('p')} AS probability FROM c""")
 def z7(r):
-    def change_step(state, row):
-        """One row of the decayed sums behind ``folds.change_detector``."""
-        mean, p = (state["mean"], state["p"]) if state else (0.0, 0.0)
-        p = HAZARD + (1 - HAZARD) * (DECAY * p + (1 - DECAY) * min(1.0, max(0.0, (mean - row["value"]) / 50.0)))
-        return {"p": p, "mean": DECAY * mean + (1 - DECAY) * row["value"]}, {"as_of": row["as_of"], "probability": p}
-
-    build = lambda e: st.keyed_fold_stream(e.select("user_id", "ts", F.col("event_id").alias("as_of"), "value"), "user_id", ["ts", "as_of"], change_step,
-                                           "user_id long, as_of long, probability double", ["p", "mean"], "p double, mean double")
-    out = drain_parts(r.events(), thirds(r), build, "fold")
+    out = folded(r, ["value"], "value double", steps.CHANGE_STATE, "probability double", steps.change(50.0), "fold-change")
     return out.select("user_id", "as_of", rnd("probability").alias("probability"))
 
 
+@query("z7_activity_posterior", f"""
+WITH e AS (SELECT user_id, event_id, ts, event_type <> 'error' AS eligible, event_type = 'purchase' AS hit FROM events),
+n AS (SELECT *, sum(eligible::INT) OVER w AS seen, sum(hit::INT) OVER w AS hits FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+k AS (SELECT *, seen - coalesce(max(CASE WHEN hit THEN seen END) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS streak FROM n)
+SELECT user_id, event_id AS as_of, {R('1.0 + hits')} AS a, {R('1.0 + seen')} AS b, CAST(streak AS BIGINT) AS streak, {R('((1.0 + seen) / (1.0 + seen + streak)) ** (1.0 + hits)')} AS p_zero FROM k""")
+def z7_activity(r):
+    out = folded(r, [(F.col("event_type") != "error").alias("eligible"), (F.col("event_type") == "purchase").alias("traded")], "eligible boolean, traded boolean", steps.ACTIVITY_STATE,
+                 "a double, b double, streak long, p_zero double", steps.activity, "fold-activity")
+    return out.select("user_id", "as_of", rnd("a").alias("a"), rnd("b").alias("b"), "streak", rnd("p_zero").alias("p_zero"))
+
+
+@query("z7_health_update", f"""
+WITH RECURSIVE {Z7_ROWS},
+c AS (SELECT user_id, event_id, rn, 0.02 + 0.98 * greatest(0, least(1, -value / 50)) * 0.1 AS p, 0.1 * value AS m, value * 0.03 AS d FROM s WHERE rn = 1
+ UNION ALL SELECT user_id, event_id, rn, 0.02 + 0.98 * (p0 * 0.9 + greatest(0, least(1, (m0 - value) / 50)) * 0.1), 0.9 * m0 + 0.1 * value, d0 * k + value * (1 - k)
+  FROM (SELECT s.*, c.p AS p0, c.m AS m0, c.d AS d0, 0.97 * greatest(0.25, 1 - c.p) AS k FROM c JOIN s ON s.user_id = c.user_id AND s.rn = c.rn + 1))
+SELECT user_id, event_id AS as_of, {R('d')} AS discounted, rn AS n, {R('1 / sqrt(rn)')} AS uncertainty FROM c""")
+def z7_health(r):
+    out = folded(r, ["value"], "value double", steps.ALPHA_STATE, "discounted double, n long, uncertainty double", steps.forgetful(50.0), "fold-health")
+    return out.select("user_id", "as_of", rnd("discounted").alias("discounted"), "n", rnd("uncertainty").alias("uncertainty"))
+
+
+Z7_NEXT = """CASE WHEN sk THEN 'SUSPENDED' WHEN kk AND s0 = 'PROBATION' THEN 'SUSPENDED' WHEN kk AND s0 = 'CHAMPION' THEN 'PROBATION' WHEN NOT cand THEN CASE WHEN s0 = 'CHAMPION' THEN 'PROBATION' ELSE s0 END
+ WHEN s0 IN ('SUSPENDED', 'SHADOW') THEN 'CANDIDATE' WHEN s0 = 'CANDIDATE' AND lcb > 0 THEN 'CHAMPION' ELSE s0 END"""
+
+
+@query("z7_lifecycle", f"""
+WITH RECURSIVE {Z7_ROWS}, h AS (SELECT user_id, event_id, rn, value > 200 AS sk, event_type = 'error' AS kk, event_type <> 'view' AS cand, value - 40 AS lcb FROM s),
+st AS (SELECT user_id, event_id, rn, {Z7_NEXT} AS state, 0 AS k FROM (SELECT *, 'SHADOW' AS s0 FROM h WHERE rn = 1)
+ UNION ALL SELECT user_id, event_id, rn, ns, CASE WHEN ns = s0 THEN k0 + 1 ELSE 0 END FROM (SELECT *, {Z7_NEXT} AS ns FROM (SELECT h.*, st.state AS s0, st.k AS k0 FROM st JOIN h ON h.user_id = st.user_id AND h.rn = st.rn + 1)))
+SELECT user_id, event_id AS as_of, state, CAST(k AS BIGINT) AS sessions_in_state FROM st""")
+def z7_lifecycle(r):
+    columns = [(F.col("value") > 200).alias("structural"), (F.col("event_type") == "error").alias("statistical"), (F.col("event_type") != "view").alias("candidate"), (F.col("value") - 40).alias("bound")]
+    return folded(r, columns, "structural boolean, statistical boolean, candidate boolean, bound double", steps.LIFE_STATE, "state string, sessions_in_state long", steps.lifecycle(), "fold-lifecycle")
+
+
+Z7_SCORE = "(('0x' || substr(md5({0} || '|' || {1}), 1, 7))::BIGINT % 1000) / 1000.0"
+
+
+@query("z7_recipe_hysteresis", f"""
+WITH RECURSIVE {Z7_ROWS}, ch AS (SELECT user_id, rn, event_id, CAST(ts AS DATE) AS evidence_date, CAST(epoch(date_trunc('day', ts)) AS BIGINT) // 172800 AS fingerprint, event_type AS winner FROM s),
+st AS (SELECT user_id, rn, event_id, NULL::VARCHAR AS before, winner AS inc, NULL::VARCHAR AS ch, NULL::VARCHAR AS shown, 0 AS n, 0 AS shown_n, evidence_date AS ed, fingerprint AS fp, 'INITIAL_CAUSAL_RECIPE' AS reason FROM ch WHERE rn = 1
+ UNION ALL SELECT user_id, rn, event_id, inc0, CASE WHEN reason = 'HYSTERESIS_SWITCH_CONFIRMED' THEN winner ELSE inc0 END, CASE WHEN old THEN ch0 WHEN reason = 'CHALLENGER_CONFIRMATION_PENDING' THEN winner END,
+  CASE WHEN old THEN ch0 WHEN reason = 'INCUMBENT_RECONFIRMED' THEN NULL ELSE winner END, CASE WHEN old THEN n0 WHEN reason = 'CHALLENGER_CONFIRMATION_PENDING' THEN n1 ELSE 0 END,
+  CASE WHEN old THEN n0 WHEN reason IN ('CHALLENGER_CONFIRMATION_PENDING', 'HYSTERESIS_SWITCH_CONFIRMED') THEN n1 ELSE 0 END, CASE WHEN old THEN ed0 ELSE ed1 END, CASE WHEN old THEN fp0 ELSE fp1 END, reason
+ FROM (SELECT *, reason IN ('DUPLICATE_MATURED_EVIDENCE_IGNORED', 'NO_NEW_RECIPE_EVIDENCE') AS old FROM (
+  SELECT *, CASE WHEN ed1 = ed0 THEN 'DUPLICATE_MATURED_EVIDENCE_IGNORED' WHEN fp1 = fp0 THEN 'NO_NEW_RECIPE_EVIDENCE' WHEN winner = inc0 THEN 'INCUMBENT_RECONFIRMED'
+    WHEN {Z7_SCORE.format('winner', 'fp1')} <= {Z7_SCORE.format('inc0', 'fp1')} THEN 'NO_STRICT_ROBUST_SCORE_IMPROVEMENT' WHEN n1 >= 2 THEN 'HYSTERESIS_SWITCH_CONFIRMED' ELSE 'CHALLENGER_CONFIRMATION_PENDING' END AS reason
+  FROM (SELECT ch.user_id, ch.rn, ch.event_id, st.inc AS inc0, st.ch AS ch0, st.n AS n0, st.ed AS ed0, st.fp AS fp0, ch.evidence_date AS ed1, ch.fingerprint AS fp1, ch.winner, CASE WHEN st.ch = ch.winner THEN st.n + 1 ELSE 1 END AS n1
+   FROM st JOIN ch ON ch.user_id = st.user_id AND ch.rn = st.rn + 1))))
+SELECT user_id, event_id AS as_of, before AS incumbent_before, inc AS incumbent_after, shown AS challenger, CAST(shown_n AS BIGINT) AS confirmations, reason FROM st""")
+def z7_hysteresis(r):
+    """Every event is an assessment whose winner is its type; evidence grows every second day and scores all types."""
+    print_ = F.floor(F.unix_date(F.to_date("ts")) / 2)
+    score = lambda t: (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(t), print_.cast("string"))), 1, 7), 16, 10).cast("long") % 1000) / 1000.0
+    kinds = ("view", "signup", "click", "error", "purchase")
+    columns = [F.unix_date(F.to_date("ts")).cast("long").alias("evidence"), print_.alias("fingerprint"), F.col("event_type").alias("winner"),
+               F.create_map(*(c for t in kinds for c in (F.lit(t), score(t)))).alias("scores"), F.lit(None).cast("map<string,long>").alias("folds")]
+    return folded(r, columns, "evidence long, fingerprint long, winner string, scores map<string,double>, folds map<string,long>", steps.HYSTERESIS_STATE,
+                  "incumbent_before string, incumbent_after string, challenger string, confirmations long, reason string", steps.hysteresis(), "fold-hysteresis")
+
+
 def thirds(r):
     """The events in three deliveries, by time."""
     lo, hi = r.events().agg(F.min("ts"), F.max("ts")).first()
@@ -122,6 +214,26 @@ def z8(r):
     return both.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("late").alias("late_rows"))
 
 
+@query("z8_stream_evidence_dates", """
+WITH d AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2), b AS (SELECT min(day) AS lo, max(day) AS hi FROM d), c AS (SELECT lo + CAST((hi - lo) // 3 AS INTEGER) AS a, lo + CAST(2 * ((hi - lo) // 3) AS INTEGER) AS b FROM b),
+one AS (SELECT event_type, day, n, 1 AS k FROM d, c WHERE day < c.b AND extract(day FROM day) % 7 <> 3), two AS (SELECT event_type, day, n + (extract(day FROM day) % 4 = 0)::INT AS n, 2 AS k FROM d, c WHERE day >= c.a AND extract(day FROM day) % 7 <> 5),
+three AS (SELECT event_type, day, n, 3 AS k FROM d), al AS (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three),
+top AS (SELECT event_type, max(day) FILTER (k = 1) AS t1, max(day) FILTER (k <= 2) AS t2 FROM al GROUP BY 1),
+first AS (SELECT event_type, day, arg_min(n, k) AS n0, min(k) AS k0 FROM al JOIN top USING (event_type) WHERE k = 1 OR (k = 2 AND day >= t1) OR (k = 3 AND day >= t2) GROUP BY 1, 2)
+SELECT al.event_type, CASE WHEN f.day IS NULL OR al.k < f.k0 THEN 'LATE' WHEN al.k = f.k0 THEN 'ACCEPTED' WHEN al.n = f.n0 THEN 'DUPLICATE' ELSE 'CONFLICT' END AS verdict, count(*) AS n_rows
+FROM al LEFT JOIN first f ON f.event_type = al.event_type AND f.day = al.day GROUP BY 1, 2""")
+def z8_stream(r):
+    """Daily evidence of each event type in three overlapping deliveries: new days behind the newest one are late, changed days conflict."""
+    d = r.events().groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n")).withColumn("ts", F.col("day").cast("timestamp"))
+    lo, hi = d.agg(F.min("day"), F.max("day")).first()
+    third, skip = (hi - lo).days // 3, lambda k: F.dayofmonth("day") % 7 != k
+    a, b = F.date_add(F.lit(lo), third), F.date_add(F.lit(lo), 2 * third)
+    changed = d.withColumn("n", F.col("n") + (F.dayofmonth("day") % 4 == 0).cast("int"))
+    parts = [d.where((F.col("day") < b) & skip(3)), changed.where((F.col("day") >= a) & skip(5)), d]
+    build = lambda e: sf.audit_deliveries(e.withColumn("day_number", F.unix_date("day")), ["event_type"], "day_number", ["n"], monotone=True)
+    return delivered(r, parts, build, "evidence-dates").groupBy("event_type", "verdict").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @query("z9_stream_static_asof", """
 WITH sc AS (SELECT event_type, CAST(ts AS DATE) AS start_day, max(value) AS threshold FROM events WHERE extract(day FROM ts) % 5 = 1 GROUP BY 1, 2)
 SELECT e.event_type, sc.start_day, count(*) AS n_events, count(*) FILTER (e.value > sc.threshold) AS above FROM events e ASOF JOIN sc ON e.event_type = sc.event_type AND e.ts >= sc.start_day GROUP BY 1, 2""")

@@ -133,19 +133,22 @@ def forgetful_alpha(df: DataFrame, keys: Sequence[str], order: str, value: str,
 LIFECYCLE = {
     ("SHADOW", "candidate"): "CANDIDATE", ("SHADOW", "strong"): "CANDIDATE", ("SUSPENDED", "candidate"): "CANDIDATE", ("SUSPENDED", "strong"): "CANDIDATE",
     ("SHADOW", "kill candidate"): "CANDIDATE", ("SHADOW", "kill strong"): "CANDIDATE", ("SUSPENDED", "kill candidate"): "CANDIDATE", ("SUSPENDED", "kill strong"): "CANDIDATE",
-    ("CANDIDATE", "strong"): "CHAMPION", ("CANDIDATE", "kill strong"): "CHAMPION", ("CHAMPION", "none"): "PROBATION",
-    **{("CHAMPION", f"kill {e}"): "PROBATION" for e in ("none", "candidate", "strong")}, **{("PROBATION", f"kill {e}"): "SUSPENDED" for e in ("none", "candidate", "strong")},
-    **{(s, "structural"): "SUSPENDED" for s in ("SHADOW", "CANDIDATE", "CHAMPION", "PROBATION", "SUSPENDED")},
+    ("CANDIDATE", "strong"): "CHAMPION", ("CANDIDATE", "kill strong"): "CHAMPION", ("CHAMPION", "none"): "PROBATION", ("ENSEMBLE", "none"): "PROBATION",
+    **{(s, f"kill {e}"): "PROBATION" for s in ("CHAMPION", "ENSEMBLE") for e in ("none", "candidate", "strong")},
+    **{("PROBATION", f"kill {e}"): "SUSPENDED" for e in ("none", "candidate", "strong")},
+    **{(s, "structural"): "SUSPENDED" for s in ("SHADOW", "CANDIDATE", "CHAMPION", "ENSEMBLE", "PROBATION", "SUSPENDED")},
 }
 
 
-def lifecycle(df: DataFrame, keys: Sequence[str], order: str, structural: Column, statistical: Column, candidate: Column, bound: Column, margin: float = 0.0) -> DataFrame:
-    """State and rows in it, by the declared table of transitions; a key starts in SHADOW."""
+def lifecycle(df: DataFrame, keys: Sequence[str], order: str, structural: Column, statistical: Column, candidate: Column, bound: Column, margin: float = 0.0, start: Column | None = None) -> DataFrame:
+    """State and rows in it, by the declared table of transitions. A key starts in SHADOW, or in the state that ``start`` names on its rows."""
     kind = F.when(candidate & (bound > margin), "strong").when(candidate, "candidate").otherwise("none")
     event = F.when(structural, F.lit("structural")).when(statistical, F.concat(F.lit("kill "), kind)).otherwise(kind)
     table = F.create_map(*(F.lit(x) for (s, e), to in LIFECYCLE.items() for x in (f"{s}|{e}", to)))
-    step = lambda s, x: F.struct(F.coalesce(F.element_at(table, F.concat_ws("|", s["state"], x["_event"])), s["state"]).alias("state"))
-    out = carried(df.withColumn("_event", event), keys, order, ["_event"], "struct<state:string>", F.struct(F.lit("SHADOW").alias("state")), step)
+    before = lambda s, x: F.coalesce(s["state"], x["_start"], F.lit("SHADOW"))
+    step = lambda s, x: F.struct(F.coalesce(F.element_at(table, F.concat_ws("|", before(s, x), x["_event"])), before(s, x)).alias("state"))
+    rows = df.withColumn("_event", event).withColumn("_start", F.lit(None).cast("string") if start is None else start)
+    out = carried(rows, keys, order, ["_event", "_start"], "struct<state:string>", F.struct(F.lit(None).alias("state")), step)
     w = Window.partitionBy(*keys).orderBy(order)
     spell = out.withColumn("_new", F.coalesce((F.lag("state").over(w) != F.col("state")).cast("int"), F.lit(0))).withColumn("_spell", F.sum("_new").over(w))
     return spell.withColumn("sessions_in_state", (F.row_number().over(Window.partitionBy(*keys, "_spell").orderBy(order)) - 1).cast("long")).drop("_new", "_spell")
@@ -159,40 +162,54 @@ def blend_weight(df: DataFrame, keys: Sequence[str], order: str, target: Column,
     return carried(rows, keys, order, ["_goal"], "struct<lam:double,updated:boolean>", F.struct(F.lit(0.0).alias("lam"), F.lit(False).alias("updated")), step)
 
 
-def recipe_hysteresis(df: DataFrame, keys: Sequence[str], order: str = "assessment_date", confirmations: int = 2) -> DataFrame:
+#: Reason codes and errors of recipe decisions.
+INITIAL, RECONFIRMED, NO_IMPROVEMENT = "INITIAL_CAUSAL_RECIPE", "INCUMBENT_RECONFIRMED", "NO_STRICT_ROBUST_SCORE_IMPROVEMENT"
+SWITCHED, PENDING = "HYSTERESIS_SWITCH_CONFIRMED", "CHALLENGER_CONFIRMATION_PENDING"
+DUPLICATE, NOTHING_NEW = "DUPLICATE_MATURED_EVIDENCE_IGNORED", "NO_NEW_RECIPE_EVIDENCE"
+BACKWARDS, CHANGED = "HYSTERESIS_NON_MONOTONIC_MATURED_EVIDENCE", "HYSTERESIS_SAME_DATE_EVIDENCE_CHANGED"
+WINNER_MISSING, WINNER_SHORT = "HYSTERESIS_WINNER_NOT_IN_ELIGIBLE_CHOICES", "HYSTERESIS_WINNER_INSUFFICIENT_OOS_FOLDS"
+INCUMBENT_MISSING, INCUMBENT_SHORT = "HYSTERESIS_INCUMBENT_MISSING_FROM_CAUSAL_CHOICES", "HYSTERESIS_INCUMBENT_INSUFFICIENT_OOS_FOLDS"
+
+
+def recipe_hysteresis(df: DataFrame, keys: Sequence[str], order: str = "assessment_date", confirmations: int = 2, least_folds: int = 0) -> DataFrame:
     """Incumbent and challenger per assessment; only expansions of the evidence can confirm a challenger.
 
-    Rows: assessment_date, evidence_date, fingerprint, winner, scores (map of candidate to robust score). An expansion
-    is the first row of a fingerprint; later rows of it repeat the decision. Dates that go back, or a new fingerprint
-    on a date already used, fail the query.
+    Rows: assessment_date, evidence_date, fingerprint, winner, scores (map of candidate to robust score) and, with
+    ``least_folds``, folds (map of candidate to fold count). An expansion is the first row of a fingerprint; later rows of it
+    repeat the decision. Dates that go back, a new fingerprint on a date already used, and a winner or incumbent without
+    a score or with too few folds fail the query.
     """
     w = Window.partitionBy(*keys).orderBy(order)
     x = df.withColumn("_new", F.coalesce(F.lag("fingerprint").over(w) != F.col("fingerprint"), F.lit(True)).cast("int")).withColumn("_era", F.sum("_new").over(w))
     x = x.withColumn("_used", F.first("evidence_date").over(Window.partitionBy(*keys, "_era").orderBy(order)))
+    fail = lambda name: F.raise_error(F.lit(name)).cast("long")
+    short = lambda r, c: (F.coalesce(F.element_at(r["folds"], c), F.lit(0)) < least_folds) if least_folds else F.lit(False)
+    missing = lambda r, c: F.element_at(r["scores"], c).isNull()
+    row = {c: F.col(c) for c in ("scores", *(["folds"] if least_folds else []))}
+    checked = (F.when(missing(row, F.col("winner")), fail(WINNER_MISSING)).when(short(row, F.col("winner")), fail(WINNER_SHORT)).when(F.col("evidence_date") < F.col("_last"), fail(BACKWARDS))
+               .when((F.col("_new") == 1) & (F.col("evidence_date") == F.col("_last")), fail(CHANGED)))
     last = F.max("evidence_date").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    moved = F.when((F.col("evidence_date") < F.col("_last")), F.raise_error(F.lit("evidence date moved backwards"))).when(
-        (F.col("_new") == 1) & (F.col("evidence_date") == F.col("_last")), F.raise_error(F.lit("evidence changed on an already used date")))
-    x = x.withColumn("_last", last).withColumn("_era", F.coalesce(moved.cast("long"), F.col("_era")))
-    score = lambda r, c: F.element_at(r["scores"], c)
+    x = x.withColumn("_last", last).withColumn("_era", F.coalesce(checked, F.col("_era")))
+    held = lambda r, c, then: F.when(missing(r, c), fail(INCUMBENT_MISSING)).when(short(r, c), fail(INCUMBENT_SHORT)).otherwise(then)
 
     def step(s, r):
+        inc = s["incumbent_after"]
         streak = F.when(s["waiting"] == r["winner"], s["streak"] + 1).otherwise(F.lit(1))
-        wins = score(r, r["winner"]) > score(r, s["incumbent_after"])
-        reason = (F.when(s["incumbent_after"].isNull(), "INITIAL_CHOICE").when(r["winner"] == s["incumbent_after"], "INCUMBENT_RECONFIRMED").when(~wins, "NO_STRICT_IMPROVEMENT")
-                  .when(streak >= confirmations, "SWITCH_CONFIRMED").otherwise("CONFIRMATION_PENDING"))
-        quiet = reason.isin("INITIAL_CHOICE", "INCUMBENT_RECONFIRMED")
-        counted = reason.isin("SWITCH_CONFIRMED", "CONFIRMATION_PENDING")
-        return F.struct(s["incumbent_after"].alias("incumbent_before"), F.when(reason.isin("INITIAL_CHOICE", "SWITCH_CONFIRMED"), r["winner"]).otherwise(s["incumbent_after"]).alias("incumbent_after"),
+        wins = held(r, inc, (F.element_at(r["scores"], r["winner"]) > F.element_at(r["scores"], inc)).cast("long")) == 1
+        reason = (F.when(inc.isNull(), INITIAL).when((r["winner"] == inc) & ~wins, RECONFIRMED).when(~wins, NO_IMPROVEMENT).when(streak >= confirmations, SWITCHED).otherwise(PENDING))
+        quiet, counted = reason.isin(INITIAL, RECONFIRMED), reason.isin(SWITCHED, PENDING)
+        return F.struct(inc.alias("incumbent_before"), F.when(reason.isin(INITIAL, SWITCHED), r["winner"]).otherwise(inc).alias("incumbent_after"),
                         F.when(~quiet, r["winner"]).alias("challenger"), F.when(counted, streak).otherwise(F.lit(0)).alias("confirmations"),
-                        F.when(reason == "CONFIRMATION_PENDING", r["winner"]).alias("waiting"), F.when(reason == "CONFIRMATION_PENDING", streak).otherwise(F.lit(0)).alias("streak"), reason.alias("reason"))
+                        F.when(reason == PENDING, r["winner"]).alias("waiting"), F.when(reason == PENDING, streak).otherwise(F.lit(0)).alias("streak"), reason.alias("reason"))
 
     kind = "struct<incumbent_before:string,incumbent_after:string,challenger:string,confirmations:long,waiting:string,streak:long,reason:string>"
     none = F.struct(*(F.lit(None).alias(c) for c in ("incumbent_before", "incumbent_after", "challenger")), F.lit(0).alias("confirmations"), F.lit(None).alias("waiting"), F.lit(0).alias("streak"), F.lit(None).alias("reason"))
-    decided = carried(x.where("_new = 1"), keys, "_era", ["winner", "scores"], kind, none, step)
-    again = F.when(F.col("evidence_date") == F.col("_used"), "DUPLICATE_EVIDENCE_IGNORED").otherwise("NO_NEW_EVIDENCE")
+    decided = carried(x.where("_new = 1"), keys, "_era", ["winner", *row], kind, none, step)
+    again = F.when(F.col("evidence_date") == F.col("_used"), DUPLICATE).otherwise(NOTHING_NEW)
     fresh = F.col("_new") == 1
+    kept = F.when(held(row, F.col("incumbent_after"), F.lit(1)) == 1, F.col("incumbent_after"))          # later rows of a fingerprint need its score too
     return x.join(decided, [*keys, "_era"]).select(
-        *keys, order, F.when(fresh, F.col("incumbent_before")).otherwise(F.col("incumbent_after")).alias("incumbent_before"), "incumbent_after",
+        *keys, order, F.when(fresh, F.col("incumbent_before")).otherwise(kept).alias("incumbent_before"), "incumbent_after",
         F.when(fresh, F.col("challenger")).otherwise(F.col("waiting")).alias("challenger"), F.when(fresh, F.col("confirmations")).otherwise(F.col("streak")).alias("confirmations"),
         F.when(fresh, F.col("reason")).otherwise(again).alias("reason"))
 

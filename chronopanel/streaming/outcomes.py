@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronopanel.operators.asof import asof_join
-from chronopanel.operators.folds import Step
 
 
 def matured_outcomes(pending: DataFrame, outcomes: DataFrame, due_days: int, delay: str = "1 day") -> DataFrame:
@@ -57,26 +53,6 @@ def sliding_statistics(stream: DataFrame, size: str, slide: str, delay: str) ->
             .select(F.col("window.start").alias("window_start"), "event_type", "n_events", "mean_value", "max_value"))
 
 
-def keyed_fold_stream(stream: DataFrame, key: str, order: list[str], step: Step, output: str, state_fields: list[str], state_schema: str) -> DataFrame:
-    """The batch fold's step function over a stream: state per key survives between micro-batches.
-
-    A micro-batch of one key is ordered before it is folded; the watermark upstream decides how late a row may be.
-    """
-    names = [f.strip().split(" ")[0] for f in output.split(",")]
-
-    def fold(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        current = dict(zip(state_fields, state.get)) if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(order)
-        out = []
-        for row in rows.to_dict("records"):
-            current, emitted = step(current, row)
-            out.append({key: k[0], **emitted})
-        state.update(tuple(current[f] for f in state_fields))
-        yield pd.DataFrame(out, columns=names)
-
-    return stream.groupBy(key).applyInPandasWithState(fold, output, state_schema, "append", "NoTimeout")
-
-
 def asof_stream(stream: DataFrame, schedule: DataFrame, keys: list[str], start: str, until) -> DataFrame:
     """Stream joined with the schedule row valid at each event's time (static side, no state)."""
     return asof_join(stream, schedule, keys, "ts", start, how="inner", until=until, grain="day")

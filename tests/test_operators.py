@@ -16,6 +16,7 @@ from chronopanel.operators import ordered as od
 from chronopanel.operators import surface as sf
 from chronopanel.operators import wealth as wp
 from chronopanel.operators.gates import relative_ranks
+from chronopanel.session import scratch_path
 from chronopanel.sources import scans, stores
 
 DAY = dt.date(2020, 1, 6)
@@ -122,7 +123,7 @@ def test_contracts_raise(spark):
         scans.guarded_panel(df, ["k"], date="k", development_end="2020-02-01", holdout_boundary="2020-01-01")
     bad = spark.createDataFrame([(day(3), day(1), 1, 0.5)], "decision_date date, terminal_date date, ticker int, score double")
     with pytest.raises(ContractError):
-        stores.write_immutable(bad, "/tmp/never-written", ["decision_date", "ticker"])
+        stores.write_immutable(bad, scratch_path(spark, "never-written"), ["decision_date", "ticker"])
 
 
 def test_guarded_scan_pushes_filters_and_columns(spark, sf_dir):
@@ -231,18 +232,37 @@ def test_decayed_folds_of_long_series(spark):
 def test_hysteresis_rejects_changed_evidence(spark):
     rows = [("k", day(3), day(2), 1, "A", {"A": 1.0, "B": 0.0})]
     run = lambda more: fo.recipe_hysteresis(spark.createDataFrame(rows + more, "k string, assessment_date date, evidence_date date, fingerprint long, winner string, scores map<string,double>"), ["k"]).orderBy("assessment_date").collect()
-    for bad in (("k", day(4), day(2), 2, "A", {"A": 1.0}), ("k", day(4), day(1), 1, "A", {"A": 1.0})):
-        with pytest.raises(Exception, match="evidence"):
+    for bad, name in ((("k", day(4), day(2), 2, "A", {"A": 1.0}), fo.CHANGED), (("k", day(4), day(1), 1, "A", {"A": 1.0}), fo.BACKWARDS), (("k", day(4), day(3), 2, "B", {"B": 9.0}), fo.INCUMBENT_MISSING),
+                      (("k", day(4), day(2), 1, "B", {"B": 9.0}), fo.INCUMBENT_MISSING), (("k", day(4), day(3), 2, "B", {"A": 1.0}), fo.WINNER_MISSING)):
+        with pytest.raises(Exception, match=name):
             run([bad])
 
 
+def test_hysteresis_needs_folds(spark):
+    schema = "k string, assessment_date date, evidence_date date, fingerprint long, winner string, scores map<string,double>, folds map<string,long>"
+    both = {"A": 1.0, "B": 2.0}
+    run = lambda folds: fo.recipe_hysteresis(spark.createDataFrame([("k", day(2), day(1), 1, "A", both, {"A": 3, "B": 3}), ("k", day(3), day(2), 2, "B", both, folds)], schema), ["k"], least_folds=3).collect()
+    assert len(run({"A": 3, "B": 4})) == 2
+    for folds, name in (({"A": 2, "B": 3}, fo.INCUMBENT_SHORT), ({"A": 3, "B": 2}, fo.WINNER_SHORT), ({"A": 3}, fo.WINNER_SHORT)):
+        with pytest.raises(Exception, match=name):
+            run(folds)
+
+
+def test_lifecycle_knows_the_ensemble(spark):
+    events = {"none": (False, False, False, 0.0), "candidate": (False, False, True, -1.0), "kill strong": (False, True, True, 1.0), "structural": (True, False, True, 1.0)}
+    rows = [(e, 1, *v, "ENSEMBLE") for e, v in events.items()]
+    df = spark.createDataFrame(rows, "k string, t int, s boolean, x boolean, c boolean, b double, start string")
+    got = fo.lifecycle(df, ["k"], "t", F.col("s"), F.col("x"), F.col("c"), F.col("b"), start=F.col("start")).collect()
+    assert {r["k"]: r["state"] for r in got} == {"none": "PROBATION", "candidate": "ENSEMBLE", "kill strong": "PROBATION", "structural": "SUSPENDED"}
+
+
 def test_hysteresis_confirms_on_two_expansions(spark):
     better = {"A": 1.0, "B": 2.0}
     rows = [("k", day(d), day(e), f, w, better) for d, e, f, w in ((2, 1, 1, "A"), (3, 1, 1, "A"), (4, 2, 1, "A"), (5, 3, 2, "B"), (6, 3, 2, "B"), (7, 4, 3, "B"), (8, 5, 4, "A"), (9, 6, 5, "B"))]
     got = fo.recipe_hysteresis(spark.createDataFrame(rows, "k string, assessment_date date, evidence_date date, fingerprint long, winner string, scores map<string,double>"), ["k"]).orderBy("assessment_date").collect()
     assert [(r["incumbent_after"], r["challenger"], r["confirmations"], r["reason"]) for r in got] == [
-        ("A", None, 0, "INITIAL_CHOICE"), ("A", None, 0, "DUPLICATE_EVIDENCE_IGNORED"), ("A", None, 0, "NO_NEW_EVIDENCE"), ("A", "B", 1, "CONFIRMATION_PENDING"),
-        ("A", "B", 1, "DUPLICATE_EVIDENCE_IGNORED"), ("B", "B", 2, "SWITCH_CONFIRMED"), ("B", "A", 0, "NO_STRICT_IMPROVEMENT"), ("B", None, 0, "INCUMBENT_RECONFIRMED")]
+        ("A", None, 0, "INITIAL_CAUSAL_RECIPE"), ("A", None, 0, "DUPLICATE_MATURED_EVIDENCE_IGNORED"), ("A", None, 0, "NO_NEW_RECIPE_EVIDENCE"), ("A", "B", 1, "CHALLENGER_CONFIRMATION_PENDING"),
+        ("A", "B", 1, "DUPLICATE_MATURED_EVIDENCE_IGNORED"), ("B", "B", 2, "HYSTERESIS_SWITCH_CONFIRMED"), ("B", "A", 0, "NO_STRICT_ROBUST_SCORE_IMPROVEMENT"), ("B", None, 0, "INCUMBENT_RECONFIRMED")]
 
 
 def test_family_store_replaces_only_published_families(spark):

@@ -87,8 +87,9 @@ class Page:
         at, last = 0, source.rfind(">")
         while at < len(source):
             mark = source.find("<", at)
-            if mark < 0 or mark > last:
-                self._text(source[at:])
+            if mark < 0 or mark > last:                                 # no tag ends from here on
+                comment = source.find("<!--", at)
+                self._text(source[at:comment] if comment >= 0 else source[at:])
                 break
             tag = TAG.match(source, mark)
             if tag is None:

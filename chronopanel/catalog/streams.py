@@ -240,7 +240,7 @@ SELECT e.event_type, sc.start_day, count(*) AS n_events, count(*) FILTER (e.valu
 def z9(r):
     e = r.events()
     sched = e.where(F.dayofmonth("ts") % 5 == 1).groupBy("event_type", F.to_date("ts").alias("start_day")).agg(F.max("value").alias("threshold"))
-    out = st.asof_stream(events(r), sched, ["event_type"], "start_day", F.lit(e.agg(F.max("ts")).first()[0]))
+    out = st.asof_stream(events(r), sched, ["event_type"], "start_day")
     return drain(out, "asof").groupBy("event_type", "start_day").agg(F.count(F.lit(1)).alias("n_events"), F.count_if(F.col("value") > F.col("threshold")).alias("above"))
 
 

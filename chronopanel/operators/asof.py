@@ -1,15 +1,17 @@
 """As-of and interval joins without a global sort of the fact side.
 
-A schedule becomes non-overlapping validity intervals per key; each interval
-is spread over the coarse time slots it covers, and facts meet it through an
-equi-join on (key, slot) plus a range filter. A hot key is therefore split by
-slot, and by AQE inside a slot, because the schedule side of one (key, slot)
-cell stays tiny. Spark itself broadcasts the schedule when its size allows.
+A schedule becomes non-overlapping validity intervals per key, and these one row per key: an array over consecutive coarse
+time slots, each holding the intervals that touch it. The first slot is the schedule's first one, and what is valid in
+its last slot is valid in every later one. A fact meets the row of its key, takes the element of its own slot (the last
+one at most) and filters its few intervals, so both sides are read once, neither is sorted by time, and a fact row never
+multiplies. The schedule side has one row per key: Spark broadcasts it when its measured size allows, and AQE splits a
+hot key's facts otherwise.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,40 +28,35 @@ def validity_intervals(schedule: DataFrame, keys: Sequence[str], start: str) ->
     return schedule.withColumn("_from", F.col(start)).withColumn("_to", F.lead(start).over(w)).withColumn("_to", once)
 
 
-def keep_last(schedule: DataFrame, keys: Sequence[str], start: str, order: str) -> DataFrame:
-    """One row per (keys, start): the one with the greatest ``order``."""
-    payload = [c for c in schedule.columns if c not in (*keys, start)]
-    best = schedule.groupBy(*keys, start).agg(F.max_by(F.struct(*payload), F.col(order)).alias("_p"))
-    return best.select(*keys, start, "_p.*")
-
-
 def asof_join(left: DataFrame, schedule: DataFrame, keys: Sequence[str], left_time: str, start: str, *,
-              strict: bool = False, how: str = "left", grain: str = "month", fan_out: Sequence[str] = (), until: Column | None = None) -> DataFrame:
+              strict: bool = False, how: str = "left", grain: str = "month", fan_out: Sequence[str] = ()) -> DataFrame:
     """Latest schedule row with ``start <= left_time`` (``<`` when strict) for the same keys.
 
-    ``schedule`` must be unique on (keys, fan_out, start); use :func:`keep_last` first when it is not.
-    ``fan_out`` names schedule-only keys: each left row meets the latest row of every such group.
-    ``until`` bounds the open last interval; a stream must give it, a batch takes its own latest time.
+    ``schedule`` must be unique on (keys, fan_out, start).
+    ``fan_out`` names schedule-only keys: each left row meets the latest row of every such group. A NULL key or time meets nothing.
     """
     keys = list(keys)
-    end = left.agg(F.max(left_time)).scalar() if until is None else until
-    iv = validity_intervals(schedule, [*keys, *fan_out], start).withColumn("_end", end)
-    # a strict match at time t needs the slot of _to itself; one extra slot is harmless
-    last = F.least(F.coalesce(F.col("_to"), F.col("_end")), F.col("_end"))
-    iv = iv.where(F.col("_from") <= F.col("_end")).withColumn(
-        "_slot", F.explode(F.sequence(_slot(F.col("_from"), grain), _slot(last, grain),
-                                      F.expr(f"interval 1 {grain}"))))
-    r_keys = [F.col(k).alias(f"_r_{k}") for k in keys]
     payload = [c for c in schedule.columns if c not in keys]
-    iv = iv.select(*r_keys, "_slot", "_from", "_to", *payload)
-    facts = left.withColumn("_lslot", _slot(F.col(left_time), grain))
+    row = F.struct("_from", "_to", *[F.col(c).alias(f"_p_{c}") for c in payload])
+    names = [f"_r_{k}" for k in keys] or ["_r_"]
+    iv = validity_intervals(schedule.where(F.col(start).isNotNull()), [*keys, *fan_out], start)
+    iv = iv.select(*([F.col(k).alias(n) for k, n in zip(keys, names)] or [F.lit(0).alias("_r_")]), _slot(F.col("_from"), grain).alias("_a"), _slot(F.col("_to"), grain).alias("_b"), row.alias("_v"))
+    iv = iv.withColumn("_last", F.max("_a").over(Window.partitionBy(*names)))
+    cells = (iv.select(*names, F.explode(F.sequence("_a", F.least(F.coalesce("_b", "_last"), "_last"), F.expr(f"interval 1 {grain}"))).alias("_slot"), "_v")
+             .groupBy(*names, "_slot").agg(F.collect_list("_v").alias("_in")).groupBy(*names)
+             .agg(F.min("_slot").alias("_first"), F.array_sort(F.collect_list(F.struct("_slot", "_in"))).alias("_cells")))
     t = F.col(left_time)
-    inside = ((F.col("_from") < t) & (F.col("_to").isNull() | (t <= F.col("_to")))) if strict else \
-             ((F.col("_from") <= t) & (F.col("_to").isNull() | (t < F.col("_to"))))
-    cond = (F.col("_lslot") == F.col("_slot")) & inside
-    for k in keys:
-        cond = cond & (facts[k] == F.col(f"_r_{k}"))
-    return facts.join(iv, cond, how).drop("_lslot", "_slot", "_from", "_to", *[f"_r_{k}" for k in keys])
+    slot = _slot(t, grain)
+    place = F.when(slot >= F.col("_first"), F.least(F.size("_cells"), 1 + (F.months_between(slot, F.col("_first")).cast("int") if grain == "month" else F.datediff(slot, F.col("_first")))))
+    inside = (lambda v: (v["_from"] < t) & (v["_to"].isNull() | (t <= v["_to"]))) if strict else (lambda v: (v["_from"] <= t) & (v["_to"].isNull() | (t < v["_to"])))
+    cond = F.lit(0) == F.col("_r_")
+    if keys:
+        cond = reduce(lambda x, y: x & y, (left[k] == F.col(n) for k, n in zip(keys, names)))
+    met = left.join(cells, cond, "inner" if how == "inner" else "left")
+    here = F.when(place.isNotNull(), F.element_at("_cells", place)["_in"])          # element_at alone is not nullable in ANSI mode
+    met = met.withColumn("_hit", F.filter(here, inside)).drop(*names, "_first", "_cells")
+    hit = (F.explode if how == "inner" else F.explode_outer)("_hit").alias("_v")
+    return met.select(*left.columns, hit).select(*left.columns, *[F.col(f"_v._p_{c}").alias(c) for c in payload])
 
 
 def forward_asof(left: DataFrame, right: DataFrame, left_time: str, right_time: str) -> DataFrame:

@@ -53,6 +53,6 @@ def sliding_statistics(stream: DataFrame, size: str, slide: str, delay: str) ->
             .select(F.col("window.start").alias("window_start"), "event_type", "n_events", "mean_value", "max_value"))
 
 
-def asof_stream(stream: DataFrame, schedule: DataFrame, keys: list[str], start: str, until) -> DataFrame:
+def asof_stream(stream: DataFrame, schedule: DataFrame, keys: list[str], start: str) -> DataFrame:
     """Stream joined with the schedule row valid at each event's time (static side, no state)."""
-    return asof_join(stream, schedule, keys, "ts", start, how="inner", until=until, grain="day")
+    return asof_join(stream, schedule, keys, "ts", start, how="inner", grain="day")

@@ -271,3 +271,16 @@ def test_family_store_replaces_only_published_families(spark):
     store.publish(df)
     store.publish(df.where("family_id = 'a'").withColumn("score", F.lit(9.0)))
     assert {(r["family_id"], r["score"]) for r in store.read().collect()} == {("a", 9.0), ("b", 2.0)}
+
+
+def test_tail_sweep_equals_sorted_prefixes():
+    rng = np.random.default_rng(12)
+    for n in (1, 2, 7, 150):
+        ret, dd = rng.normal(0, 1, n).round(1), np.minimum(0, rng.normal(-0.2, 0.3, n)).round(1)
+        recovery = np.where(rng.random(n) < 0.3, rng.integers(1, 9, n), np.nan)
+        ret[0] = np.nan
+        ends = np.unique(rng.integers(0, n, 20))
+        for end, got in zip(ends, wp.tail_sweep(ret, dd, recovery, ends, 0.05)):
+            worst = lambda x, m: (lambda k: np.mean([v for v in k if v < 0]) if any(v < 0 for v in k) else 0.0)(sorted(x[~np.isnan(x)])[:max(1, int(np.ceil(m * 0.05)))])
+            back = recovery[:end + 1][~np.isnan(recovery[:end + 1])]
+            assert np.allclose(got, (worst(ret[:end + 1], end), worst(dd[:end + 1], end + 1), np.median(back) if len(back) else 0.0))

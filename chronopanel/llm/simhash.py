@@ -9,8 +9,9 @@ position tells whether this is the first list they share, so a pair is counted o
 meet. The exact bit distance then verifies each pair inside the join, before any row leaves it.
 
 The pipeline's stage (``one_of_each_group``) has another contract: five-word shingles and a similarity of 0.8 or more, at
-which fingerprints differ by 7 to 10 bits. It lists documents by the shingles of a prefix of their sets, where
-every such pair meets, and verifies each pair on the whole sets.
+which fingerprints differ by 7 to 10 bits, beyond what postings of a 64-bit SimHash can tell from chance. It lists
+documents by the shingles of a prefix of their sets, where every such pair meets, drops pairs that positions, sizes or
+bucket counts exclude, and verifies the rest on whole sets.
 
 Defined cases: a null or word-free text has fingerprint zero; texts under four words give one shingle; repeated rows and
 repeated ids keep one output row each; a null id never names a group (a group of null ids only has a null id); an empty
@@ -28,13 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronopanel.llm.common import column, free_names, map_batches, texts
+from chronopanel.llm.common import column, filter_batches, free_names, map_batches, texts
 from chronopanel.llm.components import star_components
 from chronopanel.session import stage
 
 MAX_BITS, SHINGLE, SEED, CHUNK = 4, 4, 42, 1 << 15
 #: Of the pipeline's stage: shingle width; the bounds of the sample that tells which shingles are frequent.
 STAGE_SHINGLE, MAX_SAMPLE, MAX_COMMON = 5, 20_000, 200_000
+#: Bits of a shingle's hash in the stage (two sets of 1,000 shingles take a foreign one for their own once in a million pairs), and bits of the map of wanted documents.
+HASH_BITS, MARKS = 40, 1 << 24
 
 
 def fingerprint(text: bytes, width: int = SHINGLE) -> int:
@@ -114,14 +117,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # ---- the pipeline's stage: groups by shingle similarity -----------------------------------------------------------
 
 def shingle_set(text: bytes, width: int = STAGE_SHINGLE) -> np.ndarray:
-    """Sorted distinct XXH64 values of the word shingles, as signed integers; a shorter text is one shingle, a word-free one has none."""
+    """Sorted distinct hashes (``HASH_BITS`` bits of XXH64) of the word shingles; a shorter text is one shingle, a word-free one has none."""
     words = text.lower().split()
     digest, join = xxhash.xxh64_intdigest, b" ".join
     if len(words) < width:
         hashes = [digest(join(words), SEED)] if words else []
     else:
         hashes = (digest(join(x), SEED) for x in zip(*(islice(words, k, None) for k in range(width)), strict=False))
-    return np.unique(np.fromiter(hashes, np.uint64).view(np.int64))
+    return np.unique((np.fromiter(hashes, np.uint64) >> np.uint64(64 - HASH_BITS)).view(np.int64))
 
 
 def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -137,6 +140,33 @@ def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
     return hashes[:n - -(-4 * n // 5) + 1 if n else 0]
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """Shingles of a set by 64 buckets of their hash, 255 at most: two sets share no more than the smaller counts add up to."""
+    return np.minimum(np.bincount(hashes & 63, minlength=64), 255).astype(np.uint8).tobytes()
+
+
+def may_share(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """False where sketches (rows of ``a`` and ``b``) prove a similarity under 0.8; a full bucket proves nothing."""
+    least = np.where(np.minimum(a, b) == 255, 1 << 40, np.minimum(a, b).astype(np.int64)).sum(axis=1)
+    return 9 * least >= 4 * (n + m)
+
+
+def packed(hashes: np.ndarray) -> bytes:
+    """A set in ``HASH_BITS`` / 8 bytes a shingle."""
+    return np.ascontiguousarray(hashes.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :HASH_BITS // 8]).tobytes()
+
+
+def similar_sets(a: bytes, b: bytes) -> bool:
+    """Whether two packed sets have a similarity of 0.8 or more."""
+    size = HASH_BITS // 8
+    wide = []
+    for s in (a, b):
+        rows = np.zeros((len(s) // size, 8), np.uint8)
+        rows[:, :size] = np.frombuffer(s, np.uint8).reshape(-1, size)
+        wide.append(rows.view("<i8").ravel())
+    return 9 * len(np.intersect1d(*wide, assume_unique=True)) >= 4 * (len(wide[0]) + len(wide[1]))
+
+
 def frequent_shingles(docs: DataFrame, text_col: str) -> np.ndarray:
     """Shingles held by several of at most ``MAX_SAMPLE`` documents, ``MAX_COMMON`` at most."""
     def build():
@@ -153,45 +183,73 @@ def similar_sizes(a: Column, b: Column) -> Column:
     return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
 
 
-def whole_sets(keys: DataFrame, sets: DataFrame, named: DataFrame, by: list[str], text_col: str) -> DataFrame:
-    """``(key, s)`` with the shingle set of every key, from one row of its text."""
+def marks(rows: DataFrame) -> np.ndarray:
+    """A bit per row of ``(i, h)`` at the row's hash, of ``MARKS`` bits: whoever has no bit is not among the rows."""
+    spot = F.pmod(F.xxhash64("i", "h"), F.lit(MARKS)) + 1
+    found = rows.select(F.bitmap_bucket_number(spot).alias("bucket"), F.bitmap_bit_position(spot).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros(MARKS // 8, np.uint8)
+    for row in found.toLocalIterator():                                # MARKS / 32,768 rows of 4 KB at most
+        out[(row["bucket"] - 1) * 4096:row["bucket"] * 4096] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    return out
+
+
+def likely(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` of set numbers that their sketches do not exclude."""
+    side = lambda name: chosen.select(F.col("sid").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
+    grid = lambda batch, name: np.frombuffer(b"".join(column(batch, name).to_pylist()), np.uint8).reshape(-1, 64)
+    number = lambda batch, name: column(batch, name).to_numpy()
+    keep = lambda batch: may_share(grid(batch, "s_a"), grid(batch, "s_b"), number(batch, "n_a"), number(batch, "n_b"))
+    return filter_batches(pairs.join(side("a"), "a").join(side("b"), "b"), lambda: keep).select("a", "b")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, named: DataFrame, by: list[str], text_col: str) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets have a similarity of 0.8 or more, counted on whole sets.
+
+    Sets are built anew from the texts, and only those of documents in a pair leave their task: a bitmap of fixed size tells
+    most of the others. One side of each pair travels to the other.
+    """
+    ids = lambda name: sets.select(F.col("sid").alias(name), F.col("i").alias(f"i_{name}"), F.col("h").alias(f"h_{name}"))
+    asked = stage(pairs.join(ids("a"), "a").join(ids("b"), "b"), "shingle-pairs")
+    bits = marks(asked.select(F.explode(F.array(F.struct(F.col("i_a").alias("i"), F.col("h_a").alias("h")), F.struct(F.col("i_b").alias("i"), F.col("h_b").alias("h")))).alias("x")).select("x.*"))
+
     def build():
         def step(batch):
-            return {"key": column(batch, "key"), "s": pa.array([shingle_set(t) for t in texts(batch, text_col)], pa.list_(pa.int64()))}
+            spot = column(batch, "spot").to_numpy()
+            part = batch.filter(pa.array((bits[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).astype(bool)))
+            return {"i": column(part, by[0]), "h": column(part, by[1]), "s": pa.array([packed(shingle_set(t)) for t in texts(part, text_col)], pa.binary())}
         return step
 
-    needed = sets.join(keys, "key").select("key", F.col("least.*"))
-    first = F.row_number().over(W.partitionBy(*by).orderBy("key"))
-    one = named.select(*by, F.col(text_col).alias("text")).join(needed, by).select("key", "text", first.alias("nth")).where("nth = 1")
-    return stage(map_batches(one.select("key", F.col("text").alias(text_col)), build, "key long, s array<long>"), "shingle-sets")
-
-
-def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` of set keys whose sets have a similarity of 0.8 or more, counted on whole sets."""
-    both = pairs.join(held.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
-    return both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
+    rows = named.select(*by, text_col, F.pmod(F.xxhash64(*by), F.lit(MARKS)).cast("long").alias("spot"))
+    held = stage(map_batches(rows, build, "i long, h long, s binary"), "shingle-sets")
+    side = lambda name: held.select(F.col("i").alias(f"i_{name}"), F.col("h").alias(f"h_{name}"), F.col("s").alias(f"s_{name}"))
+    both = asked.join(side("b"), ["i_b", "h_b"]).select("a", "b", "i_a", "h_a", "s_b").join(side("a"), ["i_a", "h_a"])
+    same = lambda batch: [similar_sets(x, y) for x, y in zip(column(batch, "s_a").to_pylist(), column(batch, "s_b").to_pylist())]
+    return filter_batches(both.select("a", "b", "s_a", "s_b"), lambda: same).select("a", "b").distinct()
 
 
-def similar_links(sets: DataFrame, named: DataFrame, by: list[str], text_col: str) -> DataFrame:
+def similar_links(chosen: DataFrame, sets: DataFrame, named: DataFrame, by: list[str], text_col: str) -> DataFrame:
     """Links ``(a, b)`` whose components are those of all pairs of sets at similarity 0.8 or more.
 
-    Each list of a shingle first links its members to its smallest one, so a dense group becomes one component by links in
-    proportion to its members. Then all pairs of a list that are not in one component yet are compared. A pair in
-    one component needs no link of its own.
+    Each list of a shingle first links its members to its smallest one, a member to one such head; so a dense group becomes
+    one component by links in proportion to its members. Then all pairs of a list that are not in one component yet are
+    compared. A pair in one component needs no link of its own.
     """
-    lists = sets.where("n > 0").select("key", "n", F.posexplode("prefix").alias("pos", "shingle"))
-    w = W.partitionBy("shingle")
-    shared = stage(lists.select("*", F.count("*").over(w).alias("many"), F.min(F.struct("key", "n")).over(w).alias("head")).where("many > 1").drop("many"), "shingle-lists")
-    held = whole_sets(shared.select("key").distinct(), sets, named, by, text_col)
-    stars = shared.where((F.col("head.key") != F.col("key")) & similar_sizes(F.col("head.n"), F.col("n"))).select(F.col("head.key").alias("a"), F.col("key").alias("b")).distinct()
-    first = stage(verified(stars, held), "shingle-links")
-    marked = stage(shared.join(star_components(first), F.col("key") == F.col("node"), "left").select("shingle", "pos", "key", "n", F.coalesce("root", "key").alias("root")), "shingle-marked")
-    x, y = marked.alias("x"), marked.alias("y")
+    lists = chosen.where("n > 0").select("sid", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    heads = lists.groupBy("shingle").agg(F.count("*").alias("many"), F.min(F.struct("sid", "n", "pos")).alias("head")).where("many > 1").select("shingle", "head")
+    shared = stage(lists.join(heads, "shingle").select("shingle", "sid", "n", "pos", F.col("head.sid").alias("head"), F.col("head.n").alias("head_n"), F.col("head.pos").alias("head_pos")), "shingle-lists")
     # at the first shingle that two sets share, no more can be shared than what follows it in both
-    most = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    meets = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & similar_sizes(F.col("x.n"), F.col("y.n")) & (9 * most >= 4 * (F.col("x.n") + F.col("y.n")))
-    rest = x.join(y, meets).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    return stage(first.union(verified(rest, held)), "shingle-all-links")
+    enough = lambda n, pos, m, at: similar_sizes(n, m) & (9 * F.least(n - pos, m - at) >= 4 * (n + m))
+    stars = shared.where((F.col("head") < F.col("sid")) & enough(F.col("n"), F.col("pos"), F.col("head_n"), F.col("head_pos"))).select(F.col("head").alias("a"), F.col("sid").alias("b")).distinct()
+    first = stage(verified(likely(stars, chosen).groupBy("b").agg(F.min("a").alias("a")), sets, named, by, text_col), "shingle-links")
+    rooted = shared.join(star_components(first), F.col("sid") == F.col("node"), "left").select("shingle", "pos", "sid", "n", F.coalesce("root", "sid").alias("root"))
+    rooted = stage(rooted, "shingle-roots")
+    mixed = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
+    open_ = rooted.join(mixed, "shingle")                               # lists of one component are done
+    x, y = open_.alias("x"), open_.alias("y")
+    meets = ((F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.root") != F.col("y.root"))
+             & enough(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
+    rest = x.join(y, meets).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+    return stage(first.select("a", "b").union(verified(likely(rest, chosen), sets, named, by, text_col)), "shingle-all-links")
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,18 +261,27 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     own = free_names(docs, "id", "hash", "row")
     named = docs.select("*", F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias(own[0]), F.xxhash64(F.col(text_col)).alias(own[1]))
     common = frequent_shingles(docs, text_col)
+    key_of = lambda found: pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes(), SEED) for s in found], np.uint64).view(np.int64))
 
-    def build():
+    def keys():
+        def step(batch):
+            found = [shingle_set(t) for t in texts(batch, text_col)]
+            return {"i": column(batch, own[0]), "h": column(batch, own[1]), "key": key_of(found), "n": pa.array([len(s) for s in found], pa.int64())}
+        return step
+
+    def parts():
         def step(batch):
             found = [shingle_set(t) for t in texts(batch, text_col)]
-            return {"i": column(batch, own[0]), "h": column(batch, own[1]), "key": pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes(), SEED) for s in found], np.uint64).view(np.int64)),
-                    "n": pa.array([len(s) for s in found], pa.int64()), "prefix": pa.array([prefix(s, common) for s in found], pa.list_(pa.int64()))}
+            return {"i": column(batch, own[0]), "h": column(batch, own[1]), "prefix": pa.array([prefix(s, common) for s in found], pa.list_(pa.int64())),
+                    "sketch": pa.array([sketch(s) for s in found], pa.binary())}
         return step
 
-    prints = stage(map_batches(named.select(*own[:2], text_col), build, "i long, h long, key long, n long, prefix array<long>"), "shingle-prints")
+    rows = named.select(*own[:2], text_col)
+    equal = map_batches(rows, keys, "i long, h long, key long, n long").groupBy("key").agg(F.min(F.struct("i", "h")).alias("least"), F.any_value("n").alias("n"))
+    sets = stage(equal.select(F.monotonically_increasing_id().alias("sid"), "least.*", "n"), "shingle-keys")
+    chosen = stage(map_batches(rows, parts, "i long, h long, prefix array<long>, sketch binary").join(sets, ["i", "h"]).select("sid", "n", "prefix", "sketch"), "shingle-prefixes")
+    roots = star_components(similar_links(chosen, sets, named, own[:2], text_col))
     names = F.struct(F.col("i").alias(own[0]), F.col("h").alias(own[1]))
-    sets = stage(prints.groupBy("key").agg(F.min(names).alias("least"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")), "shingle-keys")
-    roots = star_components(similar_links(sets, named, own[:2], text_col))
-    best = sets.select("key", "least").join(roots, F.col("key") == F.col("node"), "left").groupBy(F.coalesce("root", "key")).agg(F.min("least").alias("k")).select("k.*").distinct()
+    best = sets.select("sid", names.alias("least")).join(roots, F.col("sid") == F.col("node"), "left").groupBy(F.coalesce("root", "sid")).agg(F.min("least").alias("k")).select("k.*").distinct()
     once = F.row_number().over(W.partitionBy(*own[:2]).orderBy(*(F.xxhash64(c) for c in docs.columns)))
     return named.join(best, own[:2], "left_semi").withColumn(own[2], once).where(F.col(own[2]) == 1).select(*docs.columns)

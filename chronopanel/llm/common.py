@@ -58,12 +58,13 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def filter_batches(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], Iterable[bool]]]) -> DataFrame:
-    """Rows of ``df`` for which the mask of their Arrow batch holds; columns stay as they are."""
+def filter_batches(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], Iterable[bool]]], rows: int = 1 << 30) -> DataFrame:
+    """Rows of ``df`` for which the mask of their Arrow batch, in slices of ``rows`` rows, holds; columns stay as they are."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = build()
         for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(step(batch), pa.bool_()))
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                yield part.filter(pa.array(step(part), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -38,6 +38,8 @@ MAX_BITS, SHINGLE, SEED, CHUNK = 4, 4, 42, 1 << 15
 STAGE_SHINGLE, MAX_SAMPLE, MAX_COMMON = 5, 20_000, 200_000
 #: Bits of a shingle's hash in the stage (two sets of 1,000 shingles take a foreign one for their own once in a million pairs), and bits of the map of wanted documents.
 HASH_BITS, MARKS = 40, 1 << 24
+#: Texts, and pairs of sets, that a task holds at once.
+ROWS = 1_000
 
 
 def fingerprint(text: bytes, width: int = SHINGLE) -> int:
@@ -175,7 +177,7 @@ def frequent_shingles(docs: DataFrame, text_col: str) -> np.ndarray:
         return step
 
     drawn = docs.select(text_col).where(F.pmod(F.xxhash64(text_col), F.lit(16)) == 0).distinct().limit(MAX_SAMPLE)
-    counts = map_batches(drawn, build, "s array<long>").select(F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("n"))
+    counts = map_batches(drawn, build, "s array<long>", ROWS).select(F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("n"))
     return np.sort(np.array([r.s for r in counts.where("n >= 4").orderBy(F.desc("n"), "s").limit(MAX_COMMON).collect()], np.int64))
 
 
@@ -220,11 +222,11 @@ def verified(pairs: DataFrame, sets: DataFrame, named: DataFrame, by: list[str],
         return step
 
     rows = named.select(*by, text_col, F.pmod(F.xxhash64(*by), F.lit(MARKS)).cast("long").alias("spot"))
-    held = stage(map_batches(rows, build, "i long, h long, s binary"), "shingle-sets")
+    held = stage(map_batches(rows, build, "i long, h long, s binary", ROWS), "shingle-sets")
     side = lambda name: held.select(F.col("i").alias(f"i_{name}"), F.col("h").alias(f"h_{name}"), F.col("s").alias(f"s_{name}"))
     both = asked.join(side("b"), ["i_b", "h_b"]).select("a", "b", "i_a", "h_a", "s_b").join(side("a"), ["i_a", "h_a"])
     same = lambda batch: [similar_sets(x, y) for x, y in zip(column(batch, "s_a").to_pylist(), column(batch, "s_b").to_pylist())]
-    return filter_batches(both.select("a", "b", "s_a", "s_b"), lambda: same).select("a", "b").distinct()
+    return filter_batches(both.select("a", "b", "s_a", "s_b"), lambda: same, ROWS).select("a", "b").distinct()
 
 
 def similar_links(chosen: DataFrame, sets: DataFrame, named: DataFrame, by: list[str], text_col: str) -> DataFrame:
@@ -277,9 +279,9 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return step
 
     rows = named.select(*own[:2], text_col)
-    equal = map_batches(rows, keys, "i long, h long, key long, n long").groupBy("key").agg(F.min(F.struct("i", "h")).alias("least"), F.any_value("n").alias("n"))
+    equal = map_batches(rows, keys, "i long, h long, key long, n long", ROWS).groupBy("key").agg(F.min(F.struct("i", "h")).alias("least"), F.any_value("n").alias("n"))
     sets = stage(equal.select(F.monotonically_increasing_id().alias("sid"), "least.*", "n"), "shingle-keys")
-    chosen = stage(map_batches(rows, parts, "i long, h long, prefix array<long>, sketch binary").join(sets, ["i", "h"]).select("sid", "n", "prefix", "sketch"), "shingle-prefixes")
+    chosen = stage(map_batches(rows, parts, "i long, h long, prefix array<long>, sketch binary", ROWS).join(sets, ["i", "h"]).select("sid", "n", "prefix", "sketch"), "shingle-prefixes")
     roots = star_components(similar_links(chosen, sets, named, own[:2], text_col))
     names = F.struct(F.col("i").alias(own[0]), F.col("h").alias(own[1]))
     best = sets.select("sid", names.alias("least")).join(roots, F.col("sid") == F.col("node"), "left").groupBy(F.coalesce("root", "sid")).agg(F.min("least").alias("k")).select("k.*").distinct()

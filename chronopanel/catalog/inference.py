@@ -93,6 +93,30 @@ def f2(r):
     return paired_bootstrap(r).select("h", "folds", "robust_delta", "positive_fraction", ok.alias("accepted"))
 
 
+F2_PAIRS = f"""
+nf AS (SELECT h, t, list(fold ORDER BY fold) AS folds FROM (SELECT DISTINCT ch.h, assessment_date AS t, fold FROM ch JOIN fm ON fm.h = ch.h AND fm.treatment = ch.winner AND make_date(fold, 12, 31) <= assessment_date) GROUP BY 1, 2),
+rw AS (SELECT ch.h, assessment_date AS t, winner, sa, sn, sr, rn, coalesce(lag(folds) OVER (PARTITION BY ch.h ORDER BY assessment_date) <> folds, false) AS nw FROM ch JOIN nf ON nf.h = ch.h AND nf.t = ch.assessment_date),
+pr AS (SELECT rw.h, rw.t, winner, v.rival, CASE winner WHEN 'A' THEN sa WHEN 'N' THEN sn ELSE sr END AS sw, CASE v.rival WHEN 'A' THEN sa WHEN 'N' THEN sn ELSE sr END AS si FROM rw, (VALUES ('A'), ('N'), ('R')) v(rival) WHERE nw AND v.rival <> winner),
+sr AS (SELECT pr.h, pr.t, pr.rival, a.metric AS a, b.metric AS b, row_number() OVER (PARTITION BY pr.h, pr.t, pr.rival ORDER BY a.fold) - 1 AS pos, count(*) OVER (PARTITION BY pr.h, pr.t, pr.rival) AS n
+  FROM pr JOIN fm a ON a.h = pr.h AND a.treatment = pr.rival JOIN fm b ON b.h = pr.h AND b.treatment = pr.winner AND b.fold = a.fold WHERE make_date(a.fold, 12, 31) <= pr.t AND si IS NOT NULL),
+sz2 AS (SELECT DISTINCT h, t, rival, n FROM sr), dr2 AS (SELECT h, t, rival, rep, {mdraw('n', "'11'", 'rep', 'i')} AS pos FROM sz2, (SELECT unnest(range(1, 5001)) AS rep), LATERAL (SELECT unnest(range(1, n + 1)) AS i)),
+gn AS (SELECT h, t, rival, rep, ({ROB.format('b')}) - ({ROB.format('a')}) AS g FROM dr2 JOIN sr USING (h, t, rival, pos) GROUP BY 1, 2, 3, 4),
+pb AS (SELECT h, t, rival, {R('avg((g > 0)::INT)')} AS probability FROM gn GROUP BY 1, 2, 3),
+vd AS (SELECT pr.h, pr.t, pr.rival, probability, n >= 5 AND probability >= 0.9 AND sw - si >= 0.005 AS accepted FROM pr JOIN sz2 USING (h, t, rival) JOIN pb USING (h, t, rival))"""
+
+
+@query("f2_running_incumbent", f"""
+WITH RECURSIVE {CHOICES}, {F2_PAIRS.strip()},
+st AS (SELECT h, t, rn, NULL::VARCHAR AS before, winner AS inc, NULL::DOUBLE AS probability, false AS switched FROM rw WHERE rn = 1
+ UNION ALL SELECT rw.h, rw.t, rw.rn, st.inc, CASE WHEN v.accepted THEN rw.winner ELSE st.inc END, v.probability, coalesce(v.accepted, false) FROM st JOIN rw ON rw.h = st.h AND rw.rn = st.rn + 1 LEFT JOIN vd v ON v.h = rw.h AND v.t = rw.t AND v.rival = st.inc)
+SELECT st.h, st.t AS assessment_date, rw.winner, rw.nw AS new_folds, before AS incumbent_before, inc AS incumbent_after, probability, switched FROM st JOIN rw ON rw.h = st.h AND rw.rn = st.rn""")
+def f2_running(r):
+    surface = stage(r.surface().groupBy("h", "treatment", "fold").agg(F.avg("cagr_excess").alias("metric")), "recipe-folds")
+    metrics = surface.select("h", F.col("treatment").alias("candidate"), "fold", F.make_date("fold", F.lit(12), F.lit(31)).alias("available_at"), "metric")
+    out = rs.running_incumbent(stage(recipe_choices(r), "recipe-choices"), metrics, ["h"], "assessment_date")
+    return out.select("h", "assessment_date", "winner", "new_folds", F.col("before").alias("incumbent_before"), F.col("incumbent").alias("incumbent_after"), "probability", "switched")
+
+
 CP = "least(1, 0.02 + 0.98 * (p0 * 0.9 + greatest(0, least(1, (m0 - value) / 0.02)) * 0.1))"
 CP_REC = f"""c AS (SELECT family_id, arm, as_of, rn, {CP.replace('p0', '0.0').replace('m0', '0.0')} AS p, 0.1 * value AS m FROM s WHERE rn = 1
  UNION ALL SELECT family_id, arm, as_of, rn, {CP}, 0.9 * m0 + 0.1 * value FROM (SELECT s.*, c.p AS p0, c.m AS m0 FROM c JOIN s ON s.family_id = c.family_id AND s.arm = c.arm AND s.rn = c.rn + 1))"""

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronopanel.catalog.aggregates import AVG_RANK
+from chronopanel.catalog.inference import BLOCK, SUMMARY, mdraw
 from chronopanel.catalog.registry import R, query
 from chronopanel.catalog.selectors import KEYS
 from chronopanel.functions import sqlfuncs
@@ -27,25 +28,99 @@ def model_panel(r):
     return stage(p.where("excess_1m IS NOT NULL"), "model-panel")
 
 
-@query("m1_walk_forward_ridge")
+def gate_panel(r):
+    w = Window.partitionBy("family_id", "arm").orderBy("assessment_date")
+    p = r.family_panel().withColumns({"available_at": F.lead("assessment_date").over(w), "available_3m": F.lead("assessment_date", 3).over(w), "activity": F.col("active_days") / F.col("observed_days"),
+                                      "drawdown": F.col("rel") / F.max("rel").over(w) - 1})
+    p = p.where("excess_1m IS NOT NULL")
+    return p.join(p.groupBy("assessment_date").agg(F.avg("excess_1m").alias("market")), "assessment_date")
+
+
+MODEL_ROWS = """mp0 AS (SELECT *, rel / lag(rel, 6) OVER w - 1 AS trailing_6m, rel / max(rel) OVER w - 1 AS drawdown, active_days / observed_days AS activity, lead(assessment_date) OVER w AS available_at,
+  lead(assessment_date, 3) OVER w AS available_3m FROM x_fmp WINDOW w AS (PARTITION BY family_id, arm ORDER BY assessment_date)), mp AS (SELECT *, avg(excess_1m) OVER (PARTITION BY assessment_date) AS market FROM mp0 WHERE excess_1m IS NOT NULL),
+cal AS (SELECT assessment_date AS t, row_number() OVER (ORDER BY assessment_date) - 1 AS i FROM (SELECT DISTINCT assessment_date FROM mp))"""
+
+
+def ridge_sql(name: str, features: list[str], target: str, available: str, ridge: float = 1e-4) -> str:
+    """CTEs that fit a ridge per date by plain elimination; the last one, ``name``, holds family_id, arm, assessment_date and p."""
+    p, zs = len(features), range(len(features) + 1)
+    out = [f"{name}_tr AS (SELECT t, {target} AS y, {', '.join(features)} FROM cal JOIN mp ON {available} <= t WHERE {target} IS NOT NULL AND i >= 24)",
+           f"{name}_st AS (SELECT t, {', '.join(f'coalesce(avg({f}), 0) AS m{k}, CASE WHEN coalesce(stddev_pop({f}), 0) < 1e-12 THEN 1 ELSE stddev_pop({f}) END AS s{k}' for k, f in enumerate(features, 1))} FROM {name}_tr GROUP BY t)",
+           f"{name}_z AS (SELECT t, y, 1.0::DOUBLE AS z0, {', '.join(f'coalesce(({f} - m{k}) / s{k}, 0) AS z{k}' for k, f in enumerate(features, 1))} FROM {name}_tr JOIN {name}_st USING (t))",
+           f"{name}_e0 AS (SELECT t, {', '.join(f'sum(z{i} * z{j}){f' + {ridge}' if i == j else ''} AS g{i}_{j}' for i in zs for j in zs)}, {', '.join(f'sum(z{i} * y) AS y{i}' for i in zs)} FROM {name}_z GROUP BY t)"]
+    for k in range(p):
+        cells = [f"g{i}_{j}" if i <= k else f"g{i}_{j} - g{i}_{k} / g{k}_{k} * g{k}_{j} AS g{i}_{j}" for i in zs for j in zs if (j >= i if i <= k else j > k)]
+        out.append(f"{name}_e{k + 1} AS (SELECT t, {', '.join(cells)}, {', '.join(f'y{i}' if i <= k else f'y{i} - g{i}_{k} / g{k}_{k} * y{k} AS y{i}' for i in zs)} FROM {name}_e{k})")
+    last = f"{name}_e{p}"
+    for i in reversed(zs):
+        rest = "".join(f" - g{i}_{j} * b{j}" for j in range(i + 1, p + 1))
+        out.append(f"{name}_b{i} AS (SELECT *, (y{i}{rest}) / g{i}_{i} AS b{i} FROM {last})")
+        last = f"{name}_b{i}"
+    score = " + ".join(["b0", *(f"b{k} * coalesce(({f} - m{k}) / s{k}, 0)" for k, f in enumerate(features, 1))])
+    out.append(f"{name} AS (SELECT family_id, arm, assessment_date, {score} AS p FROM mp JOIN {last} b ON b.t = assessment_date JOIN {name}_st USING (t))")
+    return ",\n".join(out)
+
+
+@query("m1_walk_forward_ridge", f"""
+WITH {MODEL_ROWS}, {ridge_sql('rd', FEATURES, 'fwd_1m', 'available_at')}
+SELECT mp.assessment_date, family_id, arm, {R('p')} AS predicted, {R('fwd_1m')} AS realized, n AS train_rows FROM rd JOIN mp USING (family_id, arm, assessment_date) JOIN (SELECT t, count(*) AS n FROM rd_tr GROUP BY 1) c ON c.t = mp.assessment_date WHERE fwd_1m IS NOT NULL""")
 def m1(r):
     out = mo.walk_forward_ridge(model_panel(r), FEATURES, "fwd_1m", "available_at", min_months=24)
     return out.where("fwd_1m IS NOT NULL").select("assessment_date", "family_id", "arm", rnd("predicted").alias("predicted"), rnd("fwd_1m").alias("realized"), "train_rows")
 
 
-@query("m2_incremental_feature_gate")
+#: Feature groups: performance, downside, generation health, market state; a gate adds one group to the groups before it.
+PERFORMANCE, DOWNSIDE, HEALTH, MARKET = ["excess_1m", "trailing_3m"], ["drawdown"], ["activity"], ["market"]
+GATES = {"GATE1": ([], PERFORMANCE), "GATE1B": (PERFORMANCE, DOWNSIDE), "GATE2": (PERFORMANCE, HEALTH), "GATE3": (PERFORMANCE + HEALTH, MARKET)}
+GATE_MODELS = {"perf": PERFORMANCE, "perf_down": PERFORMANCE + DOWNSIDE, "perf_health": PERFORMANCE + HEALTH, "all_market": PERFORMANCE + HEALTH + MARKET}
+COMPARED = {"GATE1": (None, "perf"), "GATE1B": ("perf", "perf_down"), "GATE2": ("perf", "perf_health"), "GATE3": ("perf_health", "all_market")}
+TARGETS = {1: ("fwd_1m", "available_at"), 3: ("fwd_3m", "available_3m")}
+
+
+def gate_rows_sql() -> str:
+    """One row per gate, months and assessment: what the added features change in the top pick and in the rank correlation."""
+    parts, rows = [], []
+    for months, (target, available) in TARGETS.items():
+        parts += [ridge_sql(f"{name}_{months}", features, target, available) for name, features in GATE_MODELS.items()]
+        joins = " ".join(f"JOIN {name}_{months} {name} ON {name}.family_id = mp.family_id AND {name}.arm = mp.arm AND {name}.assessment_date = mp.assessment_date" for name in GATE_MODELS)
+        columns = ", ".join(f"round({name}.p, 9) AS {name}" for name in GATE_MODELS)
+        parts.append(f"sc_{months} AS (SELECT mp.family_id, mp.arm, mp.assessment_date, {target} AS y, {columns} FROM mp {joins} WHERE {target} IS NOT NULL)")
+        ranks = ", ".join(f"{AVG_RANK.format(p='assessment_date', x=c)} AS r_{c}" for c in ("y", *GATE_MODELS))
+        parts.append(f"rk_{months} AS (SELECT *, {ranks} FROM sc_{months})")
+        each = ", ".join(f"arg_max(y, ({c}, -fa)) AS t_{c}, CASE WHEN count(*) >= 3 AND stddev_pop(r_y) > 1e-12 AND stddev_pop(r_{c}) > 1e-12 THEN corr(r_{c}, r_y) END AS c_{c}" for c in GATE_MODELS)
+        parts.append(f"dt_{months} AS (SELECT assessment_date, {each}, avg(y) AS t_none, 0.0::DOUBLE AS c_none FROM (SELECT *, row_number() OVER (ORDER BY family_id, arm) AS fa FROM rk_{months}) GROUP BY 1)")
+        rows += [f"SELECT '{g}' AS gate, {months} AS months, assessment_date, t_{b} - t_{a or 'none'} AS top, c_{b} - c_{a or 'none'} AS ic FROM dt_{months}" for g, (a, b) in COMPARED.items()]
+    return ",\n".join(parts) + ",\ngr AS (" + " UNION ALL ".join(rows) + ")"
+
+
+@query("m2_incremental_feature_gate", f"""
+WITH {MODEL_ROWS}, {gate_rows_sql()},
+sr AS (SELECT gate || '|' || months AS k, row_number() OVER (PARTITION BY gate, months ORDER BY assessment_date) - 1 AS pos, top AS v FROM gr WHERE top IS NOT NULL),
+{BLOCK.format(b=mdraw('n', "'31'", 'rep', 'i'), reps=1000, block=3)}, rp AS (SELECT k, rep, avg(v) AS s FROM pk JOIN sr USING (k, pos) GROUP BY 1, 2),
+bs AS (SELECT k, {SUMMARY} FROM rp GROUP BY 1),
+g AS (SELECT gate, CAST(months AS INTEGER) AS months, count(*) AS n, {R('avg(top)')} AS mean_top, {R('median(ic)')} AS median_ic FROM gr GROUP BY 1, 2)
+SELECT gate, months, n, mean_top, median_ic, boot_mean, q05, q95, positive_fraction, gate || '_' || months || CASE WHEN q05 > 0 AND median_ic > 0 THEN 'M_PASS' ELSE 'M_FAIL' END AS status
+FROM g JOIN bs ON bs.k = gate || '|' || months""")
 def m2(r):
-    panel = model_panel(r)
-    run = lambda feats, n: mo.walk_forward_ridge(panel, feats, "fwd_1m", "available_at", min_months=24).where("fwd_1m IS NOT NULL").select(
-        "assessment_date", "family_id", "arm", "fwd_1m", F.col("predicted").alias(n))
-    both = stage(run(FEATURES, "base").join(run([*FEATURES, "activity"], "added").drop("fwd_1m"), ["assessment_date", "family_id", "arm"]), "gate-predictions")
-    ics = od.rank_ic(both, ["assessment_date"], "base", "fwd_1m", name="ic_base").drop("n_rows").join(
-        od.rank_ic(both, ["assessment_date"], "added", "fwd_1m", name="ic_added").drop("n_rows"), "assessment_date").withColumn("v", F.col("ic_added") - F.col("ic_base"))
-    s = stage(rs.index_series(ics.where("v IS NOT NULL").withColumn("k", F.lit("1B")), ["k"], "assessment_date", ["v"]), "gate-series")
-    boot = rs.summarize(rs.block_samples(s, ["k"], ["v"], block=3, reps=1000, seed=17), ["k"], F.avg("v"))
-    base = s.groupBy("k").agg(F.count(F.lit(1)).alias("months"), F.avg("v").alias("mean_delta_ic"), median("v").alias("median_delta_ic"))
-    return base.join(boot, "k").withColumn("gate_pass", (F.col("median_delta_ic") > 0) & (F.col("q05") > 0)).withColumns(
-        {c: rnd(c) for c in ("mean_delta_ic", "median_delta_ic", "boot_mean", "q05", "q95", "positive_fraction")})
+    """Four gates at two horizons; a gate passes where the top pick's gain is positive in the 5 % quantile and the rank correlation gains in the median."""
+    panel = stage(gate_panel(r), "gate-panel")
+    rows = None
+    for months, (target, available) in TARGETS.items():
+        scored = mo.walk_forward_ridges(panel, GATE_MODELS, target, available, min_months=24).where(F.col(target).isNotNull())
+        scored = stage(scored.select("assessment_date", "family_id", "arm", F.col(target).alias("y"), *[F.round(n, 9).alias(n) for n in GATE_MODELS]), "gate-predictions")
+        by_date = scored.groupBy("assessment_date").agg(F.avg("y").alias("t_none"), F.lit(0.0).alias("c_none"), *[F.min_by("y", F.struct((-F.col(n)).alias("s"), "family_id", "arm")).alias(f"t_{n}") for n in GATE_MODELS])
+        for n in GATE_MODELS:
+            by_date = by_date.join(od.rank_ic(scored, ["assessment_date"], n, "y", name=f"c_{n}").drop("n_rows"), "assessment_date")
+        gates = F.array(*[F.struct(F.lit(g).alias("gate"), (F.col(f"t_{b}") - F.col(f"t_{a or 'none'}")).alias("top"), (F.col(f"c_{b}") - F.col(f"c_{a or 'none'}")).alias("ic")) for g, (a, b) in COMPARED.items()])
+        part = by_date.select("assessment_date", F.lit(months).alias("months"), F.inline(gates))
+        rows = part if rows is None else rows.unionByName(part)
+    rows = stage(rows, "gate-rows").withColumn("k", F.concat_ws("|", "gate", F.col("months").cast("string")))
+    series = stage(rs.index_series(rows.where("top IS NOT NULL"), ["k"], "assessment_date", ["top"]), "gate-series")
+    boot = rs.summarize(rs.block_samples(series, ["k"], ["top"], block=3, reps=1000, seed=31), ["k"], F.avg("top"))
+    base = rows.groupBy("k", "gate", "months").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("top")).alias("mean_top"), rnd(median("ic")).alias("median_ic"))
+    out = base.join(boot, "k").withColumns({c: rnd(c) for c in ("boot_mean", "q05", "q95", "positive_fraction")})
+    passed = F.when((F.col("q05") > 0) & (F.col("median_ic") > 0), "M_PASS").otherwise("M_FAIL")
+    return out.withColumn("status", F.concat(F.col("gate"), F.lit("_"), F.col("months").cast("string"), passed)).drop("k")
 
 
 FOLD_DATES = [("1999-01-01", "1999-12-31"), ("2000-01-01", "2000-12-31"), ("2001-01-01", "2001-12-31")]

@@ -159,8 +159,10 @@ def s10(r):
 @query("s11_append_sink", f"""
 SELECT year(decision_date) AS yr, count(*) AS n_rows, {R('sum(score)', 2)} AS total FROM x_ord GROUP BY 1""")
 def s11(r):
+    """Four chunks by year; the second comes with wider types."""
     sig = r.order_signals().withColumn("yr", F.year("decision_date").cast("long"))
-    table = stores.append_chunks(r.spark, sig, "yr")
+    wider = lambda chunk, epoch: chunk.withColumns({"score": F.col("score").cast("decimal(30,6)"), "yr": F.col("yr").cast("string")}) if epoch == 1 else chunk
+    table = stores.append_chunks(r.spark, [sig.where(F.pmod("yr", F.lit(4)) == k) for k in range(4)], wider)
     return table.groupBy("yr").agg(F.count(F.lit(1)).alias("n_rows"), rnd(F.sum("score"), 2).alias("total"))
 
 
@@ -215,7 +217,7 @@ FROM x_ret GROUP BY 1, 2""")
 def s16(r):
     rows = r.returns().withColumn("segment", F.year("date")).withColumnRenamed("arm", "seed")
     path = stores.write_segments(r.spark, rows, ["seed", "family_id", "segment"])
-    return stores.latest_segments(r.spark, path)
+    return stores.latest_segments(r.spark, path, 2001)
 
 
 @query("s17_nav_points", f"""

@@ -230,10 +230,21 @@ def k5(r):
     return sel.policy_grid(horizons, [0.5, 0.8, 0.9], [0.01, 0.05], range(1, 7), 7)
 
 
+@query("k5_balanced_policies", """
+WITH q AS (SELECT unnest([0.5::DOUBLE, 0.8, 0.9]) AS v, unnest(range(3)) AS i), f AS (SELECT unnest([0.01::DOUBLE, 0.05]) AS v, unnest(range(2)) AS i), n AS (SELECT unnest(range(1, 7)) AS v, unnest(range(6)) AS i), d AS (SELECT unnest(range(1, 11)) AS v, unnest(range(10)) AS i),
+g AS (SELECT q.v AS qv, f.v AS fv, n.v AS nv, d.v AS dv, q.i AS qi, f.i AS fi, n.i AS ni, d.i AS di, ((q.i * 2 + f.i) * 6 + n.i) * 10 + d.i AS cell FROM q, f, n, d),
+s AS (SELECT i % 3 AS qi, i % 2 AS fi, i % 6 AS ni, i AS di, i AS step FROM (SELECT unnest(range(10)) AS i) UNION ALL
+ SELECT (i * 3 + i // 5) % 3, (i * 5 + i // 7) % 2, (i * 7 + i // 3) % 6, (i * 11 + i // 2) % 10, 10 + i FROM (SELECT unnest(range(8 * 360)) AS i)),
+o AS (SELECT qv, fv, nv, dv, row_number() OVER (ORDER BY coalesce(step, 100000 + cell)) AS place FROM g LEFT JOIN (SELECT qi, fi, ni, di, min(step) AS step FROM s GROUP BY ALL) USING (qi, fi, ni, di))
+SELECT h, CAST(place AS INTEGER) AS place, qv AS quantile, fv AS top_fraction, CAST(nv AS INTEGER) AS max_names, CAST(dv AS INTEGER) AS d FROM (SELECT DISTINCT h FROM x_surf), o WHERE place <= 48""")
+def k5_balanced(r):
+    return sel.balanced_policies(r.surface().select("h").distinct(), [0.5, 0.8, 0.9], [0.01, 0.05], list(range(1, 7)), list(range(1, 11)), 48)
+
+
 @query("k6_deduplicated_policies", f"""
-WITH p AS (SELECT h, d, treatment, string_agg(fold::VARCHAR, ',' ORDER BY fold) AS path, {R('median(cagr_excess)')} AS med FROM x_surf WHERE trade_count > 0 GROUP BY 1, 2, 3)
+WITH p AS (SELECT h, d, treatment, string_agg(fold::VARCHAR, ',' ORDER BY fold) AS path, {R('median(cagr_excess)')} AS med FROM x_surf GROUP BY 1, 2, 3)
 SELECT h, path, d, treatment, med FROM (SELECT *, row_number() OVER (PARTITION BY h, path ORDER BY med DESC, d, treatment) AS rn FROM p) WHERE rn = 1""")
 def k6(r):
-    p = r.surface().where("trade_count > 0").groupBy("h", "d", "treatment").agg(
+    p = r.surface().groupBy("h", "d", "treatment").agg(
         F.concat_ws(",", F.array_sort(F.collect_set(F.col("fold").cast("string")))).alias("path"), rnd(median("cagr_excess")).alias("med"))
     return od.top_rows(p, ["h", "path"], [F.desc("med"), F.asc("d"), F.asc("treatment")], 1, "rn").select("h", "path", "d", "treatment", "med")

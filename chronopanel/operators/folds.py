@@ -41,11 +41,21 @@ def keyed_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: S
     return ordered.mapInPandas(walk, schema)
 
 
+#: States gathered before they join the finished ones, so that adding one never copies a whole series.
+CHUNK = 64
+
+
 def carried(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], state: str, start: Column, step: Callable[[Column, Column], Column]) -> DataFrame:
     """Keys, ``order`` and the state after every row. ``step(state, row)`` gives the next state; ``state`` is its DDL type."""
     rows = F.array_sort(F.collect_list(F.struct(order, *values)), lambda a, b: F.when(a[order] < b[order], -1).when(a[order] > b[order], 1).otherwise(0))
-    walked = df.groupBy(*keys).agg(rows.alias("_rows")).select(
-        *keys, "_rows", F.aggregate("_rows", F.array(start.cast(state)), lambda seen, row: F.array_append(seen, step(F.element_at(seen, -1), row).cast(state))).alias("_seen"))
+
+    def move(seen, row):
+        after = step(F.element_at(seen["now"], -1), row).cast(state)
+        full = F.size(seen["now"]) >= CHUNK
+        return F.struct(F.when(full, F.array_append(seen["done"], seen["now"])).otherwise(seen["done"]).alias("done"), F.when(full, F.array(after)).otherwise(F.array_append(seen["now"], after)).alias("now"))
+
+    none = F.struct(F.array().cast(f"array<array<{state}>>").alias("done"), F.array(start.cast(state)).alias("now"))
+    walked = df.groupBy(*keys).agg(rows.alias("_rows")).select(*keys, "_rows", F.aggregate("_rows", none, move, lambda seen: F.flatten(F.array_append(seen["done"], seen["now"]))).alias("_seen"))
     after = F.arrays_zip(F.col(f"_rows.{order}").alias(order), F.slice("_seen", 2, F.size("_rows")).alias("_s"))
     return walked.select(*keys, F.inline(after)).select(*keys, order, "_s.*")
 
@@ -57,20 +67,26 @@ BLOCK = 1_000
 def decayed_sum(df: DataFrame, keys: Sequence[str], order: str, value: Column, ratio: float, name: str) -> DataFrame:
     """Adds s(t) = value(t) + ratio * s(t - 1), for series of any length.
 
-    Inside a block of rows it is one running sum of values scaled by ratio ** -t; what the finished blocks before a row
-    have left (one number each) is folded and decays on.
+    A segmented scan: a block of rows (of one year, where ``order`` is a date) is one running sum of values scaled by
+    ratio ** -t, so a long series spreads over tasks; a block acts on what came before as one affine map, and the maps, one
+    row a block, are folded along the series and joined back.
     """
     if ratio <= 0:
         return df.withColumn(name, value)
-    size = BLOCK if ratio >= 1 else max(1, min(BLOCK, int(300 / -math.log(ratio))))
-    w = Window.partitionBy(*keys).orderBy(order)
-    t = F.row_number().over(w) - 1
-    scaled = df.withColumn("_t", t).withColumn("_k", F.col("_t") % size + 1).withColumn("_b", F.floor(F.col("_t") / size)).withColumn("_x", value * F.pow(F.lit(ratio), -F.col("_k")))
-    inside = scaled.withColumn("_s", F.pow(F.lit(ratio), "_k") * F.sum("_x").over(Window.partitionBy(*keys, "_b").orderBy("_t")))
-    ends = F.collect_list(F.when(F.col("_k") == size, F.struct(F.col("_s").cast("double").alias("s")))).over(Window.partitionBy(*keys).orderBy("_t").rowsBetween(Window.unboundedPreceding, -1))
-    plus = lambda x, carry, decay: F.when(carry.isNull(), x).otherwise(F.coalesce(x, F.lit(0.0)) + decay * carry)      # nothing but NULL so far stays NULL
-    left = F.aggregate("_ends", F.lit(None).cast("double"), lambda carry, e: plus(e["s"], carry, F.lit(ratio ** size)))
-    return inside.withColumn("_ends", ends).withColumn(name, plus(F.col("_s"), left, F.pow(F.lit(ratio), "_k"))).drop("_t", "_k", "_b", "_x", "_s", "_ends")
+    keys, size = list(keys), BLOCK if ratio >= 1 else max(1, min(BLOCK, int(300 / -math.log(ratio))))
+    slot = F.trunc(order, "year") if dict(df.dtypes)[order] in ("date", "timestamp", "timestamp_ntz") else F.lit(0)
+    x = df.withColumn("_slot", slot)
+    x = x.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_slot").orderBy(order)) - 1)
+    x = x.withColumn("_b", F.struct("_slot", F.floor(F.col("_n") / size).alias("part"))).withColumn("_k", F.col("_n") % size + 1)
+    x = x.withColumn("_s", F.pow(F.lit(ratio), "_k") * F.sum(value * F.pow(F.lit(ratio), -F.col("_k"))).over(Window.partitionBy(*keys, "_b").orderBy("_k"))).drop("_slot", "_n")
+    plus = lambda here, before, decay: F.when(before.isNull(), here).otherwise(F.coalesce(here, F.lit(0.0)) + decay * before)      # nothing but NULL so far stays NULL
+    ends = x.groupBy(*keys, "_b").agg(F.max_by("_s", "_k").cast("double").alias("_end"), F.max("_k").alias("_len"))
+    left = carried(ends, keys, "_b", ["_end", "_len"], "struct<carry:double>", F.struct(F.lit(None).alias("carry")), lambda s, e: F.struct(plus(e["_end"], s["carry"], F.pow(F.lit(ratio), e["_len"])).alias("carry")))
+    left = left.withColumn("_carry", F.lag("carry").over(Window.partitionBy(*keys).orderBy("_b"))).select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col("_b").alias("_rb"), "_carry")
+    same = F.col("_b") == F.col("_rb")
+    for k in keys:
+        same = same & x[k].eqNullSafe(F.col(f"_r_{k}"))
+    return x.join(left, same).withColumn(name, plus(F.col("_s"), F.col("_carry"), F.pow(F.lit(ratio), "_k"))).drop("_b", "_k", "_s", "_rb", "_carry", *[f"_r_{k}" for k in keys])
 
 
 def ewma(df: DataFrame, keys: Sequence[str], order: str, value: str, span: int) -> DataFrame:

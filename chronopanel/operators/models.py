@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,74 +19,103 @@ def forward_targets(panel: DataFrame, keys: Sequence[str], months: Sequence[int]
     return panel
 
 
-def _gram_terms(x: DataFrame, features: Sequence[str], target: str):
-    """Products of the extended vector [value or 0, is-present, 1] and the target, so that z-scored normal
-    equations (missing -> 0 after scaling) follow from plain sums."""
-    ext = [F.coalesce(F.col(f), F.lit(0.0)) for f in features] + [F.col(f).isNotNull().cast("double") for f in features] + [F.lit(1.0)]
-    names, cols = [], []
-    for i, a in enumerate(ext):
-        for j in range(i, len(ext)):
-            names.append(f"g_{i}_{j}")
-            cols.append(a * ext[j])
-        names.append(f"y_{i}")
-        cols.append(a * F.col(target))
-    for i, f in enumerate(features):
-        names.append(f"q_{i}")
-        cols.append(F.coalesce(F.col(f) * F.col(f), F.lit(0.0)))
-    return names, cols
-
-
-def walk_forward_ridge(panel: DataFrame, features: Sequence[str], target: str, available: str, *, date: str = "assessment_date",
-                       min_months: int = 24, ridge: float = 1e-4) -> DataFrame:
-    """Walk-forward ridge by prefix sums of normal-equation terms.
-
-    Training rows for date t have ``available <= t`` (hence an earlier assessment). Terms are summed per
-    availability month, prefix-summed over months, and one tiny (p+1) system is solved per date inside a
-    task; scoring is a dot product in the JVM. Cost is one pass, whatever the number of dates.
-    """
-    import numpy as np
-    import pandas as pd
+def moment_cells(panel: DataFrame, features: Sequence[str], target: str, available: str) -> DataFrame:
+    """``(at, cell, v)``: per availability date the sums of products of [value - shift or 0, is-present, 1] with each other and the target.
 
+    Cells are the upper triangle of that Gram matrix, row by row, then its products with the target. Values are shifted by
+    their mean over the panel, so squares of a large offset never cancel. Every task sums its own rows per date; the
+    matrix is never wider than one cell column, however many features there are.
+    """
     p, m = len(features), 2 * len(features) + 1
     train = panel.where(F.col(target).isNotNull() & F.col(available).isNotNull())
-    names, cols = _gram_terms(train, features, target)
-    terms = train.select(F.col(available).alias(date), *[c.alias(n) for n, c in zip(names, cols)]).groupBy(date).agg(*[F.sum(n).alias(n) for n in names])
-    dates = panel.select(date).distinct()
-    w = Window.orderBy(date)
-    pre = dates.join(terms, date, "full").select(date, (F.row_number().over(w) - 1).alias("_i"), *[F.sum(F.coalesce(n, F.lit(0.0))).over(w).alias(n) for n in names])
-    pre = pre.where(F.col("_i") >= min_months)
-
-    def solve(batches):
+    shift = np.array([x or 0.0 for x in panel.agg(*[F.avg(f) for f in features]).first()])
+    upper = np.triu_indices(m)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            value = lambda c: batch.column(batch.schema.get_field_index(c)).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            x = np.stack([value(f) for f in features], axis=1) - shift
+            here = ~np.isnan(x)
+            e, y = np.hstack([np.where(here, x, 0.0), here, np.ones((len(x), 1))]), value(target)
+            at = np.array(batch.column(batch.schema.get_field_index("at")).to_pylist(), object)
+            for date in set(at):
+                rows = at == date
+                held[date] = held.get(date, 0.0) + np.concatenate([(e[rows].T @ e[rows])[upper], e[rows].T @ y[rows]])
+        for date, v in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([date] * len(v), pa.date32()), pa.array(np.arange(len(v)), pa.int32()), pa.array(v)], names=["at", "cell", "v"])
+
+    rows = train.select(F.col(available).cast("date").alias("at"), *features, F.col(target).cast("double").alias(target))
+    return rows.mapInArrow(sums, "at date, cell int, v double").groupBy("at", "cell").agg(F.sum("v").alias("v"))
+
+
+def solve_ridge(g: np.ndarray, y: np.ndarray, use: Sequence[int], ridge: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(beta, mean, sd) of the features ``use``: z-scored over present values, missing ones at zero, the intercept penalised too."""
+    p, m = (len(g) - 1) // 2, len(g)
+    rows = list(use) + [p + u for u in use] + [m - 1]
+    g, y, p = g[np.ix_(rows, rows)], y[rows], len(use)
+    n = g[p:2 * p, 2 * p]
+    mean = np.divide(g[:p, 2 * p], n, out=np.zeros(p), where=n > 0)
+    var = np.divide(np.diag(g)[:p], n, out=np.zeros(p), where=n > 0) - mean ** 2
+    sd = np.sqrt(np.maximum(var, 0.0))
+    sd[~np.isfinite(sd) | (sd < 1e-12)] = 1.0
+    a = np.zeros((p + 1, 2 * p + 1))
+    a[0, 2 * p] = 1.0
+    for i in range(p):
+        a[i + 1, i], a[i + 1, p + i] = 1 / sd[i], -mean[i] / sd[i]
+    return np.linalg.solve(a @ g @ a.T + np.eye(p + 1) * ridge, a @ y), mean, sd
+
+
+def walk_forward_ridges(panel: DataFrame, models: dict[str, Sequence[str]], target: str, available: str, *, date: str = "assessment_date",
+                        min_months: int = 24, ridge: float = 1e-4) -> DataFrame:
+    """Walk-forward ridge of several feature sets: adds one column of predictions per model, and ``train_rows``.
+
+    Training rows for date t have ``available <= t`` (hence an earlier assessment). Moments are summed per availability
+    date, prefix-summed over dates cell by cell, and small systems are solved per date inside tasks, all models from one set
+    of moments; scoring is a dot product in the JVM. Cost is one pass, whatever the number of dates and models.
+    """
+    features = list(dict.fromkeys(f for fs in models.values() for f in fs))
+    m = 2 * len(features) + 1
+    upper = np.triu_indices(m)
+    shift = np.array([x or 0.0 for x in panel.agg(*[F.avg(f) for f in features]).first()])
+    cells = moment_cells(panel, features, target, available)
+    total = F.sum("v").over(Window.partitionBy("cell").orderBy("at"))
+    moments = cells.withColumn("v", total).groupBy("at").agg(F.array_sort(F.collect_list(F.struct("cell", "v"))).alias("moments"), F.count(F.lit(1)).alias("_n"))
+    # a prefix holds every cell from the first date on, since each date's tasks emit all cells
+    dates = panel.select(F.col(date).cast("date").alias("at")).distinct().join(moments.select("at", F.lit(True).alias("fresh")), "at", "full")
+    w = Window.orderBy("at")
+    calendar = dates.select("at", (F.row_number().over(w) - 1).alias("_i"), F.last(F.when(F.col("fresh"), F.col("at")), ignorenulls=True).over(w).alias("known"))
+    ready = calendar.where(F.col("_i") >= min_months).join(moments.withColumnRenamed("at", "known"), "known").select("at", F.col("moments.v").alias("v"))
+    names = list(models)
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for row in b.to_dict("records"):
-                g = np.zeros((m, m))
-                for i in range(m):
-                    for j in range(i, m):
-                        g[i, j] = g[j, i] = row[f"g_{i}_{j}"]
-                y = np.array([row[f"y_{i}"] for i in range(m)])
-                n = g[p:2 * p, m - 1]
-                mean = np.divide(g[:p, m - 1], n, out=np.zeros(p), where=n > 0)
-                var = np.divide(np.array([row[f"q_{i}"] for i in range(p)]), n, out=np.zeros(p), where=n > 0) - mean ** 2
-                sd = np.sqrt(np.maximum(var, 0.0))
-                sd[~np.isfinite(sd) | (sd < 1e-12)] = 1.0
-                a = np.zeros((p + 1, m))
-                a[0, m - 1] = 1.0
-                for i in range(p):
-                    a[i + 1, i], a[i + 1, p + i] = 1 / sd[i], -mean[i] / sd[i]
-                if g[m - 1, m - 1] < 1:
-                    continue
-                beta = np.linalg.solve(a @ g @ a.T + np.eye(p + 1) * ridge, a @ y)
-                out.append({date: row[date], "beta": beta.tolist(), "mean": mean.tolist(), "sd": sd.tolist(), "train_rows": int(g[m - 1, m - 1])})
-            yield pd.DataFrame(out, columns=[date, "beta", "mean", "sd", "train_rows"])
-
-    dtype = dict(panel.dtypes)[date]
-    coef = pre.drop("_i").mapInPandas(solve, f"{date} {dtype}, beta array<double>, mean array<double>, sd array<double>, train_rows long")
-    scored = panel.join(coef, date)
-    z = F.get("beta", F.lit(0))
-    for i, f in enumerate(features):
-        z = z + F.get("beta", F.lit(i + 1)) * F.coalesce((F.col(f) - F.get("mean", F.lit(i))) / F.get("sd", F.lit(i)), F.lit(0.0))
-    return scored.withColumn("predicted", z).drop("beta", "mean", "sd")
+            for at, v in zip(b["at"], b["v"]):
+                v, g = np.asarray(v), np.zeros((m, m))
+                g[upper] = v[:len(upper[0])]
+                g = np.triu(g) + np.triu(g, 1).T
+                row = {"at": at, "train_rows": int(round(g[m - 1, m - 1]))}
+                for name in names:
+                    use = [features.index(f) for f in models[name]]
+                    beta, mean, sd = solve_ridge(g, v[len(upper[0]):], use, ridge)
+                    row |= {f"beta_{name}": beta.tolist(), f"mean_{name}": (mean + shift[use]).tolist(), f"sd_{name}": sd.tolist()}
+                out.append(row)
+            yield pd.DataFrame(out, columns=["at", "train_rows", *(f"{k}_{n}" for n in names for k in ("beta", "mean", "sd"))])
+
+    coef = ready.mapInPandas(solve, "at date, train_rows long, " + ", ".join(f"{k}_{n} array<double>" for n in names for k in ("beta", "mean", "sd")))
+    scored = panel.join(coef, panel[date].cast("date") == F.col("at")).drop("at")
+    for name in names:
+        z = F.get(f"beta_{name}", F.lit(0))
+        for i, f in enumerate(models[name]):
+            z = z + F.get(f"beta_{name}", F.lit(i + 1)) * F.coalesce((F.col(f) - F.get(f"mean_{name}", F.lit(i))) / F.get(f"sd_{name}", F.lit(i)), F.lit(0.0))
+        scored = scored.withColumn(name, z).drop(f"beta_{name}", f"mean_{name}", f"sd_{name}")
+    return scored
+
+
+def walk_forward_ridge(panel: DataFrame, features: Sequence[str], target: str, available: str, **options) -> DataFrame:
+    """:func:`walk_forward_ridges` of one model, in the column ``predicted``."""
+    return walk_forward_ridges(panel, {"predicted": features}, target, available, **options)
 
 
 def walk_forward_pipeline(panel: DataFrame, features: Sequence[str], target: str, available: str, folds: Sequence, estimator, *,

@@ -57,3 +57,51 @@ def summarize(samples: DataFrame, keys: Sequence[str], statistic: Column, band:
     r = samples.groupBy(*keys, "rep").agg(statistic.alias("s"))
     return r.groupBy(*keys).agg(F.avg("s").alias("boot_mean"), *(F.expr(f"percentile(s, {q})").alias(name) for name, q in (band or {"q05": 0.05, "q95": 0.95}).items()),
                                 F.avg((F.col("s") > 0).cast("int")).alias("positive_fraction"))
+
+
+#: Fixed values of the acceptance rule: draws, paired folds, share of draws in which the challenger wins, robust gain.
+DRAWS, PAIRED_FOLDS, PROBABILITY, ROBUST_GAIN = 5_000, 5, 0.9, 0.005
+
+
+def running_incumbent(choices: DataFrame, metrics: DataFrame, keys: Sequence[str], order: str, *, reps: int = DRAWS, seed: int = 11) -> DataFrame:
+    """Incumbent per assessment; a winner takes over only on new folds and if a paired bootstrap against the incumbent accepts it.
+
+    ``choices``: keys, ``order``, winner, scores (map of candidate to robust score). ``metrics``: keys, candidate, fold,
+    available_at, metric. Which pair is compared depends on the incumbent so far, so the job judges the winner of every row with new
+    folds against every candidate, and a fold over the calendar looks the incumbent's verdict up. An incumbent without
+    a score at an assessment that compares it fails the query.
+    """
+    from chronopanel.functions.rounding import rnd
+    from chronopanel.functions.stats import robust_score
+    from chronopanel.operators.folds import INCUMBENT_MISSING, carried
+
+    keys = list(keys)
+    w = Window.partitionBy(*keys).orderBy(order)
+    seen = choices.select(*keys, order, F.col("winner").alias("candidate")).join(metrics, [*keys, "candidate"]).where(F.col("available_at") <= F.col(order))
+    folds = seen.groupBy(*keys, order).agg(F.array_sort(F.collect_set("fold")).alias("folds"))          # one per calendar period
+    rows = choices.join(folds, [*keys, order]).withColumn("new_folds", F.coalesce(F.lag("folds").over(w) != F.col("folds"), F.lit(False))).drop("folds")
+    pairs = rows.where("new_folds").select(*keys, order, "winner", "scores", F.explode(F.map_keys("scores")).alias("rival")).where("rival <> winner")
+    value = lambda who, name: metrics.select(*keys, F.col("candidate").alias(who), "fold", F.col("metric").alias(name), F.col("available_at").alias(f"{name}_at"))
+    paired = (pairs.select(*keys, order, "winner", "rival").join(value("rival", "a"), [*keys, "rival"]).join(value("winner", "b"), [*keys, "winner", "fold"])
+              .where(F.greatest("a_at", "b_at") <= F.col(order)))
+    unit = [*keys, order, "rival"]
+    series = index_series(paired, unit, "fold", ["a", "b"])
+    chance = iid_samples(series, unit, ["a", "b"], reps=reps, seed=seed).groupBy(*unit, "rep").agg((robust_score("b") - robust_score("a")).alias("gain"))
+    chance = chance.groupBy(*unit).agg(rnd(F.avg((F.col("gain") > 0).cast("int"))).alias("probability"))
+    gain = F.element_at("scores", F.col("winner")) - F.element_at("scores", F.col("rival"))
+    judged = pairs.join(series.groupBy(*unit).agg(F.count(F.lit(1)).alias("n")), unit).join(chance, unit).withColumn(
+        "accepted", (F.col("n") >= PAIRED_FOLDS) & (F.col("probability") >= PROBABILITY) & (gain >= ROBUST_GAIN))
+    table = judged.groupBy(*keys, order).agg(F.map_from_entries(F.collect_list(F.struct("rival", F.struct("accepted", "probability")))).alias("verdicts"))
+    ready = rows.join(table, [*keys, order], "left")
+
+    def step(s, x):
+        held = s["incumbent"]
+        asked = held.isNotNull() & x["new_folds"] & (x["winner"] != held)
+        lost = F.when(asked & F.element_at(x["scores"], held).isNull(), F.raise_error(F.lit(INCUMBENT_MISSING)).cast("boolean")).otherwise(F.lit(False))
+        verdict = F.when(asked & ~lost, F.element_at(x["verdicts"], held))
+        switch = F.coalesce(verdict["accepted"], F.lit(False))
+        return F.struct(F.when(held.isNull() | switch, x["winner"]).otherwise(held).alias("incumbent"), held.alias("before"), verdict["probability"].alias("probability"), switch.alias("switched"))
+
+    kind = "struct<incumbent:string,before:string,probability:double,switched:boolean>"
+    none = F.struct(F.lit(None).alias("incumbent"), F.lit(None).alias("before"), F.lit(None).alias("probability"), F.lit(False).alias("switched"))
+    return carried(ready, keys, order, ["winner", "scores", "verdicts", "new_folds"], kind, none, step).join(rows.select(*keys, order, "winner", "new_folds"), [*keys, order])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
@@ -113,6 +114,32 @@ def cheapest_route(costs: DataFrame, edge: float, hurdle: float) -> DataFrame:
                        F.when(F.col("b").isNull(), "NO_ELIGIBLE_ROUTE").when(~ok, "EDGE_NOT_ABOVE_HURDLE").otherwise("MINIMUM_COST").alias("reason"))
 
 
+#: Fixed values of the balanced walk: step and carry of each parameter's index.
+STRIDES = ((3, 5), (5, 7), (7, 3), (11, 2))
+
+
+def balanced_policies(horizons: DataFrame, quantiles: Sequence[float], fractions: Sequence[float], names: Sequence[int], holds: Sequence[int], budget: int) -> DataFrame:
+    """``budget`` policies per horizon that cover every level of every parameter, with their place.
+
+    First every holding period with the other parameters going round, then a walk over the grid whose indices advance by their
+    own strides, at its first visits, then the grid's order. The budget is raised to the longest parameter list.
+    """
+    levels = (quantiles, fractions, names, holds)
+    sizes = [len(x) for x in levels]
+    total, budget = math.prod(sizes), max(budget, max(sizes))
+    i = F.col("i")
+    index = lambda parts: sum((parts[k] * math.prod(sizes[k + 1:]) for k in range(4)), F.lit(0))
+    first = horizons.sparkSession.range(sizes[3]).select(index([F.col("id") % sizes[0], F.col("id") % sizes[1], F.col("id") % sizes[2], F.col("id")]).alias("cell"), F.col("id").alias("step"))
+    walk = horizons.sparkSession.range(8 * total).withColumnRenamed("id", "i").select(
+        index([(i * a + F.floor(i / b)) % n for (a, b), n in zip(STRIDES, sizes)]).alias("cell"), (i + sizes[3]).alias("step"))
+    visit = first.union(walk).groupBy("cell").agg(F.min("step").alias("step"))
+    grid = horizons.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(total - 1).cast("long"))).alias("cell")).join(visit, "cell", "left")
+    place = F.row_number().over(Window.partitionBy(*horizons.columns).orderBy(F.coalesce("step", F.lit(9 * total) + F.col("cell"))))
+    level = lambda k: F.element_at(F.array(*[F.lit(x) for x in levels[k]]), (F.floor(F.col("cell") / math.prod(sizes[k + 1:])) % sizes[k] + 1).cast("int"))
+    return grid.withColumn("place", place).where(F.col("place") <= min(budget, total)).select(
+        *horizons.columns, "place", level(0).alias("quantile"), level(1).alias("top_fraction"), level(2).alias("max_names"), level(3).alias("d"))
+
+
 def policy_grid(horizons: DataFrame, quantiles: Sequence[float], fractions: Sequence[float], names: Iterable[int], d_max: int) -> DataFrame:
     """Every policy of the search space, exploded from fixed parameter tuples."""
     arr = lambda xs: F.array(*[F.lit(x) for x in xs])

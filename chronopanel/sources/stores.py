@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from chronopanel.contracts import ContractError
 from chronopanel.session import scratch_path
@@ -98,14 +99,41 @@ def immutable_roundtrip(panel: DataFrame) -> DataFrame:
                       F.lit(third).alias("changed_write"), F.count(F.lit(1)).alias("n_rows"))
 
 
-def append_chunks(spark: SparkSession, df: DataFrame, chunk: str) -> DataFrame:
-    """Append to one table, laid out by chunk; the schema is pinned by the first write."""
-    path = scratch_path(spark, "append")
-    schema = df.schema
-    df.where(F.lit(False)).write.parquet(path)
-    target = spark.read.parquet(path).schema
-    df.select([F.col(f.name).cast(f.dataType) for f in target]).write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+class EpochSink:
+    """One table appended to chunk by chunk, each chunk under its epoch, for ``foreachBatch`` or by hand.
+
+    The first epoch pins names and types: later chunks are cast to it, and one with other columns fails. An epoch that comes
+    again after a failure replaces itself, so no chunk counts twice.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def schema(self) -> StructType | None:
+        try:
+            return self.spark.read.parquet(f"{self.path}/epoch=0").schema
+        except AnalysisException:
+            return None
+
+    def append(self, chunk: DataFrame, epoch: int) -> None:
+        pinned = (self.schema() if epoch else None) or chunk.schema
+        if sorted(chunk.columns) != sorted(pinned.names):
+            raise ContractError(f"chunk {epoch} has columns {chunk.columns}, the first one {pinned.names}")
+        chunk.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in pinned]).write.mode("overwrite").parquet(f"{self.path}/epoch={epoch}")
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema()).option("recursiveFileLookup", "true").parquet(self.path)
+
+
+def append_chunks(spark: SparkSession, chunks: Sequence[DataFrame], convert: Callable[[DataFrame, int], DataFrame] = lambda chunk, epoch: chunk) -> DataFrame:
+    """Stream ``chunks`` into one :class:`EpochSink`, each delivered alone and drained from one checkpoint. ``convert`` may change a chunk on its way."""
+    source, path, checkpoint = (scratch_path(spark, f"append-{x}") for x in ("source", "sink", "checkpoint"))
+    sink = EpochSink(spark, path)
+    for chunk in chunks:
+        chunk.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(chunk.schema).parquet(source)
+        stream.writeStream.foreachBatch(lambda batch, epoch: sink.append(convert(batch, epoch), epoch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return sink.read()
 
 
 def merge_partials(parts: Sequence[DataFrame], keys: Sequence[str], sums: Mapping[str, str]) -> DataFrame:
@@ -146,8 +174,8 @@ def write_segments(spark: SparkSession, df: DataFrame, keys: Sequence[str]) -> s
     return path
 
 
-def latest_segments(spark: SparkSession, path: str) -> DataFrame:
-    """Latest segment per (seed, family), read from the file paths."""
+def latest_segments(spark: SparkSession, path: str, counted: int) -> DataFrame:
+    """Latest segment per (seed, family) and the rows of segment ``counted``, read from the file paths."""
     part = lambda k: F.regexp_extract("_path", rf"{k}=([^/]+)", 1)
     files = (spark.read.parquet(path).select(F.input_file_name().alias("_path"))
              .groupBy("_path").agg(F.count(F.lit(1)).alias("n")))
@@ -155,7 +183,7 @@ def latest_segments(spark: SparkSession, path: str) -> DataFrame:
                          part("segment").cast("long").alias("segment"), "n")
     return keyed.groupBy("seed", "family_id").agg(
         F.max("segment").alias("latest_segment"),
-        F.coalesce(F.sum(F.when(F.col("segment") == 2001, F.col("n"))), F.lit(0)).alias("rows_in_2001"))
+        F.coalesce(F.sum(F.when(F.col("segment") == counted, F.col("n"))), F.lit(0)).alias(f"rows_in_{counted}"))
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:

@@ -41,7 +41,7 @@ def relative_ranks(df: DataFrame, date: str = "decision_date") -> DataFrame:
     Rows are ordered inside (day, score range) cells; cell sizes are prefix-summed per day.
     """
     from chronopanel.operators.ordered import with_range
-    ranged = with_range(df, "score")
+    ranged = with_range(df, [date], "score")
     inner = Window.partitionBy(date, "_range").orderBy(F.desc("score"), F.asc("ticker"))
     cells = ranged.groupBy(date, "_range").agg(F.count(F.lit(1)).alias("_c"))
     above = Window.partitionBy(date).orderBy(F.desc("_range"))

@@ -1,40 +1,40 @@
 """Ranks, quantiles and rank correlation per group, safe for hot groups.
 
-Everything is computed from the (group, value) count table, which map-side
-aggregation shrinks before any shuffle. Running counts are two-level: global
-cut points split the value axis into ranges, rows are ordered inside one
-(group, range) cell, and cell totals are prefix-summed. A group holding a
-third of all rows is still spread over all ranges, because the cut points
-are quantiles of the whole table; equal values share one counted row.
+Everything is computed from the (group, value) count table, which map-side aggregation shrinks before any shuffle. Running
+counts are two-level: a group of many values is cut into ranges of about ``RANGE_ROWS`` by its own approximate quantiles,
+rows are ordered inside one (group, range) cell, and cell totals are prefix-summed. So a group holding a third of all rows
+is spread whatever its scale, a small group is one window, and equal values share one counted row. The count table is
+shuffled once for its cut points and totals and once by cell; windows and cell totals read that one exchange.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 32
+#: Values of a group that one window orders, and the most ranges a group is cut into.
+RANGE_ROWS, RANGES = 100_000, 256
 
 
-def with_range(df: DataFrame, value: str, source: DataFrame | None = None, ranges: int = RANGES) -> DataFrame:
-    """Add ``_range``, a monotone bucket of ``value`` from whole-table approximate quantiles."""
-    points = [i / ranges for i in range(1, ranges)]
-    cuts = (df if source is None else source).agg(F.percentile_approx(value, points, 1000))
-    above = reduce(lambda acc, i: acc + (F.col(value) > F.element_at("_cuts", i)).cast("int"),
-                   range(1, ranges), F.lit(0))
-    return df.withColumn("_cuts", cuts.scalar()).withColumn("_range", F.coalesce(above, F.lit(0))).drop("_cuts")
+def with_range(counts: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Add ``_range``, a monotone bucket of ``value`` within its group; groups of up to ``RANGE_ROWS`` values have one."""
+    by = list(by)
+    points = [i / RANGES for i in range(1, RANGES)]
+    step = F.greatest(F.lit(1), F.floor(F.lit(RANGES) / F.ceil(F.col("_levels") / RANGE_ROWS))).cast("int")
+    cuts = (counts.groupBy(*by) if by else counts).agg(F.percentile_approx(value, points, 4 * RANGES).alias("_points"), F.count(F.lit(1)).alias("_levels"))
+    cuts = cuts.select(*by, F.when(F.col("_levels") > RANGE_ROWS, F.filter("_points", lambda x, i: (i + 1) % step == 0)).alias("_cuts"))
+    marked = counts.join(cuts, by) if by else counts.join(F.broadcast(cuts), F.lit(True))          # one row without ``by``
+    return marked.withColumn("_range", F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col(value))))).drop("_cuts")
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """(group, value) counts with ``below`` (rows strictly smaller), ``n`` (ties), ``dense``, ``size``, ``levels``."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    ranged = with_range(counts, value)
     inner = Window.partitionBy(*by, "_range").orderBy(value)
-    ranked = ranged.withColumn("_cum", F.sum("n").over(inner)).withColumn("_pos", F.row_number().over(inner))
-    cells = ranged.groupBy(*by, "_range").agg(F.sum("n").alias("_cell"), F.count(F.lit(1)).alias("_lv"))
+    ranked = with_range(counts, by, value).withColumn("_cum", F.sum("n").over(inner)).withColumn("_pos", F.row_number().over(inner))
+    cells = ranked.groupBy(*by, "_range").agg(F.max("_cum").alias("_cell"), F.max("_pos").alias("_lv"))
     outer = Window.partitionBy(*by).orderBy("_range")          # at most RANGES rows per group
     whole = Window.partitionBy(*by)
     cells = cells.select(*by, "_range", (F.sum("_cell").over(outer) - F.col("_cell")).alias("_before"),

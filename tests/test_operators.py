@@ -284,3 +284,80 @@ def test_tail_sweep_equals_sorted_prefixes():
             worst = lambda x, m: (lambda k: np.mean([v for v in k if v < 0]) if any(v < 0 for v in k) else 0.0)(sorted(x[~np.isnan(x)])[:max(1, int(np.ceil(m * 0.05)))])
             back = recovery[:end + 1][~np.isnan(recovery[:end + 1])]
             assert np.allclose(got, (worst(ret[:end + 1], end), worst(dd[:end + 1], end + 1), np.median(back) if len(back) else 0.0))
+
+
+def test_ranks_cut_each_group_by_its_own_values(spark, monkeypatch):
+    monkeypatch.setattr(od, "RANGE_ROWS", 7)
+    monkeypatch.setattr(od, "RANGES", 8)
+    rng = np.random.default_rng(21)
+    rows = [(g, float(round(rng.normal(offset, scale), 3))) for g, offset, scale, n in (("a", 0, 1, 120), ("b", 1e8, 5, 90), ("c", -3e-5, 1, 40), ("d", 7, 0, 20), ("e", 1, 1, 3)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    counts = df.groupBy("g", "v").count()
+    widest = {r.g: r.n for r in od.with_range(counts, ["g"], "v").groupBy("g", "_range").count().groupBy("g").agg(F.max("count").alias("n")).collect()}
+    levels = {g: len({v for k, v in rows if k == g}) for g in widest}
+    assert all(widest[g] <= max(7, 2 * levels[g] / 8 + 2) for g in widest)
+    frame = pd.DataFrame(rows, columns=["g", "v"])
+    want = frame.groupby("g")["v"].rank(method="average")
+    got = od.rank_columns(df, ["g"], "v", rank="r").toPandas().sort_values(["g", "v"])["r"].to_numpy()
+    assert np.allclose(got, frame.assign(r=want).sort_values(["g", "v"])["r"].to_numpy())
+    whole = od.quantiles(df, [], "v", {"q": 0.3}).first()["q"]
+    assert np.isclose(whole, np.quantile(frame["v"], 0.3))
+
+
+def test_ridge_keeps_its_digits_far_from_zero(spark):
+    rng = np.random.default_rng(5)
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=30 * k) for k in range(8)]
+    rows = [(days[k], days[k + 1] if k < 7 else None, *map(float, x), float(x @ np.arange(1, 13) + rng.normal())) for k in range(8) for x in rng.normal(0, 1, (30, 12))]
+    names = [f"x{k}" for k in range(12)]
+    schema = "assessment_date date, available_at date, " + ", ".join(f"{n} double" for n in names) + ", y double"
+    plain = spark.createDataFrame(rows, schema)
+    moved = plain.withColumns({n: F.col(n) + 1e8 for n in names})
+    fit = lambda df: np.array([r.predicted for r in mo.walk_forward_ridge(df, names, "y", "available_at", min_months=4).orderBy("assessment_date", "y").collect()])
+    a, b = fit(plain), fit(moved)
+    assert len(a) == 120 and np.allclose(a, b, rtol=1e-6, atol=1e-6)
+
+
+def test_epoch_sink_pins_types_and_replays_once(spark):
+    sink = stores.EpochSink(spark, scratch_path(spark, "epochs"))
+    one = spark.createDataFrame([(1, 0.5)], "k int, v double")
+    sink.append(one, 0)
+    wider = spark.createDataFrame([(2, "7")], "k long, v string")
+    for _ in range(2):
+        sink.append(wider, 1)
+    assert sorted(map(tuple, sink.read().collect())) == [(1, 0.5), (2, 7.0)] and sink.read().dtypes == one.dtypes
+    with pytest.raises(ContractError):
+        sink.append(one.withColumn("extra", F.lit(1)), 2)
+
+
+def test_balanced_policies_cover_every_level(spark):
+    from chronopanel.operators.selection import balanced_policies
+    got = balanced_policies(spark.createDataFrame([(1,), (2,)], "h int"), [0.5, 0.8, 0.9], [0.01, 0.05], list(range(1, 7)), list(range(1, 11)), 3).toPandas()
+    for _, own in got.groupby("h"):
+        assert len(own) == 10 and own["d"].nunique() == 10 and own["quantile"].nunique() == 3 and own["top_fraction"].nunique() == 2 and own["max_names"].nunique() == 6
+    whole = balanced_policies(spark.createDataFrame([(1,)], "h int"), [0.5, 0.8], [0.01], [1, 2], [1, 2], 99)
+    assert whole.count() == 8
+
+
+def test_decayed_sum_spreads_and_keeps_missing(spark):
+    rows = [("k", dt.date(2000, 1, 1) + dt.timedelta(days=d), None if d < 3 or d % 11 == 0 else float(d % 7)) for d in range(0, 2500, 2)]
+    got = [r["s"] for r in fo.decayed_sum(spark.createDataFrame(rows, "g string, t date, v double"), ["g"], "t", F.col("v"), 0.8, "s").orderBy("t").collect()]
+    s, want = None, []
+    for _, _, v in rows:
+        s = v if s is None else (v or 0.0) + 0.8 * s
+        want.append(s)
+    assert [x is None for x in got] == [x is None for x in want] and np.allclose([x for x in got if x is not None], [x for x in want if x is not None])
+
+
+def test_running_incumbent_needs_its_evidence(spark):
+    from chronopanel.operators import resample as rs
+    day_of = lambda y: dt.date(y, 12, 31)
+    value = {"A": 0.01, "B": 0.03, "C": 0.011}
+    metrics = spark.createDataFrame([("h", c, y, day_of(y), value[c] + 0.0001 * (y % 3)) for c in value for y in range(2000, 2012)], "k string, candidate string, fold int, available_at date, metric double")
+    scores = lambda *skip: {c: v for c, v in value.items() if c not in skip}
+    rows = [("h", day_of(2003), "A", scores()), ("h", day_of(2004), "B", scores()), ("h", day_of(2005), "C", scores()), ("h", dt.date(2006, 1, 15), "A", scores())]
+    schema = "k string, t date, winner string, scores map<string,double>"
+    got = rs.running_incumbent(spark.createDataFrame(rows, schema), metrics, ["k"], "t", reps=50).orderBy("t").collect()
+    assert [(r.before, r.incumbent, r.switched, r.new_folds) for r in got] == [(None, "A", False, False), ("A", "B", True, True), ("B", "B", False, True), ("B", "B", False, False)]
+    bad = rows[:2] + [("h", day_of(2005), "C", scores("B"))]
+    with pytest.raises(Exception, match=fo.INCUMBENT_MISSING):
+        rs.running_incumbent(spark.createDataFrame(bad, schema), metrics, ["k"], "t", reps=50).collect()

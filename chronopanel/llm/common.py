@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +49,18 @@ def map_batches(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], di
     return df.mapInArrow(run, schema)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs run inside hand at most ``rows`` rows at once to Python workers, which bounds the buffers on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """Column names made from ``names`` that ``df`` does not use."""
     used = {c.lower() for c in df.columns}

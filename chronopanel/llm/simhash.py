@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronopanel.llm.common import column, filter_batches, free_names, map_batches, texts
+from chronopanel.llm.common import arrow_rows, column, filter_batches, free_names, map_batches, texts
 from chronopanel.llm.components import star_components
 from chronopanel.session import stage
 
@@ -262,7 +262,8 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     own = free_names(docs, "id", "hash", "row")
     named = docs.select("*", F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias(own[0]), F.xxhash64(F.col(text_col)).alias(own[1]))
-    common = frequent_shingles(docs, text_col)
+    with arrow_rows(docs.sparkSession, ROWS):
+        common = frequent_shingles(docs, text_col)
     key_of = lambda found: pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes(), SEED) for s in found], np.uint64).view(np.int64))
 
     def keys():
@@ -278,11 +279,12 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     "sketch": pa.array([sketch(s) for s in found], pa.binary())}
         return step
 
-    rows = named.select(*own[:2], text_col)
-    equal = map_batches(rows, keys, "i long, h long, key long, n long", ROWS).groupBy("key").agg(F.min(F.struct("i", "h")).alias("least"), F.any_value("n").alias("n"))
-    sets = stage(equal.select(F.monotonically_increasing_id().alias("sid"), "least.*", "n"), "shingle-keys")
-    chosen = stage(map_batches(rows, parts, "i long, h long, prefix array<long>, sketch binary", ROWS).join(sets, ["i", "h"]).select("sid", "n", "prefix", "sketch"), "shingle-prefixes")
-    roots = star_components(similar_links(chosen, sets, named, own[:2], text_col))
+    with arrow_rows(docs.sparkSession, ROWS):
+        rows = named.select(*own[:2], text_col)
+        equal = map_batches(rows, keys, "i long, h long, key long, n long", ROWS).groupBy("key").agg(F.min(F.struct("i", "h")).alias("least"), F.any_value("n").alias("n"))
+        sets = stage(equal.select(F.monotonically_increasing_id().alias("sid"), "least.*", "n"), "shingle-keys")
+        chosen = stage(map_batches(rows, parts, "i long, h long, prefix array<long>, sketch binary", ROWS).join(sets, ["i", "h"]).select("sid", "n", "prefix", "sketch"), "shingle-prefixes")
+        roots = star_components(similar_links(chosen, sets, named, own[:2], text_col))
     names = F.struct(F.col("i").alias(own[0]), F.col("h").alias(own[1]))
     best = sets.select("sid", names.alias("least")).join(roots, F.col("sid") == F.col("node"), "left").groupBy(F.coalesce("root", "sid")).agg(F.min("least").alias("k")).select("k.*").distinct()
     once = F.row_number().over(W.partitionBy(*own[:2]).orderBy(*(F.xxhash64(c) for c in docs.columns)))

@@ -10,6 +10,7 @@ from chronopanel.functions.rounding import rnd
 from chronopanel.operators import calendar as cal
 from chronopanel.operators import schedules as sch
 from chronopanel.operators.asof import asof_join
+from chronopanel.operators.digests import digest_sql
 
 
 @query("t1_terminal_session", """
@@ -62,11 +63,11 @@ def t4(r):
 
 
 @query("t5_evidence_snapshot", f"""
-WITH c AS (SELECT max(date) AS cutoff FROM x_sessions GROUP BY year(date))
-SELECT cutoff, count(*) AS n_rows, count(DISTINCT year(decision_date)) AS n_folds, max(terminal_date) AS latest_terminal,
-       {R('avg(excess)')} AS mean_excess,
-       sha256(string_agg(DISTINCT CAST(year(decision_date) AS VARCHAR), ',' ORDER BY CAST(year(decision_date) AS VARCHAR))) AS fingerprint
-FROM c JOIN x_panel ON terminal_date <= cutoff GROUP BY 1""")
+WITH c AS (SELECT max(date) AS cutoff FROM x_sessions GROUP BY year(date)),
+v AS (SELECT cutoff, excess, terminal_date, CAST(year(decision_date) AS VARCHAR) AS fold_id FROM c JOIN x_panel ON terminal_date <= cutoff),
+d AS (SELECT cutoff, {digest_sql('fold_id')} AS fingerprint FROM (SELECT DISTINCT cutoff, fold_id FROM v) GROUP BY 1)
+SELECT cutoff, count(*) AS n_rows, count(DISTINCT fold_id) AS n_folds, max(terminal_date) AS latest_terminal, {R('avg(excess)')} AS mean_excess, any_value(fingerprint) AS fingerprint
+FROM v JOIN d USING (cutoff) GROUP BY 1""")
 def t5(r):
     cutoffs = r.sessions().groupBy(F.year("date")).agg(F.max("date").alias("cutoff")).select("cutoff")
     return sch.evidence_snapshots(r.panel().withColumn("fold_id", F.year("decision_date").cast("string")), cutoffs).select(
@@ -291,10 +292,10 @@ def t18(r):
     return sch.gate_observation(quality, "assessment_date", clip=3.0)
 
 
-@query("t20_visibility", """
+@query("t20_visibility", f"""
 WITH c AS (SELECT last_session AS t FROM (SELECT max(date) AS last_session FROM x_sessions GROUP BY date_trunc('quarter', date)))
 SELECT t, family_id, count(*) AS visible, max(activation_date) AS latest,
-       sha256(string_agg(strftime(activation_date, '%Y-%m-%d') || ':' || model_id, ',' ORDER BY activation_date)) AS fingerprint
+       {digest_sql("strftime(activation_date, '%Y-%m-%d') || ':' || model_id")} AS fingerprint
 FROM c JOIN x_sched ON activation_date <= t GROUP BY 1, 2""")
 def t20(r):
     times = r.sessions().groupBy(F.trunc("date", "quarter")).agg(F.max("date").alias("t")).select("t")
@@ -352,14 +353,14 @@ def t26(r):
     quarter_start = F.month("activation_date").isin(1, 4, 7, 10)
     w = Window.partitionBy("family_id").orderBy("assessment_date")
     state = (r.schedule().withColumn("assessment_date", F.trunc("activation_date", "month"))
-             .withColumn("folds", F.array_compact(F.collect_list(F.when(quarter_start, F.col("assessment_date"))).over(w))))
+             .withColumn("n_folds", F.count_if(quarter_start).over(w)))
     return sch.refit_plan_arms(state)
 
 
 @query("t27_evidence_events", f"""
 WITH {T26_STATE},
 v AS (SELECT a.family_id, a.assessment_date, count(b.assessment_date) AS visible,
-      sha256(coalesce(string_agg(strftime(b.assessment_date, '%Y-%m-%d'), ',' ORDER BY b.assessment_date), '')) AS identity
+      {digest_sql("strftime(b.assessment_date, '%Y-%m-%d')")} AS identity
       FROM st a LEFT JOIN st b ON a.family_id = b.family_id AND b.grew AND b.assessment_date <= a.assessment_date GROUP BY 1, 2)
 SELECT * FROM (SELECT family_id, assessment_date, identity, visible - coalesce(lag(visible) OVER (PARTITION BY family_id ORDER BY assessment_date), 0) AS new_evidence FROM v)
 WHERE new_evidence > 0""")
@@ -370,12 +371,12 @@ def t27(r):
     return sch.evidence_events(state.select("family_id", "assessment_date"), evidence)
 
 
-@query("t28_visibility_snapshots", """
-WITH q AS (SELECT DISTINCT family_id, CAST(date_trunc('quarter', activation_date) AS DATE) AS t FROM x_sched)
-SELECT q.family_id, q.t, count(s.model_id) AS visible, count(DISTINCT s.model_id) AS visible_models,
-       sha256(coalesce(string_agg(DISTINCT s.model_id, ',' ORDER BY s.model_id), '')) AS fingerprint,
-       coalesce(bool_or(s.model_id = '5-LOW'), false) AS incumbent_visible
-FROM q LEFT JOIN x_sched s ON s.family_id = q.family_id AND s.activation_date <= q.t GROUP BY 1, 2""")
+@query("t28_visibility_snapshots", f"""
+WITH q AS (SELECT DISTINCT family_id, CAST(date_trunc('quarter', activation_date) AS DATE) AS t FROM x_sched),
+m AS (SELECT DISTINCT q.family_id, q.t, s.model_id FROM q JOIN x_sched s ON s.family_id = q.family_id AND s.activation_date <= q.t),
+d AS (SELECT q.family_id, q.t, count(m.model_id) AS visible_models, {digest_sql('m.model_id')} AS fingerprint FROM q LEFT JOIN m ON m.family_id = q.family_id AND m.t = q.t GROUP BY 1, 2)
+SELECT q.family_id, q.t, count(s.model_id) AS visible, any_value(d.visible_models) AS visible_models, any_value(d.fingerprint) AS fingerprint, coalesce(bool_or(s.model_id = '5-LOW'), false) AS incumbent_visible
+FROM q LEFT JOIN x_sched s ON s.family_id = q.family_id AND s.activation_date <= q.t JOIN d ON d.family_id = q.family_id AND d.t = q.t GROUP BY 1, 2""")
 def t28(r):
     return sch.visibility_snapshots(r.schedule(), incumbent="5-LOW")
 

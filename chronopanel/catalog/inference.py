@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronopanel.catalog.registry import R, query
 from chronopanel.functions.rounding import rnd
 from chronopanel.functions.stats import median, robust_score
+from chronopanel.operators import digests as dg
 from chronopanel.operators import folds as fo
 from chronopanel.operators import resample as rs
 from chronopanel.operators.asof import asof_join
@@ -30,14 +31,12 @@ ch AS (SELECT h, t AS assessment_date, max(ev) AS evidence_date, CAST(sum(n) AS
 
 def recipe_choices(r):
     f = (r.surface().groupBy("h", "treatment", "fold").agg(F.avg("cagr_excess").alias("metric")).withColumn("available_at", F.make_date("fold", F.lit(12), F.lit(31))))
-    w = Window.partitionBy("h", "treatment").orderBy("available_at")
-    state = f.select("h", "treatment", "available_at", F.collect_list("metric").over(w).alias("m"))
+    state = dg.running_robust_score(f.select("h", "treatment", "available_at", "metric"), ["h", "treatment"], "available_at", "metric")
+    state = state.select("h", "treatment", "available_at", "n", rnd("median").alias("med"), rnd("robust").alias("rob"))
     times = r.sessions().groupBy(F.trunc("date", "quarter")).agg(F.max("date").alias("t")).select("t")
     seen = asof_join(times, state, [], "t", "available_at", how="inner", fan_out=["h", "treatment"])
-    sc = seen.select("h", "t", "treatment", "available_at", F.explode("m").alias("metric")).groupBy("h", "t", "treatment").agg(
-        F.count(F.lit(1)).alias("n"), F.max("available_at").alias("ev"), rnd(median("metric")).alias("med"), rnd(robust_score("metric")).alias("rob"))
-    return sc.groupBy("h", F.col("t").alias("assessment_date")).agg(
-        F.max("ev").alias("evidence_date"), F.sum("n").alias("fingerprint"), F.max_by("treatment", F.struct("med", -F.ascii("treatment"))).alias("winner"),
+    return seen.groupBy("h", F.col("t").alias("assessment_date")).agg(
+        F.max("available_at").alias("evidence_date"), F.sum("n").alias("fingerprint"), F.max_by("treatment", F.struct("med", -F.ascii("treatment"))).alias("winner"),
         F.map_from_entries(F.collect_list(F.struct("treatment", "rob"))).alias("scores"))
 
 

@@ -12,6 +12,7 @@ from chronopanel.catalog.selectors import KEYS
 from chronopanel.functions import sqlfuncs
 from chronopanel.functions.rounding import rnd
 from chronopanel.functions.stats import hhi, median, share, wilson
+from chronopanel.operators import boosting as bo
 from chronopanel.operators import evidence as ev
 from chronopanel.operators import models as mo
 from chronopanel.operators import ordered as od
@@ -123,29 +124,70 @@ def m2(r):
     return out.withColumn("status", F.concat(F.col("gate"), F.lit("_"), F.col("months").cast("string"), passed)).drop("k")
 
 
-FOLD_DATES = [("1999-01-01", "1999-12-31"), ("2000-01-01", "2000-12-31"), ("2001-01-01", "2001-12-31")]
+FEATURE_ARMS = {"PERFORMANCE": PERFORMANCE, "WITH_HEALTH": PERFORMANCE + DOWNSIDE + HEALTH}
+BOOST_FEATURES = list(dict.fromkeys(f for fs in FEATURE_ARMS.values() for f in fs))
+BOOST_ROWS = f"""{MODEL_ROWS}, fd AS (SELECT t AS fold FROM cal WHERE i >= 24),
+fr AS (SELECT fold, arm AS execution_arm, family_id, fold = assessment_date AS test, available_at AS known_at, fwd_1m AS y, {', '.join(BOOST_FEATURES)} FROM mp JOIN fd ON fold = assessment_date OR available_at <= fold WHERE fwd_1m IS NOT NULL)"""
+
+
+def boosting_sql(rounds: int, rate: float, bins: int, least: int) -> str:
+    """The rounds of one-cut trees, one after the other, over unpivoted rows."""
+    values = ", ".join(f"('{f}', {k}, {f}::DOUBLE)" for k, f in enumerate(BOOST_FEATURES))
+    use = " OR ".join(f"(feature_arm = '{name}' AND f IN ({', '.join(str(BOOST_FEATURES.index(f)) for f in fs)}))" for name, fs in FEATURE_ARMS.items())
+    arms = ", ".join(f"('{name}')" for name in FEATURE_ARMS)
+    out = [BOOST_ROWS, "ri AS (SELECT *, row_number() OVER (ORDER BY fold, execution_arm, family_id, test, known_at, y) AS id FROM fr)",
+           f"uv AS (SELECT id, fold, execution_arm, test, v.f, v.x FROM ri, LATERAL (VALUES {values}) v(n, f, x))",
+           "rk AS (SELECT fold, execution_arm, f, x, rank() OVER w - 1 AS below, count(*) OVER (PARTITION BY fold, execution_arm, f) AS n FROM uv WHERE NOT test AND x IS NOT NULL WINDOW w AS (PARTITION BY fold, execution_arm, f ORDER BY x))",
+           f"ct AS (SELECT fold, execution_arm, f, b, min(x) AS cut FROM (SELECT *, (below * {bins}) // n AS b FROM rk) WHERE b > 0 GROUP BY 1, 2, 3, 4)",
+           "bn AS (SELECT uv.id, uv.fold, uv.execution_arm, uv.f, CASE WHEN uv.x IS NULL THEN -1 ELSE count(ct.cut) END AS bin FROM uv LEFT JOIN ct ON ct.fold = uv.fold AND ct.execution_arm = uv.execution_arm AND ct.f = uv.f AND ct.cut <= uv.x GROUP BY uv.id, uv.fold, uv.execution_arm, uv.f, uv.x)",
+           f"s0 AS (SELECT ri.*, feature_arm, avg(y) FILTER (NOT test) OVER (PARTITION BY fold, execution_arm, feature_arm) AS pred FROM ri, (VALUES {arms}) a(feature_arm))"]
+    for k in range(rounds):
+        out += [f"h{k} AS (SELECT s.fold, s.execution_arm, feature_arm, f, bin, sum(y - pred) AS g, count(*) AS n FROM s{k} s JOIN bn USING (id) WHERE NOT test AND ({use}) GROUP BY ALL)",
+                f"w{k} AS (SELECT *, sum(g) OVER x AS gl, sum(n) OVER x AS nl, sum(g) OVER (PARTITION BY fold, execution_arm, feature_arm, f) AS ga, sum(n) OVER (PARTITION BY fold, execution_arm, feature_arm, f) AS na FROM h{k} WINDOW x AS (PARTITION BY fold, execution_arm, feature_arm, f ORDER BY bin))",
+                f"c{k} AS (SELECT fold, execution_arm, feature_arm, f, bin, gl / nl AS low, (ga - gl) / (na - nl) AS high, row_number() OVER (PARTITION BY fold, execution_arm, feature_arm ORDER BY round(gl * gl / nl + (ga - gl) * (ga - gl) / (na - nl), 12) DESC, f, bin) AS rn FROM w{k} WHERE nl >= {least} AND na - nl >= {least})",
+                f"s{k + 1} AS (SELECT s.* EXCLUDE (pred), pred + coalesce({rate} * CASE WHEN bn.bin <= c.bin THEN low ELSE high END, 0) AS pred FROM s{k} s LEFT JOIN c{k} c ON c.rn = 1 AND c.fold = s.fold AND c.execution_arm = s.execution_arm AND c.feature_arm = s.feature_arm LEFT JOIN bn ON bn.id = s.id AND bn.f = c.f)"]
+    return ",\n".join(out)
 
 
-@query("m3_walk_forward_regression")
-def m3(r):
-    from pyspark.ml.regression import LinearRegression
-    lr = LinearRegression(featuresCol="features", labelCol="fwd_1m", predictionCol="predicted", regParam=0.001, elasticNetParam=0.0)
-    out = mo.walk_forward_pipeline(model_panel(r), FEATURES, "fwd_1m", "available_at", FOLD_DATES, lr)
-    return out.select("fold_start", "assessment_date", "family_id", "arm", rnd("predicted").alias("predicted"), "leak")
+def boosting_rows(r):
+    return stage(bo.fold_rows(gate_panel(r), ["family_id"], "arm", BOOST_FEATURES, "fwd_1m", "available_at", "assessment_date", 24), "fold-rows")
+
 
+@query("m3_walk_forward_boosting", f"""
+WITH {boosting_sql(4, 0.1, 8, 10)}
+SELECT fold, execution_arm, feature_arm, family_id, {R('pred')} AS predicted, {R('y')} AS realized FROM s4 WHERE test AND pred IS NOT NULL""")
+def m3_boosting(r):
+    """Every month from the 25th on, both execution arms and both feature arms."""
+    out = bo.boosted_stumps(boosting_rows(r), ["family_id"], FEATURE_ARMS, rounds=4, rate=0.1, bins=8, least=10)
+    return out.select("fold", "execution_arm", "feature_arm", "family_id", rnd("predicted").alias("predicted"), rnd("realized").alias("realized"))
 
-FOLD_ROWS = "WITH p AS (SELECT *, lead(assessment_date) OVER (PARTITION BY family_id, arm ORDER BY assessment_date) AS available_at FROM x_fmp), q AS (SELECT * FROM p WHERE excess_1m IS NOT NULL AND fwd_1m IS NOT NULL), f(s, e) AS (VALUES " + ", ".join(
-    f"(DATE '{a}', DATE '{b}')" for a, b in FOLD_DATES) + ")"
 
+@query("m3_fold_manifest", f"""
+WITH {BOOST_ROWS} SELECT fold, execution_arm, count(*) FILTER (NOT test) AS train_rows, count(*) FILTER (test) AS test_rows, max(known_at) FILTER (NOT test) AS last_train, coalesce(max(known_at) FILTER (NOT test) > fold, false) AS leak FROM fr GROUP BY 1, 2""")
+def m3_manifest(r):
+    return bo.manifest(boosting_rows(r))
 
-@query("m3_walk_forward_boosting", f"""
-{FOLD_ROWS} SELECT s AS fold_start, count(*) FILTER (assessment_date BETWEEN s AND e) AS n_rows, count(*) FILTER (available_at < s) AS train_rows, max(available_at) FILTER (available_at < s) AS last_train, false AS leak FROM q, f GROUP BY 1, e
-HAVING count(*) FILTER (assessment_date BETWEEN s AND e) > 0""")
-def m3_gbt(r):
-    from pyspark.ml.regression import GBTRegressor
-    gbt = GBTRegressor(featuresCol="features", labelCol="fwd_1m", predictionCol="predicted", maxIter=10, maxDepth=3, seed=17)
-    out = mo.walk_forward_pipeline(model_panel(r), FEATURES, "fwd_1m", "available_at", FOLD_DATES, gbt)
-    return out.groupBy("fold_start").agg(F.count("predicted").alias("n_rows"), F.max("train_rows").alias("train_rows"), F.max("last_train").alias("last_train"), F.bool_or("leak").alias("leak"))
+
+def regression_sql() -> str:
+    parts, rows = [], []
+    for arm in ("F", "O"):
+        for name, features in FEATURE_ARMS.items():
+            own = f"rg_{arm}_{name}"
+            parts.append(ridge_sql(own, features, "fwd_1m", "available_at").replace(f"{own}_tr AS (SELECT t, fwd_1m AS y", f"{own}_tr AS (SELECT t, fwd_1m AS y", 1).replace("WHERE fwd_1m IS NOT NULL", f"WHERE arm = '{arm}' AND fwd_1m IS NOT NULL", 1))
+            rows.append(f"SELECT p.assessment_date AS fold, p.arm AS execution_arm, '{name}' AS feature_arm, p.family_id, {R('p.p')} AS predicted FROM {own} p JOIN mp USING (family_id, arm, assessment_date) WHERE p.arm = '{arm}' AND fwd_1m IS NOT NULL")
+    return "WITH " + MODEL_ROWS + ",\n" + ",\n".join(parts) + "\n" + " UNION ALL ".join(rows)
+
+
+@query("m3_walk_forward_regression", regression_sql())
+def m3(r):
+    """Monthly ridge per execution arm, both feature arms from one set of moments."""
+    panel = stage(gate_panel(r), "gate-panel")
+    out = None
+    for arm in [x["arm"] for x in panel.select("arm").distinct().orderBy("arm").collect()]:          # execution arms, a handful
+        scored = mo.walk_forward_ridges(panel.where(F.col("arm") == arm), FEATURE_ARMS, "fwd_1m", "available_at", min_months=24).where("fwd_1m IS NOT NULL")
+        rows = scored.select(F.col("assessment_date").alias("fold"), F.col("arm").alias("execution_arm"), "family_id", F.inline(F.array(*[F.struct(F.lit(n).alias("feature_arm"), rnd(n).alias("predicted")) for n in FEATURE_ARMS])))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("m4_pairwise_choice", """

@@ -118,31 +118,6 @@ def walk_forward_ridge(panel: DataFrame, features: Sequence[str], target: str, a
     return walk_forward_ridges(panel, {"predicted": features}, target, available, **options)
 
 
-def walk_forward_pipeline(panel: DataFrame, features: Sequence[str], target: str, available: str, folds: Sequence, estimator, *,
-                          date: str = "assessment_date") -> DataFrame:
-    """Imputer + scaler + estimator per test period; training rows are known before the period starts.
-
-    ``folds``: (start, end) date pairs, few by design; each fit is a distributed job and only its fitted
-    coefficients reach the driver. Emits predictions with a leak flag that must stay false.
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-
-    out = None
-    filled = [f"_f_{f}" for f in features]
-    for start, end in folds:
-        known = panel.where((F.col(available) < F.to_date(F.lit(start))) & F.col(target).isNotNull())
-        test = panel.where((F.col(date) >= F.to_date(F.lit(start))) & (F.col(date) <= F.to_date(F.lit(end))) & F.col(target).isNotNull())
-        stages = [Imputer(inputCols=list(features), outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="_raw"),
-                  StandardScaler(inputCol="_raw", outputCol="features", withMean=True), estimator]
-        model = Pipeline(stages=stages).fit(known)
-        seen = known.agg(F.max(available).alias("last_train"), F.count(F.lit(1)).alias("train_rows")).withColumn("fold_start", F.to_date(F.lit(start)))
-        part = model.transform(test).withColumn("fold_start", F.to_date(F.lit(start))).join(seen, "fold_start").withColumn(
-            "leak", F.col("last_train") >= F.col("fold_start")).drop("_raw", "features", *filled)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def pairwise_expected_wins(pairs: DataFrame, sets: DataFrame, keys: Sequence[str], boundary: str, date: str = "decision_date", matured: str = "matured_date") -> DataFrame:
     """Pairwise choice model (logistic, no intercept) on score differences; expected wins per candidate of the sets from ``boundary`` on.
 

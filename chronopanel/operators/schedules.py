@@ -10,29 +10,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronopanel.operators.asof import asof_join
-
-
-def fingerprint(items) -> F.Column:
-    """SHA-256 identity of a set of strings, independent of arrival order."""
-    return F.sha2(F.concat_ws(",", F.array_sort(items)), 256)
+from chronopanel.operators.digests import LIMBS, digest, limbs, prefix_digests, running_robust_score
 
 
 def evidence_snapshots(panel: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """What was known at each cutoff: matured rows, folds, identity.
 
-    The panel collapses to one row per terminal session; running state over
-    that calendar-sized table is then looked up as of each cutoff.
+    The panel collapses to one row per terminal session and fold; a fold joins the set on its first session, and
+    running state over the calendar-sized table is then looked up as of each cutoff.
     """
-    day = panel.groupBy("terminal_date").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("excess").alias("s"), F.collect_set("fold_id").alias("f"))
+    cells = panel.groupBy("terminal_date", "fold_id").agg(F.count(F.lit(1)).alias("n"), F.sum("excess").alias("s"))
+    first = F.row_number().over(Window.partitionBy("fold_id").orderBy("terminal_date")) == 1
+    cells = cells.where("terminal_date IS NOT NULL").withColumn("_first", first & F.col("fold_id").isNotNull())
+    parts = {f"_l{k}": F.sum(F.when(F.col("_first"), x)) for k, x in enumerate(limbs(F.col("fold_id")))}
+    day = cells.groupBy("terminal_date").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count_if("_first").alias("f"), *[c.alias(k) for k, c in parts.items()])
     w = Window.orderBy("terminal_date")
-    state = day.select(
-        "terminal_date", F.sum("n").over(w).alias("n_rows"), F.sum("s").over(w).alias("_s"),
-        F.array_distinct(F.flatten(F.collect_list("f").over(w))).alias("_folds"))
+    state = day.select("terminal_date", F.sum("n").over(w).alias("n_rows"), F.sum("s").over(w).alias("_s"), F.sum("f").over(w).alias("n_folds"),
+                       digest([F.sum(k).over(w) for k in parts]).alias("fingerprint"))
     seen = asof_join(cutoffs, state, [], "cutoff", "terminal_date", how="inner")
-    return seen.select("cutoff", "n_rows", F.size("_folds").cast("long").alias("n_folds"),
-                       F.col("terminal_date").alias("latest_terminal"), (F.col("_s") / F.col("n_rows")).alias("mean_excess"),
-                       fingerprint(F.col("_folds")).alias("fingerprint"))
+    return seen.select("cutoff", "n_rows", "n_folds", F.col("terminal_date").alias("latest_terminal"), (F.col("_s") / F.col("n_rows")).alias("mean_excess"), "fingerprint")
 
 
 def train_calibration_split(sessions: DataFrame, cutoffs: DataFrame, train: int, purge: int, calibration: int) -> DataFrame:
@@ -121,13 +117,10 @@ def gate_observation(quality: DataFrame, date: str, clip: float) -> DataFrame:
 
 def visible_generations(schedule: DataFrame, times: DataFrame) -> DataFrame:
     """Per time and family: how many generations are visible, the latest one, and their joint identity."""
-    w = Window.partitionBy("family_id").orderBy("activation_date")
     ident = F.concat_ws(":", F.col("activation_date").cast("string"), "model_id")
-    state = schedule.select("family_id", "activation_date", F.count(F.lit(1)).over(w).alias("visible"),
-                            F.collect_list(ident).over(w).alias("_ids"))
+    state = prefix_digests(schedule.select("family_id", "activation_date", ident.alias("generation")), ["family_id"], "activation_date", "generation")
     seen = asof_join(times, state, [], "t", "activation_date", how="inner", fan_out=["family_id"])
-    return seen.select("t", "family_id", "visible", F.col("activation_date").alias("latest"),
-                       fingerprint(F.col("_ids")).alias("fingerprint"))
+    return seen.select("t", "family_id", F.col("seen").alias("visible"), F.col("activation_date").alias("latest"), F.col("identity").alias("fingerprint"))
 
 
 def next_unseen_fold(folds: DataFrame, keys: list[str], fold: str) -> DataFrame:
@@ -138,18 +131,19 @@ def next_unseen_fold(folds: DataFrame, keys: list[str], fold: str) -> DataFrame:
 
 
 def policies_as_of(schedule: DataFrame, times: DataFrame) -> DataFrame:
-    """Initial-static, newest-visible and equal-pool model weights at each time."""
-    w = Window.partitionBy("family_id").orderBy("activation_date")
-    state = schedule.select("family_id", "activation_date", F.col("model_id").alias("last_model"),
-                            F.first("model_id").over(w).alias("first_model"), F.collect_list("model_id").over(w).alias("models"))
+    """Initial-static, newest-visible and equal-pool model weights at each time.
+
+    A model's share of the pool is its own count so far over the family's, both looked up as of the time.
+    """
+    w, own = Window.partitionBy("family_id").orderBy("activation_date"), Window.partitionBy("family_id", "model_id").orderBy("activation_date")
+    state = schedule.select("family_id", "activation_date", F.col("model_id").alias("last_model"), F.first("model_id").over(w).alias("first_model"), F.count(F.lit(1)).over(w).alias("n"))
     seen = asof_join(times, state, [], "t", "activation_date", how="inner", fan_out=["family_id"])
     single = seen.select("t", "family_id", F.inline(F.array(
         F.struct(F.lit("INITIAL_STATIC").alias("policy"), F.col("first_model").alias("model_id"), F.lit(1.0).alias("weight")),
         F.struct(F.lit("NEWEST_VISIBLE").alias("policy"), F.col("last_model").alias("model_id"), F.lit(1.0).alias("weight")))))
-    pool = (seen.select("t", "family_id", F.size("models").alias("n"), F.explode("models").alias("model_id"))
-            .groupBy("t", "family_id", "model_id").agg((F.count(F.lit(1)) / F.first("n")).alias("weight"))
-            .select("t", "family_id", F.lit("EQUAL_POOL").alias("policy"), "model_id", "weight"))
-    return single.unionByName(pool)
+    counts = schedule.select("family_id", "model_id", "activation_date", F.count(F.lit(1)).over(own).alias("k"))
+    pool = asof_join(times, counts, [], "t", "activation_date", how="inner", fan_out=["family_id", "model_id"]).join(seen.select("t", "family_id", "n"), ["t", "family_id"])
+    return single.unionByName(pool.select("t", "family_id", F.lit("EQUAL_POOL").alias("policy"), "model_id", (F.col("k") / F.col("n")).alias("weight")))
 
 
 def evidence_growth(state: DataFrame, keys: list[str], order: str, folds: str) -> DataFrame:
@@ -163,9 +157,9 @@ def evidence_growth(state: DataFrame, keys: list[str], order: str, folds: str) -
 
 
 def refit_plan_arms(state: DataFrame) -> DataFrame:
-    """Refit decisions per arm: first only, when the matured-fold set grew, every month."""
+    """Refit decisions per arm: first only, when the matured-fold set grew (``n_folds``, which never falls), every month."""
     w = Window.partitionBy("family_id").orderBy("assessment_date")
-    grown = evidence_growth(state, ["family_id"], "assessment_date", "folds").withColumn("_rn", F.row_number().over(w))
+    grown = state.withColumn("expanded", F.coalesce(F.col("n_folds") > F.lag("n_folds").over(w), F.lit(True))).withColumn("_rn", F.row_number().over(w))
     arms = F.array(*[F.struct(F.lit(n).alias("arm"), c.alias("refit")) for n, c in (
         ("A_FIRST", F.col("_rn") == 1), ("F_FOLD", F.col("expanded")), ("M_MONTHLY", F.lit(True)))])
     rows = grown.select("family_id", "assessment_date", F.inline(arms))
@@ -176,41 +170,34 @@ def refit_plan_arms(state: DataFrame) -> DataFrame:
 
 def evidence_events(assessments: DataFrame, evidence: DataFrame) -> DataFrame:
     """Assessments on which the visible evidence set grew, with the identity of that set."""
-    ev = evidence.groupBy("family_id", "matured_at").agg(F.count(F.lit(1)).alias("_n"))
+    ev = evidence.select("family_id", "matured_at").distinct()
     both = (assessments.withColumn("matured_at", F.lit(None).cast("date"))
             .unionByName(ev.select("family_id", F.col("matured_at").alias("assessment_date"), "matured_at")))
     grid = both.groupBy("family_id", "assessment_date").agg(F.max("matured_at").alias("matured_at"))
+    seen = prefix_digests(grid, ["family_id"], "assessment_date", "matured_at").select("family_id", "assessment_date", "members", "identity")
     w = Window.partitionBy("family_id").orderBy("assessment_date")
-    seen = grid.withColumn("_seen", F.array_compact(F.collect_list(F.col("matured_at").cast("string")).over(w)))
     known = assessments.join(seen, ["family_id", "assessment_date"])
-    return (known.withColumn("new_evidence", F.size("_seen") - F.coalesce(F.lag(F.size("_seen")).over(w), F.lit(0)))
-            .where("new_evidence > 0")
-            .select("family_id", "assessment_date", fingerprint(F.col("_seen")).alias("identity"),
-                    F.col("new_evidence").cast("long").alias("new_evidence")))
+    return (known.withColumn("new_evidence", F.col("members") - F.coalesce(F.lag("members").over(w), F.lit(0))).where("new_evidence > 0")
+            .select("family_id", "assessment_date", "identity", "new_evidence"))
 
 
 def visibility_snapshots(schedule: DataFrame, incumbent: str) -> DataFrame:
     """Ids visible at each quarter start, their fingerprint, and whether the incumbent is among them."""
     q = schedule.select("family_id", F.trunc("activation_date", "quarter").alias("t")).distinct()
     w = Window.partitionBy("family_id").orderBy("activation_date")
-    state = schedule.select("family_id", "activation_date", F.count(F.lit(1)).over(w).alias("n"),
-                            F.collect_set("model_id").over(w).alias("ids"))
+    state = prefix_digests(schedule.select("family_id", "activation_date", "model_id"), ["family_id"], "activation_date", "model_id")
+    state = state.withColumn("held", F.bool_or(F.col("model_id") == incumbent).over(w)).drop("model_id")
     seen = asof_join(q, state, ["family_id"], "t", "activation_date")
-    ids = F.coalesce("ids", F.array().cast("array<string>"))
-    return seen.select("family_id", "t", F.coalesce("n", F.lit(0)).alias("visible"),
-                       F.size(ids).cast("long").alias("visible_models"), fingerprint(ids).alias("fingerprint"),
-                       F.array_contains(ids, incumbent).alias("incumbent_visible"))
+    return seen.select("family_id", "t", F.coalesce("seen", F.lit(0)).alias("visible"), F.coalesce("members", F.lit(0)).alias("visible_models"),
+                       F.coalesce("identity", digest([F.lit(0)] * LIMBS)).alias("fingerprint"), F.coalesce("held", F.lit(False)).alias("incumbent_visible"))
 
 
 def recipe_assessments(folds: DataFrame, times: DataFrame) -> DataFrame:
-    """Winner by robust score over the folds visible at each assessment."""
+    """Winner by robust score over the folds visible at each assessment; a candidate has one fold per availability date."""
     from chronopanel.functions.rounding import rnd
-    from chronopanel.functions.stats import robust_score
-    w = Window.partitionBy("candidate_id").orderBy("available_at")
-    state = folds.select("candidate_id", "available_at", F.collect_list("metric").over(w).alias("metrics"))
-    seen = asof_join(times, state, [], "t", "available_at", how="inner", fan_out=["candidate_id"])
-    scored = (seen.select("t", "candidate_id", F.explode("metrics").alias("metric")).groupBy("t", "candidate_id")
-              .agg(F.count(F.lit(1)).alias("fold_count"), rnd(robust_score("metric")).alias("robust_score")))
+    state = running_robust_score(folds.select("candidate_id", "available_at", "metric"), ["candidate_id"], "available_at", "metric")
+    state = state.select("candidate_id", "available_at", F.col("n").alias("fold_count"), rnd("robust").alias("robust_score"))
+    scored = asof_join(times, state, [], "t", "available_at", how="inner", fan_out=["candidate_id"])
     best = Window.partitionBy("t").orderBy(F.desc("robust_score"), "candidate_id")
     return (scored.withColumn("_rn", F.row_number().over(best)).where("_rn = 1")
             .select("t", F.col("candidate_id").alias("winner"), "fold_count", "robust_score"))

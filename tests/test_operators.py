@@ -361,3 +361,38 @@ def test_running_incumbent_needs_its_evidence(spark):
     bad = rows[:2] + [("h", day_of(2005), "C", scores("B"))]
     with pytest.raises(Exception, match=fo.INCUMBENT_MISSING):
         rs.running_incumbent(spark.createDataFrame(bad, schema), metrics, ["k"], "t", reps=50).collect()
+
+
+def test_set_digests_tell_sets_apart(spark):
+    from chronopanel.operators import digests as dg
+    a = [("a", 1, "x"), ("a", 2, "y"), ("a", 3, "x"), ("a", 4, "z")]
+    b = [("b", 1, "z"), ("b", 2, "x"), ("b", 3, "y"), ("b", 4, None)]
+    got = {(r.g, r.t): r for r in dg.prefix_digests(spark.createDataFrame(a + b, "g string, t int, m string"), ["g"], "t", "m").collect()}
+    assert [got["a", t].members for t in (1, 2, 3, 4)] == [1, 2, 2, 3] and [got["a", t].seen for t in (1, 2, 3, 4)] == [1, 2, 3, 4]
+    assert got["a", 2].identity == got["a", 3].identity != got["a", 1].identity
+    assert got["a", 4].identity == got["b", 3].identity == got["b", 4].identity
+    many = spark.range(3000).select((F.col("id") % 3).alias("g"), F.col("id").alias("t"), (F.col("id") * 7).cast("string").alias("m"))
+    prefixes = dg.prefix_digests(many, ["g"], "t", "m")
+    assert prefixes.select("identity").distinct().count() == 3000
+
+
+def test_running_robust_score_equals_prefixes(spark):
+    from chronopanel.operators import digests as dg
+    rng = np.random.default_rng(3)
+    v = rng.normal(0, 1, 60).round(2)
+    got = dg.running_robust_score(spark.createDataFrame([("k", k, float(x)) for k, x in enumerate(v)], "k string, t int, v double"), ["k"], "t", "v").orderBy("t").collect()
+    for k, r in enumerate(got):
+        p = v[:k + 1]
+        assert np.isclose(r.median, np.median(p)) and np.isclose(r.robust, np.median(p) + 0.5 * p.mean() - 0.5 * p.std() - 0.02 * (p <= 0).mean()) and r.n == k + 1
+
+
+def test_stumps_learn_a_step_without_later_targets(spark):
+    from chronopanel.operators import boosting as bo
+    months = [dt.date(2020 + k // 12, k % 12 + 1, 1) for k in range(8)]
+    rows = [(months[k], months[k + 1] if k < 7 else None, "X", i, float(i), float((i >= 20) * 2 - 1) if k < 6 else 99.0) for k in range(8) for i in range(40)]
+    panel = spark.createDataFrame(rows, "d date, known date, arm string, i int, x double, y double")
+    folds = bo.fold_rows(panel, ["i"], "arm", ["x"], "y", "known", "d", 3)
+    got = bo.boosted_stumps(folds, ["i"], {"ALL": ["x"]}, rounds=4, rate=0.5, bins=8, least=5)
+    early = {(r.fold, r.i): r.predicted for r in got.where("fold < '2020-07-01'").collect()}
+    assert early and all(abs(p - ((i >= 20) * 2 - 1)) < 0.1 for (_, i), p in early.items())
+    assert not bo.manifest(folds).where("leak").count()

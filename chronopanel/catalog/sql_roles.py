@@ -22,6 +22,15 @@ SQL_ROLES: dict[str, str] = {
       SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS decision_date, l_suppkey AS ticker,
              max(l_extendedprice * (1 - l_discount)) / 100000.0 AS score
       FROM lineitem GROUP BY 1, 2""",
+    # scores of competing models, and the model each family activates per quarter: the one of the strongest score on the quarter's first date
+    "x_msig": """
+      SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS decision_date, l_suppkey AS ticker, r_name AS family_id, l_returnflag AS model_id,
+             max(l_extendedprice * (1 - l_discount)) / 100000.0 AS score
+      FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ALL""",
+    "x_msch": """
+      SELECT family_id, activation_date, arg_max(model_id, (score, -ticker, -ascii(model_id))) AS model_id
+      FROM x_msig JOIN (SELECT family_id, min(decision_date) AS activation_date FROM x_msig GROUP BY family_id, date_trunc('quarter', decision_date)) USING (family_id)
+      WHERE decision_date = activation_date GROUP BY 1, 2""",
     # entry at the next open, exit at the +4 session close, both for ticker and benchmark
     "x_outcomes": """
       SELECT d.date AS decision_date, p.ticker, e.date AS entry_date, t.date AS terminal_date,

@@ -11,6 +11,7 @@ from chronopanel.catalog.timeseries import METRICS, PATH
 from chronopanel.functions.rounding import rnd
 from chronopanel.functions.stats import median, quantile, share
 from chronopanel.operators import trades as tr
+from chronopanel.operators.joins import authoritative_signals
 from chronopanel.plans import evidence as pe
 from chronopanel.session import stage
 
@@ -34,7 +35,25 @@ c AS (SELECT CAST(date_trunc('month', decision_date) AS DATE) AS month, score, e
 SELECT m.*, rank_ic FROM m LEFT JOIN (SELECT month, CASE WHEN count(*) >= 3 THEN {R('corr(rx, ry)')} END AS rank_ic FROM i GROUP BY 1) USING (month)""")
 def e0(r):
     r.share("prices", "signals")
-    m = pe.gated_trades_by_month(r.signals(), None, r.prices(), r.bench(), r.sessions(), r.staged_panel(), threshold=0.85, top_fraction=0.05, max_names=6, hold=5)
+    m = pe.gated_trades_by_month(r.signals(), r.prices(), r.bench(), r.sessions(), r.staged_panel(), threshold=0.85, top_fraction=0.05, max_names=6, hold=5)
+    return m.select("month", "trades", "open_trades", *[rnd(c).alias(c) for c in ("mean_return", "mean_excess", "mean_net_return", "rank_ic")])
+
+
+AUTHORITY = "au AS (SELECT s.decision_date, s.ticker, s.score FROM x_msig s ASOF JOIN x_msch a ON a.family_id = s.family_id AND a.activation_date <= s.decision_date WHERE a.model_id = s.model_id)"
+
+
+@query("e1_authoritative_trades_by_month", f"""
+WITH {AUTHORITY},{PICKS.replace('x_signals', 'au')}, m AS (SELECT CAST(date_trunc('month', decision_date) AS DATE) AS month, count(*) AS trades, count(*) FILTER (exit_price IS NULL) AS open_trades, {R('avg(gross - 1)')} AS mean_return, {R('avg(excess)')} AS mean_excess,
+  {R('avg(gross * 0.999 * 0.999 - 1)')} AS mean_net_return FROM nt GROUP BY 1),
+c AS (SELECT CAST(date_trunc('month', decision_date) AS DATE) AS month, au.score, o.excess FROM au JOIN x_outcomes o USING (decision_date, ticker)), i AS (SELECT month, {AVG_RANK.format(p='month', x='score')} AS rx, {AVG_RANK.format(p='month', x='excess')} AS ry FROM c WHERE excess IS NOT NULL)
+SELECT m.*, rank_ic FROM m LEFT JOIN (SELECT month, CASE WHEN count(*) >= 3 THEN {R('corr(rx, ry)')} END AS rank_ic FROM i GROUP BY 1) USING (month)""")
+def e1(r):
+    """The flagship with its authority step: the scores of the model that each family has active, then gates, trades and rank IC."""
+    r.share("prices", "model_signals")
+    schedule = stage(r.model_schedule(), "model-schedule")
+    live = stage(authoritative_signals(r.model_signals(), schedule).select("decision_date", "ticker", "score"), "authoritative")
+    panel = live.join(r.outcomes().select("decision_date", "ticker", "excess"), ["decision_date", "ticker"])
+    m = pe.gated_trades_by_month(live, r.prices(), r.bench(), r.sessions(), panel, threshold=0.85, top_fraction=0.05, max_names=6, hold=5)
     return m.select("month", "trades", "open_trades", *[rnd(c).alias(c) for c in ("mean_return", "mean_excess", "mean_net_return", "rank_ic")])
 
 

@@ -13,7 +13,7 @@ from chronopanel.operators.ordered import rank_columns, top_rows
 
 def authoritative_signals(signals: DataFrame, schedule: DataFrame) -> DataFrame:
     """Keep only scores of the model that is active on their decision date; a family's ticker may have one such score a day."""
-    active = schedule.select("family_id", "activation_date", F.col("model_id").alias("_active"), "threshold")
+    active = schedule.withColumnRenamed("model_id", "_active")
     out = asof_join(signals, active, ["family_id"], "decision_date", "activation_date", how="inner")
     kept = out.where(F.col("model_id") == F.col("_active")).drop("_active")
     again = F.count(F.lit(1)).over(Window.partitionBy("family_id", "decision_date", "ticker"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronopanel.operators.asof import asof_join
-from chronopanel.operators.joins import authoritative_signals, causal_schedule_expansion, executed_flag
+from chronopanel.operators.joins import causal_schedule_expansion, executed_flag
 from chronopanel.operators.ordered import rank_columns, rank_ic
 from chronopanel.operators.trades import next_open_trades
 from chronopanel.operators.wealth import wealth_metrics
@@ -58,9 +58,9 @@ def opportunity_panel(signals: DataFrame, arms: DataFrame, outcomes: DataFrame,
     return executed_flag(out, executed, ["ticker", "decision_date"])
 
 
-def gated_trades_by_month(signals: DataFrame, schedule: DataFrame | None, prices: DataFrame, bench: DataFrame, sessions: DataFrame,
-                          panel: DataFrame, *, threshold: float, top_fraction: float, max_names: int, hold: int) -> DataFrame:
-    """Threshold-gated next-open trades with rank IC and mean excess per decision month."""
+def gated_trades_by_month(signals: DataFrame, prices: DataFrame, bench: DataFrame, sessions: DataFrame, panel: DataFrame, *,
+                          threshold: float, top_fraction: float, max_names: int, hold: int) -> DataFrame:
+    """Threshold-gated next-open trades with rank IC and mean excess per decision month; ``authoritative_signals`` picks the scores that count."""
     trades = next_open_trades(signals, prices, bench, sessions, threshold=threshold, top_fraction=top_fraction, max_names=max_names, hold=hold)
     month = F.trunc("decision_date", "month").alias("month")
     per = trades.groupBy(month).agg(

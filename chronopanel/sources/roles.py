@@ -63,6 +63,22 @@ class Roles:
                 .groupBy(week("l_shipdate").alias("decision_date"), F.col("l_suppkey").alias("ticker"))
                 .agg((F.max(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / F.lit(100000.0)).alias("score")))
 
+    def model_signals(self) -> DataFrame:
+        """Scores of competing models (return flag) per week, ticker and its family (region)."""
+        if "model_signals" in self._shared:
+            return self._shared["model_signals"]
+        place = (self.table("supplier").select(F.col("s_suppkey").alias("ticker"), F.col("s_nationkey").alias("n_nationkey")).join(self.table("nation"), "n_nationkey")
+                 .join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("ticker", F.col("r_name").alias("family_id")))
+        scores = (self.table("lineitem").groupBy(week("l_shipdate").alias("decision_date"), F.col("l_suppkey").alias("ticker"), F.col("l_returnflag").alias("model_id"))
+                  .agg((F.max(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / F.lit(100000.0)).alias("score")))
+        return scores.join(place, "ticker").select("decision_date", "ticker", "family_id", "model_id", "score")
+
+    def model_schedule(self) -> DataFrame:
+        """The model a family activates per quarter: the one of the strongest score on the quarter's first date."""
+        day = self.model_signals().groupBy("family_id", "decision_date").agg(F.max_by("model_id", F.struct("score", -F.col("ticker"), -F.ascii("model_id"))).alias("model_id"))
+        quarter = F.trunc("decision_date", "quarter").alias("_q")
+        return day.groupBy("family_id", quarter).agg(F.min("decision_date").alias("activation_date"), F.min_by("model_id", "decision_date").alias("model_id")).drop("_q")
+
     def outcomes(self, horizon: int = 4) -> DataFrame:
         from chronopanel.operators.outcomes import realized_outcomes
         self.share("prices")

@@ -62,13 +62,13 @@ def a4(r):
     return sf.treatment_summary(cells, "treatment", "N", 49)
 
 
-A5_FOLDS = """f AS (SELECT h, fold, avg(cagr_excess) AS cagr_excess, CAST(sum(CASE WHEN d % 2 = 0 THEN trade_count ELSE 0 END) AS BIGINT) AS trade_count, avg(cagr_excess) AS total_return, -avg(turnover) / 20 AS bench_return
+A5_FOLDS = """f AS (SELECT h, fold, avg(cagr_excess) AS cagr_excess, CAST(sum(trade_count) AS BIGINT) AS trade_count, avg(cagr_excess) AS total_return, -avg(turnover) / 20 AS bench_return
               FROM x_surf GROUP BY 1, 2)"""
 
 
 def outer_folds(r):
     return r.surface().groupBy("h", "fold").agg(
-        F.avg("cagr_excess").alias("cagr_excess"), F.sum(F.when(F.col("d") % 2 == 0, F.col("trade_count")).otherwise(0)).alias("trade_count"),
+        F.avg("cagr_excess").alias("cagr_excess"), F.sum("trade_count").alias("trade_count"),
         F.avg("cagr_excess").alias("total_return"), (-F.avg("turnover") / 20).alias("bench_return"))
 
 

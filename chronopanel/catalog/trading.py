@@ -144,13 +144,13 @@ def r7(r):
 
 
 @query("r8_activation_funnel", f"""
-WITH q AS (SELECT CAST(date_trunc('quarter', decision_date) AS DATE) AS fold_id, * FROM x_signals), e AS (SELECT CAST(date_trunc('quarter', entry_date) AS DATE) AS fold_id, count(*) AS entries FROM x_trades WHERE hold > 10 GROUP BY 1)
+WITH q AS (SELECT CAST(date_trunc('quarter', decision_date) AS DATE) AS fold_id, * FROM x_signals), e AS (SELECT CAST(date_trunc('quarter', entry_date) AS DATE) AS fold_id, count(*) AS entries FROM x_trades GROUP BY 1)
 SELECT fold_id, count(DISTINCT decision_date) AS prediction_days, count(DISTINCT CASE WHEN score >= 1.02 THEN decision_date END) AS days_above, {R('count(DISTINCT CASE WHEN score >= 1.02 THEN decision_date END) / count(DISTINCT decision_date)')} AS activation_fraction,
  count(DISTINCT CASE WHEN score >= 1.02 THEN ticker END) AS tickers_above, coalesce(any_value(entries), 0) AS entries, CASE WHEN coalesce(any_value(entries), 0) > 0 THEN 'ACTIVE_FOLD' WHEN count(*) FILTER (score >= 1.02) = 0 THEN 'NO_SCORE_ABOVE_THRESHOLD' ELSE 'OTHER' END AS reason FROM q LEFT JOIN e USING (fold_id) GROUP BY 1""")
 def r8(r):
     r.share("signals")
     from chronopanel.plans.performance import activation_funnel
-    entries = r.trades().where("hold > 10").groupBy(F.trunc("entry_date", "quarter").alias("fold_id")).agg(F.count(F.lit(1)).alias("entries"))
+    entries = r.trades().groupBy(F.trunc("entry_date", "quarter").alias("fold_id")).agg(F.count(F.lit(1)).alias("entries"))
     return activation_funnel(r.signals().withColumn("fold_id", F.trunc("decision_date", "quarter")), entries, 1.02)
 
 

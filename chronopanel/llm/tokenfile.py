@@ -19,6 +19,7 @@ import functools
 import re
 import struct
 import zlib
+from itertools import repeat
 
 import numpy as np
 import public_tokenizers
@@ -32,7 +33,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 from chronopanel.llm.common import column, map_batches
 from chronopanel.session import scratch_path
 
-VOCABULARY, END_ID, MAX_PARTS, SLICE_ROWS = "byte_bpe_50k.json", 2, 300_000, 1_500
+VOCABULARY, END_ID, MAX_PARTS, SLICE_ROWS = "byte_bpe_50k.json", 2, 600_000, 1_500
 NO_CUT = re.compile(r" (?=\s|\Z)")
 MARKS = ",.;:!?|*$%&#)"
 #: Byte-level vocabularies write visible Latin-1 bytes as themselves and the others, in order, from U+0100 on.
@@ -47,16 +48,21 @@ LAYOUT = {"parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 1
 class PartEncoder:
     """Token ids of whole texts through the ``tokenizers`` library, remembering the parts between cuts.
 
-    Parts are kept in two generations of ``MAX_PARTS`` each: what the older one holds moves up when it is met again,
-    and the older one is dropped when the younger is full.
+    A known part is a number; the ids of all of them lie in one growing pool, with a start and a size per number. Parts that follow
+    a space are known without it, apart from those that begin a text. All is forgotten at ``MAX_PARTS``.
     """
 
     def __init__(self, vocabulary: str = VOCABULARY):
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.direct = self.tokenizer.normalizer is None and isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.spaced: dict[str, int] = {}
+        self.first: dict[str, int] = {}
+        self.pool, self.starts, self.sizes = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = self.count = 0
 
     @staticmethod
     def parts(text: str) -> list[str]:
@@ -76,47 +82,55 @@ class PartEncoder:
     def encode(self, texts: list[str], end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(sizes, ids): the number of ids of each text with its end id, and all ids one after another.
 
-        Parts are found and numbered by Arrow, so Python handles each distinct part of a slice once. Texts that spell a special
+        Parts are found and numbered by Arrow, so Python looks each distinct part of a slice up once. Texts that spell a special
         token, or hold a space that is no cut, are cut one by one.
         """
+        if len(self.spaced) + len(self.first) > MAX_PARTS:
+            self.clear()
         plain = [not (any(s in t for s in self.special) or NO_CUT.search(t)) for t in texts]
         split = pc.split_pattern(pa.array([t if ok else "" for t, ok in zip(texts, plain, strict=True)], pa.large_string()), " ")
         numbered = split.flatten().dictionary_encode()
-        numbers, names, at = numbered.indices.to_numpy(), numbered.dictionary.to_pylist(), split.offsets.to_numpy()
-        # one entry for each distinct part with its space, then the first part of each text (which has none) and the end
-        odd = [k for k, ok in enumerate(plain) if not ok]
-        first = [t.split(" ", 1)[0] if ok else "" for t, ok in zip(texts, plain, strict=True)]
-        special = {k: any(s in texts[k] for s in self.special) for k in odd}
-        whole = {k: [] if special[k] else self.parts(texts[k]) for k in odd}
-        every = [" " + n for n in names] + first
-        tails = [""] * len(every)
-        for k, p in enumerate(every):
-            if p and not p[-1].isalnum():               # as in marks_apart
-                bare = p.rstrip(MARKS)
-                if bare and len(bare) < len(p) and bare[-1].isalnum():
-                    every[k], tails[k] = bare, p[len(bare):]
-        coded = list(map(self.known.get, every))
-        missing = [k for k, c in enumerate(coded) if c is None]
-        self._learn({every[k] for k in missing} | {p for p in {*tails, *(p for pieces in whole.values() for p in pieces)} if p not in self.known})
-        known = self.known
-        for k in missing:
-            coded[k] = known[every[k]]
-        coded = [c + known[t] if t else c for c, t in zip(coded, tails, strict=True)]
-        for k in odd:                                   # the odd texts come whole, in the place of their first part
-            coded[len(names) + k] = self._plain([texts[k]])[0] if special[k] else b"".join([known[p] for p in whole[k]])
-        coded.append(struct.pack("<I", end_id))
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        pool, starts = np.frombuffer(b"".join(coded), "<u4"), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        numbers = numbers.astype(np.int64)
-        numbers[at[:-1]] = len(names) + np.arange(len(texts))
-        order = np.insert(numbers, at[1:], len(coded) - 1)
-        n = sizes[order]
-        shift = starts[order] - (np.cumsum(n) - n)
-        ids = pool[np.repeat(shift, n) + np.arange(n.sum())]
-        if len(known) > MAX_PARTS:
-            self.older, self.known = known, {}
+        at = split.offsets.to_numpy()
+        numbers = self._numbers(self.spaced, numbered.dictionary.to_pylist(), " ")[numbered.indices.to_numpy()]
+        numbers[at[:-1]] = self._numbers(self.first, [t.split(" ", 1)[0] if ok else "" for t, ok in zip(texts, plain, strict=True)], "")
+        odd = {k: self._odd(texts[k]) for k, ok in enumerate(plain) if not ok}
+        kept = self.used, self.count
+        numbers[at[[*odd]]] = self._add([*odd.values()])                # odd texts come whole, in the place of their first part
+        order = np.insert(numbers, at[1:], self._add([struct.pack("<I", end_id)])[0])
+        n = self.sizes[order]
+        shift = self.starts[order] - (np.cumsum(n) - n)
+        ids = self.pool[np.repeat(shift, n) + np.arange(n.sum())]
+        self.used, self.count = kept
         return np.add.reduceat(n, at[:-1] + np.arange(len(texts))), ids
 
+    def _add(self, coded: list[bytes]) -> np.ndarray:
+        """Numbers of new entries of the pool."""
+        ids, sizes = np.frombuffer(b"".join(coded), "<u4"), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        room = lambda x, n: x if n <= len(x) else np.concatenate([x, np.zeros(max(len(x), n - len(x)), x.dtype)])
+        used, count = self.used + len(ids), self.count + len(coded)
+        self.pool, self.starts, self.sizes = room(self.pool, used), room(self.starts, count), room(self.sizes, count)
+        self.pool[self.used:used], self.sizes[self.count:count] = ids, sizes
+        self.starts[self.count:count] = self.used + np.cumsum(sizes) - sizes
+        out = np.arange(self.count, count)
+        self.used, self.count = used, count
+        return out
+
+    def _numbers(self, known: dict[str, int], names: list[str], space: str) -> np.ndarray:
+        """Numbers of parts, each ``space`` and a name; new ones are encoded."""
+        out = np.fromiter(map(known.get, names, repeat(-1)), np.int64, len(names))
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            new = list(dict.fromkeys(names[k] for k in missing))
+            known.update(zip(new, self._add(self._learn([space + n for n in new])).tolist(), strict=True))
+            out[missing] = [known[names[k]] for k in missing]
+        return out
+
+    def _odd(self, text: str) -> bytes:
+        """Ids of a text with special tokens, or with spaces that are no cuts."""
+        if any(s in text for s in self.special):
+            return self._plain([text])[0]
+        return b"".join(self._learn(self.parts(text)))
+
     @staticmethod
     def marks_apart(part: str) -> tuple[str, ...]:
         """A part and its last marks: after a letter or digit they are a token group of their own."""
@@ -129,22 +143,24 @@ class PartEncoder:
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(c.ids)}I", *c.ids) for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: set[str]) -> None:
-        """Takes new parts over from the older generation or encodes them; a word of letters goes straight to the merge model."""
-        known = self.known
-        again = self.older.keys() & new
-        known.update((p, self.older[p]) for p in again)
-        rest, others, merge = new - again, [], self.tokenizer.model.tokenize
-        for p in rest:
-            if self.direct and (p[1:] if p[:1] == " " else p).isalpha():
+    def _learn(self, new: list[str]) -> list[bytes]:
+        """Ids of parts; a word of letters goes straight to the merge model, marks after it are encoded once."""
+        pieces = [self.marks_apart(p) for p in new]
+        coded, others, merge = {}, [], self.tokenizer.model.tokenize
+        for p in {x for group in pieces for x in group}:
+            known = self.spaced.get(p[1:]) if p[:1] == " " else self.first.get(p)
+            if known is not None:
+                coded[p] = self.pool[self.starts[known]:self.starts[known] + self.sizes[known]].tobytes()
+            elif self.direct and (p[1:] if p[:1] == " " else p).isalpha():
                 chars = p.replace(" ", SPACE) if p.isascii() else p.encode().decode("latin-1").translate(BYTE_CHARS)
                 ids = [t.id for t in merge(chars)]
-                known[p] = struct.pack(f"<{len(ids)}I", *ids)
+                coded[p] = struct.pack(f"<{len(ids)}I", *ids)
             else:
                 others.append(p)
         for start in range(0, len(others), 4096):
             part = others[start:start + 4096]
-            known.update(zip(part, self._plain(part), strict=True))
+            coded.update(zip(part, self._plain(part), strict=True))
+        return [coded[g[0]] if len(g) == 1 else coded[g[0]] + coded[g[1]] for g in pieces]
 
 
 @functools.cache
@@ -175,12 +191,16 @@ def write_tokens(docs: DataFrame, path: str, partitions: int | None = None, id_c
     map_batches(ordered, build, "doc_id long, chunk int, local_start long, n_tokens long, ids array<int>", rows=SLICE_ROWS).write.options(**LAYOUT).parquet(path)
 
 
+def chunk_starts(rows: DataFrame) -> DataFrame:
+    """``(chunk, before)``: the ids of all chunks before it, from one row per part file."""
+    ends = rows.groupBy("chunk").agg(F.sum("n_tokens").alias("size"))
+    return ends.select("chunk", F.coalesce(F.sum("size").over(W.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+
+
 def token_metadata(spark: SparkSession, path: str) -> DataFrame:
     """``(doc_id, chunk, local_start, n_tokens, start)`` without reading any ids."""
     rows = spark.read.parquet(path).select("doc_id", "chunk", "local_start", "n_tokens")
-    ends = rows.groupBy("chunk").agg(F.sum("n_tokens").alias("size"))                       # one row per part file
-    before = F.sum("size").over(W.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1))
-    return rows.join(ends.select("chunk", F.coalesce(before, F.lit(0)).alias("before")), "chunk").select("*", (F.col("before") + F.col("local_start")).alias("start")).drop("before")
+    return rows.join(chunk_starts(rows), "chunk").select("*", (F.col("before") + F.col("local_start")).alias("start")).drop("before")
 
 
 def read_tokens(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
@@ -208,8 +228,7 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
         return step
 
     read = map_batches(read_tokens(spark, path), build, "doc_id long, chunk int, local_start long, n_tokens long, ids_crc32 long")
-    chunks = token_metadata(spark, path).groupBy("chunk").agg(F.min(F.col("start") - F.col("local_start")).alias("before"))
-    return read.join(chunks, "chunk").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    return read.join(chunk_starts(spark.read.parquet(path)), "chunk").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_file(docs: DataFrame, path: str | None = None, **options) -> DataFrame:

@@ -11,6 +11,7 @@ from chronopanel.catalog.timeseries import METRICS, PATH
 from chronopanel.functions.rounding import rnd
 from chronopanel.functions.stats import median, quantile, share
 from chronopanel.operators import trades as tr
+from chronopanel.operators.gates import entry_candidates
 from chronopanel.operators.joins import authoritative_signals
 from chronopanel.plans import evidence as pe
 from chronopanel.session import stage
@@ -72,14 +73,17 @@ held AS (SELECT t.trade_id, t.ticker, t.ei, t.xi, p.idx, p.open, p.close, p.high
 
 @query("r2_path_exits", f"""
 WITH {HELD}, x AS (SELECT h.*, h.close / e.open / (b.close / be.open) - 1 AS ex FROM held h JOIN held e ON e.trade_id = h.trade_id AND e.idx = e.ei JOIN bs b ON b.idx = h.idx JOIN bs be ON be.idx = h.ei WHERE h.idx < h.xi),
-y AS (SELECT *, greatest(0, max(ex) OVER (PARTITION BY trade_id ORDER BY idx)) AS pk FROM x),
-g AS (SELECT trade_id, ticker, ei, xi, min(CASE WHEN ex <= -0.1 THEN idx END) AS h1, min(CASE WHEN ex <= pk - 0.15 THEN idx END) AS h2, min(CASE WHEN ex >= 0.12 THEN idx END) AS h3 FROM y GROUP BY 1, 2, 3, 4),
-l AS (SELECT *, 'RELATIVE_STOP_10' AS rule, h1 AS hit FROM g UNION ALL SELECT *, 'TRAILING_15', h2 FROM g UNION ALL SELECT *, 'TAKE_PROFIT_12', h3 FROM g)
+v AS (SELECT s.idx, k.ticker FROM (SELECT *, row_number() OVER (PARTITION BY decision_date ORDER BY score DESC, ticker) AS rn, count(*) OVER (PARTITION BY decision_date) AS n FROM x_signals) k JOIN x_sessions s ON s.date = k.decision_date
+  WHERE rn <= least(40, greatest(1, ceil(n * 0.5))) AND score >= 0.6),
+y AS (SELECT x.*, v.ticker AS picked, greatest(0, max(ex) OVER (PARTITION BY trade_id ORDER BY x.idx)) AS pk FROM x LEFT JOIN v ON v.ticker = x.ticker AND v.idx = x.idx),
+g AS (SELECT trade_id, ticker, ei, xi, min(CASE WHEN picked IS NULL THEN idx END) AS h4, min(CASE WHEN ex <= -0.1 THEN idx END) AS h1, min(CASE WHEN ex <= pk - 0.15 THEN idx END) AS h2, min(CASE WHEN ex >= 0.12 THEN idx END) AS h3 FROM y GROUP BY 1, 2, 3, 4),
+l AS (SELECT *, 'RELATIVE_STOP_10' AS rule, h1 AS hit FROM g UNION ALL SELECT *, 'TRAILING_15', h2 FROM g UNION ALL SELECT *, 'TAKE_PROFIT_12', h3 FROM g UNION ALL SELECT *, 'SIGNAL_DECAY', h4 FROM g)
 SELECT trade_id, ticker, rule, coalesce(hit, xi - 1) - ei + 1 AS held_sessions, hit IS NOT NULL AS early FROM l""")
 def r2(r):
     r.share("prices", "trades")
-    rules = {"RELATIVE_STOP_10": ("RELATIVE_STOP", -0.1), "TRAILING_15": ("TRAILING", 0.15), "TAKE_PROFIT_12": ("TAKE_PROFIT", 0.12)}
-    return tr.path_exits(r.trades(), r.prices(), r.bench(), r.sessions(), rules).select("trade_id", "ticker", "rule", "held_sessions", "early")
+    rules = {"RELATIVE_STOP_10": ("RELATIVE_STOP", -0.1), "TRAILING_15": ("TRAILING", 0.15), "TAKE_PROFIT_12": ("TAKE_PROFIT", 0.12), "SIGNAL_DECAY": ("SIGNAL_DECAY", 0.0)}
+    valid = entry_candidates(r.signals(), 0.6, 0.5, 40)
+    return tr.path_exits(r.trades(), r.prices(), r.bench(), r.sessions(), rules, valid).select("trade_id", "ticker", "rule", "held_sessions", "early")
 
 
 SPECS = [{"id": "HARD_10", "hard": 0.10, "min_hold": 2}, {"id": "TRAIL_12", "trail": 0.12, "min_hold": 2}, {"id": "ATR_1", "atr": 1.0, "min_hold": 1}, {"id": "COMBINED", "hard": 0.12, "trail": 0.15, "atr": 1.0, "min_hold": 5}]

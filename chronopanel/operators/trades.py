@@ -43,11 +43,11 @@ def next_open_trades(signals: DataFrame, prices: DataFrame, bench: DataFrame, se
             .withColumn("net_return", gross * (1 - side) * (1 - side) - 1))
 
 
-def path_exits(trades: DataFrame, prices: DataFrame, bench: DataFrame, sessions: DataFrame, rules: dict[str, tuple[str, float]]) -> DataFrame:
+def path_exits(trades: DataFrame, prices: DataFrame, bench: DataFrame, sessions: DataFrame, rules: dict[str, tuple[str, float]], valid: DataFrame | None = None) -> DataFrame:
     """First held session meeting each rule, else the planned last session.
 
-    Rules: RELATIVE_STOP (excess <= x), TRAILING (excess <= peak excess - x), TAKE_PROFIT (excess >= x). The held path is
-    at most the holding length, so its window is short.
+    Rules: RELATIVE_STOP (excess <= x), TRAILING (excess <= peak excess - x), TAKE_PROFIT (excess >= x), SIGNAL_DECAY (the name is
+    not among the day's ``valid`` picks: decision_date, ticker). The held path is at most the holding length, so its window is short.
     """
     path = position_sessions(trades, prices, sessions)
     entry = path.where("is_entry").select("trade_id", F.col("open").alias("entry_open"))
@@ -58,8 +58,11 @@ def path_exits(trades: DataFrame, prices: DataFrame, bench: DataFrame, sessions:
          .withColumn("excess", F.col("close") / F.col("entry_open") / (F.col("bench_close") / F.col("bench_open")) - 1))
     w = Window.partitionBy("trade_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumn("peak", F.greatest(F.lit(0.0), F.max("excess").over(w)))
+    if valid is not None:
+        picks = valid.select("decision_date", "ticker").distinct().join(sessions.select(F.col("date").alias("decision_date"), "idx"), "decision_date")
+        x = x.join(picks.select("ticker", "idx", F.lit(True).alias("picked")), ["ticker", "idx"], "left")
     test = {"RELATIVE_STOP": lambda v: F.col("excess") <= v, "TRAILING": lambda v: F.col("excess") <= F.col("peak") - v,
-            "TAKE_PROFIT": lambda v: F.col("excess") >= v}
+            "TAKE_PROFIT": lambda v: F.col("excess") >= v, "SIGNAL_DECAY": lambda v: F.col("picked").isNull()}
     hits = [F.struct(F.lit(n).alias("rule"), F.min(F.when(test[kind](v), F.col("idx"))).alias("hit")) for n, (kind, v) in rules.items()]
     out = x.groupBy("trade_id", "ticker", "entry_idx", "exit_idx").agg(F.array(*hits).alias("_h"))
     return out.select("trade_id", "ticker", F.inline("_h"), "entry_idx", "exit_idx").withColumn(

@@ -201,7 +201,7 @@ def likely(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
     grid = lambda batch, name: np.frombuffer(b"".join(column(batch, name).to_pylist()), np.uint8).reshape(-1, 64)
     number = lambda batch, name: column(batch, name).to_numpy()
     keep = lambda batch: may_share(grid(batch, "s_a"), grid(batch, "s_b"), number(batch, "n_a"), number(batch, "n_b"))
-    return filter_batches(pairs.join(side("a"), "a").join(side("b"), "b"), lambda: keep).select("a", "b")
+    return filter_batches(pairs.join(side("a"), "a").join(side("b"), "b"), lambda: keep).select(*pairs.columns)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, named: DataFrame, by: list[str], text_col: str) -> DataFrame:
@@ -232,17 +232,22 @@ def verified(pairs: DataFrame, sets: DataFrame, named: DataFrame, by: list[str],
 def similar_links(chosen: DataFrame, sets: DataFrame, named: DataFrame, by: list[str], text_col: str) -> DataFrame:
     """Links ``(a, b)`` whose components are those of all pairs of sets at similarity 0.8 or more.
 
-    Each list of a shingle first links its members to its smallest one, a member to one such head; so a dense group becomes
-    one component by links in proportion to its members. Then all pairs of a list that are not in one component yet are
+    Each list of a shingle has a head, the member whose shingles most others hold: of a text and its many edits that is the text
+    itself, near to all of them while they are far from each other. A member is first compared with one head, the best of its
+    lists; so a dense group becomes one component by links in proportion to its members. Then all pairs of a list that are not in one component yet are
     compared. A pair in one component needs no link of its own.
     """
     lists = chosen.where("n > 0").select("sid", "n", F.posexplode("prefix").alias("pos", "shingle"))
-    heads = lists.groupBy("shingle").agg(F.count("*").alias("many"), F.min(F.struct("sid", "n", "pos")).alias("head")).where("many > 1").select("shingle", "head")
-    shared = stage(lists.join(heads, "shingle").select("shingle", "sid", "n", "pos", F.col("head.sid").alias("head"), F.col("head.n").alias("head_n"), F.col("head.pos").alias("head_pos")), "shingle-lists")
+    sizes = lists.groupBy("shingle").agg(F.count("*").alias("many")).where("many > 1")
+    shared = stage(lists.join(sizes, "shingle").select("shingle", "sid", "n", "pos", "many"), "shingle-lists")
+    known = shared.join(shared.groupBy("sid").agg(F.sum("many").alias("pop")), "sid")
+    heads = known.groupBy("shingle").agg(F.max(F.struct("pop", (-F.col("sid")).alias("minus"), "n", "pos")).alias("head"))
+    met = known.join(heads, "shingle").select("sid", "n", "pos", F.col("head.pop").alias("rank"), (-F.col("head.minus")).alias("head"), F.col("head.n").alias("head_n"), F.col("head.pos").alias("head_pos"))
     # at the first shingle that two sets share, no more can be shared than what follows it in both
     enough = lambda n, pos, m, at: similar_sizes(n, m) & (9 * F.least(n - pos, m - at) >= 4 * (n + m))
-    stars = shared.where((F.col("head") < F.col("sid")) & enough(F.col("n"), F.col("pos"), F.col("head_n"), F.col("head_pos"))).select(F.col("head").alias("a"), F.col("sid").alias("b")).distinct()
-    first = stage(verified(likely(stars, chosen).groupBy("b").agg(F.min("a").alias("a")), sets, named, by, text_col), "shingle-links")
+    stars = met.where((F.col("head") != F.col("sid")) & enough(F.col("n"), F.col("pos"), F.col("head_n"), F.col("head_pos"))).select(F.col("head").alias("a"), F.col("sid").alias("b"), "rank").distinct()
+    one = likely(stars, chosen).groupBy("b").agg(F.max_by("a", F.struct("rank", (-F.col("a")).alias("minus"))).alias("a"))
+    first = stage(verified(one.select("a", "b"), sets, named, by, text_col), "shingle-links")
     rooted = shared.join(star_components(first), F.col("sid") == F.col("node"), "left").select("shingle", "pos", "sid", "n", F.coalesce("root", "sid").alias("root"))
     rooted = stage(rooted, "shingle-roots")
     mixed = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")

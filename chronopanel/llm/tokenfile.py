@@ -33,7 +33,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 from chronopanel.llm.common import column, map_batches
 from chronopanel.session import scratch_path
 
-VOCABULARY, END_ID, MAX_PARTS, SLICE_ROWS = "byte_bpe_50k.json", 2, 600_000, 1_500
+VOCABULARY, END_ID, MAX_PARTS, SLICE_ROWS = "byte_bpe_50k.json", 2, 1_000_000, 1_500
 NO_CUT = re.compile(r" (?=\s|\Z)")
 MARKS = ",.;:!?|*$%&#)"
 #: Byte-level vocabularies write visible Latin-1 bytes as themselves and the others, in order, from U+0100 on.
@@ -49,21 +49,33 @@ class PartEncoder:
     """Token ids of whole texts through the ``tokenizers`` library, remembering the parts between cuts.
 
     A known part is a number; the ids of all of them lie in one growing pool, with a start and a size per number. Parts that follow
-    a space are known without it, apart from those that begin a text. All is forgotten at ``MAX_PARTS``.
+    a space are known without it, apart from those that begin a text. At ``MAX_PARTS`` those that no second slice has met are
+    forgotten, and the others have to be met again.
     """
 
     def __init__(self, vocabulary: str = VOCABULARY):
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.direct = self.tokenizer.normalizer is None and isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel)
-        self.clear()
-
-    def clear(self) -> None:
         self.spaced: dict[str, int] = {}
         self.first: dict[str, int] = {}
         self.pool, self.starts, self.sizes = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.hits = np.zeros(1 << 14, np.int64)
         self.used = self.count = 0
 
+    def forget(self) -> None:
+        """Keeps the parts that two slices have met; if they are over half of ``MAX_PARTS``, none."""
+        keep = np.flatnonzero(self.hits[:self.count] > 1)
+        keep = keep if len(keep) <= MAX_PARTS // 2 else keep[:0]
+        place = np.full(self.count, -1, np.int64)
+        place[keep] = np.arange(len(keep))
+        sizes = self.sizes[keep]
+        shift = self.starts[keep] - (np.cumsum(sizes) - sizes)
+        pool = self.pool[np.repeat(shift, sizes) + np.arange(sizes.sum())]
+        self.spaced, self.first = ({p: int(place[k]) for p, k in known.items() if place[k] >= 0} for known in (self.spaced, self.first))
+        self.pool, self.starts, self.sizes, self.hits = pool, np.cumsum(sizes) - sizes, sizes, np.zeros(len(keep), np.int64)
+        self.used, self.count = len(pool), len(keep)
+
     @staticmethod
     def parts(text: str) -> list[str]:
         """Pieces that join to ``text``, which must spell no special token, and encode alone as they do in place."""
@@ -86,7 +98,7 @@ class PartEncoder:
         token, or hold a space that is no cut, are cut one by one.
         """
         if len(self.spaced) + len(self.first) > MAX_PARTS:
-            self.clear()
+            self.forget()
         plain = [not (any(s in t for s in self.special) or NO_CUT.search(t)) for t in texts]
         split = pc.split_pattern(pa.array([t if ok else "" for t, ok in zip(texts, plain, strict=True)], pa.large_string()), " ")
         numbered = split.flatten().dictionary_encode()
@@ -108,7 +120,8 @@ class PartEncoder:
         ids, sizes = np.frombuffer(b"".join(coded), "<u4"), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
         room = lambda x, n: x if n <= len(x) else np.concatenate([x, np.zeros(max(len(x), n - len(x)), x.dtype)])
         used, count = self.used + len(ids), self.count + len(coded)
-        self.pool, self.starts, self.sizes = room(self.pool, used), room(self.starts, count), room(self.sizes, count)
+        self.pool, self.starts, self.sizes, self.hits = room(self.pool, used), room(self.starts, count), room(self.sizes, count), room(self.hits, count)
+        self.hits[self.count:count] = 0
         self.pool[self.used:used], self.sizes[self.count:count] = ids, sizes
         self.starts[self.count:count] = self.used + np.cumsum(sizes) - sizes
         out = np.arange(self.count, count)
@@ -123,6 +136,7 @@ class PartEncoder:
             new = list(dict.fromkeys(names[k] for k in missing))
             known.update(zip(new, self._add(self._learn([space + n for n in new])).tolist(), strict=True))
             out[missing] = [known[names[k]] for k in missing]
+        self.hits[np.unique(out) if space == "" else out] += 1
         return out
 
     def _odd(self, text: str) -> bytes:

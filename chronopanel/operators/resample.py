@@ -47,8 +47,9 @@ def block_samples(series: DataFrame, keys: Sequence[str], values: Sequence[str],
 
 def iid_samples(series: DataFrame, keys: Sequence[str], values: Sequence[str], *, reps: int, seed: int) -> DataFrame:
     size = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    d = (size.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-         .withColumn("pos", draw(F.col("n"), F.lit(seed), F.col("rep"), F.col("i"))))
+    tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))       # a given number: adaptive plans would join these few rows to one task again
+    spread = size.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).repartition(tasks, *keys, "rep")
+    d = spread.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).withColumn("pos", draw(F.col("n"), F.lit(seed), F.col("rep"), F.col("i")))
     return d.select(*keys, "rep", "pos").join(series, [*keys, "pos"]).select(*keys, "rep", *values)
 
 

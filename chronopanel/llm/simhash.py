@@ -8,10 +8,11 @@ exactly if it meets in a list. Where two fingerprints meet, the tally of shared
 position tells whether this is the first list they share, so a pair is counted once; pairs under the minimum never
 meet. The exact bit distance then verifies each pair inside the join, before any row leaves it.
 
-The pipeline's stage (``one_of_each_group``) has another contract: five-word shingles and a similarity of 0.8 or more, at
-which fingerprints differ by 7 to 10 bits, beyond what postings of a 64-bit SimHash can tell from chance. It lists
-documents by the shingles of a prefix of their sets, where every such pair meets, drops pairs that positions, sizes or
-bucket counts exclude, and verifies the rest on whole sets.
+The pipeline's stage (``one_of_each_group``) links by the same index: fingerprints of five-word shingles meet in the postings, and
+a link holds where the whole sets have a similarity of 0.8 or more. At just that similarity fingerprints differ by 7 to 10 bits,
+beyond what postings of 64 bits can tell from chance, so an exact way covers the rest: documents that are not in one
+component by then meet by the shingles of a prefix of their sets, where every such pair meets; positions, sizes or bucket
+counts exclude pairs, and the others are verified on whole sets.
 
 Defined cases: a null or word-free text has fingerprint zero; texts under four words give one shingle; repeated rows and
 repeated ids keep one output row each; a null id never names a group (a group of null ids only has a null id); an empty
@@ -229,10 +230,20 @@ def verified(pairs: DataFrame, sets: DataFrame, named: DataFrame, by: list[str],
     return filter_batches(both.select("a", "b", "s_a", "s_b"), lambda: same, ROWS).select("a", "b").distinct()
 
 
+def fingerprint_candidates(chosen: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of set numbers by the inverted index: each fingerprint with its nearest linked smaller one, and sets of one fingerprint with their least."""
+    prints = stage(chosen.where("n > 0").groupBy("fp").agg(F.min("sid").alias("least")), "shingle-fingerprints")
+    near = near_links(prints.select("fp")).groupBy("b").agg(F.min_by("a", F.struct(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("bits"), "a")).alias("a"))
+    side = lambda name: prints.select(F.col("fp").alias(name), F.col("least").alias(f"least_{name}"))
+    across = near.join(side("a"), "a").join(side("b"), "b").select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
+    within = chosen.where("n > 0").select("sid", "fp").join(prints, "fp").where("sid <> least").select(F.col("least").alias("a"), F.col("sid").alias("b"))
+    return across.union(within)
+
+
 def similar_links(chosen: DataFrame, sets: DataFrame, named: DataFrame, by: list[str], text_col: str) -> DataFrame:
     """Links ``(a, b)`` whose components are those of all pairs of sets at similarity 0.8 or more.
 
-    Each list of a shingle has a head, the member whose shingles most others hold: of a text and its many edits that is the text
+    Candidates of the fingerprint index come first (``fingerprint_candidates``). Each list of a shingle has a head, the member whose shingles most others hold: of a text and its many edits that is the text
     itself, near to all of them while they are far from each other. A member is first compared with one head, the best of its
     lists; so a dense group becomes one component by links in proportion to its members. Then all pairs of a list that are not in one component yet are
     compared. A pair in one component needs no link of its own.
@@ -247,7 +258,8 @@ def similar_links(chosen: DataFrame, sets: DataFrame, named: DataFrame, by: list
     enough = lambda n, pos, m, at: similar_sizes(n, m) & (9 * F.least(n - pos, m - at) >= 4 * (n + m))
     stars = met.where((F.col("head") != F.col("sid")) & enough(F.col("n"), F.col("pos"), F.col("head_n"), F.col("head_pos"))).select(F.col("head").alias("a"), F.col("sid").alias("b"), "rank").distinct()
     one = likely(stars, chosen).groupBy("b").agg(F.max_by("a", F.struct("rank", (-F.col("a")).alias("minus"))).alias("a"))
-    first = stage(verified(one.select("a", "b"), sets, named, by, text_col), "shingle-links")
+    asked = likely(fingerprint_candidates(chosen), chosen).union(one.select("a", "b")).distinct()
+    first = stage(verified(asked, sets, named, by, text_col), "shingle-links")
     rooted = shared.join(star_components(first), F.col("sid") == F.col("node"), "left").select("shingle", "pos", "sid", "n", F.coalesce("root", "sid").alias("root"))
     rooted = stage(rooted, "shingle-roots")
     mixed = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
@@ -281,14 +293,15 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         def step(batch):
             found = [shingle_set(t) for t in texts(batch, text_col)]
             return {"i": column(batch, own[0]), "h": column(batch, own[1]), "prefix": pa.array([prefix(s, common) for s in found], pa.list_(pa.int64())),
-                    "sketch": pa.array([sketch(s) for s in found], pa.binary())}
+                    "sketch": pa.array([sketch(s) for s in found], pa.binary()),
+                    "fp": pa.array(np.array([fingerprint(t, STAGE_SHINGLE) for t in texts(batch, text_col)], np.uint64).view(np.int64))}
         return step
 
     with arrow_rows(docs.sparkSession, ROWS):
         rows = named.select(*own[:2], text_col)
         equal = map_batches(rows, keys, "i long, h long, key long, n long", ROWS).groupBy("key").agg(F.min(F.struct("i", "h")).alias("least"), F.any_value("n").alias("n"))
         sets = stage(equal.select(F.monotonically_increasing_id().alias("sid"), "least.*", "n"), "shingle-keys")
-        chosen = stage(map_batches(rows, parts, "i long, h long, prefix array<long>, sketch binary", ROWS).join(sets, ["i", "h"]).select("sid", "n", "prefix", "sketch"), "shingle-prefixes")
+        chosen = stage(map_batches(rows, parts, "i long, h long, prefix array<long>, sketch binary, fp long", ROWS).join(sets, ["i", "h"]).select("sid", "n", "prefix", "sketch", "fp"), "shingle-prefixes")
         roots = star_components(similar_links(chosen, sets, named, own[:2], text_col))
     names = F.struct(F.col("i").alias(own[0]), F.col("h").alias(own[1]))
     best = sets.select("sid", names.alias("least")).join(roots, F.col("sid") == F.col("node"), "left").groupBy(F.coalesce("root", "sid")).agg(F.min("least").alias("k")).select("k.*").distinct()

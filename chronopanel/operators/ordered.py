@@ -24,9 +24,13 @@ def with_range(counts: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     points = [i / RANGES for i in range(1, RANGES)]
     step = F.greatest(F.lit(1), F.floor(F.lit(RANGES) / F.ceil(F.col("_levels") / RANGE_ROWS))).cast("int")
     cuts = (counts.groupBy(*by) if by else counts).agg(F.percentile_approx(value, points, 4 * RANGES).alias("_points"), F.count(F.lit(1)).alias("_levels"))
-    cuts = cuts.select(*by, F.when(F.col("_levels") > RANGE_ROWS, F.filter("_points", lambda x, i: (i + 1) % step == 0)).alias("_cuts"))
-    marked = counts.join(cuts, by) if by else counts.join(F.broadcast(cuts), F.lit(True))          # one row without ``by``
-    return marked.withColumn("_range", F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col(value))))).drop("_cuts")
+    # only groups of over RANGE_ROWS values have cuts, so their table is small whatever the number of groups and no row moves to meet it
+    cuts = cuts.where(F.col("_levels") > RANGE_ROWS).select(*by, F.filter("_points", lambda x, i: (i + 1) % step == 0).alias("_cuts"))
+    marked = counts.join(F.broadcast(cuts), by or F.lit(True), "left")
+    # the number of cuts below the value, by halving steps: cuts ascend
+    steps = F.array(*[F.lit(RANGES >> k) for k in range(1, RANGES.bit_length())])
+    below = F.aggregate(steps, F.lit(0), lambda at, more: F.when(F.get("_cuts", at + more - 1) < F.col(value), at + more).otherwise(at))
+    return marked.withColumn("_range", F.when(F.col("_cuts").isNull(), 0).otherwise(below)).drop("_cuts")
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:

@@ -96,7 +96,8 @@ def near_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     tally = shared_bytes(F.call_function("shiftleft", differ, F.col("a.above"))) - F.col("a.above") / 8
     # ``above`` follows from the mask; both sides carry it so that one exchange serves both
     meets = (F.col("a.mask") == F.col("b.mask")) & (F.col("a.above") == F.col("b.above")) & (F.col("a.bytes") == F.col("b.bytes")) & (F.col("a.fp") < F.col("b.fp"))
-    return a.join(b, meets & (tally == least) & (F.bit_count(differ) <= max_bits)).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    # Spark sizes the exploded index like its input, 70 times too low, and would broadcast it
+    return a.join(b.hint("merge"), meets & (tally == least) & (F.bit_count(differ) <= max_bits)).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
 def _groups(prints: DataFrame, id_col: str, max_bits: int) -> DataFrame:

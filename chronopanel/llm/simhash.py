@@ -251,7 +251,8 @@ def similar_links(chosen: DataFrame, sets: DataFrame, named: DataFrame, by: list
     """
     lists = chosen.where("n > 0").select("sid", "n", F.posexplode("prefix").alias("pos", "shingle"))
     sizes = lists.groupBy("shingle").agg(F.count("*").alias("many")).where("many > 1")
-    shared = stage(lists.join(sizes, "shingle").select("shingle", "sid", "n", "pos", "many"), "shingle-lists")
+    # exploded lists are sized too low, too: a plan that follows their sizes would broadcast them
+    shared = stage(lists.join(sizes.hint("merge"), "shingle").select("shingle", "sid", "n", "pos", "many"), "shingle-lists")
     known = shared.join(shared.groupBy("sid").agg(F.sum("many").alias("pop")), "sid")
     heads = known.groupBy("shingle").agg(F.max(F.struct("pop", (-F.col("sid")).alias("minus"), "n", "pos")).alias("head"))
     met = known.join(heads, "shingle").select("sid", "n", "pos", F.col("head.pop").alias("rank"), (-F.col("head.minus")).alias("head"), F.col("head.n").alias("head_n"), F.col("head.pos").alias("head_pos"))

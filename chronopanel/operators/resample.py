@@ -9,6 +9,7 @@ that bounded size and spread over (key, replicate).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,16 @@ def index_series(df: DataFrame, keys: Sequence[str], order: str, values: Sequenc
     return df.select(*keys, (F.row_number().over(w) - 1).cast("long").alias("pos"), *values)
 
 
+def valued(draws: DataFrame, series: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Draws (keys, rep, pos) with the values at their positions; a NULL key meets nothing.
+
+    Draws come from exploded sequences, which Spark sizes like the few rows before, so an inner join would broadcast them. Every
+    position drawn is in the series, so a left join has the same rows, and of a left join only the series may be broadcast.
+    """
+    known = draws.where(reduce(lambda x, y: x & y, (F.col(k).isNotNull() for k in keys)))
+    return known.join(series, [*keys, "pos"], "left").select(*keys, "rep", *values)
+
+
 def block_samples(series: DataFrame, keys: Sequence[str], values: Sequence[str], *, block: int, reps: int, seed: int,
                   fixed: bool = False, whole: bool = False) -> DataFrame:
     """Resampled rows (keys, rep, values): random-start blocks cut at the end of the series, fixed partition blocks, or whole blocks.
@@ -42,7 +53,7 @@ def block_samples(series: DataFrame, keys: Sequence[str], values: Sequence[str],
     before = F.sum("_len").over(Window.partitionBy(*keys, "rep").orderBy("i")) - F.col("_len")
     d = d.withColumn("_have", before).where("_have < n").withColumn("_take", F.least(F.col("_len"), F.col("n") - F.col("_have")))
     picks = d.select(*keys, "rep", F.explode(F.sequence(F.col("_start"), F.col("_start") + F.col("_take") - 1)).alias("pos"))
-    return picks.join(series, [*keys, "pos"]).select(*keys, "rep", *values)
+    return valued(picks, series, keys, values)
 
 
 def iid_samples(series: DataFrame, keys: Sequence[str], values: Sequence[str], *, reps: int, seed: int) -> DataFrame:
@@ -50,7 +61,7 @@ def iid_samples(series: DataFrame, keys: Sequence[str], values: Sequence[str], *
     tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))       # a given number: adaptive plans would join these few rows to one task again
     spread = size.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).repartition(tasks, *keys, "rep")
     d = spread.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).withColumn("pos", draw(F.col("n"), F.lit(seed), F.col("rep"), F.col("i")))
-    return d.select(*keys, "rep", "pos").join(series, [*keys, "pos"]).select(*keys, "rep", *values)
+    return valued(d.select(*keys, "rep", "pos"), series, keys, values)
 
 
 def summarize(samples: DataFrame, keys: Sequence[str], statistic: Column, band: dict[str, float] | None = None) -> DataFrame:
